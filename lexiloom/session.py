@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +34,22 @@ def local_session(cpus: int | str | None = None, **extra: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, unless PYTHONPATH (which
+    they inherit) already leads to it."""
+    root = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if app in _SHIPPED or str(root.parent) in on_path:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="lexiloom-"), "lexiloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in root.rglob("*.py"):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
