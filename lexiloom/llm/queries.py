@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import near_copies
+from .mixing import mix
+from .pieces import encode
+from .quality_rules import judged
+from .secrets import scan
+from .token_counts import histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +26,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents")).drop("redacted")
+
+
+@query
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(read(spark, sf_dir, "documents"))
