@@ -63,6 +63,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     )
 
 
+def _order(number: Column, text: Column) -> Column:
+    """What orders the documents of a source: MD5 of the id, or of the text where there is no id."""
+    return F.md5(F.coalesce(number.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit(""))))))
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -73,6 +78,7 @@ def mix(
     most: float = 2.0,
     tilt: float = 0.5,
     rows_in_block: int = 2000,
+    key: bool = False,
 ) -> DataFrame:
     """One row per row of `df`: id, size (words), source_size, target (of its source, in words),
     copies, taken (size * copies, the words the mix takes) and position (training time 0 to 1 of the
@@ -91,7 +97,7 @@ def mix(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))).alias("h"),
+        _order(F.col(id_col), F.col(text_col)).alias("h"),
     )
     rows = written(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -140,6 +146,21 @@ def mix(
         "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
         F.when((F.col("copies") > 0) & (F.col("target") > 0), time).alias("position"),
+        *(["h"] if key else []),
     )
+    if key:
+        return out
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return out.repartitionByRange(parts, "position", id_col).sortWithinPartitions("position", id_col)
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of `df`, all columns, as often as the mix takes them, range-sorted by the time at
+    which the first copy is due. Rows that the mix doesn't take are absent; rows that repeat an id
+    come as often as the mix takes them together."""
+    plan = mix(df.select(id_col, text_col, source_col), id_col, text_col, source_col, **options, key=True)
+    plan = written(plan.groupBy(F.col("h").alias("__h")).agg(F.sum("copies").alias("__copies"), F.min("position").alias("__position")).filter("__copies > 0"), "mix-plan")
+    rows = df.withColumn("__h", _order(F.col(id_col), F.col(text_col)))
+    taken = rows.join(plan, "__h").dropDuplicates(["__h"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return taken.repartitionByRange(parts, "__position", "__h").sortWithinPartitions("__position", "__h").select(*df.columns)

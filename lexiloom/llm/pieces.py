@@ -96,15 +96,16 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     table_limit: int = 1_000_000,
-    digests: bool = False,
+    columns: tuple[str, ...] = ("ids", "decoded"),
 ) -> DataFrame:
-    """One row per row of `df`: id, n_tokens (begin and end ids counted) and, with digests, the
-    SHA-256 of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8;
-    without, the ids (array of int) and the decoded text.
+    """One row per row of `df`: id, n_tokens (begin and end ids counted) and the named columns: ids
+    (array of int), decoded (the text that the library decodes the ids to), ids_sha256 (of the ids as
+    little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded text in UTF-8).
 
     A null text counts as empty: its ids are those of begin and end. Repeated rows give repeated
     rows, null ids stay null, an empty table gives no rows. Other columns are ignored. Each text is
     encoded whole, whatever its length; a worker holds one small batch of texts at a time."""
+    kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = segmenter(model_path, table_limit)
@@ -116,17 +117,18 @@ def encode(
                 some = [x if isinstance(x, str) else "" for x in texts[part]]
                 ids = [begin + x + end for x in tool.ids(some)]
                 numbers = [np.frombuffer(x, dtype=np.uint32) for x in ids]
-                decoded = lib.decode([x.tolist() for x in numbers], num_threads=1)
                 out = pd.DataFrame({"id": pdf["id"].iloc[part].array, "n_tokens": [len(x) for x in numbers]})
-                if digests:
-                    out["ids_sha256"] = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in numbers]
-                    out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
-                else:
-                    out["ids"] = [x.tolist() for x in numbers]
+                if "ids" in columns:
+                    out["ids"] = [x.astype(np.int32) for x in numbers]
+                if "ids_sha256" in columns:
+                    out["ids_sha256"] = [hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in numbers]
+                if "decoded" in columns or "decoded_sha256" in columns:
+                    decoded = lib.decode([x.tolist() for x in numbers], num_threads=1)
                     out["decoded"] = decoded
-                yield out
+                    out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+                yield out[["id", "n_tokens", *columns]]
 
-    kind = "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    kind = ", ".join(["id long, n_tokens long", *(f"{c} {kinds[c]}" for c in columns)])
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(nullable_ids(run), kind).withColumnRenamed("id", id_col)
 

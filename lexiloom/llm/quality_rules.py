@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
+
 #: The white space between words, the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -166,7 +168,7 @@ def judged(
     """One row per row of `df`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (fewer than `least_words` words, or over `most_repeated` per cent of them in repeated
     5-word windows), p_good (the posterior) and kept (not base_failed and p_good >= keep_from). With
-    carry, all columns of `df` and kept instead.
+    carry, instead the kept rows of `df` with all their columns.
 
     A null text counts as empty: no words, base_failed. Null ids stay null; repeated rows give
     repeated rows; an empty table gives no rows. Columns of `df` whose names clash with those made
@@ -177,15 +179,13 @@ def judged(
     names = list(rules())
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     counted = counted.select("_id", "_row", *base, *[c.alias(n) for n, c in rules().items()])
-    if not carry:
-        from .graph import written
-
-        counted = written(counted.drop("_row"), "rule-counts")
+    # Counted once: the votes are read twice.
+    counted = written(counted if carry else counted.drop("_row"), "rule-counts")
     fitted = estimate(counted, names)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     # The estimate is one row by construction.
     out = counted.join(F.broadcast(fitted)).withColumns({"base_failed": failed, "p_good": posterior(F.col("share"), F.col("right"), [F.col(n) for n in names])})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_from))
     if carry:
-        return out.select("_row.*", "kept")
+        return out.filter("kept").select("_row.*")
     return out.select(F.col("_id").alias(id_col), *base, "base_failed", "p_good", "kept")

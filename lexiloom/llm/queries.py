@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import order_minhash
+from .classifier import classify, fit
 from .embedding_dedup import near_copies
 from .mixing import mix
 from .pieces import encode
@@ -33,6 +35,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read(spark, sf_dir, "embeddings"))
@@ -45,12 +53,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents")).drop("redacted")
+    return scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_copies(read(spark, sf_dir, "documents"))
 
 
 @query
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
+    return encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), columns=("ids_sha256", "decoded_sha256"))
 
 
 @query

@@ -201,8 +201,7 @@ def named(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of `df`: id; n_<kind> for each base rule; base_sha256, the SHA-256 of the
     base findings as kind:start:end joined by commas, by start, then in the rules' order; spans, all
-    findings joined likewise; redacted, the text with every finding replaced by its kind in square
-    brackets (overlapping findings as one, under the name of the first).
+    findings joined likewise.
 
     Positions count code points, the end is exclusive; findings of one kind don't overlap. A null
     text counts as empty and has no findings; ids may be null; repeated rows give repeated rows; an
@@ -221,14 +220,29 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
                     out[f"n_{kind}"] = [sum(rules[k].kind == kind for _, k, _ in x) for x in own]
                 out["base_sha256"] = [hashlib.sha256(named(x, rules).encode()).hexdigest() for x in own]
                 out["spans"] = [named(x, rules) for x in found]
-                out["redacted"] = [redact(t, x, rules) for t, x in zip(some, found)]
                 yield out
 
-    kind = "id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string, redacted string"
+    kind = "id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(nullable_ids(run), kind).withColumnRenamed("id", id_col)
 
 
+def redacted(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`df` with every finding in its texts replaced by the kind in square brackets (overlapping
+    findings as one, under the kind of the first). A null text stays
+    null; other columns are as they were."""
+
+    @F.pandas_udf("string")
+    def clean(column: pd.Series) -> pd.Series:
+        out, texts = [], column.tolist()
+        for part in portions(texts):
+            some = [x if isinstance(x, str) else "" for x in texts[part]]
+            out += [redact(x, spans, rules) for x, spans in zip(some, find(some, rules))]
+        return pd.Series(out, dtype=object).where(column.notna().to_numpy(), None)
+
+    return df.withColumn(text_col, clean(F.col(text_col)))
+
+
 def redact(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -> str:
     out, at, k = [], 0, 0
     while k < len(spans):
