@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import order_minhash
 from .classifier import classify, fit
 from .embedding_dedup import near_copies
+from .html_extract import extract
 from .mixing import mix
 from .pieces import encode
 from .quality_rules import judged
 from .secrets import scan
+from .sharding import shards
 from .token_counts import histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +53,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
@@ -66,6 +73,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), columns=("ids_sha256", "decoded_sha256"))
 
 
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
