@@ -11,8 +11,9 @@ wide enough for the threshold, over the longer length. Similarity is one minus t
 Equal texts are put together first and compared once. Within the texts that agree on a sketch,
 each is aligned with the one of smallest id; texts in small groups are all aligned with one
 another. Texts of a large group that its first text doesn't match go on to narrower groups, of
-those that agree on a second sketch too, and so on until none are left: unrelated texts that share
-one common passage part there, while near copies meet again.
+those that agree on another of the next sketches too, and so on until none are left: unrelated
+texts that share one common passage part there, while near copies, which agree on many sketches,
+meet again.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, written
+from .graph import components, dropped, written
 from .pieces import portions
 
 #: Fixed value: the white space that separates words.
@@ -181,8 +182,8 @@ def near_copies(
     text_col: str = "text",
     k: int = 5,
     threshold: float = 0.8,
-    count: int = 24,
-    take: int = 2,
+    count: int = 32,
+    take: int = 3,
     small: int = 8,
     rounds: int = 8,
 ) -> DataFrame:
@@ -221,7 +222,7 @@ def _node(number: Column, key: Column) -> Column:
 
 
 def classes(
-    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, count: int = 24, take: int = 2, small: int = 8, rounds: int = 8
+    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, count: int = 32, take: int = 3, small: int = 8, rounds: int = 8
 ) -> DataFrame:
     """Rows id, key (of the text), node (of the row), n_copies and root (least node of the class)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -234,34 +235,28 @@ def classes(
                 if len(table) > 300_000:
                     table.clear()
                 words = [word_hashes(x, table) for x in texts[part]]
-                some = [sketches(shingles(w, k), count, take).view(np.int64).tolist() if len(w) else None for w in words]
+                some = [sketches(shingles(w, k), count, take).view(np.int64) if len(w) else None for w in words]
                 yield pd.DataFrame(
                     {
                         "id": pdf["id"].iloc[part].astype("Int64").array,
                         "key": [hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts[part]],
-                        "words": [w.tobytes() for w in words],
                         "len": [max(min(1, len(w)), len(w) - k + 1) for w in words],
                         "sketches": some,
                     }
                 )
 
-    kind = "id long, key string, words binary, len int, sketches array<long>"
+    kind = "id long, key string, len int, sketches array<long>"
     encoded = written(rows.mapInPandas(sketch, kind).withColumn("node", _node(F.col("id"), F.col("key"))), "omh-rows")
     nodes = written(encoded.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("n_copies")), "omh-nodes")
     sketched = encoded.filter("len > 0").select("key", "node", "len", "sketches")
     sketched = written(sketched.join(nodes.select("key", "node"), ["key", "node"], "left_semi").dropDuplicates(["key"]), "omh-sketches")
-    groups = written(
+    every = written(
         sketched.select("node", "len", F.posexplode("sketches").alias("at", "sketch")).select(
-            "node", "len", F.xxhash64("at", "sketch").alias("group")
+            "node", "len", "at", F.xxhash64("at", "sketch").alias("group")
         ),
-        "omh-groups",
-    )
-    sizes, groups = _grouped(groups)
-    # Only texts that share a group are ever aligned.
-    texts = written(
-        encoded.select("node", "words").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "words"]),
-        "omh-texts",
+        "omh-every",
     )
+    groups = _grouped(every)
     links: list[DataFrame] = []
     for depth in range(rounds):
         large = groups.filter(F.col("n") > small)
@@ -278,24 +273,31 @@ def classes(
             pairs = x.join(y, "group").filter("x.node < y.node").select("x", "y")
         near = F.least("x.len", "y.len") >= threshold * F.greatest("x.len", "y.len") - 1e-9
         pairs = pairs.filter(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        found = written(verified(pairs, texts, k, threshold), "omh-links")
+        pairs = written(pairs, "omh-pairs")
+        found = written(verified(pairs, _texts(rows, pairs), k, threshold), "omh-links")
+        dropped(pairs)
         links.append(found)
         if depth == rounds - 1:
             break
         rest = written(
             large.filter(F.col("node") > F.col("first.node"))
-            .select("group", "node", "len", F.col("first.node").alias("a"))
+            .select("group", "node", "len", "at", F.col("first.node").alias("a"))
             .join(found.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti"),
             "omh-rest",
         )
+        dropped(groups)
         if rest.limit(1).count() == 0:
             break
-        # What the first of a large group doesn't match: together again where a second sketch agrees.
-        narrower = rest.join(sketched.select("node", "sketches"), "node").select(
-            "node", "len", "group", F.posexplode("sketches").alias("at", "sketch")
+        # What the first of a large group doesn't match: together again where one of the next sketches agrees.
+        narrower = (
+            rest.join(sketched.select("node", "sketches"), "node")
+            .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(3))))
+            .withColumn("at", F.pmod(F.col("at") + F.col("step"), F.lit(count)))
+            .select("node", "len", "at", F.xxhash64("group", "at", F.get("sketches", F.col("at"))).alias("group"))
         )
-        narrower = narrower.select("node", "len", F.xxhash64("group", "at", "sketch").alias("group")).distinct()
-        sizes, groups = _grouped(written(narrower, "omh-groups"))
+        every = written(narrower.distinct(), "omh-every")
+        dropped(rest)
+        groups = _grouped(every)
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
@@ -304,11 +306,47 @@ def classes(
     return encoded.select("id", "key", "node").join(written(found, "omh-classes"), "key")
 
 
-def _grouped(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes and first texts of groups of two or more, and the groups' rows with them."""
+def _grouped(every: DataFrame) -> DataFrame:
+    """Rows of groups of two or more, with the size and the first text of each."""
     first = F.min(F.struct("node", "len")).alias("first")
-    sizes = written(groups.groupBy("group").agg(F.count("*").alias("n"), first).filter("n > 1"), "omh-sizes")
-    return sizes, written(groups.join(sizes, "group"), "omh-groups")
+    sizes = written(every.groupBy("group").agg(F.count("*").alias("n"), first).filter("n > 1"), "omh-sizes")
+    groups = written(every.join(sizes, "group"), "omh-groups")
+    dropped(every)
+    dropped(sizes)
+    return groups
+
+
+#: Bits of the map that says which nodes may have a pair; a fixed 2 MB.
+MAP_BITS = 24
+
+
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Hashed words (node, words) of the texts in pairs. The table of texts is read once more; a bit
+    map of fixed size over the nodes keeps most others from being sent anywhere."""
+    spark = rows.sparkSession
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "omh-wanted")
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS))
+    marks = wanted.select((place / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("m"))
+    filled = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[filled["w"].to_numpy()] = filled["m"].to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table: dict[str, int] = {}
+        for pdf in batches:
+            at = pdf["place"].to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+            some = pdf[hit]
+            for part in portions(some["text"].tolist()):
+                if len(table) > 300_000:
+                    table.clear()
+                own = some.iloc[part]
+                yield pd.DataFrame({"node": own["node"], "words": [word_hashes(x, table).tobytes() for x in own["text"]]})
+
+    node = _node(F.col("id"), F.when(F.col("id").isNull(), F.md5("text")))
+    found = rows.select(node.alias("node"), "text").select("node", "text", place.alias("place")).mapInPandas(words, "node long, words binary")
+    return written(found.join(wanted, "node", "left_semi").dropDuplicates(["node", "words"]), "omh-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
