@@ -2,9 +2,51 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def query(oracle: str | None = None):
+    """Registers a function (spark, sf_dir) under its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(name: str, spark_sql: str, oracle: str | None = None, *tables: str) -> None:
+    """Registers a query in SQL over the named tables; the oracle defaults to the same text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {t: read(spark, sf_dir, t) for t in tables}
+        text = spark_sql
+        for t in frames:  # views of this query alone: names in braces are frames
+            text = text.replace("{" + t + "}", "{" + t + "}")
+        return spark.sql(text, **frames)
+
+    QUERIES[name] = run
+    plain = oracle if oracle is not None else spark_sql
+    for t in TABLES:
+        plain = plain.replace("{" + t + "}", t)
+    ORACLES[name] = plain
+
+
+for _module in ("text_queries", "table_queries", "structure_queries", "compare_queries", "source_queries"):
+    importlib.import_module(f"lexiloom.plans.{_module}")
