@@ -112,7 +112,7 @@ def leftovers(chunks: DataFrame, mapped: DataFrame, key: list[str], kind: str) -
     """Chunks without a mapped section, as `kind` (delete or insert), in order."""
     alone = chunks.join(mapped, key, "left_anti")
     order = Window.partitionBy(*key[:1]).orderBy(*key[1:], "chunk_index")
-    return alone.select(*key, "chunk_index", F.lit(kind).alias("alignment_type"), F.row_number().over(order).alias("ord"))
+    return alone.select(*key, "chunk_index", F.lit(kind).alias("alignment_type"), F.row_number().over(order).cast("long").alias("ord"))
 
 
 def carry(value: Column, by: list[str], order: list[str]) -> Column:

@@ -1 +1,268 @@
-"""Queries."""
+"""Queries of title and chunk similarity, assignment, alignment and differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import kernels
+from ..functions import text as T
+from ..operators import align, chunking
+from .registry import query, read
+from .text_queries import D_SP, d_word_set, pairs
+
+D_LCS = """WITH RECURSIVE p AS ({pairs}), r AS (SELECT a, b, 0 AS j, list_transform(range(length(a) + 1), lambda x: 0::BIGINT) AS prev FROM p
+  UNION ALL SELECT a, b, j + 1, list_reduce(list_transform(range(1, length(a) + 1), lambda i: {{'i': i, 'l': [0::BIGINT]}}),
+    lambda s, x: {{'i': x.i, 'l': list_append(s.l, CASE WHEN a[x.i] = b[j + 1] THEN prev[x.i] + 1 ELSE greatest(prev[x.i + 1], s.l[len(s.l)]) END)}},
+    {{'i': 0::BIGINT, 'l': [0::BIGINT]}}).l FROM r WHERE j < length(b))
+SELECT a, b, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * prev[len(prev)] / (length(a) + length(b)) END, 6) AS score FROM r WHERE j = length(b)"""
+NAME_PAIRS = "SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM {part} a JOIN {part} b ON a.p_size = b.p_size AND a.p_brand = b.p_brand WHERE a.p_type < b.p_type"
+
+
+def name_pairs(spark, sf_dir):
+    """Short strings of the same size and brand."""
+    return spark.sql(NAME_PAIRS, part=read(spark, sf_dir, "part"))
+
+
+@query(D_LCS.format(pairs=NAME_PAIRS.replace("{part}", "part")))
+def indel_ratio(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(kernels.indel_ratio(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+D_SORTED = NAME_PAIRS.replace("{part}", "part")
+
+
+@query(
+    D_LCS.format(
+        pairs=f"SELECT array_to_string(list_sort(string_split(a, ' ')), ' ') AS a, array_to_string(list_sort(string_split(b, ' ')), ' ') AS b FROM ({D_SORTED})"
+    )
+)
+def token_sort_ratio(spark, sf_dir):
+    """With sorted tokens shown instead of the names."""
+    sort = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    p = name_pairs(spark, sf_dir).withColumn("score", F.round(kernels.sorted_ratio(F.col("a"), F.col("b")), 6))
+    return p.select(sort("a").alias("a"), sort("b").alias("b"), "score")
+
+
+@query()
+def partial_ratio(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(kernels.best_part_ratio(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+def heading_sides(spark, sf_dir):
+    """Headings of pages of two hosts' halves as the sections of document pairs: pair by page_id / 2."""
+    h = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r"<(?:h1|p)>([^<]{5,120})"), 1).alias("t"))
+    s = h.select("page_id", F.posexplode("t").alias("ord", "title")).withColumn("pair_id", (F.col("page_id") / 2).cast("long"))
+    a, b = s.filter("page_id % 2 = 0"), s.filter("page_id % 2 = 1")
+    return a.select("pair_id", "ord", "title"), b.select("pair_id", "ord", "title")
+
+
+@query()
+def title_similarity(spark, sf_dir):
+    scores = align.title_scores(*heading_sides(spark, sf_dir))
+    return scores.withColumn("score", F.round("score", 6))
+
+
+@query()
+def text_similarity(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select("a_id", "b_id", F.round(kernels.text_similarity(F.col("a_text"), F.col("b_text")), 6).alias("score"))
+
+
+# Assignment: two sides of the vectors of a label, by parity ------------------------------------
+
+VEC_SCORES = """SELECT a.label AS label, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score
+ FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 1"""
+
+
+def vector_scores(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    a = e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+    b = e.filter("vec_id % 10 = 1").select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
+    return a.join(b, "label").select("label", "i", "j", F.round(T.cosine(F.col("x"), F.col("y")), 4).alias("score"))
+
+
+@query(
+    f"""WITH RECURSIVE s AS ({VEC_SCORES}), o AS (SELECT label, i, row_number() OVER (PARTITION BY label ORDER BY i) AS k FROM (SELECT DISTINCT label, i FROM s WHERE score >= 0.1)),
+    b AS (SELECT o.label, o.k, o.i, list({{'s': -s.score, 'j': s.j}} ORDER BY -s.score, s.j) AS best FROM o JOIN s ON s.label = o.label AND s.i = o.i AND s.score >= 0.1 GROUP BY ALL),
+    r AS (SELECT label, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS score FROM (SELECT DISTINCT label FROM o)
+      UNION ALL SELECT label, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.j) END, i, p.j, -p.s FROM
+      (SELECT b.label, b.k, r.used, b.i, list_filter(b.best, lambda x: NOT list_contains(r.used, x.j))[1] AS p FROM r JOIN b ON b.label = r.label AND b.k = r.k + 1))
+    SELECT label, i, j, score FROM r WHERE j IS NOT NULL"""
+)
+def assign_greedy(spark, sf_dir):
+    return align.assign_greedy(vector_scores(spark, sf_dir), "label", 0.1)
+
+
+@query()
+def assign_optimal(spark, sf_dir):
+    return align.assign_optimal(vector_scores(spark, sf_dir), "label", 0.1)
+
+
+D_BEST = f"(SELECT * FROM ({VEC_SCORES}) QUALIFY row_number() OVER (PARTITION BY label, i ORDER BY score DESC, j) = 1 AND row_number() OVER (PARTITION BY label, j ORDER BY score DESC, i) = 1)"
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT label, vec_id AS i FROM embeddings WHERE vec_id % 10 = 0), b AS (SELECT DISTINCT label, vec_id AS j FROM embeddings WHERE vec_id % 10 = 1), m AS {D_BEST}
+    SELECT coalesce(a.label, x.label) AS label, a.i, x.j, coalesce(x.score, 0.0) AS score, CASE WHEN x.j IS NULL THEN 'deleted' WHEN a.i IS NULL THEN 'added'
+      WHEN score >= 0.4 THEN 'exact' WHEN score >= 0.2 THEN 'partial' ELSE 'poor' END AS match_type
+    FROM a FULL OUTER JOIN (SELECT b.label, b.j, m.i, m.score FROM b LEFT JOIN m ON m.label = b.label AND m.j = b.j) x ON a.label = x.label AND a.i = x.i"""
+)
+def section_full_map(spark, sf_dir):
+    """Mutually best pairs, and what is left on either side."""
+    from pyspark.sql import Window
+
+    s = vector_scores(spark, sf_dir)
+    one = F.row_number().over(Window.partitionBy("label", "i").orderBy(F.desc("score"), "j"))
+    two = F.row_number().over(Window.partitionBy("label", "j").orderBy(F.desc("score"), "i"))
+    best = s.withColumns({"one": one, "two": two}).filter("one = 1 AND two = 1").drop("one", "two")
+    e = read(spark, sf_dir, "embeddings")
+    a = e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("ord"))
+    b = e.filter("vec_id % 10 = 1").select("label", F.col("vec_id").alias("ord"))
+    return align.full_map(a, b, best, "label", 0.4, 0.2)
+
+
+# Alignment of chunks ---------------------------------------------------------------------------
+
+
+def chunk_scores(spark, sf_dir):
+    """Word overlap of the sentences of the documents of each pair, within the pair."""
+    p = pairs(spark, sf_dir).filter("length(a_text) < 4000").withColumn("pair_id", F.col("a_id") * 100000 + F.col("b_id"))
+    cut = lambda c: F.filter(F.split(c, r"\. "), lambda x: x != "")
+    a = p.select("pair_id", F.posexplode(cut(F.col("a_text"))).alias("i", "x")).select("pair_id", F.col("i").cast("long").alias("i"), T.word_set(F.col("x")).alias("x"))
+    b = p.select("pair_id", F.posexplode(cut(F.col("b_text"))).alias("j", "y")).select("pair_id", F.col("j").cast("long").alias("j"), T.word_set(F.col("y")).alias("y"))
+    return a.join(b, "pair_id").select("pair_id", "i", "j", T.jaccard(F.col("x"), F.col("y")).alias("score"))
+
+
+@query()
+def align_nw(spark, sf_dir):
+    return align.align(chunk_scores(spark, sf_dir), "pair_id").withColumn("align_score", F.round("align_score", 6))
+
+
+@query()
+def align_stats(spark, sf_dir):
+    rows = align.align(chunk_scores(spark, sf_dir), "pair_id")
+    return rows.groupBy("alignment_type").agg(F.count("*").alias("n"), F.count_distinct("pair_id").alias("n_pairs"))
+
+
+@query(
+    """SELECT doc_id, source, chunk_index, 'delete' AS alignment_type, row_number() OVER (PARTITION BY doc_id ORDER BY source, chunk_index) AS ord FROM
+    (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10)))))::BIGINT AS chunk_index FROM documents) c
+    WHERE NOT EXISTS (SELECT 1 FROM documents m WHERE m.doc_id = c.doc_id AND m.source = c.source AND m.doc_id % 3 <> 0)"""
+)
+def align_leftovers(spark, sf_dir):
+    """Chunks of sections without a mapping."""
+    d = read(spark, sf_dir, "documents")
+    chunks = d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("chunk_index", "x")).select("doc_id", "source", F.col("chunk_index").cast("long").alias("chunk_index"))
+    return align.leftovers(chunks, d.filter("doc_id % 3 <> 0").select("doc_id", "source"), ["doc_id", "source"], "delete")
+
+
+@query(
+    """SELECT c.doc_id, c.source, chunk_index, m.key AS mapping FROM (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10)))))::BIGINT AS chunk_index FROM documents) c
+    JOIN (SELECT doc_id, source, md5(source || doc_id::VARCHAR) AS key FROM documents WHERE doc_id % 2 = 0) m ON m.doc_id = c.doc_id AND m.source = c.source"""
+)
+def chunks_by_mapping(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    chunks = d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("chunk_index", "x"))
+    m = d.filter("doc_id % 2 = 0").select("doc_id", "source", F.md5(F.concat("source", F.col("doc_id").cast("string"))).alias("mapping"))
+    return chunks.join(m, ["doc_id", "source"]).select("doc_id", "source", F.col("chunk_index").cast("long").alias("chunk_index"), "mapping")
+
+
+# Differences -----------------------------------------------------------------------------------
+
+
+def near_pairs(spark, sf_dir):
+    """Document pairs to show differences of: a stated A side, same source and first line."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", "\n")[0].alias("line"), "text")
+    a = d.filter("doc_id % 10 = 0").select("lang", F.substring("line", 1, 12).alias("k"), F.col("doc_id").alias("a_id"), F.col("line").alias("a"))
+    b = d.select("lang", F.substring("line", 1, 12).alias("k"), F.col("doc_id").alias("b_id"), F.col("line").alias("b"))
+    return a.join(b, ["lang", "k"]).filter("a_id < b_id").select("a_id", "b_id", "a", "b")
+
+
+@query()
+def diff_opcodes(spark, sf_dir):
+    p = near_pairs(spark, sf_dir)
+    return p.select("a_id", "b_id", F.posexplode(kernels.diff_ops(F.col("a"), F.col("b"))).alias("ord", "op")).select("a_id", "b_id", "ord", "op.*")
+
+
+@query()
+def diff_stats(spark, sf_dir):
+    p = near_pairs(spark, sf_dir).select("a_id", "b_id", kernels.diff_html(F.col("a"), F.col("b")).alias("d"))
+    return p.select("a_id", "b_id", *[F.col("d")[k].alias(f"n_{k}") for k in ("total", "match", "delete", "insert", "replace")])
+
+
+@query()
+def diff_fine(spark, sf_dir):
+    p = near_pairs(spark, sf_dir).select("a_id", "b_id", kernels.diff_html(F.col("a"), F.col("b"), "character").alias("d"))
+    return p.select("a_id", "b_id", F.md5("d.html_a").alias("a_md5"), F.md5("d.html_b").alias("b_md5"))
+
+
+OPS = "VALUES (1,'equal',0,4,0,4),(1,'replace',4,7,4,6),(1,'delete',7,9,6,6),(1,'equal',9,12,6,9),(1,'insert',12,12,9,14),(2,'equal',0,3,0,3),(2,'insert',3,3,3,4)"
+_COUNTS = ", ".join(
+    f"CAST(sum(CASE WHEN tag = '{t}' THEN greatest(i2 - i1, j2 - j1) ELSE 0 END) AS BIGINT) AS n_{t}" for t in ("equal", "delete", "insert", "replace")
+)
+
+
+@query(f"SELECT pair_id, {_COUNTS}, CAST(sum(greatest(i2 - i1, j2 - j1)) AS BIGINT) AS total FROM ({OPS}) v(pair_id, tag, i1, i2, j1, j2) GROUP BY pair_id")
+def opcode_counters(spark, sf_dir):
+    v = spark.sql(f"SELECT * FROM ({OPS}) v(pair_id, tag, i1, i2, j1, j2)")
+    most = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
+    return v.groupBy("pair_id").agg(*[F.sum(F.when(F.col("tag") == t, most).otherwise(0)).alias(f"n_{t}") for t in ("equal", "delete", "insert", "replace")], F.sum(most).alias("total"))
+
+
+@query(
+    """SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: '-' || x), chr(10)) || chr(10) ||
+    array_to_string(list_transform(string_split(replace(text, 'e', 'E'), chr(10)), lambda x: '+' || x), chr(10))) AS unified_md5 FROM documents"""
+)
+def diff_unified(spark, sf_dir):
+    """Unified text of a full replacement: old lines, then new ones."""
+    mark = lambda c, sign: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit(sign), x)), "\n")
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(F.concat(mark(F.col("text"), "-"), F.lit("\n"), mark(F.replace("text", F.lit("e"), F.lit("E")), "+"))).alias("unified_md5"))
+
+
+# Chunk tables ----------------------------------------------------------------------------------
+
+
+def chunk_table(spark, sf_dir):
+    """Lines as chunks of their document's language."""
+    d = read(spark, sf_dir, "documents")
+    c = d.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).filter("length(text) >= 100")
+    return c.select("lang", "doc_id", (F.col("doc_id") * 10000 + F.col("k")).alias("chunk_index"), "text").withColumn("content_hash", F.md5("text"))
+
+
+D_CHUNKS = "(SELECT *, md5(text) AS content_hash FROM (SELECT lang, doc_id, doc_id * 10000 + generate_subscripts(l, 1) - 1 AS chunk_index, unnest(l) AS text FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(text) >= 100)"
+
+
+@query(rf"SELECT chunk_index, content_hash, len(list_filter(string_split_regex(text, '{D_SP}+'), lambda x: x <> '')) AS word_count FROM {D_CHUNKS}")
+def chunk_table_hashes(spark, sf_dir):
+    return chunk_table(spark, sf_dir).select("chunk_index", "content_hash", F.size(T.words(F.col("text"))).cast("long").alias("word_count"))
+
+
+@query(f"SELECT lang, content_hash, min(chunk_index) AS chunk_index FROM {D_CHUNKS} GROUP BY lang, content_hash")
+def chunk_exact_dedup(spark, sf_dir):
+    return chunking.distinct_chunks(chunk_table(spark, sf_dir), ["lang"]).select("lang", "content_hash", "chunk_index")
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, content_hash, min(chunk_index) AS chunk_index, any_value(text) AS text FROM {D_CHUNKS} GROUP BY doc_id, content_hash),
+    w AS (SELECT doc_id, chunk_index, {d_word_set('text')} AS w FROM c)
+    SELECT a.doc_id, a.chunk_index AS i, b.chunk_index AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.chunk_index < b.chunk_index
+    WHERE len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) > 0.4"""
+)
+def chunk_similar_pairs(spark, sf_dir):
+    c = chunking.distinct_chunks(chunk_table(spark, sf_dir), ["doc_id"])
+    return chunking.similar_chunk_pairs(c, ["doc_id"], 0.4)
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT doc_id, content_hash, min(chunk_index) AS chunk_index, any_value(text) AS text FROM {D_CHUNKS} GROUP BY doc_id, content_hash),
+    w AS (SELECT doc_id, chunk_index, {d_word_set('text')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM c),
+    p AS (SELECT a.doc_id, b.chunk_index AS j, list(a.chunk_index) AS alike FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.chunk_index < b.chunk_index
+      WHERE len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) > 0.4 GROUP BY a.doc_id, b.chunk_index),
+    r AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT doc_id FROM w)
+      UNION ALL SELECT r.doc_id, w.k, CASE WHEN p.alike IS NOT NULL AND list_has_any(r.kept, p.alike) THEN r.kept ELSE list_append(r.kept, w.chunk_index) END
+      FROM r JOIN w ON w.doc_id = r.doc_id AND w.k = r.k + 1 LEFT JOIN p ON p.doc_id = w.doc_id AND p.j = w.chunk_index)
+    SELECT doc_id, unnest(kept) AS chunk_index FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM r) WHERE k = last"""
+)
+def chunk_near_dedup(spark, sf_dir):
+    return chunking.near_dedup(chunk_table(spark, sf_dir), ["doc_id"], 0.4).select("doc_id", "chunk_index")

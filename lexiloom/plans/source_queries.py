@@ -1 +1,125 @@
-"""Queries."""
+"""Queries of scans and sinks: written to the shared folder, read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import report, scoring
+from ..session import shared_folder
+from ..sources import readers
+from .registry import query, read, sql
+
+
+def place(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS category, CAST(o_orderkey % 50 AS INTEGER) AS units, CAST(floor(o_totalprice / 100) AS INTEGER) AS unit_price, o_orderstatus AS region,
+    'web' AS sales_channel, 'all' AS customer_segment, CAST(floor(o_totalprice) AS INTEGER) AS revenue FROM orders"""
+)
+def csv_scan(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderdate AS DATE) AS date", "o_orderpriority AS category", "CAST(o_orderkey % 50 AS INT) AS units", "CAST(floor(o_totalprice / 100) AS INT) AS unit_price",
+        "o_orderstatus AS region", "'web' AS sales_channel", "'all' AS customer_segment", "CAST(floor(o_totalprice) AS INT) AS revenue",
+    )
+    path = place(spark, "sales")
+    report.write_csv(o, path)
+    return readers.read_sales(spark, path)
+
+
+@query("SELECT doc_id, md5(text) AS content_hash, length(text) AS char_count FROM documents")
+def json_chunks_scan(spark, sf_dir):
+    """Chunks to JSON and back."""
+    path = place(spark, "chunks")
+    report.write_json(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back = spark.read.schema("doc_id BIGINT, text STRING").json(path)
+    return back.select("doc_id", F.md5("text").alias("content_hash"), F.length("text").cast("long").alias("char_count"))
+
+
+@query("SELECT doc_id, generate_subscripts(p, 1) AS page, length(unnest(p)) AS n FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) AS p FROM documents)")
+def pages_from_formfeed(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+    return readers.pages_from_text(d).select("doc_id", F.col("page").cast("long").alias("page"), F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, page FROM (SELECT doc_id, generate_subscripts(p, 1) AS page FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) AS p FROM documents)) WHERE page <= 3")
+def page_cap(spark, sf_dir):
+    """At most three pages of each document."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+    return readers.pages_from_text(d, most=3).select("doc_id", F.col("page").cast("long").alias("page"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(trim(a)) < 50 AND length(trim(b)) > length(trim(a)) THEN b ELSE a END AS line, CASE WHEN length(trim(a)) < 50 AND length(trim(b)) > length(trim(a)) THEN 'ocr' ELSE 'text' END AS extraction_method
+    FROM (SELECT doc_id, string_split(text, chr(10))[1] AS a, coalesce(string_split(text, chr(10))[2], '') AS b FROM documents)"""
+)
+def sparse_page_rescue(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"), F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")).alias("b"))
+    return readers.rescue_sparse(d, "line", "b").drop("b")
+
+
+@query(
+    """SELECT doc_id, coalesce(one, two, three) AS text_len, CASE WHEN one IS NOT NULL THEN 'one' WHEN two IS NOT NULL THEN 'two' WHEN three IS NOT NULL THEN 'three' ELSE 'failed' END AS extraction_method FROM
+    (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS one, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 END AS two, CASE WHEN doc_id % 5 = 0 THEN n_chars + 2 END AS three FROM documents)"""
+)
+def engine_fallback(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 2 = 0 THEN n_chars END AS one", "CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 END AS two", "CASE WHEN doc_id % 5 = 0 THEN n_chars + 2 END AS three"
+    )
+    return readers.first_engine(d, "one", "two", "three").select("doc_id", F.col("text").alias("text_len"), "extraction_method")
+
+
+@query("SELECT * FROM (VALUES (1,0,0,0,'Title',16.0::DOUBLE),(1,0,0,1,' bold',16.0),(1,0,1,0,'line two',10.0),(1,1,0,0,'next block',9.5),(2,0,0,0,'page two',10.0)) v(page, block, line, span, text, size)")
+def span_flatten(spark, sf_dir):
+    blocks = [
+        (1, [{"lines": [{"spans": [("Title", 16.0), (" bold", 16.0)]}, {"spans": [("line two", 10.0)]}]}, {"lines": [{"spans": [("next block", 9.5)]}]}]),
+        (2, [{"lines": [{"spans": [("page two", 10.0)]}]}]),
+    ]
+    kind = "page int, blocks array<struct<lines: array<struct<spans: array<struct<text: string, size: double>>>>>>"
+    return readers.flatten_spans(spark.createDataFrame(blocks, kind))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def document_files(spark, sf_dir):
+    """Text files of documents, one for each part, scanned as binary files."""
+    path = place(spark, "files")
+    read(spark, sf_dir, "part").select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name").alias("value")).write.text(path)
+    pages = readers.read_documents(spark, path + "/part-*")
+    lines = pages.select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
+    parts = F.split("line", "\t")
+    return lines.select(parts[0].cast("long").alias("p_partkey"), parts[1].alias("p_name"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def report_json_roundtrip(spark, sf_dir):
+    """Rows in a JSON envelope, written and read back."""
+    path = place(spark, "report")
+    report.envelope(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "lexiloom", "1").write.text(path)
+    kind = "metadata struct<generator: string, version: string>, data struct<s_suppkey: bigint, s_name: string>"
+    return spark.read.schema(kind).json(path).select("data.*")
+
+
+@query()
+def html_report(spark, sf_dir):
+    """The report page of one document pair as one row."""
+    from .table_queries import alignments
+
+    rows = alignments(spark, sf_dir)
+    one = rows.agg(F.min("pair_id").alias("pair_id"))
+    own = rows.join(F.broadcast(one), "pair_id")  # one row
+    total = scoring.overall(own, "pair_id").withColumn("grade", scoring.grade(F.col("similarity"))).first()
+    sections = scoring.overall(own, "pair_id", "section").withColumn("label", F.concat(F.lit("Section "), F.col("section").cast("string")))
+    page = report.html_page("Comparison", total["similarity"], total["grade"], sections)
+    return spark.createDataFrame([(total["pair_id"], page)], "pair_id long, html string")
+
+
+sql("events_by_type", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY event_type", None, "events")
+sql(
+    "cache_latest",
+    "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1",
+    None,
+    "events",
+)

@@ -53,3 +53,20 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+_LOCAL: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (a local
+    session, as in tests) a temporary folder takes its place."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    global _LOCAL
+    if _LOCAL is None:
+        _LOCAL = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+    return _LOCAL
