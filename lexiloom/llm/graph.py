@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (a
-    local session, as in tests) a temporary folder takes its place."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    global _LOCAL
-    if _LOCAL is None:
-        _LOCAL = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-    return _LOCAL
-
-
-_LOCAL: str | None = None
+from ..session import shared_folder
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: later plans start from the files, so a lost
     executor costs no recomputation, and joins see an unaggregated, splittable input."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,7 +26,7 @@ def dropped(df: DataFrame) -> None:
     """Deletes the files behind a table made by written() that no later plan reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
+    root = shared_folder(spark)
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
         if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
@@ -47,17 +34,23 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
+#: Edges up to this number (32 MB) are joined up inside one task.
+IN_ONE_TASK = 2_000_000
+
+
+def components(edges: DataFrame, tag: str = "cc", most: int = 60, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Connected components of the undirected graph with long columns a, b: rows (node, root) for
     every node that isn't the smallest of its component; root is that smallest node.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014) on written edge lists. The
+    Up to `in_one_task` edges, counted first, one task on an executor does it. More go through
+    alternating large-star and small-star steps (Kiveris et al. 2014) on written edge lists: the
     smallest neighbour is written before it is joined back, so a hub's edges can be dealt to many
     tasks. Self loops and repeated edges are harmless; no edges give no rows."""
+    edges = written(edges.filter(F.col("a") != F.col("b")).select("a", "b"), tag)
+    if edges.count() <= in_one_task:
+        return written(edges.coalesce(1).mapInPandas(_joined_up, "node long, root long"), tag)
     e = written(
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         tag,
     )
     for _ in range(most):
@@ -81,6 +74,26 @@ def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
     raise RuntimeError(f"no convergence in {most} rounds")
 
 
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smallest node of every node's component, from all edges at once: labels run along edges and
+    jump to their labels' labels until nothing changes."""
+    parts = [pdf.to_numpy(np.int64) for pdf in batches]
+    ends = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    nodes, at = np.unique(ends, return_inverse=True)
+    i, j = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    other = label != np.arange(len(nodes))
+    yield pd.DataFrame({"node": nodes[other], "root": nodes[label[other]]})
+
+
 def _is_star(e: DataFrame) -> bool:
     """Whether every u has one v and no v is a u."""
     ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(

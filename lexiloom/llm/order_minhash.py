@@ -10,10 +10,10 @@ wide enough for the threshold, over the longer length. Similarity is one minus t
 
 Equal texts are put together first and compared once. Within the texts that agree on a sketch,
 each is aligned with the one of smallest id; texts in small groups are all aligned with one
-another. Texts of a large group that its first text doesn't match go on to narrower groups, of
-those that agree on another of the next sketches too, and so on until none are left: unrelated
-texts that share one common passage part there, while near copies, which agree on many sketches,
-meet again.
+another. Where a large group still holds texts of different classes after that (unrelated texts
+that share a common passage, mostly), those of different classes are compared, in blocks, by the
+number of labelled shingles that they share, which bounds their similarity, and aligned if that
+is enough.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .embedding_dedup import grouped
 from .graph import components, dropped, written
 from .pieces import portions
 
@@ -185,7 +186,7 @@ def near_copies(
     count: int = 32,
     take: int = 3,
     small: int = 8,
-    rounds: int = 8,
+    block: int = 512,
 ) -> DataFrame:
     """One row per row of `df`: id, n_copies (rows with the same text), class_id (smallest id of the
     texts linked to it, over any number of links) and kept (id is class_id).
@@ -196,7 +197,7 @@ def near_copies(
     id, and such rows are never kept. Rows that share an id are one document; rows that repeat an id
     and text are in one class and marked alike. No rows give no rows; other columns are ignored.
     Texts are compared whole, of any length."""
-    return classes(df, id_col, text_col, k, threshold, count, take, small, rounds).select(
+    return classes(df, id_col, text_col, k, threshold, count, take, small, block).select(
         F.col("id").alias(id_col),
         "n_copies",
         F.when(F.col("root") < NO_ID, F.col("root")).alias("class_id"),
@@ -222,7 +223,15 @@ def _node(number: Column, key: Column) -> Column:
 
 
 def classes(
-    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, count: int = 32, take: int = 3, small: int = 8, rounds: int = 8
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    k: int = 5,
+    threshold: float = 0.8,
+    count: int = 32,
+    take: int = 3,
+    small: int = 8,
+    block: int = 512,
 ) -> DataFrame:
     """Rows id, key (of the text), node (of the row), n_copies and root (least node of the class)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -235,77 +244,107 @@ def classes(
                 if len(table) > 300_000:
                     table.clear()
                 words = [word_hashes(x, table) for x in texts[part]]
-                some = [sketches(shingles(w, k), count, take).view(np.int64) if len(w) else None for w in words]
+                parts = [shingles(w, k) for w in words]
                 yield pd.DataFrame(
                     {
                         "id": pdf["id"].iloc[part].astype("Int64").array,
                         "key": [hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts[part]],
                         "len": [max(min(1, len(w)), len(w) - k + 1) for w in words],
-                        "sketches": some,
+                        "sketches": [sketches(h, count, take).view(np.int64) if len(h) else None for h in parts],
                     }
                 )
 
     kind = "id long, key string, len int, sketches array<long>"
     encoded = written(rows.mapInPandas(sketch, kind).withColumn("node", _node(F.col("id"), F.col("key"))), "omh-rows")
-    nodes = written(encoded.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("n_copies")), "omh-nodes")
-    sketched = encoded.filter("len > 0").select("key", "node", "len", "sketches")
-    sketched = written(sketched.join(nodes.select("key", "node"), ["key", "node"], "left_semi").dropDuplicates(["key"]), "omh-sketches")
+    # One row for each text, under its least node.
+    nodes = written(
+        encoded.groupBy("key").agg(
+            F.min("node").alias("node"), F.count("*").alias("n_copies"), F.first("len").alias("len"), F.first("sketches").alias("sketches")
+        ),
+        "omh-nodes",
+    )
     every = written(
-        sketched.select("node", "len", F.posexplode("sketches").alias("at", "sketch")).select(
-            "node", "len", "at", F.xxhash64("at", "sketch").alias("group")
+        nodes.filter("len > 0").select("node", "len", F.posexplode("sketches").alias("at", "sketch")).select(
+            "node", "len", F.xxhash64("at", "sketch").alias("group")
         ),
         "omh-every",
     )
     groups = _grouped(every)
-    links: list[DataFrame] = []
-    for depth in range(rounds):
-        large = groups.filter(F.col("n") > small)
-        if depth < rounds - 1:
-            # Small groups hold at most `small` texts: each with each. Large ones: each with the first.
-            few = groups.filter(F.col("n") <= small).groupBy("group").agg(F.collect_list(F.struct("node", "len")).alias("all"))
-            each = few.select("all", F.explode("all").alias("y")).select("y", F.explode("all").alias("x")).filter("x.node < y.node")
-            star = large.filter(F.col("node") > F.col("first.node")).select(
-                F.struct("node", "len").alias("y"), F.struct("first.node", "first.len").alias("x")
-            )
-            pairs = each.select("x", "y").unionByName(star.select("x", "y"))
-        else:  # texts that agree on so many sketches without being near the first: each with each
-            x, y = (groups.select("group", F.struct("node", "len").alias(c)) for c in "xy")
-            pairs = x.join(y, "group").filter("x.node < y.node").select("x", "y")
-        near = F.least("x.len", "y.len") >= threshold * F.greatest("x.len", "y.len") - 1e-9
-        pairs = pairs.filter(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = written(pairs, "omh-pairs")
-        found = written(verified(pairs, _texts(rows, pairs), k, threshold), "omh-links")
-        dropped(pairs)
-        links.append(found)
-        if depth == rounds - 1:
-            break
-        rest = written(
-            large.filter(F.col("node") > F.col("first.node"))
-            .select("group", "node", "len", "at", F.col("first.node").alias("a"))
-            .join(found.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti"),
-            "omh-rest",
-        )
-        dropped(groups)
-        if rest.limit(1).count() == 0:
-            break
-        # What the first of a large group doesn't match: together again where one of the next sketches agrees.
-        narrower = (
-            rest.join(sketched.select("node", "sketches"), "node")
-            .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(3))))
-            .withColumn("at", F.pmod(F.col("at") + F.col("step"), F.lit(count)))
-            .select("node", "len", "at", F.xxhash64("group", "at", F.get("sketches", F.col("at"))).alias("group"))
-        )
-        every = written(narrower.distinct(), "omh-every")
-        dropped(rest)
-        groups = _grouped(every)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    roots = components(edges, "omh-cc")
+    large = groups.filter(F.col("n") > small)
+    # Small groups hold at most `small` texts: each with each. Large ones: each with the first.
+    few = groups.filter(F.col("n") <= small).groupBy("group").agg(F.collect_list(F.struct("node", "len")).alias("all"))
+    each = few.select("all", F.explode("all").alias("y")).select("y", F.explode("all").alias("x")).filter("x.node < y.node")
+    star = large.filter(F.col("node") > F.col("first.node")).select(
+        F.struct("node", "len").alias("y"), F.struct("first.node", "first.len").alias("x")
+    )
+    near = F.least("x.len", "y.len") >= threshold * F.greatest("x.len", "y.len") - 1e-9
+    pairs = each.select("x", "y").unionByName(star.select("x", "y")).filter(near)
+    links = _linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), rows, k, threshold)
+    roots = components(links, "omh-cc")
+    # Large groups that still hold texts of several classes: those of different classes are compared
+    # by all their sketches.
+    own = large.join(roots, "node", "left").select("group", "node", "len", F.coalesce("root", "node").alias("root"))
+    own = written(own, "omh-large")
+    low_high = own.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = written(low_high.filter("low < high").select("group", "size"), "omh-mixed")
+    if mixed.limit(1).count():
+        pairs = _agreeing(own.join(mixed, "group"), rows, k, threshold, block)
+        links = links.unionByName(_linked(pairs, rows, k, threshold))
+        roots = components(links, "omh-cc")
     found = nodes.join(roots, "node", "left").select("key", "n_copies", F.coalesce("root", "node").alias("root"))
     return encoded.select("id", "key", "node").join(written(found, "omh-classes"), "key")
 
 
+def _agreeing(own: DataFrame, rows: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
+    """Pairs (a, b) of texts of a group, not of one class yet, that share as many labelled shingles as
+    the threshold takes (an edit distance of d leaves all but d of the longer text's shingles in
+    common). A group is split into blocks; every pair of blocks is dealt out on its own, and only
+    the pairs found leave the task."""
+    labels = _texts(rows, own.select("node"), lambda w: labelled(shingles(w, k)).astype(np.uint32)).withColumnRenamed("words", "labels")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    by = ["group", "p", "q"]
+    dealt = (
+        own.join(labels, "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "len", "root", "labels")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, by):
+            if len(group) < 2:
+                continue
+            node, length, root, part = (group[c].to_numpy() for c in ("node", "len", "root", "own"))
+            owner = np.repeat(np.arange(len(group)), [len(x) // 4 for x in group["labels"]])
+            _, column, number = np.unique(np.frombuffer(b"".join(group["labels"]), np.uint32), return_inverse=True, return_counts=True)
+            common = number[column] > 1  # labels of one text alone can't be shared
+            names, column = np.unique(column[common], return_inverse=True)
+            shared = np.zeros((len(group), len(group)), np.float32)
+            for at in range(0, len(names), 4096):
+                some = (column >= at) & (column < at + 4096)
+                table = np.zeros((len(group), min(4096, len(names) - at)), np.float32)
+                table[owner[common][some], column[some] - at] = 1
+                shared += table @ table.T
+            good = shared >= threshold * np.maximum(length[:, None], length[None, :]) - 1e-3
+            good &= (root[:, None] != root[None, :]) & (node[:, None] < node[None, :])
+            if group["p"].iloc[0] != group["q"].iloc[0]:
+                good &= part[:, None] != part[None, :]
+            a, b = np.nonzero(good)
+            yield pd.DataFrame({"a": node[a], "b": node[b]})
+
+    spark = own.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long")
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough."""
+    pairs = written(pairs.distinct(), "omh-pairs")
+    found = written(verified(pairs, _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node"))), k, threshold), "omh-links")
+    dropped(pairs)
+    return found
+
+
 def _grouped(every: DataFrame) -> DataFrame:
     """Rows of groups of two or more, with the size and the first text of each."""
     first = F.min(F.struct("node", "len")).alias("first")
@@ -320,14 +359,13 @@ def _grouped(every: DataFrame) -> DataFrame:
 MAP_BITS = 24
 
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Hashed words (node, words) of the texts in pairs. The table of texts is read once more; a bit
+def _texts(rows: DataFrame, nodes: DataFrame, of=lambda words: words) -> DataFrame:
+    """Hashed words (node, words), or what `of` makes of them, of the texts under `nodes`. The table of texts is read once more; a bit
     map of fixed size over the nodes keeps most others from being sent anywhere."""
     spark = rows.sparkSession
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "omh-wanted")
     place = F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS))
-    marks = wanted.select((place / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("m"))
-    filled = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    mark = F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))")
+    filled = nodes.select((place / 64).cast("long").alias("w"), mark.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
     bits[filled["w"].to_numpy()] = filled["m"].to_numpy()
     shared = spark.sparkContext.broadcast(bits)
@@ -342,11 +380,11 @@ def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 if len(table) > 300_000:
                     table.clear()
                 own = some.iloc[part]
-                yield pd.DataFrame({"node": own["node"], "words": [word_hashes(x, table).tobytes() for x in own["text"]]})
+                yield pd.DataFrame({"node": own["node"], "words": [of(word_hashes(x, table)).tobytes() for x in own["text"]]})
 
     node = _node(F.col("id"), F.when(F.col("id").isNull(), F.md5("text")))
     found = rows.select(node.alias("node"), "text").select("node", "text", place.alias("place")).mapInPandas(words, "node long, words binary")
-    return written(found.join(wanted, "node", "left_semi").dropDuplicates(["node", "words"]), "omh-texts")
+    return written(found, "omh-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
