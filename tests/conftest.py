@@ -3,11 +3,22 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
     from lexiloom.session import local_session
 
-    return local_session("4")
+    return local_session("4", **{"spark.driver.memory": "4g"})
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    return SF
