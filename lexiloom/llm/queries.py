@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import order_minhash
+from . import oracles, order_minhash
 from .classifier import classify, fit
 from .embedding_dedup import near_copies
 from .html_extract import extract
@@ -50,7 +51,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
+    return mix(read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
 @query
@@ -85,4 +86,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(read(spark, sf_dir, "documents"))
+    return judged(read(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 9))
+
+
+ORACLES |= {
+    "op2_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op3_mixing": oracles.MIXING,
+    "op10_quality_rules": oracles.QUALITY_RULES,
+}
