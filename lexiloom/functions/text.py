@@ -112,9 +112,10 @@ def char_set(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets; two empty sets are equal."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    """Of two arrays without repeats; two empty ones are equal."""
+    shared = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - shared
+    return F.when(both == 0, F.lit(1.0)).otherwise(shared / both)
 
 
 def overlap(a: Column, b: Column) -> Column:

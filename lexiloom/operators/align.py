@@ -102,10 +102,49 @@ def align(scores: DataFrame, key: str, gap: float = -0.15, match: float = 0.92,
 
     kind = scores.schema[key].dataType.simpleString()
     rows = scores.groupBy(key).applyInPandas(run, f"{key} {kind}, ord long, i long, j long, align_score double")
+    return _typed(rows, match, partial)
+
+
+def align_texts(pairs: DataFrame, key: str, a: str, b: str, gap: float = -0.15, match: float = 0.92, partial: float = 0.75) -> DataFrame:
+    """Global alignment of the chunks (arrays of strings a and b) of each row by their word overlap:
+    the same columns as align(). A pair's matrix never leaves its task, so nothing is shuffled."""
+
+    def overlaps(x: list[str], y: list[str]) -> np.ndarray:
+        sets = [set(t.lower().split()) for t in (*x, *y)]
+        place = {w: i for i, w in enumerate(set().union(*sets))}
+        table = np.zeros((len(sets), max(1, len(place))), np.float32)
+        for row, words in enumerate(sets):
+            table[row, [place[w] for w in words]] = 1
+        left, right = table[: len(x)], table[len(x) :]
+        shared = left @ right.T
+        both = left.sum(1)[:, None] + right.sum(1)[None, :] - shared
+        return np.where(both > 0, shared / np.maximum(both, 1), 1.0).astype(np.float64)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                score = overlaps(list(row.a), list(row.b))
+                _, steps = kernels.global_alignment(score, gap)
+                yield pd.DataFrame(
+                    {
+                        "key": row.key,
+                        "ord": range(len(steps)),
+                        "i": pd.array([i if i >= 0 else None for i, _ in steps], "Int64"),
+                        "j": pd.array([j if j >= 0 else None for _, j in steps], "Int64"),
+                        "align_score": [float(score[i, j]) if i >= 0 and j >= 0 else 0.0 for i, j in steps],
+                    }
+                )
+
+    kind = pairs.schema[key].dataType.simpleString()
+    given = pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = given.mapInPandas(run, f"key {kind}, ord long, i long, j long, align_score double")
+    return _typed(rows.withColumnRenamed("key", key), match, partial)
+
+
+def _typed(rows: DataFrame, match: float, partial: float) -> DataFrame:
     s = F.col("align_score")
     paired = F.when(s >= match, "match").when(s >= partial, "partial").otherwise("replace")
-    typed = F.when(F.col("j").isNull(), "delete").when(F.col("i").isNull(), "insert").otherwise(paired)
-    return rows.withColumn("alignment_type", typed)
+    return rows.withColumn("alignment_type", F.when(F.col("j").isNull(), "delete").when(F.col("i").isNull(), "insert").otherwise(paired))
 
 
 def leftovers(chunks: DataFrame, mapped: DataFrame, key: list[str], kind: str) -> DataFrame:

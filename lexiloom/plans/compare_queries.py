@@ -8,7 +8,7 @@ from ..functions import kernels
 from ..functions import text as T
 from ..operators import align, chunking
 from .registry import query, read
-from .text_queries import D_SP, d_word_set, pairs
+from .text_queries import D_SP, d_word_set, pair_values, pairs
 
 D_LCS = """WITH RECURSIVE p AS ({pairs}), r AS (SELECT a, b, 0 AS j, list_transform(range(length(a) + 1), lambda x: 0::BIGINT) AS prev FROM p
   UNION ALL SELECT a, b, j + 1, list_reduce(list_transform(range(1, length(a) + 1), lambda i: {{'i': i, 'l': [0::BIGINT]}}),
@@ -133,15 +133,21 @@ def chunk_scores(spark, sf_dir):
     return a.join(b, "pair_id").select("pair_id", "i", "j", T.jaccard(F.col("x"), F.col("y")).alias("score"))
 
 
+def aligned(spark, sf_dir):
+    """The sentences of each document pair aligned with one another."""
+    cut = lambda c: F.filter(F.split(c, r"\. "), lambda x: x != "")
+    p = pair_values(spark, sf_dir, cut).filter("size(x) > 0 AND size(y) > 0").withColumn("pair_id", F.col("a_id") * 100000 + F.col("b_id"))
+    return align.align_texts(p.repartition("pair_id"), "pair_id", "x", "y")
+
+
 @query()
 def align_nw(spark, sf_dir):
-    return align.align(chunk_scores(spark, sf_dir), "pair_id").withColumn("align_score", F.round("align_score", 6))
+    return aligned(spark, sf_dir).withColumn("align_score", F.round("align_score", 6))
 
 
 @query()
 def align_stats(spark, sf_dir):
-    rows = align.align(chunk_scores(spark, sf_dir), "pair_id")
-    return rows.groupBy("alignment_type").agg(F.count("*").alias("n"), F.count_distinct("pair_id").alias("n_pairs"))
+    return aligned(spark, sf_dir).groupBy("alignment_type").agg(F.count("*").alias("n"), F.count_distinct("pair_id").alias("n_pairs"))
 
 
 @query(

@@ -35,11 +35,8 @@ def sql(name: str, spark_sql: str, oracle: str | None = None, *tables: str) -> N
     """Registers a query in SQL over the named tables; the oracle defaults to the same text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {t: read(spark, sf_dir, t) for t in tables}
-        text = spark_sql
-        for t in frames:  # views of this query alone: names in braces are frames
-            text = text.replace("{" + t + "}", "{" + t + "}")
-        return spark.sql(text, **frames)
+        # Names in braces are frames of this query alone.
+        return spark.sql(spark_sql, **{t: read(spark, sf_dir, t) for t in tables})
 
     QUERIES[name] = run
     plain = oracle if oracle is not None else spark_sql

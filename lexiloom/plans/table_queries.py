@@ -291,8 +291,8 @@ def diff_summary(spark, sf_dir):
 
 
 @query(
-    f"""SELECT 'section' AS kind, pair_id, section AS ord, concat('Section ', section::VARCHAR) AS label, printf('%.2f', similarity) AS shown FROM (SELECT pair_id, section, round({D_SIM}, 6) AS similarity FROM {D_ALIGN} GROUP BY pair_id, section)
-    UNION ALL SELECT * FROM (SELECT 'paragraph', pair_id, ord, CASE WHEN length(title) > 12 THEN concat(left(title, 12), '...') ELSE title END, printf('%.2f', similarity * 100) FROM {D_BLOCKS} ORDER BY pair_id, ord LIMIT 100)"""
+    f"""SELECT 'section' AS kind, pair_id, section AS ord, concat('Section ', section::VARCHAR) AS label, printf('%.2f', round(similarity, 2)) AS shown FROM (SELECT pair_id, section, round({D_SIM}, 6) AS similarity FROM {D_ALIGN} GROUP BY pair_id, section)
+    UNION ALL SELECT * FROM (SELECT 'paragraph', pair_id, ord, CASE WHEN length(title) > 12 THEN concat(left(title, 12), '...') ELSE title END, printf('%.2f', round(similarity * 100, 2)) FROM {D_BLOCKS} ORDER BY pair_id, ord LIMIT 100)"""
 )
 def report_csv_rows(spark, sf_dir):
     """The rows of the CSV report: every section, then the first hundred paragraphs (the feature)."""

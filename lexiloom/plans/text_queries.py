@@ -257,6 +257,14 @@ def pairs(spark, sf_dir):
     return spark.sql(PAIRS, documents=read(spark, sf_dir, "documents"))
 
 
+def pair_values(spark, sf_dir, value) -> DataFrame:
+    """The same pairs with a value of each text (x and y), computed once for each document."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"), value(F.col("text")).alias("v"))
+    a = d.filter("doc_id % 25 = 0").select("lang", F.col("doc_id").alias("a_id"), F.col("n").alias("n_a"), F.col("v").alias("x"))
+    b = d.select("lang", F.col("doc_id").alias("b_id"), F.col("n").alias("n_b"), F.col("v").alias("y"))
+    return a.join(b, "lang").filter("a_id < b_id AND abs(n_a - n_b) * 20 <= n_a").select("a_id", "b_id", "x", "y")
+
+
 D_PAIRS = PAIRS.replace("{documents}", "documents")
 
 
@@ -265,8 +273,8 @@ D_PAIRS = PAIRS.replace("{documents}", "documents")
     (SELECT a_id, b_id, {d_word_set('a_text')} AS a, {d_word_set('b_text')} AS b FROM ({D_PAIRS})))"""
 )
 def jaccard_words(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return p.select("a_id", "b_id", F.round(T.jaccard(T.word_set(F.col("a_text")), T.word_set(F.col("b_text"))), 6).alias("score"))
+    p = pair_values(spark, sf_dir, T.word_set)
+    return p.select("a_id", "b_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 @query(
@@ -274,8 +282,8 @@ def jaccard_words(spark, sf_dir):
     (SELECT a_id, b_id, {d_char_set('a_text')} AS a, {d_char_set('b_text')} AS b FROM ({D_PAIRS})))"""
 )
 def jaccard_chars(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return p.select("a_id", "b_id", F.round(T.jaccard(T.char_set(F.col("a_text")), T.char_set(F.col("b_text"))), 6).alias("score"))
+    p = pair_values(spark, sf_dir, T.char_set)
+    return p.select("a_id", "b_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 @query(
@@ -283,8 +291,8 @@ def jaccard_chars(spark, sf_dir):
     (SELECT a_id, b_id, {d_word_set('a_text')} AS a, {d_word_set('b_text')} AS b FROM ({D_PAIRS}))"""
 )
 def overlap_coef(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return p.select("a_id", "b_id", F.round(T.overlap(T.word_set(F.col("a_text")), T.word_set(F.col("b_text"))), 6).alias("score"))
+    p = pair_values(spark, sf_dir, T.word_set)
+    return p.select("a_id", "b_id", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 def _d_count(x: str, sign: str) -> str:
@@ -308,8 +316,8 @@ def text_features16(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576)
-    ELSE printf('%.2f GB', n / 1073741824) END AS shown FROM (SELECT doc_id, n_chars * (1 + doc_id % 7 * 997) AS n FROM documents)"""
+    """SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', round(n / 1024, 2)) WHEN n < 1073741824 THEN printf('%.2f MB', round(n / 1048576, 2))
+    ELSE printf('%.2f GB', round(n / 1073741824, 2)) END AS shown FROM (SELECT doc_id, n_chars * (1 + doc_id % 7 * 997) AS n FROM documents)"""
 )
 def format_bytes(spark, sf_dir):
     n = F.col("n_chars") * (1 + F.col("doc_id") % 7 * 997)

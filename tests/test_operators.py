@@ -100,3 +100,14 @@ def test_stream_and_table_agree(spark, sf_dir, tmp_path):
     want = {(r["start"], r["event_type"]): r["n"] for r in windowed_counts(table).collect()}
     found = {(r["start"], r["event_type"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found and all(want[k] == n for k, n in found.items())
+
+
+def test_both_ways_to_align_agree(spark):
+    kind = "pair_id long, x array<string>, y array<string>"
+    pairs = spark.createDataFrame([(1, ["a b", "c d", "e"], ["c d", "e f g", "h"]), (2, ["only one"], ["another"])], kind)
+    x = pairs.select("pair_id", F.posexplode("x").alias("i", "s"))
+    y = pairs.select("pair_id", F.posexplode("y").alias("j", "t"))
+    scores = x.join(y, "pair_id").select("pair_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), T.jaccard(T.word_set(F.col("s")), T.word_set(F.col("t"))).alias("score"))
+    one = align.align(scores, "pair_id").orderBy("pair_id", "ord").collect()
+    two = align.align_texts(pairs, "pair_id", "x", "y").orderBy("pair_id", "ord").collect()
+    assert [(r["i"], r["j"], r["alignment_type"]) for r in one] == [(r["i"], r["j"], r["alignment_type"]) for r in two]
