@@ -328,3 +328,17 @@ both(
 )
 ORACLES["bookmarks_diff"] = ORACLES["bookmarks_diff"].replace("0.5D", "0.5::DOUBLE").replace("0.9D", "0.9::DOUBLE").replace("0.25D", "0.25::DOUBLE")
 __all__ = ["T"]
+
+both(
+    "bookmarks_from_sections",
+    f"SELECT doc, ord, concat(CAST(level AS STRING), '. ', title) AS title, level, page FROM {HS} WHERE trim(title) <> '' AND page >= 1",
+)
+both(
+    "section_carry",
+    f"""SELECT doc, page, line_no, max(chapter_at) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM
+    (SELECT *, CASE WHEN regexp_like(line, r'^\\d+[.]\\s') THEN page * 100 + line_no END AS chapter_at FROM {L})""".replace("\\\\", "\\"),
+)
+both(
+    "toc_from_sections",
+    f"""SELECT chapter, min(page) AS page, count(*) AS n FROM (SELECT CAST(regexp_extract(line, r'^(\\d+)', 1) AS INT) AS chapter, page FROM {L} WHERE regexp_like(line, r'^\\d+[-.]\\d+')) GROUP BY chapter""".replace("\\\\", "\\"),
+)

@@ -327,3 +327,20 @@ def format_bytes(spark, sf_dir):
 @query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_md5 FROM documents""")
 def html_escape(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.escape_html(F.col("text"))).alias("escaped_md5"))
+
+
+@query("SELECT doc_id, 3 AS dim, round(length(text)::DOUBLE, 3) AS v0, round((length(text) % 7)::DOUBLE, 3) AS v1 FROM documents")
+def embed_model(spark, sf_dir):
+    """Vectors from a model (here a stand-in), each distinct text encoded once."""
+    from ..operators.embedding import embed
+
+    v = embed(docs(spark, sf_dir), make_model=lambda: lambda texts: [(len(t), len(t) % 7, 1) for t in texts])
+    return v.select("doc_id", F.size("vector").alias("dim"), F.round(F.col("vector")[0].cast("double"), 3).alias("v0"), F.round(F.col("vector")[1].cast("double"), 3).alias("v1"))
+
+
+@query("SELECT doc_id, 16 AS dim, length(text)::DOUBLE AS v0 FROM documents")
+def embed_fallback(spark, sf_dir):
+    """Plain features where there is no model."""
+    from ..operators.embedding import embed
+
+    return embed(docs(spark, sf_dir)).select("doc_id", F.size("vector").alias("dim"), F.col("vector")[0].cast("double").alias("v0"))
