@@ -8,7 +8,7 @@ from ..functions import kernels
 from ..functions import text as T
 from ..operators import align, chunking
 from .registry import query, read
-from .text_queries import D_SP, d_word_set, pair_values, pairs
+from .text_queries import D_SP, d_word_set, pair_key, pair_values, pairs
 
 D_LCS = """WITH RECURSIVE p AS ({pairs}), r AS (SELECT a, b, 0 AS j, list_transform(range(length(a) + 1), lambda x: 0::BIGINT) AS prev FROM p
   UNION ALL SELECT a, b, j + 1, list_reduce(list_transform(range(1, length(a) + 1), lambda i: {{'i': i, 'l': [0::BIGINT]}}),
@@ -126,7 +126,7 @@ def section_full_map(spark, sf_dir):
 
 def chunk_scores(spark, sf_dir):
     """Word overlap of the sentences of the documents of each pair, within the pair."""
-    p = pairs(spark, sf_dir).filter("length(a_text) < 4000").withColumn("pair_id", F.col("a_id") * 100000 + F.col("b_id"))
+    p = pairs(spark, sf_dir).filter("length(a_text) < 4000").withColumn("pair_id", pair_key(F.col("a_id"), F.col("b_id")))
     cut = lambda c: F.filter(F.split(c, r"\. "), lambda x: x != "")
     a = p.select("pair_id", F.posexplode(cut(F.col("a_text"))).alias("i", "x")).select("pair_id", F.col("i").cast("long").alias("i"), T.word_set(F.col("x")).alias("x"))
     b = p.select("pair_id", F.posexplode(cut(F.col("b_text"))).alias("j", "y")).select("pair_id", F.col("j").cast("long").alias("j"), T.word_set(F.col("y")).alias("y"))
@@ -136,7 +136,7 @@ def chunk_scores(spark, sf_dir):
 def aligned(spark, sf_dir):
     """The sentences of each document pair aligned with one another."""
     cut = lambda c: F.filter(F.split(c, r"\. "), lambda x: x != "")
-    p = pair_values(spark, sf_dir, cut).filter("size(x) > 0 AND size(y) > 0").withColumn("pair_id", F.col("a_id") * 100000 + F.col("b_id"))
+    p = pair_values(spark, sf_dir, cut).filter("size(x) > 0 AND size(y) > 0").withColumn("pair_id", pair_key(F.col("a_id"), F.col("b_id")))
     return align.align_texts(p.repartition("pair_id"), "pair_id", "x", "y")
 
 

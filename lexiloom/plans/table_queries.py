@@ -121,13 +121,15 @@ D_ALIGN = "(" + ALIGN_FROM.replace("{P}", _D_PAIRS).replace("{S}", _D_S) + ")"
 
 
 def alignments(spark, sf_dir):
-    from .text_queries import pairs
+    from .text_queries import pair_key, pair_values
 
     d = read(spark, sf_dir, "documents")
     s = d.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("n", "x")).select(
         "doc_id", F.col("n").cast("long").alias("n"), F.length("x").cast("double").alias("len")
     )
-    return spark.sql(ALIGN_FROM.replace("{P}", "{p}").replace("{S}", "{s}"), p=pairs(spark, sf_dir).select("a_id", "b_id"), s=s)
+    p = pair_values(spark, sf_dir, F.length).select("a_id", "b_id", pair_key(F.col("a_id"), F.col("b_id")).alias("pair_id"))
+    keyed = ALIGN_FROM.replace("p.a_id * 100000 + p.b_id AS pair_id", "p.pair_id")
+    return spark.sql(keyed.replace("{P}", "{p}").replace("{S}", "{s}"), p=p, s=s)
 
 
 D_SCORE = "(CASE alignment_type WHEN 'match' THEN 1.0 WHEN 'partial' THEN coalesce(score, 0.7) WHEN 'replace' THEN coalesce(score, 0.3) ELSE 0.0 END)::DOUBLE"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -252,17 +254,27 @@ PAIRS = """SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.text AS a_text, b.text A
  AND abs(length(a.text) - length(b.text)) * 20 <= length(a.text) WHERE a.doc_id < b.doc_id AND a.doc_id % 25 = 0"""
 
 
+def pair_values(spark, sf_dir, value) -> DataFrame:
+    """All document pairs (a_id < b_id) of one language and about one length, with a value of each
+    text (x and y), computed once for each document. Lengths within 5 % lie in the same step of 6 %
+    or in neighbouring ones, so only documents of these meet."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"), value(F.col("text")).alias("v"))
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1.06))
+    near = F.explode(F.array(step - 1, step, step + 1)).alias("step")
+    a = d.select("lang", near, F.col("doc_id").alias("a_id"), F.col("n").alias("n_a"), F.col("v").alias("x"))
+    b = d.select("lang", step.alias("step"), F.col("doc_id").alias("b_id"), F.col("n").alias("n_b"), F.col("v").alias("y"))
+    return a.join(b, ["lang", "step"]).filter("a_id < b_id AND abs(n_a - n_b) * 20 <= n_a").select("a_id", "b_id", "x", "y")
+
+
 def pairs(spark, sf_dir):
-    """Document pairs of one language and about one length; the A side is a stated set of documents."""
-    return spark.sql(PAIRS, documents=read(spark, sf_dir, "documents"))
+    """The same pairs with their texts."""
+    return pair_values(spark, sf_dir, lambda text: text).withColumnsRenamed({"x": "a_text", "y": "b_text"})
 
 
-def pair_values(spark, sf_dir, value) -> DataFrame:
-    """The same pairs with a value of each text (x and y), computed once for each document."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"), value(F.col("text")).alias("v"))
-    a = d.filter("doc_id % 25 = 0").select("lang", F.col("doc_id").alias("a_id"), F.col("n").alias("n_a"), F.col("v").alias("x"))
-    b = d.select("lang", F.col("doc_id").alias("b_id"), F.col("n").alias("n_b"), F.col("v").alias("y"))
-    return a.join(b, "lang").filter("a_id < b_id AND abs(n_a - n_b) * 20 <= n_a").select("a_id", "b_id", "x", "y")
+def pair_key(a: Column, b: Column) -> Column:
+    """One number for the ids a < b: a * 100000 + b as in the oracles while that is unique, and beyond
+    all of these the pair's place in the triangle of all pairs."""
+    return F.when(b < 100000, a * 100000 + b).otherwise(F.lit(10**10) + F.shiftright(b * (b - 1), 1) + a)
 
 
 D_PAIRS = PAIRS.replace("{documents}", "documents")
