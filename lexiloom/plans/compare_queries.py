@@ -74,10 +74,16 @@ VEC_SCORES = """SELECT a.label AS label, a.vec_id AS i, b.vec_id AS j, round(lis
  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 1"""
 
 
+def vector_sides(spark, sf_dir):
+    """All vectors as two sides: even ids and odd ids."""
+    e = read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    return e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 <> 0")
+
+
 def vector_scores(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
-    b = e.filter("vec_id % 10 = 1").select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
+    a, b = vector_sides(spark, sf_dir)
+    a = a.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+    b = b.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
     return a.join(b, "label").select("label", "i", "j", F.round(T.cosine(F.col("x"), F.col("y")), 4).alias("score"))
 
 
@@ -115,9 +121,7 @@ def section_full_map(spark, sf_dir):
     one = F.row_number().over(Window.partitionBy("label", "i").orderBy(F.desc("score"), "j"))
     two = F.row_number().over(Window.partitionBy("label", "j").orderBy(F.desc("score"), "i"))
     best = s.withColumns({"one": one, "two": two}).filter("one = 1 AND two = 1").drop("one", "two")
-    e = read(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("ord"))
-    b = e.filter("vec_id % 10 = 1").select("label", F.col("vec_id").alias("ord"))
+    a, b = (side.select("label", F.col("vec_id").alias("ord")) for side in vector_sides(spark, sf_dir))
     return align.full_map(a, b, best, "label", 0.4, 0.2)
 
 

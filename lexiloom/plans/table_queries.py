@@ -60,10 +60,12 @@ sql("dash_range", "SELECT CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0"""
 )
 def cosine_pairs(spark, sf_dir):
+    """The stated set of vectors (ids divisible by 20) with all others."""
     e = read(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 20 = 0").select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"))
-    b = e.select("label", F.col("vec_id").alias("b_id"), F.col("embedding").alias("y"))
-    return a.join(b, "label").filter("a_id < b_id").select("a_id", "b_id", F.round(T.cosine(F.col("x"), F.col("y")), 5).alias("score"))
+    a = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"))
+    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("y"))
+    # Every pair is wanted, so there is no key: a task takes a block of either side.
+    return a.crossJoin(b).filter("a_id <> b_id").select("a_id", "b_id", F.round(T.cosine(F.col("x"), F.col("y")), 5).alias("score"))
 
 
 @query(
@@ -72,15 +74,11 @@ def cosine_pairs(spark, sf_dir):
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rn <= 5"""
 )
 def cosine_topk(spark, sf_dir):
-    """The five nearest of the same label for a stated set of vectors."""
+    """The five nearest of all others for a stated set of vectors."""
     from pyspark.sql import Window
 
-    e = read(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 20 = 0").select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"))
-    b = e.select("label", F.col("vec_id").alias("b_id"), F.col("embedding").alias("y"))
-    scored = a.join(b, "label").filter("a_id <> b_id").select("a_id", "b_id", F.round(T.cosine(F.col("x"), F.col("y")), 5).alias("score"))
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
-    return scored.withColumn("rn", rank).filter("rn <= 5").drop("rn")
+    return cosine_pairs(spark, sf_dir).withColumn("rn", rank).filter("rn <= 5").drop("rn")
 
 
 sql(

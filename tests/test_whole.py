@@ -1,6 +1,7 @@
 """Queries against the whole of what they stand for, where the SQL beside them keeps a part."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,42 @@ def test_every_pair_has_its_own_key(spark):
     key = text_queries.pair_key(F.col("a"), F.col("b"))
     keys = [r["k"] for r in spark.createDataFrame(ids, "a long, b long").select(key.alias("k")).collect()]
     assert len(set(keys)) == len(ids) and keys[1] == 200005
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, sf_dir):
+    return {r["vec_id"]: (r["label"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+
+
+def test_vector_search_against_all_rows(spark, sf_dir, vectors):
+    unit = {k: v / np.linalg.norm(v) for k, (_, v) in vectors.items()}
+    want = {(a, b): unit[a] @ unit[b] for a in unit if a % 20 == 0 for b in unit if a != b}
+    found = {(r["a_id"], r["b_id"]): r["score"] for r in registry.QUERIES["cosine_pairs"](spark, sf_dir).collect()}
+    assert found == pytest.approx(want, abs=1e-5)
+    near = {}
+    for r in registry.QUERIES["cosine_topk"](spark, sf_dir).collect():
+        near.setdefault(r["a_id"], []).append((-r["score"], r["b_id"]))
+    assert {a: sorted(x) for a, x in near.items()} == {a: sorted((-found[a, b], b) for b in unit if b != a)[:5] for a in unit if a % 20 == 0}
+
+
+@pytest.mark.parametrize("name", ["assign_greedy", "section_full_map"])
+def test_all_vectors_are_assigned(spark, sf_dir, name):
+    sql = registry.ORACLES[name]
+    for side in "01":
+        for v in ("a.vec_id", "b.vec_id", "vec_id"):
+            sql = sql.replace(f"{v} % 10 = {side}", f"{v} % 2 = {side}")
+    assert "% 10" not in sql
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    keys = "label, i, j, round(score, 4)"
+    want = {tuple(r) for r in c.execute(f"SELECT {keys} FROM ({sql})").fetchall()}
+    assert {(r["label"], r["i"], r["j"], round(r["score"], 4)) for r in registry.QUERIES[name](spark, sf_dir).collect()} == want
+
+
+def test_optimal_assignment_takes_all_vectors(spark, sf_dir):
+    rows = registry.QUERIES["assign_optimal"](spark, sf_dir).collect()
+    used = [r["i"] for r in rows] + [r["j"] for r in rows]
+    assert len(used) == len(set(used)) and all(r["i"] % 2 == 0 and r["j"] % 2 == 1 for r in rows)
+    assert {x % 10 for x in used} == set(range(10))
+    greedy = registry.QUERIES["assign_greedy"](spark, sf_dir).collect()
+    assert sum(r["score"] for r in rows) >= sum(r["score"] for r in greedy)
