@@ -180,12 +180,36 @@ def chunks_by_mapping(spark, sf_dir):
 # Differences -----------------------------------------------------------------------------------
 
 
+SHINGLE, NEAR = 5, 0.5
+
+
 def near_pairs(spark, sf_dir):
-    """Document pairs to show differences of: a stated A side, same source and first line."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", "\n")[0].alias("line"), "text")
-    a = d.filter("doc_id % 10 = 0").select("lang", F.substring("line", 1, 12).alias("k"), F.col("doc_id").alias("a_id"), F.col("line").alias("a"))
-    b = d.select("lang", F.substring("line", 1, 12).alias("k"), F.col("doc_id").alias("b_id"), F.col("line").alias("b"))
-    return a.join(b, ["lang", "k"]).filter("a_id < b_id").select("a_id", "b_id", "a", "b")
+    """Document pairs to show differences of, with their whole texts: all whose sets of 5-word shingles
+    (a text of fewer words is one) have a Jaccard similarity of a half or more.
+
+    Two sets as alike as that share one of the first n - ceil(n / 2) + 1 shingles of either in any
+    one order, so only documents that do are compared; the order is rare ones first. Shingles of one
+    document alone come before all and need not be listed."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # Words are bound by a lambda: as a column they would be split anew for each shingle.
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+    hashes = lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
+    full = F.filter(F.array(T.words(F.col("text"))), lambda w: F.size(w) > 0)
+    own = d.select("doc_id", F.explode(F.transform(full, hashes)).alias("h"))
+    each = own.select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("of")).filter("of > 1")
+    sets = each.join(common, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("of", "h"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * NEAR) + 1 - (F.col("n") - F.size("s"))
+    prefix = F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    p = sets.select("doc_id", F.explode(F.transform(prefix, lambda x: x["h"])).alias("h"))
+    met = p.withColumnRenamed("doc_id", "a_id").join(p.withColumnRenamed("doc_id", "b_id"), "h").filter("a_id < b_id").select("a_id", "b_id").distinct()
+    side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("n").alias(f"n_{x}"), F.col("s.h").alias(f"h_{x}"))
+    shared = F.size(F.array_intersect("h_a", "h_b"))
+    alike = met.join(side("a"), "a_id").join(side("b"), "b_id").filter(shared >= NEAR * (F.col("n_a") + F.col("n_b") - shared)).select("a_id", "b_id")
+    text = lambda x: d.select(F.col("doc_id").alias(f"{x}_id"), F.col("text").alias(x))
+    # A few texts are many times as long as most: dealt out by number, which stays as it is.
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return alike.join(text("a"), "a_id").join(text("b"), "b_id").select("a_id", "b_id", "a", "b").repartition(slots, "a_id", "b_id")
 
 
 @query()

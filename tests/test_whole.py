@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import kernels
 from lexiloom.plans import registry, text_queries
 
 
@@ -74,3 +75,17 @@ def test_optimal_assignment_takes_all_vectors(spark, sf_dir):
     assert {x % 10 for x in used} == set(range(10))
     greedy = registry.QUERIES["assign_greedy"](spark, sf_dir).collect()
     assert sum(r["score"] for r in rows) >= sum(r["score"] for r in greedy)
+
+
+def test_whole_texts_of_all_near_copies_are_diffed(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    words = {k: v.split() for k, v in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items() if w}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    ops = {}
+    for r in registry.QUERIES["diff_opcodes"](spark, sf_dir).collect():
+        ops.setdefault((r["a_id"], r["b_id"]), []).append((r["ord"], r["i1"], r["i2"], r["j1"], r["j2"]))
+    assert set(ops) == want and any("\n" in texts[a] for a, _ in want)
+    for (a, b), x in ops.items():
+        _, _, i2, _, j2 = max(x)
+        assert (i2, j2) == (len(kernels.split_tokens(texts[a], "word")), len(kernels.split_tokens(texts[b], "word")))
