@@ -49,8 +49,8 @@ def partial_ratio(spark, sf_dir):
 
 
 def heading_sides(spark, sf_dir):
-    """Headings of pages of two hosts' halves as the sections of document pairs: pair by page_id / 2."""
-    h = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r"<(?:h1|p)>([^<]{5,120})"), 1).alias("t"))
+    """All headings of pages of two hosts' halves as the sections of document pairs: pair by page_id / 2."""
+    h = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>([^<]*)"), 1).alias("t"))
     s = h.select("page_id", F.posexplode("t").alias("ord", "title")).withColumn("pair_id", (F.col("page_id") / 2).cast("long"))
     a, b = s.filter("page_id % 2 = 0"), s.filter("page_id % 2 = 1")
     return a.select("pair_id", "ord", "title"), b.select("pair_id", "ord", "title")
