@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap as overlap_coefficient
-from ..functions.text import token_estimate, word_set
+from ..functions.text import sentences_terminal, token_estimate, word_set
 
 
-def pack(parts: Column, limit: int, overlap: int = 0, joiner: str = " ") -> Column:
+def pack(parts: Column, limit: int, overlap: int = 0, joiner: str = " ", split: Callable[[Column], Column] | None = None) -> Column:
     """Array of chunks from an array of parts, by one fold: a part that would take the chunk over
     `limit` estimated tokens starts a new one, which begins with the longest tail of the last chunk
-    of at most `overlap` tokens. A part over the limit is a chunk of its own."""
+    of at most `overlap` tokens. A part over the limit is a chunk of its own, or with `split` closes
+    the chunk before it and becomes the chunks that `split` makes of it."""
     text, zero = "array<string>", F.lit(0).cast("long")
     state = f"struct<cur:{text},n:bigint,done:{text}>"
     start = F.struct(F.array().cast(text).alias("cur"), zero.alias("n"), F.array().cast(text).alias("done")).cast(state)
@@ -35,7 +38,11 @@ def pack(parts: Column, limit: int, overlap: int = 0, joiner: str = " ") -> Colu
             F.concat(s["done"], F.array(F.array_join(s["cur"], joiner))).alias("done"),
         )
         same = F.struct(F.concat(s["cur"], F.array(x)).alias("cur"), (s["n"] + t).alias("n"), s["done"].alias("done"))
-        return F.when(over, fresh.cast(state)).otherwise(same.cast(state))
+        packed = F.when(over, fresh.cast(state)).otherwise(same.cast(state))
+        if split is None:
+            return packed
+        apart = F.struct(F.array().cast(text).alias("cur"), zero.alias("n"), F.concat(finish(s), split(x)).alias("done"))
+        return F.when(t > limit, apart.cast(state)).otherwise(packed)
 
     def finish(s: Column) -> Column:
         return F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(F.array_join(s["cur"], joiner)))).otherwise(s["done"])
@@ -47,6 +54,11 @@ def pack_sentences(sentences: Column, limit: int, overlap: int = 0) -> Column:
     return pack(sentences, limit, overlap, " ")
 
 
+def pack_paragraphs(paragraphs: Column, limit: int, overlap: int = 0, joiner: str = "\n") -> Column:
+    """Packing of paragraphs; one over the limit is split into sentences, and these are packed."""
+    return pack(paragraphs, limit, 0, joiner, lambda x: pack_sentences(sentences_terminal(x), limit, overlap))
+
+
 def distinct_chunks(chunks: DataFrame, by: list[str]) -> DataFrame:
     """The first of equal chunks, by place, in each group of `by`."""
     keep = chunks.groupBy(*by, "content_hash").agg(F.min("chunk_index").alias("chunk_index"))
@@ -81,4 +93,4 @@ def near_dedup(chunks: DataFrame, by: list[str], above: float = 0.9) -> DataFram
     return exact.join(order.select(*by, F.explode(kept).alias("chunk_index")), [*by, "chunk_index"], "left_semi")
 
 
-__all__ = ["pack", "pack_sentences", "distinct_chunks", "similar_chunk_pairs", "near_dedup", "overlap_coefficient"]
+__all__ = ["pack", "pack_sentences", "pack_paragraphs", "distinct_chunks", "similar_chunk_pairs", "near_dedup", "overlap_coefficient"]

@@ -243,9 +243,9 @@ def chunk_pack_overlap(spark, sf_dir):
       (SELECT doc_id, CASE WHEN len(cur) > 0 THEN list_append(done, array_to_string(cur, chr(10))) ELSE done END AS c FROM p WHERE i = len(s))"""
 )
 def chunk_paragraphs(spark, sf_dir):
-    """Packing of lines as paragraphs, none of them split."""
+    """Packing of lines as paragraphs; those over the limit are split into sentences."""
     parts = F.filter(F.transform(T.lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
-    return docs(spark, sf_dir).select("doc_id", chunking.pack(parts, LIMIT, 0, "\n").alias("c")).select(
+    return docs(spark, sf_dir).select("doc_id", chunking.pack_paragraphs(parts, LIMIT).alias("c")).select(
         "doc_id", F.size("c").cast("long").alias("n_chunks"), F.md5(F.array_join("c", "|")).alias("chunks_md5")
     )
 

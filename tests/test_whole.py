@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import kernels
+from lexiloom.operators import chunking
 from lexiloom.plans import registry, text_queries
 
 
@@ -101,3 +102,12 @@ def test_all_headings_are_titles(spark, tmp_path):
     assert rows(a, "pair_id", "ord", "title") == [(1, 0, "ab"), (1, 1, long), (1, 2, "third level"), (1, 3, "x")]
     assert rows(b, "pair_id", "ord", "title") == [(1, 0, "other side")]
     assert registry.QUERIES["title_similarity"](spark, str(tmp_path)).count() == 4
+
+
+def test_long_paragraphs_are_split(spark):
+    short, first, second = "x" * 40, "a" * 500, "b" * 450
+    long = f"{first}. {second}! tiny. {'c' * 40}."
+    parts = spark.createDataFrame([([short, long, short, short],), ([short, short],), ([long],)], "p array<string>")
+    found = [r["c"] for r in parts.select(chunking.pack_paragraphs(F.col("p"), 200).alias("c")).collect()]
+    split = [first, f"{second} {'c' * 40}"]
+    assert found == [[short, *split, f"{short}\n{short}"], [f"{short}\n{short}"], split]
