@@ -106,24 +106,21 @@ def align(scores: DataFrame, key: str, gap: float = -0.15, match: float = 0.92,
 
 
 def align_texts(pairs: DataFrame, key: str, a: str, b: str, gap: float = -0.15, match: float = 0.92, partial: float = 0.75) -> DataFrame:
-    """Global alignment of the chunks (arrays of strings a and b) of each row by their word overlap:
-    the same columns as align(). A pair's matrix never leaves its task, so nothing is shuffled."""
-
-    def overlaps(x: list[str], y: list[str]) -> np.ndarray:
-        sets = [set(t.lower().split()) for t in (*x, *y)]
-        place = {w: i for i, w in enumerate(set().union(*sets))}
-        table = np.zeros((len(sets), max(1, len(place))), np.float32)
-        for row, words in enumerate(sets):
-            table[row, [place[w] for w in words]] = 1
-        left, right = table[: len(x)], table[len(x) :]
-        shared = left @ right.T
-        both = left.sum(1)[:, None] + right.sum(1)[None, :] - shared
-        return np.where(both > 0, shared / np.maximum(both, 1), 1.0).astype(np.float64)
+    """Global alignment of the chunks (arrays of strings a and b) of each row by their text
+    score (six tenths word overlap, four tenths indel ratio): the same columns as align(). A pair's
+    matrix never leaves its task, so nothing is shuffled."""
+
+    def scores(x: list[str], y: list[str]) -> np.ndarray:
+        known: dict[tuple[str, str], float] = {}
+        for s in set(x):
+            for t in set(y):
+                known[s, t] = kernels.text_score(s, t)
+        return np.array([[known[s, t] for t in y] for s in x], np.float64).reshape(len(x), len(y))
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                score = overlaps(list(row.a), list(row.b))
+                score = scores(list(row.a), list(row.b))
                 _, steps = kernels.global_alignment(score, gap)
                 yield pd.DataFrame(
                     {

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import kernels
-from lexiloom.operators import chunking
+from lexiloom.operators import align, chunking
 from lexiloom.plans import registry, text_queries
 
 
@@ -111,3 +111,12 @@ def test_long_paragraphs_are_split(spark):
     found = [r["c"] for r in parts.select(chunking.pack_paragraphs(F.col("p"), 200).alias("c")).collect()]
     split = [first, f"{second} {'c' * 40}"]
     assert found == [[short, *split, f"{short}\n{short}"], [f"{short}\n{short}"], split]
+
+
+def test_alignment_scores_words_and_letters(spark):
+    pairs = spark.createDataFrame([(1, ["alpha beta gamma delta"], ["delta gamma beta alpha"]), (2, ["one two three four five sixth"], ["one two three four five sixty"])], "k long, x array<string>, y array<string>")
+    found = {r["k"]: (r["alignment_type"], r["align_score"]) for r in align.align_texts(pairs, "k", "x", "y").collect()}
+    for r in pairs.collect():
+        assert found[r["k"]][1] == pytest.approx(kernels.text_score(r["x"][0], r["y"][0]))
+    assert found[1][0] != "match" and found[1][1] < 0.92
+    assert found[2][0] == "partial"
