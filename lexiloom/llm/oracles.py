@@ -29,14 +29,14 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (whole + more::
   CASE WHEN whole + more::INTEGER > 0 AND target > 0 THEN round((1 + slope - sqrt((1 + slope) * (1 + slope) - 4 * slope * demand)) / (2 * slope), 9) END AS position FROM o
 """
 
-_RULES = ("symbols", "marked_words", "capitals", "dup_lines", "repeated", "prose")
+_N = range(1, 10)
 _POST = (
-    "0.8::DOUBLE * " + " * ".join(f"(CASE v[{i}] WHEN 1 THEN r[{i}] WHEN 0 THEN 1 - r[{i}] ELSE 1.0 END)" for i in range(1, 7)),
-    "0.2::DOUBLE * " + " * ".join(f"(CASE v[{i}] WHEN 0 THEN r[{i}] WHEN 1 THEN 1 - r[{i}] ELSE 1.0 END)" for i in range(1, 7)),
+    "share * " + " * ".join(f"(CASE v[{i}] WHEN 1 THEN r[{i}] WHEN 0 THEN 1 - r[{i}] ELSE 1.0 END)" for i in _N),
+    "(1 - share) * " + " * ".join(f"(CASE v[{i}] WHEN 0 THEN r[{i}] WHEN 1 THEN 1 - r[{i}] ELSE 1.0 END)" for i in _N),
 )
 _RIGHT = ", ".join(
-    f"greatest(0.5, least(0.99, (sum(CASE v[{i}] WHEN 1 THEN n * q WHEN 0 THEN n * (1 - q) ELSE 0 END) + 0.9) / (sum(CASE WHEN v[{i}] >= 0 THEN n ELSE 0 END) + 1)))::DOUBLE"
-    for i in range(1, 7)
+    f"greatest(0.5, least(0.99, (sum(CASE v[{i}] WHEN 1 THEN n * q WHEN 0 THEN n * (1 - q) ELSE 0 END) + 0.8) / (sum(CASE WHEN v[{i}] >= 0 THEN n ELSE 0 END) + 1)))::DOUBLE"
+    for i in _N
 )
 
 QUALITY_RULES = rf"""
@@ -46,14 +46,20 @@ WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
   g AS (SELECT doc_id, i, w[i:i + 4] AS five FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
   c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
   b AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS n_bare, len(list_filter(w, lambda x: right(x, 1) IN ('.', '!', '?'))) AS n_ends
     FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
-  v AS (SELECT *, [CASE WHEN 20 * n_symbols > word_chars THEN 0 ELSE -1 END, CASE WHEN 5 * n_symbols > n_words THEN 0 ELSE -1 END, CASE WHEN 10 * n_upper > 3 * word_chars THEN 0 ELSE -1 END,
-    CASE WHEN n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines THEN 0 ELSE -1 END, CASE WHEN 20 * n_repeat_words > 3 * n_words THEN 0 ELSE -1 END,
-    CASE WHEN n_words > 0 AND 10 * n_upper <= word_chars AND 50 * n_symbols <= word_chars AND 50 * n_repeat_words <= n_words THEN 1 ELSE -1 END] AS v FROM b),
+  v AS (SELECT *, [CASE WHEN 20 * n_symbols > word_chars THEN 0 WHEN n_words > 0 AND 100 * n_symbols <= word_chars THEN 1 ELSE -1 END,
+    CASE WHEN 5 * n_symbols > n_words THEN 0 WHEN n_words > 0 AND 50 * n_symbols <= n_words THEN 1 ELSE -1 END,
+    CASE WHEN word_chars > 7 * n_words OR word_chars < 3 * n_words THEN 0 WHEN n_words > 0 AND word_chars >= 4 * n_words AND word_chars <= 6 * n_words THEN 1 ELSE -1 END,
+    CASE WHEN 20 * n_bare > n_words THEN 0 WHEN n_words > 0 AND 100 * n_bare <= n_words THEN 1 ELSE -1 END,
+    CASE WHEN 50 * n_ends < n_words OR 5 * n_ends > 2 * n_words THEN 0 WHEN n_words > 0 AND 25 * n_ends >= n_words AND 4 * n_ends <= n_words THEN 1 ELSE -1 END,
+    CASE WHEN 10 * n_upper > word_chars THEN 0 ELSE -1 END, CASE WHEN 10 * n_dup_lines > n_lines THEN 0 ELSE -1 END,
+    CASE WHEN 20 * n_repeat_words > n_words THEN 0 ELSE -1 END, CASE WHEN n_words < 20 THEN 0 ELSE -1 END] AS v FROM b),
   p AS (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v),
-  e AS (SELECT 0 AS k, list_transform(range(6), lambda x: 0.9::DOUBLE) AS r UNION ALL
-    SELECT k + 1, [{_RIGHT}] FROM (SELECT k, v, n, good / (good + bad) AS q FROM (SELECT e.k, p.v, p.n, {_POST[0]} AS good, {_POST[1]} AS bad FROM e, p WHERE e.k < 40)) GROUP BY k)
+  e AS (SELECT 0 AS k, list_transform(range(9), lambda x: 0.8::DOUBLE) AS r, 0.5::DOUBLE AS share UNION ALL
+    SELECT k + 1, [{_RIGHT}], greatest(0.05, least(0.95, (sum(n * q) + 1.0) / (sum(n) + 2)))::DOUBLE FROM
+    (SELECT k, v, n, good / (good + bad) AS q FROM (SELECT e.k, p.v, p.n, {_POST[0]} AS good, {_POST[1]} AS bad FROM e, p WHERE e.k < 40)) GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(q, 9) AS p_good, NOT base_failed AND q >= 0.5 AS kept FROM
   (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, good / (good + bad) AS q FROM (SELECT v.*, {_POST[0]} AS good, {_POST[1]} AS bad FROM v, e WHERE e.k = 40))
 """

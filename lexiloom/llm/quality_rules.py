@@ -1,11 +1,11 @@
 """Quality rules combined by weak supervision.
 
-Each rule looks at one document and votes 1 (good), 0 (bad) or abstains. Documents are counted by
-their pattern of votes, a table of at most 3^rules rows whatever the number of documents, and
-expectation-maximisation on that table estimates each rule's accuracy. The share of good documents
-is given, not estimated: rules for different kinds of junk seldom vote together, and with a free
-share the estimate can explain the smaller kinds away as good documents. A document's verdict is
-its posterior probability of being good.
+Each rule looks at one document and votes 1 (good), 0 (bad) or abstains. Rules overlap and may
+contradict one another: those on symbols, marked words, word length, bare signs and sentence ends
+vote both ways, so one bad vote can be outvoted and several good votes can be too. Documents are
+counted by their pattern of votes, a table of at most 3^rules rows whatever the number of
+documents, and expectation-maximisation on that table estimates each rule's accuracy and the share
+of good documents. A document's verdict is its posterior probability of being good.
 
 Everything is DataFrame expressions: votes and counts are columns, and the whole estimation is one
 fold over a row that holds the pattern table.
@@ -22,11 +22,15 @@ from .graph import written
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
+#: A word without letter or digit, and the sign that ends a sentence at the end of a word.
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
+ENDS = r"[.!?](?![^\x20\x09-\x0D])"
 
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the counts that rules look at: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, n_upper. A null text counts as empty."""
+    n_repeat_words, n_upper, n_bare (words without letter or digit), n_ends (words that end a
+    sentence). A null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = df.withColumns(
@@ -34,6 +38,8 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             "_words": F.filter(F.split(text, SPACE), lambda x: x != ""),
             "_lines": lines,
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+            "n_bare": F.regexp_count(text, F.lit(BARE)).cast("long"),
+            "n_ends": F.regexp_count(text, F.lit(ENDS)).cast("long"),
             "n_upper": F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long"),
         }
     )
@@ -83,51 +89,56 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Votes by rule: 1 good, 0 bad, null abstains. Integer arithmetic only. A rule that looks for
-    one kind of junk says nothing of documents without it, which may hold another kind."""
+    """Votes by rule: 1 good, 0 bad, null abstains. Integer arithmetic only. Rules that look for one
+    kind of junk say nothing of documents without it, which may hold another kind."""
     c = F.col
-    some = c("n_words") > 0
-    prose = (
-        some
-        & (10 * c("n_upper") <= c("word_chars"))
-        & (50 * c("n_symbols") <= c("word_chars"))
-        & (50 * c("n_repeat_words") <= c("n_words"))
-    )
+    words, some = c("n_words"), c("n_words") > 0
+
+    def votes(bad: Column, good: Column | None = None) -> Column:
+        told = F.when(bad, 0)
+        return told if good is None else told.when(some & good, 1)
+
+    chars = c("word_chars")
     return {
-        "symbols": F.when(20 * c("n_symbols") > c("word_chars"), 0),
-        "marked_words": F.when(5 * c("n_symbols") > c("n_words"), 0),
-        "capitals": F.when(10 * c("n_upper") > 3 * c("word_chars"), 0),
-        "dup_lines": F.when((c("n_dup_lines") > 1) & (10 * c("n_dup_lines") > 3 * c("n_lines")), 0),
-        "repeated": F.when(20 * c("n_repeat_words") > 3 * c("n_words"), 0),
-        "prose": F.when(prose, 1),
+        "symbols": votes(20 * c("n_symbols") > chars, 100 * c("n_symbols") <= chars),
+        "marked_words": votes(5 * c("n_symbols") > words, 50 * c("n_symbols") <= words),
+        "word_length": votes((chars > 7 * words) | (chars < 3 * words), (chars >= 4 * words) & (chars <= 6 * words)),
+        "bare_signs": votes(20 * c("n_bare") > words, 100 * c("n_bare") <= words),
+        "sentences": votes((50 * c("n_ends") < words) | (5 * c("n_ends") > 2 * words), (25 * c("n_ends") >= words) & (4 * c("n_ends") <= words)),
+        "capitals": votes(10 * c("n_upper") > chars),
+        "dup_lines": votes((10 * c("n_dup_lines") > c("n_lines"))),
+        "repeated": votes(20 * c("n_repeat_words") > words),
+        "short": votes(words < 20),
     }
 
 
-def estimate(votes: DataFrame, names: list[str], rounds: int = 40, share: float = 0.8, accuracy: float = 0.9) -> DataFrame:
-    """One row: share (of good documents, as given) and right (array: each rule's probability to be right
-    when it votes).
+def estimate(votes: DataFrame, names: list[str], rounds: int = 40, share: float = 0.5, accuracy: float = 0.8) -> DataFrame:
+    """One row: share (of good documents) and right (array: each rule's probability to be right when
+    it votes).
 
-    Expectation-maximisation over the counts of vote patterns, from `accuracy` as first guess
-    and with one document's worth of it as a prior, so that a rule that never votes keeps the
-    first guess. Accuracies stay between 0.5 and 0.99: a rule is never turned round. Patterns
-    are taken in a fixed order, so reruns agree. Without documents the first
-    guess comes back."""
+    Expectation-maximisation over the counts of vote patterns, from `share` and `accuracy` as first
+    guesses and with one document's worth of the latter (two of the former) as a prior, so that a
+    rule that never votes keeps the first guess. Accuracies stay between 0.5 and 0.99 (a rule is
+    never turned round), the share between 0.05 and 0.95. Patterns are taken in a fixed order, so
+    reruns agree. Without documents the first guesses come back."""
     vector = F.array(*[F.coalesce(F.col(n), F.lit(-1)) for n in names])
     patterns = votes.select(vector.alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
     m = len(names)
     state = "struct<share:double,right:array<double>>"
     start = F.struct(F.lit(share).alias("share"), F.array_repeat(F.lit(accuracy), m).alias("right")).cast(state)
-    sums = "struct<voted:array<double>,right:array<double>>"
+    sums = "struct<n:double,good:double,voted:array<double>,right:array<double>>"
 
     def step(s: Column, _: Column) -> Column:
         zero = F.array_repeat(F.lit(0.0), m)
-        empty = F.struct(zero.alias("voted"), zero.alias("right")).cast(sums)
+        empty = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("good"), zero.alias("voted"), zero.alias("right")).cast(sums)
 
         def add(t: Column, x: Column) -> Column:
             p, n, v = x["q"], x["n"], x["v"]
             right = [F.when(v[k] == 1, n * p).when(v[k] == 0, n * (1 - p)).otherwise(F.lit(0.0)) for k in range(m)]
             return F.struct(
+                (t["n"] + n).alias("n"),
+                (t["good"] + n * p).alias("good"),
                 F.array(*[t["voted"][k] + F.when(v[k] >= 0, n).otherwise(F.lit(0.0)) for k in range(m)]).alias("voted"),
                 F.array(*[t["right"][k] + right[k] for k in range(m)]).alias("right"),
             ).cast(sums)
@@ -139,7 +150,8 @@ def estimate(votes: DataFrame, names: list[str], rounds: int = 40, share: float
         def finish(t: Column) -> Column:
             each = F.arrays_zip(t["right"].alias("r"), t["voted"].alias("v"))
             right = F.transform(each, lambda x: F.greatest(F.lit(0.5), F.least(F.lit(0.99), (x["r"] + accuracy) / (x["v"] + 1))))
-            return F.struct(F.lit(share).alias("share"), right.alias("right")).cast(state)
+            part = F.greatest(F.lit(0.05), F.least(F.lit(0.95), (t["good"] + 2 * share) / (t["n"] + 2)))
+            return F.struct(part.alias("share"), right.alias("right")).cast(state)
 
         return F.transform(F.array(F.aggregate(F.transform("p", weighted), empty, add)), finish)[0]
 
@@ -175,7 +187,7 @@ def judged(
     here are not touched, as only id and text are read. Texts are used whole, of any length."""
     held = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if carry else F.lit(0)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held.alias("_row"))
-    counted = with_counts(rows, "_text").withColumn("n_words", F.col("n_words"))
+    counted = with_counts(rows, "_text")
     names = list(rules())
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     counted = counted.select("_id", "_row", *base, *[c.alias(n) for n, c in rules().items()])
