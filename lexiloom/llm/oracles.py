@@ -11,7 +11,7 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.
 
 MIXING = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS h FROM documents),
+    md5(concat(coalesce(doc_id::VARCHAR, '-'), '|', md5(coalesce(text, '')))) AS h FROM documents),
   s AS (SELECT source, sum(size)::DOUBLE AS size FROM d GROUP BY source),
   w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
   g AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1]::DOUBLE AS weight FROM w),
@@ -24,9 +24,12 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
   p AS (SELECT d.doc_id, d.size, u.*, target - whole * source_size AS extra, coalesce(sum(d.size) OVER (PARTITION BY rank ORDER BY (d.size * 200 <= target)::INTEGER, h, doc_id, d.size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
   q AS (SELECT *, before + size / 2.0::DOUBLE < extra AS more FROM p),
-  o AS (SELECT *, least(1.0, greatest(0.0, (CASE WHEN more THEN before ELSE extra + before END + size / 2.0::DOUBLE) / target))::DOUBLE AS demand, CASE WHEN rank % 2 = 1 THEN 0.5 ELSE -0.5 END::DOUBLE AS slope FROM q)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (whole + more::INTEGER)::INTEGER AS copies, (size * (whole + more::INTEGER))::BIGINT AS taken,
-  CASE WHEN whole + more::INTEGER > 0 AND target > 0 THEN round((1 + slope - sqrt((1 + slope) * (1 + slope) - 4 * slope * demand)) / (2 * slope), 9) END AS position FROM o
+  o AS (SELECT *, whole + more::INTEGER AS copies, CASE WHEN rank % 2 = 1 THEN 0.5 ELSE -0.5 END::DOUBLE AS slope,
+    CASE WHEN target > 0 THEN list_transform(range(0, (whole + more::INTEGER)::BIGINT), lambda c: least(1.0, greatest(0.0,
+      (CASE WHEN more AND c = 0 THEN before ELSE extra + (c - more::INTEGER) * source_size + before END + size / 2.0::DOUBLE) / target))::DOUBLE) ELSE [] END AS demands FROM q),
+  z AS (SELECT *, list_transform(demands, lambda d: (1 + slope - sqrt((1 + slope) * (1 + slope) - 4 * slope * d)) / (2 * slope)) AS positions FROM o)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, copies::INTEGER AS copies, (size * copies)::BIGINT AS taken, round(positions[1], 9) AS position,
+  array_to_string(list_transform(positions, lambda x: round(x * 1000000000)::BIGINT), ' ') AS positions FROM z
 """
 
 _N = range(1, 10)

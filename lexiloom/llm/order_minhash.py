@@ -5,15 +5,17 @@ the number of its occurrence, so that a text becomes a set. A sketch takes the `
 shingles that a random order puts first and keeps them in the order in which they stand in the
 text; two texts agree on a sketch only if they share these shingles in the same order, so agreement
 follows edit similarity, not only overlap. Texts that agree on a sketch are candidates, and
-candidates are verified: the edit distance of the two shingle sequences, computed in a band just
-wide enough for the threshold, over the longer length. Similarity is one minus that.
-
-Equal texts are put together first and compared once. Within the texts that agree on a sketch,
-each is aligned with the one of smallest id; texts in small groups are all aligned with one
-another. Where a large group still holds texts of different classes after that (unrelated texts
-that share a common passage, mostly), those of different classes are compared, in blocks, by the
-number of labelled shingles that they share, which bounds their similarity, and aligned if that
-is enough.
+candidates are verified: the edit distance of the two texts as sequences of words, computed in a
+band just wide enough for the threshold, over the longer length. Similarity is one minus that. Short
+texts, in which one changed word takes a large part of the shingles along, get further sketches of
+fewer shingles.
+
+Equal texts are put together first and compared once, under a 64-bit hash of their content. Within
+the texts that agree on a sketch, each is aligned with one of them; texts in small groups are all
+aligned with one another. Where a large group still holds texts of different classes after that
+(unrelated texts that share a common passage, mostly), those of different classes are compared, in
+blocks, by the number of labelled words that they share, which bounds their similarity, and aligned
+if that is enough.
 """
 
 from __future__ import annotations
@@ -35,8 +37,6 @@ from .pieces import portions
 #: Fixed value: the white space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
 _SPLIT = str.maketrans({c: " " for c in SPACE})
-#: Texts without any id lie above all ids.
-NO_ID = 1 << 62
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xBF58476D1CE4E5B9)
 C = np.uint64(0x94D049BB133111EB)
@@ -77,13 +77,25 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return mixed(h + occurrence * A)
 
 
+#: Texts up to so many shingles get half as many sketches again, of one shingle less. Two similar
+#: texts of which the longer is that short both have them.
+SHORT = 64
+
+
 def sketches(h: np.ndarray, count: int, take: int) -> np.ndarray:
     """`count` numbers: each of the `take` labelled shingles that come first in one random order, in
-    text order. A text with fewer shingles takes what it has."""
-    seeds = mixed(np.arange(1, count + 1, dtype=np.uint64) * A)
+    text order; for a short text further ones of take - 1. A text with fewer shingles takes what it has."""
+    lab = labelled(h)
+    out = _sketches(h, lab, 0, count, take)
+    if len(h) <= SHORT and take > 1:
+        out = np.concatenate([out, _sketches(h, lab, count, count // 2, take - 1)])
+    return out
+
+
+def _sketches(h: np.ndarray, lab: np.ndarray, start: int, count: int, take: int) -> np.ndarray:
+    seeds = mixed(np.arange(start + 1, start + count + 1, dtype=np.uint64) * A)
     m = min(take, len(h))
     out = np.full(count, A, np.uint64)
-    lab = labelled(h)
     step = max(1, 200_000 // len(h))
     for a in range(0, count, step):
         orders = mixed(lab[None, :] ^ seeds[a : a + step, None])
@@ -186,40 +198,41 @@ def near_copies(
     count: int = 32,
     take: int = 3,
     small: int = 8,
-    block: int = 512,
+    block: int = 2048,
 ) -> DataFrame:
     """One row per row of `df`: id, n_copies (rows with the same text), class_id (smallest id of the
-    texts linked to it, over any number of links) and kept (id is class_id).
-
-    Two texts are linked if the edit similarity of their k-word shingle sequences is `threshold` or
-    more; equal texts always are. Texts without words, null or empty, are linked only if equal. Rows
-    with a null id take part as a text but name no class: class_id is null if no linked row has an
-    id, and such rows are never kept. Rows that share an id are one document; rows that repeat an id
-    and text are in one class and marked alike. No rows give no rows; other columns are ignored.
+    texts linked to it, over any number of links) and kept (whether it stands for its class).
+
+    Two texts are linked if the edit similarity of their word sequences is `threshold` or more; equal
+    texts always are. Texts without words, null or empty, are one text and linked to no other. The
+    row that stands for a class is that of the smallest id, of the least content hash where several
+    texts share that id, and one without id only if no row of the class has one: then class_id is
+    null. Texts are told apart by content, so rows that share an id may be in several classes; rows
+    that repeat an id and text are marked alike. No rows give no rows; other columns are ignored.
     Texts are compared whole, of any length."""
     return classes(df, id_col, text_col, k, threshold, count, take, small, block).select(
-        F.col("id").alias(id_col),
-        "n_copies",
-        F.when(F.col("root") < NO_ID, F.col("root")).alias("class_id"),
-        F.coalesce(F.col("id") == F.col("root"), F.lit(False)).alias("kept"),
+        F.col("id").alias(id_col), "n_copies", "class_id", "kept"
     )
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df`, all columns, less near copies: one row of each class stays, that of the
-    smallest id. A class without any id keeps one row. Texts without words are a class if equal."""
-    roots = classes(df, id_col, text_col, **options).filter(F.col("node") == F.col("root"))
-    roots = roots.select(F.col("key").alias("__root_key"), F.col("node").alias("__root")).distinct()
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    rows = df.withColumn("__key", key).withColumn("__node", _node(F.col(id_col).cast("long"), F.col("__key")))
-    on = (F.col("__key") == F.col("__root_key")) & (F.col("__node") == F.col("__root"))
-    # A class of several texts under one id has several roots: one row each node.
-    return rows.join(roots, on, "left_semi").dropDuplicates(["__node"]).drop("__key", "__node")
+    """The rows of `df`, all columns, less near copies: of each class the one row that near_copies()
+    marks as kept stays, one of them where several repeat its id and text. Null and empty texts are
+    one text, so one row of them stays; rows without ids stay if no copy has one; very long texts are
+    compared whole; an empty table gives no rows; columns of any name come along."""
+    kept = classes(df, id_col, text_col, **options).filter("kept").select(F.col("key").alias("__kept_key"), F.col("id").alias("__kept_id")).distinct()
+    # The row as one column, so that its own columns may have any name.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    rows = df.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"), F.col(id_col).cast("long").alias("__id"), whole)
+    on = (F.col("__key") == F.col("__kept_key")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
+    # A kept row is one of its text's: the text's key alone tells it from all others.
+    return rows.join(kept, on, "left_semi").dropDuplicates(["__key"]).select("__row.*")
 
 
-def _node(number: Column, key: Column) -> Column:
-    """A text's row by its id; without one, by a number above all ids."""
-    return F.coalesce(number, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(key), 2))
+def _node(key: Column) -> Column:
+    """A text's number: a hash of its content. It stands for the text in all later tables, and two of
+    n texts share one with a probability of n^2 / 2^65."""
+    return F.xxhash64(key)
 
 
 def classes(
@@ -231,9 +244,9 @@ def classes(
     count: int = 32,
     take: int = 3,
     small: int = 8,
-    block: int = 512,
+    block: int = 2048,
 ) -> DataFrame:
-    """Rows id, key (of the text), node (of the row), n_copies and root (least node of the class)."""
+    """Rows id, key (of the text), n_copies, class_id (least id of the class) and kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,17 +262,17 @@ def classes(
                     {
                         "id": pdf["id"].iloc[part].astype("Int64").array,
                         "key": [hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts[part]],
-                        "len": [max(min(1, len(w)), len(w) - k + 1) for w in words],
+                        "len": [len(w) for w in words],
                         "sketches": [sketches(h, count, take).view(np.int64) if len(h) else None for h in parts],
                     }
                 )
 
     kind = "id long, key string, len int, sketches array<long>"
-    encoded = written(rows.mapInPandas(sketch, kind).withColumn("node", _node(F.col("id"), F.col("key"))), "omh-rows")
-    # One row for each text, under its least node.
+    encoded = written(rows.mapInPandas(sketch, kind).withColumn("node", _node(F.col("key"))), "omh-rows")
+    # One row for each text.
     nodes = written(
-        encoded.groupBy("key").agg(
-            F.min("node").alias("node"), F.count("*").alias("n_copies"), F.first("len").alias("len"), F.first("sketches").alias("sketches")
+        encoded.groupBy("key", "node").agg(
+            F.min("id").alias("least"), F.count("*").alias("n_copies"), F.first("len").alias("len"), F.first("sketches").alias("sketches")
         ),
         "omh-nodes",
     )
@@ -279,28 +292,35 @@ def classes(
     )
     near = F.least("x.len", "y.len") >= threshold * F.greatest("x.len", "y.len") - 1e-9
     pairs = each.select("x", "y").unionByName(star.select("x", "y")).filter(near)
-    links = _linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), rows, k, threshold)
+    links = _linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), rows, threshold)
     roots = components(links, "omh-cc")
-    # Large groups that still hold texts of several classes: those of different classes are compared
-    # by all their sketches.
+    # Large groups that still hold texts of several classes: those of different classes are compared.
     own = large.join(roots, "node", "left").select("group", "node", "len", F.coalesce("root", "node").alias("root"))
     own = written(own, "omh-large")
     low_high = own.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = written(low_high.filter("low < high").select("group", "size"), "omh-mixed")
-    if mixed.limit(1).count():
-        pairs = _agreeing(own.join(mixed, "group"), rows, k, threshold, block)
-        links = links.unionByName(_linked(pairs, rows, k, threshold))
+    several = written(low_high.filter("low < high").select("group", "size"), "omh-mixed")
+    if several.limit(1).count():
+        pairs = _agreeing(own.join(several, "group"), rows, threshold, block)
+        links = links.unionByName(_linked(pairs, rows, threshold))
         roots = components(links, "omh-cc")
-    found = nodes.join(roots, "node", "left").select("key", "n_copies", F.coalesce("root", "node").alias("root"))
-    return encoded.select("id", "key", "node").join(written(found, "omh-classes"), "key")
-
-
-def _agreeing(own: DataFrame, rows: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
-    """Pairs (a, b) of texts of a group, not of one class yet, that share as many labelled shingles as
-    the threshold takes (an edit distance of d leaves all but d of the longer text's shingles in
+    # What stands for a class: the smallest id, then the least key; texts without ids come last.
+    stands = F.struct(F.col("least").isNull().alias("none"), "least", "key").alias("stands")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    joined = written(members.join(nodes.select("node", stands), "node"), "omh-members")
+    best = joined.groupBy("root").agg(F.min("stands").alias("best"))
+    told = joined.join(best, "root").select("node", "best")
+    found = nodes.join(told, "node", "left").select("key", "n_copies", F.coalesce("best", stands).alias("best"))
+    all_rows = encoded.select("id", "key").join(written(found, "omh-classes"), "key")
+    kept = (F.col("key") == F.col("best.key")) & F.col("id").eqNullSafe(F.col("best.least"))
+    return all_rows.select("id", "key", "n_copies", F.col("best.least").alias("class_id"), kept.alias("kept"))
+
+
+def _agreeing(own: DataFrame, rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (a, b) of texts of a group, not of one class yet, that share as many labelled words as
+    the threshold takes (an edit distance of d leaves all but d of the longer text's words in
     common). A group is split into blocks; every pair of blocks is dealt out on its own, and only
     the pairs found leave the task."""
-    labels = _texts(rows, own.select("node"), lambda w: labelled(shingles(w, k)).astype(np.uint32)).withColumnRenamed("words", "labels")
+    labels = _texts(rows, own.select("node"), lambda w: labelled(w.astype(np.uint64)).astype(np.uint32)).withColumnRenamed("words", "labels")
     parts = F.ceil(F.col("size") / block).cast("int")
     by = ["group", "p", "q"]
     dealt = (
@@ -337,10 +357,10 @@ def _agreeing(own: DataFrame, rows: DataFrame, k: int, threshold: float, block:
     return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough."""
     pairs = written(pairs.distinct(), "omh-pairs")
-    found = written(verified(pairs, _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node"))), k, threshold), "omh-links")
+    found = written(verified(pairs, _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node"))), threshold), "omh-links")
     dropped(pairs)
     return found
 
@@ -375,29 +395,25 @@ def _texts(rows: DataFrame, nodes: DataFrame, of=lambda words: words) -> DataFra
         for pdf in batches:
             at = pdf["place"].to_numpy()
             hit = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-            some = pdf[hit]
+            some = pdf[hit].drop_duplicates("node")
             for part in portions(some["text"].tolist()):
                 if len(table) > 300_000:
                     table.clear()
                 own = some.iloc[part]
                 yield pd.DataFrame({"node": own["node"], "words": [of(word_hashes(x, table)).tobytes() for x in own["text"]]})
 
-    node = _node(F.col("id"), F.when(F.col("id").isNull(), F.md5("text")))
-    found = rows.select(node.alias("node"), "text").select("node", "text", place.alias("place")).mapInPandas(words, "node long, words binary")
-    return written(found, "omh-texts")
+    found = rows.select(_node(F.md5("text")).alias("node"), "text").select("node", "text", place.alias("place")).mapInPandas(words, "node long, words binary")
+    # Rows that repeat a text give it once.
+    return written(found.groupBy("node").agg(F.first("words").alias("words")), "omh-texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, h = None, np.zeros(0, np.uint64)
         for pdf in batches:
-            keep = []
-            for a, wa, wb in zip(pdf["a"], pdf["wa"], pdf["wb"]):
-                if a != last:
-                    last, h = a, shingles(np.frombuffer(wa, np.uint32), k)
-                keep.append(similar(h, shingles(np.frombuffer(wb, np.uint32), k), threshold))
+            words = lambda x: np.frombuffer(x, np.uint32)
+            keep = [similar(words(wa), words(wb), threshold) for wa, wb in zip(pdf["wa"], pdf["wb"])]
             yield pdf.loc[keep, ["a", "b"]]
 
     left = texts.select(F.col("node").alias("a"), F.col("words").alias("wa"))

@@ -97,8 +97,9 @@ def encode(
     text_col: str = "text",
     table_limit: int = 1_000_000,
     columns: tuple[str, ...] = ("ids", "decoded"),
+    place_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of `df`: id, n_tokens (begin and end ids counted) and the named columns: ids
+    """One row per row of `df`: id, the long in `place_col` if it is given, n_tokens (begin and end ids counted) and the named columns: ids
     (array of int), decoded (the text that the library decodes the ids to), ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded text in UTF-8).
 
@@ -118,6 +119,8 @@ def encode(
                 ids = [begin + x + end for x in tool.ids(some)]
                 numbers = [np.frombuffer(x, dtype=np.uint32) for x in ids]
                 out = pd.DataFrame({"id": pdf["id"].iloc[part].array, "n_tokens": [len(x) for x in numbers]})
+                if place_col is not None:
+                    out["place"] = pdf["place"].iloc[part].array
                 if "ids" in columns:
                     out["ids"] = [x.astype(np.int32) for x in numbers]
                 if "ids_sha256" in columns:
@@ -126,11 +129,14 @@ def encode(
                     decoded = lib.decode([x.tolist() for x in numbers], num_threads=1)
                     out["decoded"] = decoded
                     out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
-                yield out[["id", "n_tokens", *columns]]
-
-    kind = ", ".join(["id long, n_tokens long", *(f"{c} {kinds[c]}" for c in columns)])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(nullable_ids(run), kind).withColumnRenamed("id", id_col)
+                yield out[["id", *places, "n_tokens", *columns]]
+
+    places = [] if place_col is None else ["place"]
+    kind = ", ".join(["id long", *(f"{p} long" for p in places), "n_tokens long", *(f"{c} {kinds[c]}" for c in columns)])
+    place = [] if place_col is None else [F.col(place_col).cast("long").alias("place")]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *place)
+    out = rows.mapInPandas(nullable_ids(run), kind).withColumnRenamed("id", id_col)
+    return out if place_col is None else out.withColumnRenamed("place", place_col)
 
 
 def portions(texts: list, chars: int = 2_000_000) -> Iterator[slice]:

@@ -51,7 +51,9 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
+    """The positions of all copies as text, in thousand-millionths."""
+    plan = mix(read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
+    return plan.withColumn("positions", F.array_join(F.transform("positions", lambda x: F.round(x * 1_000_000_000).cast("long").cast("string")), " "))
 
 
 @query

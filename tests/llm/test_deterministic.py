@@ -178,6 +178,39 @@ def test_mixing(spark, docs, nothing):
     assert len(edge) == docs.count() and mixing.mix(nothing).count() == 0
     kept = mixing.mixed(docs)
     assert kept.columns == docs.columns
+    # Every copy has a position of its own, and sources at their limit last to the end.
+    copies = [(r["position"], r["doc_id"], r["size"]) for r in mixing.mix(df, rows_in_block=50).select(F.explode("positions").alias("position"), "doc_id", "size").collect()]
+    assert len(copies) == out["copies"].sum() and (out["positions"].map(len) == out["copies"]).all()
+    full = {s for s in sizes if target[s] == 2 * sizes[s]}
+    assert full
+    for s in full:
+        fifths = {min(4, int(p * 5)) for p, i, n in copies if source[i] == s and n}
+        assert fifths == set(range(5))
+    for s in sizes:  # words up to a time follow the schedule
+        place = sorted(sizes, key=lambda x: (x is None, x or "")).index(s)
+        slope = 0.5 if place % 2 == 0 else -0.5
+        for x in (0.25, 0.5, 0.75):
+            got = sum(n for p, i, n in copies if source[i] == s and p <= x)
+            assert abs(got - target[s] * ((1 + slope) * x - slope * x * x)) <= 41
+
+
+def test_mixed_tells_rows_apart(spark, nothing, tmp_path):
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 50) for _ in range(4))
+    rows = [(5, a, "s", 1), (5, b, "s", 2), (None, c, "s", 3), (7, d, "s", 4), (7, d, "t", 5), (8, None, "t", 6), (9, "", None, 7), *[(10, "x y", "u", 8)] * 9000]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __n int").repartition(3)
+    plan = mixing.mix(df, key=F.xxhash64("__n")).groupBy("key").agg(F.sum("copies").alias("n")).collect()
+    number = {r["k"]: r["__n"] for r in df.select("__n", F.xxhash64("__n").alias("k")).distinct().collect()}
+    want = {number[r["key"]]: r["n"] for r in plan if r["n"]}
+    out = mixing.mixed(df, position_col="at")
+    assert out.columns == [*df.columns, "at"]
+    got = out.collect()
+    assert Counter(r["__n"] for r in got) == Counter(want) and {1, 2, 3, 4, 5} <= set(want)
+    # Files keep the training order, and it can be read off them.
+    out.write.parquet(str(tmp_path / "mixed"))
+    back = mixing.training_order(spark.read.parquet(str(tmp_path / "mixed")), "order").orderBy("order").collect()
+    assert [r["at"] for r in back] == sorted(r["at"] for r in got) and len({r["order"] for r in back}) == len(back)
+    assert mixing.mixed(nothing).count() == 0 and mixing.training_order(nothing, "order").count() == 0
 
 
 # 4 Sharding -------------------------------------------------------------------------------------
@@ -289,10 +322,7 @@ def test_order_minhash(spark, docs, nothing, texts, small, block):
             rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows) + i, prose(rng, 30) + " " + passage + " " + prose(rng, rng.randint(10, 60))) for i in range(14)]
     out = {r["doc_id"]: r for r in order_minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), small=small, block=block).collect()}
-    seq = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        seq[i] = [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
+    seq = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     label = {i: i for i, _ in rows}
     for i, t in rows:
         for j, u in rows[:i]:
@@ -303,6 +333,7 @@ def test_order_minhash(spark, docs, nothing, texts, small, block):
                 label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
     assert {i: r["class_id"] for i, r in out.items()} == label
     assert all(r["kept"] == (i == label[i]) for i, r in out.items())
+    assert len(set(label.values())) < len(label)
     edge = order_minhash.near_copies(docs).collect()
     assert len(edge) == docs.count() and order_minhash.near_copies(nothing).count() == 0
     stay = order_minhash.survivors(docs)
@@ -312,6 +343,38 @@ def test_order_minhash(spark, docs, nothing, texts, small, block):
 # 7 SentencePiece --------------------------------------------------------------------------------
 
 
+def test_texts_that_share_an_id_are_kept_apart(spark, nothing):
+    rng = random.Random(31)
+    a, b, c, long = (prose(rng, n) for n in (80, 90, 70, 30_000))
+    near = long.split()
+    near[15_000] = "changed"
+    rows = [(5, a), (5, b), (8, b), (9, c), (None, c), (None, prose(rng, 60)), (None, None), (11, ""), (12, long), (4, " ".join(near)), (9, c)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    stay = order_minhash.survivors(df)
+    assert stay.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in stay.collect()) == sorted([(5, a), (5, b), (9, c), (0, rows[5][1]), (11, ""), (4, rows[9][1])])
+    out = order_minhash.near_copies(df).toPandas()
+    assert len(out) == len(rows) and out["kept"].sum() == 7  # both rows of 9
+    assert order_minhash.survivors(nothing).count() == 0
+
+
+def test_near_copies_are_found(spark):
+    """Recall against all pairs: copies of which up to a seventh of the words was changed."""
+    rng = random.Random(5)
+    rows, of = [], {}
+    for k in range(150):
+        base = prose(rng, rng.choice([30, 60, 120, 300])).split()
+        for j in range(2):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 14)) if j else 0):
+                copy[at] = "z" + str(rng.randrange(10**6))
+            of[len(rows)] = k
+            rows.append((len(rows), " ".join(copy)))
+    out = {r["doc_id"]: r["class_id"] for r in order_minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(of[c] == of[i] for i, c in out.items())
+    assert sum(out[i] == out[i + 1] for i in range(0, 300, 2)) >= 143
+
+
 def test_pieces(spark, docs, nothing, texts):
     import sentencepiece
 
@@ -483,7 +546,7 @@ def test_pipeline(spark, sf_dir):
     seq = {}
     for i, r in rows[1].items():
         w = re.findall(r"[^\x20\x09-\x0D]+", r["text"])
-        seq[i] = order_minhash.shingles(np.array([hash(x) & 0xFFFFFFFF for x in w], np.uint32), 5)
+        seq[i] = np.array([hash(x) & 0xFFFFFFFF for x in w], np.uint32)
     label = {i: i for i in seq}
     ids = sorted(seq)
     for x, i in enumerate(ids):
@@ -505,3 +568,32 @@ def test_pipeline(spark, sf_dir):
     out = steps[5].collect()
     assert Counter(r["doc_id"] for r in out) == copies
     assert all(r["ids"] == lib.encode(rows[3][r["doc_id"]]["text"], add_bos=True, add_eos=True) for r in out)
+    # In training order: each copy at its own position.
+    plan = mixing.mix(steps[3]).select("doc_id", F.explode("positions").alias("at")).collect()
+    at = {}
+    for r in plan:
+        at.setdefault(r["doc_id"], []).append(r["at"])
+    seen, last = Counter(), 0.0
+    for r in sorted(out, key=lambda r: r["train_order"]):
+        position = sorted(at[r["doc_id"]])[seen[r["doc_id"]]]
+        assert position >= last
+        seen[r["doc_id"]], last = seen[r["doc_id"]] + 1, position
+
+
+def test_pipeline_edges(spark, docs, nothing):
+    """Null ids and texts, ids shared by different texts, repeated rows, a very long text, no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    a, b, long = prose(rng, 60), prose(rng, 70), prose(rng, 40_000)
+    rows = [(1, a, "en", "s", 1, "x"), (1, b, "en", "s", 1, "x"), (None, prose(rng, 50), None, None, None, "x"), (2, None, "en", "s", None, None), (3, "", "en", "t", 0, None), (4, long, "en", "t", 1, None)]
+    df = spark.createDataFrame([*rows, rows[0], rows[3]], "doc_id long, text string, lang string, source string, n_chars long, position string")
+    for table, n in ((df, 4), (docs, None), (nothing, 0)):
+        steps = [table]
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            steps.append(graph.written(stage(spark, steps[-1], ""), f"e{k}"))
+        assert all(x.columns == table.columns for x in steps[:-1])
+        assert n is None or steps[2].count() == n
+        assert steps[5].columns == ["doc_id", "train_order", "n_tokens", "ids", "decoded_sha256"]
+        assert steps[5].count() == steps[4].count()
+    assert steps[5].count() == 0
