@@ -1,21 +1,25 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-Every vector is normalised, turned by random orthogonal matrices, and reduced to its signs. The
-signs of the first rotation are the stored code; with it goes the correction factor f = <o', o>,
-the inner product of the code (as a unit vector) with the vector itself. For another vector q,
-<o', q> / f is an unbiased estimate of <o, q>, and its error is below
-eps * sqrt((1 - f^2) / f^2) * sqrt(1 - t^2) / sqrt(D - 1) with a probability that eps sets (for pairs
-at cosine t or more). Only pairs whose estimate comes within that bound of the threshold, from
-both sides, are computed exactly, in double precision.
-
-The signs of all rotations also deal vectors into buckets: each of `bands` bands takes `width`
-signs as a key. Two vectors at an angle of a agree on one sign with probability 1 - a/pi, so the
-number of bands follows from the threshold and `miss`, the chance to miss a pair that lies exactly
-at the threshold (closer pairs are missed far less often). The width grows with the logarithm of
-the number of vectors, so that a bucket keeps about `bucket` rows at any size. Larger buckets are
-split into blocks and every pair of blocks is a task of its own.
-
-A pair counts in the first band on whose key it agrees, so that tasks can add up links and send
+Every vector is normalised and turned by random orthogonal matrices. What is stored of it is a code
+of bits: the signs of each turned vector; the turned vector itself in 4 bits a component, rounded up
+or down at random in proportion; and the correction factor f = <o', o>, the inner product of the
+signs of the first turn (as a unit vector o') with the vector. For another vector q, <o', q> / f is an
+unbiased estimate of <o, q>; with q in its rounded form it stays one, and is counted from bits alone
+(and, count bits, plane by plane). Its error is below eps times the sum of
+sqrt((1 - f^2) / f^2) * sqrt(1 - t^2) / sqrt(D - 1) and half a rounding step over f, with a
+probability that eps sets (for pairs at cosine t or more). Only pairs whose estimates come within
+these bounds of the threshold, from both sides, are computed exactly, in double precision.
+
+The signs also deal vectors into buckets: each of `bands` bands takes `width` signs as a key. Two
+vectors at an angle of a agree on one sign with probability 1 - a/pi, so the number of bands follows
+from the threshold and `miss`, the chance to miss a pair that lies exactly at the threshold (closer
+pairs are missed far less often). The width grows with the logarithm of the number of vectors, so
+that a bucket keeps about `bucket` rows at any size. Larger buckets are split into blocks and every
+pair of blocks is a task of its own.
+
+Buckets are dealt codes only. A first pass over them finds, by the bounds, which vectors of a bucket
+have a pair to be computed there; only these vectors are fetched, into those buckets. A pair belongs
+to the first band on whose key it agrees, so it is computed once, and tasks can add up links and send
 on sums and spanning trees, never pairs.
 """
 
@@ -54,11 +58,10 @@ def plan(n: int, threshold: float, miss: float, bucket: int) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
-def band_keys(x: np.ndarray, width: int, bands: int, seed: int) -> np.ndarray:
-    """Keys (n, bands) from the signs of as many rotations as they need."""
-    dim = x.shape[1]
-    signs = np.hstack([x @ rotation(dim, i, seed) > 0 for i in range(math.ceil(width * bands / dim))])
-    return signs[:, : width * bands].reshape(len(x), bands, width) @ (1 << np.arange(width, dtype=np.int64))
+#: Bits of a component in the rounded form.
+LEVELS = 4
+A = np.uint64(0x9E3779B97F4A7C15)
+B = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def binary_codes(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,37 +72,119 @@ def binary_codes(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, n
     return turned, code, np.maximum((turned * code).sum(1), 1e-6)
 
 
-def linked_pairs(
-    x: np.ndarray, keys: np.ndarray, band: int, left: np.ndarray | None, threshold: float, eps: float, seed: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of rows of x at cosine `threshold` or more whose first common key is that
-    of `band`. left: if given, only pairs of a row with left and one without."""
-    dim, n = x.shape[1], len(x)
-    norm = np.linalg.norm(x, axis=1)
-    turned, code, f = binary_codes(x / norm[:, None], seed)
-    bound = eps * np.sqrt(np.maximum(0, 1 - f * f)) / f * math.sqrt(1 - threshold**2) / math.sqrt(max(1, dim - 1)) + 1e-5
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Booleans (..., dim) as 64-bit words (..., words)."""
+    dim = bits.shape[-1]
+    words = -(-dim // 64)
+    padded = np.zeros((*bits.shape[:-1], words * 64), bool)
+    padded[..., :dim] = bits
+    return np.packbits(padded, axis=-1, bitorder="little").view(np.uint64)
+
+
+class Codes:
+    """Codes of n vectors of one length: signs (n, rotations, words), planes (n, LEVELS, words) of the
+    rounded form, and factor, low and step (n each)."""
+
+    def __init__(self, dim: int, signs: np.ndarray, planes: np.ndarray, scalars: np.ndarray) -> None:
+        self.dim, self.signs, self.planes, self.scalars = dim, signs, planes, scalars
+        self.factor, self.low, self.step = scalars.T
+        self.ones = np.bitwise_count(signs[:, 0]).sum(-1).astype(np.float32)
+        weights = (1 << np.arange(LEVELS)).astype(np.float32)
+        self.level = np.bitwise_count(planes).sum(-1).astype(np.float32) @ weights
+
+    @classmethod
+    def of(cls, x: np.ndarray, node: np.ndarray, rotations: int, seed: int) -> Codes:
+        dim = x.shape[1]
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        first, _, factor = binary_codes(unit, seed)
+        turned = [first, *(unit @ rotation(dim, i, seed) for i in range(1, rotations))]
+        signs = np.stack([packed(t > 0) for t in turned], axis=1)
+        low = first.min(1)
+        step = np.maximum((first.max(1) - low) / ((1 << LEVELS) - 1), np.float32(1e-9))
+        noise = node.astype(np.uint64)[:, None] * A + np.arange(dim, dtype=np.uint64)
+        noise = (noise ^ (noise >> np.uint64(30))) * B
+        noise = ((noise ^ (noise >> np.uint64(27))) * A >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+        level = np.clip(np.floor((first - low[:, None]) / step[:, None] + noise), 0, (1 << LEVELS) - 1).astype(np.uint8)
+        planes = np.stack([packed(level >> p & 1 == 1) for p in range(LEVELS)], axis=1)
+        return cls(dim, signs, planes, np.stack([factor, low, step], axis=1).astype(np.float32))
+
+    def rows(self) -> list[bytes]:
+        n = len(self.scalars)
+        parts = [self.signs.reshape(n, -1).view(np.uint8), self.planes.reshape(n, -1).view(np.uint8), self.scalars.view(np.uint8)]
+        return [x.tobytes() for x in np.hstack(parts)]
+
+    @classmethod
+    def read(cls, rows: list[bytes], dim: int) -> Codes:
+        words = -(-dim // 64)
+        raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        at, end = raw.shape[1] - 12 - LEVELS * words * 8, raw.shape[1] - 12
+        signs = np.ascontiguousarray(raw[:, :at]).view(np.uint64).reshape(len(rows), -1, words)
+        planes = np.ascontiguousarray(raw[:, at:end]).view(np.uint64).reshape(len(rows), LEVELS, words)
+        return cls(dim, signs, planes, np.ascontiguousarray(raw[:, end:]).view(np.float32))
+
+    def keys(self, width: int, bands: int) -> np.ndarray:
+        """Keys (n, bands) from the signs of as many rotations as they need."""
+        n = len(self.signs)
+        bits = np.unpackbits(self.signs.view(np.uint8).reshape(n, self.signs.shape[1], -1), axis=-1, bitorder="little")
+        bits = bits[:, :, : self.dim].reshape(n, -1)[:, : width * bands].reshape(n, bands, width)
+        return bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+    def estimate(self, i, j) -> np.ndarray:
+        """<o', q> * sqrt(D) of code rows i with rounded rows j, which broadcast: indexes such as
+        (a[:, None], b[None, :]) or two of one length."""
+        shared = np.float32(0)
+        for p in range(LEVELS):
+            for w in range(self.signs.shape[2]):
+                shared = shared + np.float32(1 << p) * np.bitwise_count(self.signs[i, 0, w] & self.planes[j, p, w])
+        return self.step[j] * (2 * shared - self.level[j]) + self.low[j] * (2 * self.ones[i] - np.float32(self.dim))
+
+    def near(self, i, j, threshold: float, eps: float) -> np.ndarray:
+        """Whether the estimate of rows i with j comes within its bound of the threshold."""
+        f, dim = self.factor[i], self.dim
+        turn = eps * np.sqrt(np.maximum(0, 1 - f * f)) * math.sqrt((1 - threshold**2) / max(1, dim - 1))
+        least = (threshold * f - turn) * math.sqrt(dim)
+        return self.estimate(i, j) >= least - np.float32(eps * 0.5 * math.sqrt(dim)) * self.step[j] - 1e-3
+
+
+def candidates(codes: Codes, keys: np.ndarray, band: int, left: np.ndarray | None, threshold: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j whose bounds don't rule them out and whose first common key is that of `band`.
+    left: if given, only pairs of a row with left and one without."""
+    n = len(keys)
     found_i, found_j = [], []
-    step = max(1, 4_000_000 // n)
+    step = max(1, 2_000_000 // n)
     for start in range(0, n, step):
-        rows = slice(start, min(n, start + step))
-        near = (turned[rows] @ code.T) / f[None, :] >= (threshold - bound)[None, :]
-        near &= ((code[rows] @ turned.T) / f[rows, None]) >= (threshold - bound)[rows, None]
-        near &= np.arange(n)[None, :] > np.arange(rows.start, rows.stop)[:, None]
+        rows, others = np.arange(start, min(n, start + step)), np.arange(start + 1, n)
+        good = codes.near(rows[:, None], others[None, :], threshold, eps) & (others[None, :] > rows[:, None])
         if left is not None:
-            near &= left[rows, None] != left[None, :]
-        ii, jj = np.nonzero(near)
-        ii += start
-        for at in range(0, len(ii), 50_000):
-            i, j = ii[at : at + 50_000], jj[at : at + 50_000]
-            cosine = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j])
-            i, j = i[cosine >= threshold], j[cosine >= threshold]
-            first = ~(keys[i, :band] == keys[j, :band]).any(1)
-            found_i.append(i[first])
-            found_j.append(j[first])
+            good &= left[rows][:, None] != left[others][None, :]
+        i, j = np.nonzero(good)
+        i, j = rows[i], others[j]
+        back = codes.near(j, i, threshold, eps)
+        i, j = i[back], j[back]
+        first = ~(keys[i, :band] == keys[j, :band]).any(1)
+        found_i.append(i[first])
+        found_j.append(j[first])
     empty = np.zeros(0, dtype=np.int64)
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (empty, empty)
 
 
+def exact_links(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at cosine `threshold` or more."""
+    norm = np.linalg.norm(x, axis=1)
+    keep = [
+        np.einsum("ij,ij->i", x[i[at : at + 50_000]], x[j[at : at + 50_000]]) / (norm[i[at : at + 50_000]] * norm[j[at : at + 50_000]]) >= threshold
+        for at in range(0, len(i), 50_000)
+    ]
+    good = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return i[good], j[good]
+
+
+def scaled(vectors: list) -> np.ndarray:
+    """Vectors in double precision, each times a power of two, so that no square over- or underflows."""
+    x = np.stack(vectors).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches over the links i-j."""
     label = np.arange(n)
@@ -114,6 +199,11 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+#: A bucket is one number: length of the vectors, band and key.
+def _bucket(dim: int, bands: int, keys: np.ndarray) -> np.ndarray:
+    return (np.int64(dim) << np.int64(46)) + (np.arange(bands, dtype=np.int64) << np.int64(32))[None, :] + keys
+
+
 def near_copies(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -121,8 +211,8 @@ def near_copies(
     threshold: float = 0.9,
     miss: float = 1e-4,
     eps: float = 5.0,
-    bucket: int = 400,
-    block: int = 1024,
+    bucket: int = 3200,
+    block: int = 4096,
     seed: int = 20240601,
 ) -> DataFrame:
     """One row per row of `df`: id, n_links (other rows at cosine >= threshold), component_id
@@ -135,13 +225,10 @@ def near_copies(
     false unless they link to rows with ids. An empty table gives no rows. Other columns of `df` are
     ignored."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    size = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
-    good = (
-        F.coalesce(F.size("vec") > 0, F.lit(False))
-        & ~F.coalesce(F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
-        & F.coalesce(size > 0, F.lit(False))
-    )
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"))
+    finite = ~F.coalesce(F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
+    good = F.coalesce(F.size("vec") > 0, F.lit(False)) & finite & F.coalesce(F.exists("vec", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("good", good)
     keyed = rows.filter("good").select("id", "vec", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
     # One node for each distinct vector: its smallest id, or, without one, a number above all ids.
@@ -154,89 +241,85 @@ def near_copies(
     n = nodes.count()
     width, bands = plan(n, threshold, miss, bucket)
 
-    def dealt(batches: Iterator[pd.DataFrame], full: bool) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["vec"].map(len)):
-                for at in range(0, len(part), 2000):
-                    some = part.iloc[at : at + 2000]
-                    x = np.stack(some["vec"].to_numpy()).astype(np.float64)
-                    keys = band_keys(x, width, bands, seed)
-                    band = np.tile(np.arange(bands), len(some))
-                    out = pd.DataFrame({"dim": np.int32(dim), "band": band.astype(np.int32), "key": keys.ravel()})
-                    if not full:
-                        yield out.groupby(["dim", "band", "key"]).size().reset_index(name="n")
-                        continue
-                    exact32 = (x.astype(np.float32) == x).all()
-                    packed = [v.tobytes() for v in (x.astype(np.float32) if exact32 else x)]
-                    codes = [k.tobytes() for k in keys.astype(np.int32 if width < 31 else np.int64)]
-                    each = np.repeat(np.arange(len(some)), bands)
-                    out["node"] = some["node"].to_numpy()[each]
-                    out["copies"] = some["copies"].to_numpy()[each]
-                    out["x"] = np.array(packed, dtype=object)[each]
-                    out["keys"] = np.array(codes, dtype=object)[each]
-                    yield out
-
-    base = nodes.select("node", "copies", "vec")
-    counts = base.mapInPandas(lambda it: dealt(it, False), "dim int, band int, key long, n long")
-    large = written(
-        counts.groupBy("dim", "band", "key").agg(F.sum("n").alias("n")).filter(F.col("n") > block), "emb-large"
-    )
-    deal = base.mapInPandas(
-        lambda it: dealt(it, True), "dim int, band int, key long, node long, copies long, x binary, keys binary"
-    )
+                codes = Codes.of(scaled(part["vec"].to_list()), part["node"].to_numpy(), math.ceil(width * bands / dim), seed)
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "dim": np.int32(dim), "code": codes.rows()})
+
+    coded = written(nodes.select("node", "vec").mapInPandas(encoded, "node long, dim int, code binary"), "emb-codes")
+
+    def dealt(batches: Iterator[pd.DataFrame], full: bool) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                keys = Codes.read(part["code"].to_list(), int(dim)).keys(width, bands)
+                buckets = _bucket(int(dim), bands, keys).ravel()
+                if not full:
+                    at, count = np.unique(buckets, return_counts=True)
+                    yield pd.DataFrame({"bucket": at, "n": count})
+                    continue
+                each = np.repeat(np.arange(len(part)), bands)
+                yield pd.DataFrame({"bucket": buckets, "node": part["node"].to_numpy()[each], "code": part["code"].to_numpy()[each]})
+
+    counts = coded.mapInPandas(lambda it: dealt(it, False), "bucket long, n long")
+    large = written(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > block), "emb-large")
+    deal = coded.mapInPandas(lambda it: dealt(it, True), "bucket long, node long, code binary")
+    blocks = "cast(ceil(n / {b}) as int)".format(b=block)
     if large.limit(1).count():
-        # A row of a large bucket goes to every pair of blocks that holds its own block.
-        parts = F.ceil(F.col("n") / block).cast("int")
+        # A row of a large bucket goes to every pair of blocks that holds its own block; of the pair
+        # (p, q) it is on the left side if its own block is p.
+        parts = F.coalesce(F.expr(blocks), F.lit(1))
         own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
         deal = (
-            deal.join(large, ["dim", "band", "key"], "left")
-            .withColumn("own", F.when(F.col("n").isNull(), 0).otherwise(own))
-            .withColumn("other", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))))
-            .withColumn("p", F.least("own", "other"))
-            .withColumn("q", F.greatest("own", "other"))
-            .withColumn("left", F.col("own") == F.col("p"))
-            .drop("n", "own", "other")
+            deal.join(large, "bucket", "left")
+            .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+            .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), "node", "code")
         )
     else:
-        deal = deal.withColumns({"p": F.lit(0), "q": F.lit(0), "left": F.lit(True)})
+        deal = deal.select("bucket", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("left"), "node", "code")
+    by = ["bucket", "p", "q"]
 
-    by = ["dim", "band", "key", "p", "q"]
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame | None:
-        m = len(group)
-        if m < 2:
-            return None
+    def sides(group: pd.DataFrame) -> tuple[int, int, np.ndarray | None]:
         head = group.iloc[0]
-        kind = np.float32 if len(head["x"]) == 4 * head["dim"] else np.float64
-        if group["x"].map(len).nunique() > 1:
-            x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * head["dim"] else np.float64).astype(np.float64) for b in group["x"]])
-        else:
-            x = np.frombuffer(b"".join(group["x"]), kind).reshape(m, -1).astype(np.float64)
-        keys = np.frombuffer(b"".join(group["keys"]), np.int32 if width < 31 else np.int64).reshape(m, bands)
         left = group["left"].to_numpy() if head["p"] != head["q"] else None
-        i, j = linked_pairs(x, keys, int(head["band"]), left, threshold, eps, seed)
-        if not len(i):
-            return None
-        node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        links = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
-        order = np.argsort(node)
-        rank = np.empty(m, dtype=np.int64)
-        rank[order] = np.arange(m)
-        root = node[order][spanning(m, rank[i], rank[j])][rank]
-        some = links > 0
-        return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return int(head["bucket"]) >> 46, int(head["bucket"]) >> 32 & 0x3FFF, left
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, by):
+            if len(group) < 2:
+                continue
+            dim, band, left = sides(group)
+            codes = Codes.read(group["code"].to_list(), dim)
+            i, j = candidates(codes, codes.keys(width, bands), band, left, threshold, eps)
+            if len(i):
+                yield group.iloc[np.unique(np.concatenate([i, j]))][[*by, "left", "node"]]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, by):
-            out = compare(group)
-            if out is not None:
-                yield out
+            m = len(group)
+            dim, band, left = sides(group)
+            x, node, copies = scaled(group["vec"].to_list()), group["node"].to_numpy(), group["copies"].to_numpy()
+            codes = Codes.of(x, node, math.ceil(width * bands / dim), seed)
+            i, j = exact_links(x, *candidates(codes, codes.keys(width, bands), band, left, threshold, eps), threshold)
+            if not len(i):
+                continue
+            links = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
+            order = np.argsort(node)
+            rank = np.empty(m, dtype=np.int64)
+            rank[order] = np.arange(m)
+            root = node[order][spanning(m, rank[i], rank[j])][rank]
+            some = links > 0
+            yield pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = max(parts, n * bands // 200_000)
+    wanted = deal.repartition(slots, *by).sortWithinPartitions(*by).mapInPandas(needed, "bucket long, p int, q int, left boolean, node long")
+    wanted = written(wanted, "emb-wanted")
     found = written(
-        deal.repartition(max(parts, n * bands // 100_000), *by)
+        wanted.join(nodes.select("node", "copies", "vec"), "node")
+        .repartition(slots, *by)
         .sortWithinPartitions(*by)
-        .mapInPandas(kernel, "node long, links long, root long")
+        .mapInPandas(compare, "node long, links long, root long")
         .groupBy("node", "root")
         .agg(F.sum("links").alias("links")),
         "emb-links",

@@ -79,7 +79,7 @@ def test_classifier_edges(spark, docs, nothing):
 
 
 def brute_links(ids, vectors):
-    good = {i: np.array(v, float) for i, v in zip(ids, vectors) if v and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0}
+    good = {i: np.array(v, float) / np.abs(v).max() for i, v in zip(ids, vectors) if v and None not in v and np.isfinite(v).all() and any(v)}
     links = {i: set() for i in ids}
     for i, x in good.items():
         for j, y in good.items():
@@ -97,12 +97,12 @@ def brute_links(ids, vectors):
     return links, root
 
 
-@pytest.mark.parametrize("bucket, block", [(400, 1024), (10, 8)])
+@pytest.mark.parametrize("bucket, block", [(3200, 4096), (10, 8)])
 def test_embedding_dedup(spark, bucket, block):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((12, 16))
     vectors = [list(map(float, base[k % 12] + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.5]))) for k in range(150)]
-    vectors += [vectors[0], vectors[0], [0.0] * 16, None, [math.nan] * 16, [1.0, None] + [0.0] * 14, [], [1.0, 0.0], [2.0, 0.1], [math.inf] + [0.0] * 15]
+    vectors += [[1e200 * v for v in vectors[3]], [1e-200 * v for v in vectors[4]], vectors[0], vectors[0], [0.0] * 16, None, [math.nan] * 16, [1.0, None] + [0.0] * 14, [], [1.0, 0.0], [2.0, 0.1], [math.inf] + [0.0] * 15]
     ids = list(range(len(vectors)))
     df = spark.createDataFrame(list(zip(ids, vectors, ["x"] * len(ids))), "vec_id long, embedding array<double>, node string")
     out = {r["vec_id"]: r for r in embedding_dedup.near_copies(df, bucket=bucket, block=block, miss=1e-9).collect()}
@@ -126,6 +126,25 @@ def test_code_estimates_are_unbiased():
     assert np.abs((total / 30 - x @ x.T)[off]).max() < 0.15
 
 
+def test_estimates_from_bits():
+    """Unbiased, inside their bounds for pairs at the threshold, and small for most others."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 96))
+    x[150:] = x[:150] + 0.48 * rng.standard_normal((150, 96))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true, node = unit @ unit.T, np.arange(300)
+    total, missed = np.zeros((300, 300)), 0
+    for seed in range(30):
+        codes = embedding_dedup.Codes.of(x, node, 2, seed)
+        assert np.array_equal(embedding_dedup.Codes.read(codes.rows(), 96).keys(7, 20), codes.keys(7, 20))
+        total += codes.estimate(node[:, None], node[None, :]) / (codes.factor[:, None] * math.sqrt(96))
+        near = codes.near(node[:, None], node[None, :], 0.9, 5.0)
+        missed += (~near & (true >= 0.9)).sum()
+        assert near.mean() < 0.1
+    off = ~np.eye(300, dtype=bool)
+    assert missed == 0 and abs((total / 30 - true)[off].mean()) < 2e-3 and np.abs((total / 30 - true)[off]).max() < 0.15
+
+
 @pytest.mark.parametrize("in_one_task", [0, 10_000])
 def test_components(spark, in_one_task):
     rng = random.Random(6)
