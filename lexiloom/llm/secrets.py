@@ -5,10 +5,12 @@ satisfy (after Cox's description of code search): literals give the trigrams the
 sequence the conjunction of its parts, a branch the disjunction; optional and unbounded parts give
 what their mandatory repetitions give. Letters are folded, so a query holds for either case.
 
-Documents are indexed by segments, the batches in which a task reads them: for each trigram that
-some query names, the postings are the documents of the segment that contain it. Queries intersect
-and unite postings; only the candidates are searched with the regular expression. Rules whose
-expression has no mandatory trigram scan every document. No row leaves its task.
+Documents are indexed by segments, the batches in which a task reads them: one pass over the
+segment's trigrams, as numbers, gives for each of those that some query names its postings, the
+sorted documents that contain it. Queries intersect and unite postings; only the candidates are
+searched with the regular expression. Rules whose expression has no mandatory trigram scan every
+document. No row leaves its task. Expressions are written so that a search is linear in the text:
+runs start at a boundary, do not give back what they took, or are bounded in length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import cached_property
 from re import _constants as C
 from re import _parser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,9 +154,9 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?i:authorization)\x20*[:=]\x20*(?i:bearer|basic)\x20+([A-Za-z0-9+/_.=-]{16,})"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@", 1, 6),
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,31}://[^\s:/@]{1,256}+:([^\s:/@]{6,256}+)@", 1, 6),
 )
 RULES = BASE + MORE
 
@@ -163,12 +166,28 @@ def trigrams(query: object) -> set[str]:
 
 
 class Segment:
-    """Postings of some documents for the trigrams that the rules' queries name."""
+    """Inverted index of some documents: postings for the trigrams that the rules' queries name."""
 
     def __init__(self, texts: list[str], names: set[str]) -> None:
         self.every = frozenset(range(len(texts)))
-        folded = [x.lower() for x in texts]
-        self.postings = {t: frozenset(i for i, x in enumerate(folded) if t in x) for t in names}
+        self.postings: dict[str, frozenset[int]] = dict.fromkeys(names, frozenset())
+        # All texts in one run of code points, capitals of ASCII folded; a text ends with two zeros, so
+        # no trigram reaches into the next.
+        codes = np.frombuffer("\0\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        folded = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
+        plain = np.where(folded < 128, folded, 0)
+        numbers = plain[:-2] << 14 | plain[1:-1] << 7 | plain[2:]
+        wanted = {ord(t[0]) << 14 | ord(t[1]) << 7 | ord(t[2]): t for t in names}
+        table = np.zeros(1 << 21, bool)
+        table[list(wanted)] = True
+        at = np.flatnonzero(table[numbers])
+        if len(at):
+            ends = np.cumsum([len(x) + 2 for x in texts])
+            pairs = np.unique(numbers[at].astype(np.int64) * (len(texts) + 1) + np.searchsorted(ends, at, side="right"))
+            number, document = pairs // (len(texts) + 1), pairs % (len(texts) + 1)
+            cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+            for a, b in zip(cuts, [*cuts[1:], len(number)]):
+                self.postings[wanted[int(number[a])]] = frozenset(document[a:b].tolist())
 
     def candidates(self, query: object) -> frozenset[int]:
         if query is ALL:
@@ -229,8 +248,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
 
 def redacted(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`df` with every finding in its texts replaced by the kind in square brackets (overlapping
-    findings as one, under the kind of the first). A null text stays
-    null; other columns are as they were."""
+    findings as one, under the kind of the first). A null text stays null, an empty one empty; texts
+    are searched whole, whatever their length; repeated rows give repeated rows, an empty table gives
+    none; other columns, ids among them, are as they were."""
 
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:

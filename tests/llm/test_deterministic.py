@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -290,6 +291,46 @@ def test_secrets(spark, docs, nothing, texts):
     assert clean.columns == docs.columns and clean.filter("text is null").count() == docs.filter("text is null").count()
 
 
+ADDED = {  # kind: texts with one finding each and where it lies, and texts without
+    "private_key": (["x -----BEGIN RSA PRIVATE KEY-----\nMIIE+abc=\n-----END RSA PRIVATE KEY----- y"], ["-----BEGIN PUBLIC KEY-----"]),
+    "github": ["a ghp_" + "a" * 36 + " b", "gho_" + "Z9" * 20],
+    "slack": ["xoxb-1234567890-abc"],
+    "google": ["AIza" + "b" * 35],
+    "stripe": ["sk_live_" + "c" * 16],
+    "jwt": ["eyJhbGciOiJ9.eyJzdWIiOiI5.abcdefgh12"],
+    "bearer": ["Authorization: Bearer abcdefghijklmnop1234"],
+    "url_login": ["see https://user:hunter22@host/x", "postgres+psycopg://u:secret99@h"],
+}
+
+
+def test_added_kinds():
+    for kind, texts in ADDED.items():
+        some = texts[0] if isinstance(texts, tuple) else texts
+        for t in some:
+            found = [x for x in secrets.named(secrets.find([t])[0], secrets.RULES).split(",") if x.startswith(kind + ":")]
+            assert len(found) == 1, (kind, t)
+    for t in ("ghp_" + "a" * 20, "xoxb-12", "AIza" + "b" * 20, "sk_test_" + "c" * 30, "eyJshort.eyJ.x", "https://host/a:b", "-----BEGIN PUBLIC KEY-----", "a://b:c@d"):
+        assert {secrets.RULES[k].kind for _, k, _ in secrets.find([t])[0]} <= {"hex"}, t
+
+
+def test_long_texts_end_within_seconds():
+    """A megabyte of letters, of broken token parts, of spaces and of scheme letters."""
+    began = time.perf_counter()
+    for unit in ("a", "eyJ", "eyJabcdefgh.", "token   ", "authorization ", "ab.", "-----BEGIN A ", "x://y:", "f0", "AKIA", "xoxb-"):
+        text = unit * (1_000_000 // len(unit)) + "://"
+        secrets.redact(text, secrets.find([text])[0])
+    assert time.perf_counter() - began < 60
+
+
+def test_postings():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcABé ") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", "ab", "cab"]
+    names = {"abc", "cab", "a b", "bbb", "zzz"}
+    index = secrets.Segment(texts, names)
+    assert index.postings == {t: frozenset(i for i, x in enumerate(texts) if t in re.sub("[A-Z]", lambda m: m.group().lower(), x)) for t in names}
+    assert secrets.Segment([], names).postings == dict.fromkeys(names, frozenset())
+
+
 def test_trigram_queries_lose_nothing():
     rng = random.Random(9)
     for rule in secrets.RULES:
