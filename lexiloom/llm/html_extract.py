@@ -1,17 +1,22 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is a sequence of tokens: words, and tags. Each token has a score: words of running text a
-positive one, tags a negative one, and whatever stands inside elements that never hold the article
-(menus, forms, scripts, notices, ...) a small negative one, as it is left out of the text anyway. One
-linear scan finds the contiguous stretch of
-tokens with the greatest sum, the content region; its text, less what such elements hold, is
-returned block by block.
+A page is a sequence of tokens: words, and tags. Each token has a score: words a positive one, by
+whether they stand in an element of running text, elsewhere or in a link, and by the length of their
+block; tags a negative one, to which the names that their attributes carry add theirs. One linear
+scan finds the contiguous stretch of tokens with the greatest sum, the content region; its text, less
+what elements set apart hold, is returned block by block.
 
 Scores are log-odds fitted on labelled pages: pages whose own markup says where the article is (one
-<article>, or else one <main>), at most `most_labelled` of them. For every kind of token they
-compare how often it occurs inside and outside of the labelled region. Kinds are the tag's name and
-whether it opens or closes; the marks that label a page say so as tags like any other, so that
-pages without them are scored by the rest. Signs are kept: words score above zero, tags below.
+<article>, or else one <main>), at most `most_labelled` of them. For every kind of token they compare
+how often it occurs inside and outside of the labelled region. Kinds are the tag's name, whether it
+opens or closes, each name in its class, id and role, and the bin of a word's block. The marks that
+label a page say so as tags like any other, so that pages without them are scored by the rest. Signs
+are kept: words score above zero, tags below.
+
+An element is set apart by what it is: one that HTML keeps for menus, side matter, forms or scripts,
+or one whose attribute names score as foreign to articles, by the fit or, for names that the labelled
+pages do not show, by a first guess. It is not if it holds half of the page's words outside of links
+or more: then it is a frame around the article, whatever it is called.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,129 +45,222 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that never hold the article.
-APART = frozenset("head title nav footer aside form button menu dialog script style noscript template".split())
-#: Words in a class, id or role that mark such elements.
+#: Elements of running text.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption".split())
+#: Elements whose content is never shown as running text.
+HIDDEN = frozenset("head title script style noscript template".split())
+#: Elements that HTML keeps for menus, side matter and forms; of these the first never hold an article.
+NEVER = HIDDEN | frozenset("nav footer menu button".split())
+APART = frozenset("nav footer aside form button menu dialog".split())
+#: First guess of names of such elements: a name made of nothing but these words. What the labelled
+#: pages say of a name goes before it.
 MARKS = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu modal nav navbar navigation newsletter "
-    "notice notices notification popup promo promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising banner box bar breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer list masthead menu modal nav navbar navigation newsletter "
+    "notice notices notification popup posts promo promoted recommended related replies reply respond share sharing section sidebar signup site social sponsor sponsored subscribe toolbar widget".split()
 )
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-PART = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*", re.I)
+#: Of these alone a name is no such guess.
+NEUTRAL = frozenset("box bar list posts section site social share reply".split())
+#: Roles that the standard gives to such elements.
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form".split())
-#: Headers of these belong to the article.
-WRITING = frozenset("article post entry story content".split())
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAME = re.compile(r"[^\s\"']+")
+#: An element whose names score this low is set apart.
+FOREIGN = -2.0
 #: What a tag closes when it opens inside of it, as browsers do.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def set_apart(name: str, attributes: str, in_article: bool) -> bool:
-    if name in APART or (name == "header" and not in_article):
-        return True
-    if not attributes or "=" not in attributes or name in ("html", "body", "article", "main", "h1"):
-        return False
-    for value in ATTRIBUTE.findall(attributes):
-        for part in PART.findall(value.lower()):
-            words = part.split("-")
-            if part in ROLES or not MARKS.isdisjoint(words):
-                return True
-            if "header" in words and not in_article and WRITING.isdisjoint(words):
-                return True
-    return False
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text, apart): kind "w" for a piece of text, "+name" and "-name" for tags; apart is
-    whether it stands in an element that never holds the article."""
-    stack: list[tuple[str, bool]] = []
-    apart = article = 0
+def names(attributes: str) -> list[str]:
+    """Names in class, id and role: '.x' for the former two, '=x' for a role."""
+    if not attributes or "=" not in attributes:
+        return []
+    found = []
+    for kind, value in ATTRIBUTE.findall(attributes):
+        found += [("=" if kind.lower() == "role" else ".") + x for x in NAME.findall(value.lower())]
+    return found
+
+
+def guess(name: str) -> float:
+    """Score of a name that no labelled page shows."""
+    if name[0] == "=":
+        return -3.0 if name[1:] in ROLES else 0.0
+    words = [x for x in re.split(r"[-_\d]+", name[1:]) if x]
+    return -3.0 if words and MARKS.issuperset(words) and not NEUTRAL.issuperset(words) else 0.0
+
+
+def foreign(attributes: str, scores: dict[str, float]) -> float:
+    """Sum of the scores of an element's names, none above zero."""
+    return sum(min(0.0, scores[x] if x in scores else guess(x)) for x in set(names(attributes)))
+
+
+class Token(NamedTuple):
+    """kind: a word bin for text, ' ' for white space, '+name' and '-name' for tags; element: the
+    innermost element set apart around it (-1: none); extra: score of a tag's names."""
+
+    kind: str
+    text: str
+    element: int
+    extra: float
+
+
+def bin_of(words: int, where: str) -> str:
+    """Kind of a word in a block of so many words: 0 for one to three, one more for each doubling,
+    after w (in an element of running text), d (elsewhere) or l (in a link)."""
+    return where + str(min(5, max(0, words.bit_length() - 2)))
+
+
+def tokens(page: str, scores: dict[str, float]) -> list[Token]:
+    """All tokens of a page, what stands in elements set apart marked."""
+    out: list[list] = []
+    stack: list[tuple[str, int]] = []  # open elements: name, number if it is one set apart, else -1
+    outer = [-1]  # elements set apart around the place
+    never: list[bool] = []  # by number of an element set apart: whether it never holds an article
+    parent: list[int] = []
+    own: list[int] = []  # words directly in each, outside of links
+    block: list[int] = []
+    links = article = running = total = 0
+
+    def close_block() -> None:
+        words = sum(out[i][4] for i in block)
+        for i in block:
+            out[i][0] = bin_of(words, out[i][5])
+        block.clear()
+
+    def leave() -> str:
+        nonlocal links, article, running
+        name, number = stack.pop()
+        if number >= 0:
+            outer.pop()
+        links -= name == "a"
+        article -= name in ("article", "main")
+        running -= name in RUNNING
+        return name
+
     for m in TOKEN.finditer(page):
         text = m.group(8)
         if text is not None:
-            if text.strip():
-                yield "w", text, apart > 0
-            elif text:
-                yield " ", text, apart > 0
+            n = len(text.split())
+            where = "l" if links else "w" if running else "d"
+            out.append([where if n else " ", text, outer[-1], 0.0, n, where])
+            if n:
+                block.append(len(out) - 1)
+                if not links:
+                    total += n
+                    if outer[-1] >= 0:
+                        own[outer[-1]] += n
             continue
         name = m.group(3) or m.group(6)
         if name is None:  # a comment, a declaration, or an element without markup inside
             continue
         name = name.lower()
-        closing = m.group(2) or m.group(5)
-        if closing:
+        if name not in INLINE:
+            close_block()
+        if m.group(2) or m.group(5):
+            inside = outer[-1]
             if name not in VOID and any(x == name for x, _ in stack):
-                within = apart > 0
-                while stack:
-                    x, a = stack.pop()
-                    apart -= a
-                    article -= x in ("article", "main")
-                    if x == name:
-                        break
-                yield "-" + name, "", within
-            else:  # closes nothing
-                yield "-" + name, "", apart > 0
+                while leave() != name:
+                    pass
+            out.append(["-" + name, "", inside, 0.0, 0, ""])
             continue
-        attributes = (m.group(4) or m.group(7) or "")
+        attributes = m.group(4) or m.group(7) or ""
         closed = CLOSES.get(name)
         while closed and stack and stack[-1][0] in closed:
-            apart -= stack.pop()[1]
-        a = set_apart(name, attributes, article > 0)
+            leave()
+        extra = foreign(attributes, scores)
+        number = -1
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, a))
-            apart += a
+            apart = name in HIDDEN or name in APART or (name == "header" and not article) or (extra <= FOREIGN and name not in ("html", "body", "article", "main"))
+            if apart:
+                number = len(own)
+                own.append(0)
+                never.append(name in NEVER)
+                parent.append(outer[-1])
+                outer.append(number)
+            stack.append((name, number))
+            links += name == "a"
             article += name in ("article", "main")
-        yield "+" + name, "", apart > 0
+            running += name in RUNNING
+        out.append(["+" + name, "", outer[-1], extra, 0, ""])
+    close_block()
+    # Words of each element set apart, inner ones included; frames around half of them are no such.
+    held = list(own)
+    for k in range(len(own) - 1, -1, -1):
+        if parent[k] >= 0:
+            held[parent[k]] += held[k]
+    shown = total - sum(own[k] for k in range(len(own)) if never[k])
+    frame = [not never[k] and 2 * held[k] >= shown for k in range(len(own))]
+
+    def inner(k: int) -> int:
+        while k >= 0 and frame[k]:
+            k = parent[k]
+        return k
+
+    place = {k: inner(k) for k in range(-1, len(own))}
+    return [Token(kind, text, place[element], 0.0 if element >= 0 and frame[element] else extra) for kind, text, element, extra, _, _ in out]
 
 
 def default_scores() -> dict[str, float]:
-    """Scores without labelled pages: words count for, tags of running text little against."""
-    light = {f"{s}{t}": -0.1 for t in (*INLINE, "p", "blockquote", "ul", "ol", "li", "pre") for s in "+-"}
-    return {"w": 1.0, "apart": -0.01, "tag": -3.0, **light, **{f"{s}h{i}": -0.5 for s in "+-" for i in range(1, 7)}}
+    """Scores without labelled pages: words of longer blocks count for more, tags of running text
+    little against, others as much as some lines of text."""
+    light = {f"{s}{t}": -0.1 for t in (*INLINE, *RUNNING, "ul", "ol", "dl") for s in "+-"}
+    words = {f"{s}{k}": x for k, x in enumerate((0.1, 0.2, 0.2, 0.5, 0.8, 1.0)) for s, x in (("w", 1.0), ("d", x), ("l", x / 10))}
+    return {**words, "apart": -0.01, "tag": -3.0, **light}
 
 
 def fit(pages: list[str]) -> dict[str, float]:
     """Scores from labelled pages; see the module. Pages without exactly one mark are left aside."""
+    first = default_scores()
     inside, outside = Counter(), Counter()
     for page in pages:
-        some = list(tokens(page))
+        some = tokens(page, {})
         for mark in ("article", "main"):
-            starts = [i for i, t in enumerate(some) if t[0] == "+" + mark]
+            starts = [i for i, t in enumerate(some) if t.kind == "+" + mark]
             if len(starts) == 1:
                 break
         else:
             continue
         start = starts[0]
-        end = next((i for i in range(len(some) - 1, start, -1) if some[i][0] == "-" + mark), len(some))
-        for i, (kind, text, apart) in enumerate(some):
-            if kind == " " or apart:
-                continue
-            n = len(text.split()) if kind == "w" else 1
-            (inside if start < i < end else outside)[kind] += n
-    if not inside["w"]:
-        return default_scores()
+        end = next((i for i in range(len(some) - 1, start, -1) if some[i].kind == "-" + mark), len(some))
+        for i, t in enumerate(some):
+            side = inside if start < i < end else outside
+            if t.kind[0] in "wdl":
+                side[t.kind] += len(t.text.split())
+            elif t.kind != " ":
+                side[t.kind] += 1
+        region = [m.start() for m in re.finditer(f"<{mark}[\\s>]", page, re.I)][:1] + [page.lower().rfind(f"</{mark}")]
+        for m in TOKEN.finditer(page):
+            if m.group(3) or m.group(6):
+                within = region[0] < m.start() < (region[1] if region[1] >= 0 else len(page))
+                for x in set(names(m.group(4) or m.group(7) or "")):
+                    (inside if within else outside)[x] += 1
+    if not any(k[0] == "w" for k in inside):
+        return first
     total_in, total_out = sum(inside.values()), sum(outside.values())
-    scores = default_scores()
+    scores = dict(first)
     for kind in {*inside, *outside}:
         odds = math.log((inside[kind] + 0.5) / (total_in + 1)) - math.log((outside[kind] + 0.5) / (total_out + 1))
-        if kind == "w":
-            scores[kind] = min(3.0, max(1.0, odds))
+        if kind[0] in "wdl":  # words score above zero, and no bin far from its first guess
+            scores[kind] = min(3.0, max(first[kind], odds))
+        elif kind[0] in ".=":  # a name must be seen some times to say anything
+            if inside[kind] + outside[kind] >= 5:
+                scores[kind] = odds
         else:  # a tag that is common inside costs little, one that never is costs much
             scores[kind] = -0.1 if odds >= 0 else max(-20.0, 4 * odds)
     return scores
 
 
-def region(some: list[tuple[str, str, bool]], scores: dict[str, float]) -> tuple[int, int]:
+def region(some: list[Token], scores: dict[str, float]) -> tuple[int, int]:
     """Bounds of the stretch with the greatest sum; of equal ones the first. Empty without words."""
     best = held = 0.0
     found = (0, 0)
     start = 0
-    for i, (kind, text, apart) in enumerate(some):
-        if apart:
+    for i, t in enumerate(some):
+        if t.element >= 0:
             held += scores["apart"]
-        elif kind == "w":
-            held += scores["w"] * len(text.split())
-        elif kind != " ":
-            held += scores.get(kind, scores["tag"])
+        elif t.kind[0] in "wdl":
+            held += scores[t.kind] * len(t.text.split())
+        elif t.kind != " ":
+            held += scores.get(t.kind, scores["tag"]) + t.extra
         if held <= 0:
             held, start = 0.0, i + 1
         elif held > best:
@@ -172,16 +271,16 @@ def region(some: list[tuple[str, str, bool]], scores: dict[str, float]) -> tuple
 def content(page: str, scores: dict[str, float]) -> str:
     """Text of the content region: character references decoded, white space within a block one
     space, blocks joined by newlines."""
-    some = list(tokens(page))
+    some = tokens(page, scores)
     a, b = region(some, scores)
     blocks: list[list[str]] = [[]]
-    for kind, text, apart in some[a:b]:
-        if kind in ("w", " "):
-            if not apart:
-                blocks[-1].append(text)
-        elif kind[1:] not in INLINE:
+    for t in some[a:b]:
+        if t.kind[0] in "wdl ":
+            if t.element < 0:
+                blocks[-1].append(t.text)
+        elif t.kind[1:] not in INLINE:
             blocks.append([])
-        elif kind == "+br":
+        elif t.kind == "+br":
             blocks[-1].append(" ")
     lines = (" ".join(html.unescape("".join(x)).split()) for x in blocks)
     return "\n".join(x for x in lines if x)
@@ -208,18 +307,13 @@ def extract(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pages = pdf["html"].tolist()
+            pages = pdf["__html"].tolist()
             for part in portions(pages):
                 text = [content(x, scores) if isinstance(x, str) else "" for x in pages[part]]
-                out = pdf.iloc[part].drop(columns="html")
-                yield out.assign(text=text, n_chars=[len(x) for x in text])
-
-    rows = df.select(*keep, F.col(html_col).alias("html"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
-    numbers = [f.name for f in rows.schema if f.name in keep and f.dataType.simpleString() in ("int", "bigint", "smallint", "tinyint")]
-
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in run(pdf.astype({c: "Int64" for c in numbers}) for pdf in batches):
-            yield out
+                yield pd.DataFrame({"__row": pdf["__row"].iloc[part].array, "__text": text, "__n": [len(x) for x in text]})
 
-    return rows.mapInPandas(typed, ", ".join([*kinds, "text string", "n_chars long"]))
+    # The kept columns travel as one value, so that they may have any name and type of plain values.
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep])).alias("__row"), F.col(html_col).alias("__html"))
+    kind = df.select(*[F.col(f"`{c}`") for c in keep]).schema
+    made = rows.mapInPandas(run, "__row string, __text string, __n long").withColumn("__row", F.from_json("__row", kind))
+    return made.select("__row.*", F.col("__text").alias("text"), F.col("__n").alias("n_chars"))

@@ -473,11 +473,39 @@ def test_html(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert out.loc[r["page_id"], "text"] == "\n".join(x for x in blocks if x)
         assert out.loc[r["page_id"], "n_chars"] == len(out.loc[r["page_id"], "text"])
+    named = html_extract.extract(pages.limit(3).withColumnRenamed("url", "text"), keep=("page_id", "text"))
+    assert named.columns == ["page_id", "text", "text", "n_chars"] and named.count() == 3
     edge = spark.createDataFrame([(1, "u", None, "x"), (None, None, "", "y"), (2, "v", PAGE, "z"), (2, "v", PAGE, "z")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_extract.extract(edge).collect())[:2] == [0, 0]
     assert html_extract.extract(edge.limit(0)).count() == 0
 
 
+def word_f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_html_without_names(spark, sf_dir):
+    """Frames around the article, whatever they are called, and pages without article, class and id."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()]
+    fitted = html_extract.fit(pages[:100])
+    want = [html_extract.content(x, fitted) for x in pages]
+    assert fitted[".ad"] < html_extract.FOREIGN
+    for scores in (html_extract.default_scores(), fitted):
+        bare = [re.sub(r"</?article>", "", re.sub(r'\s(?:class|id)="[^"]*"', "", x)) for x in pages]
+        assert min(word_f1(html_extract.content(x, scores), w) for x, w in zip(bare, want)) >= 0.99
+        for open_tag in ('<div class="layout has-sidebar">', "<form>", '<div class="social-history">', '<div class="notice-of-intent">'):
+            close_tag = f"</{open_tag[1:].split()[0].rstrip('>')}>"
+            framed = [x.replace("<article>", open_tag).replace("</article>", close_tag) for x in pages]
+            assert all(html_extract.content(x, scores) == w for x, w in zip(framed, want))
+    long = "<p>" + "word " * 60 + "</p>"
+    for name in ("social-history", "notice-of-intent"):
+        assert "kept part" in html_extract.content(f'<article>{long}<div class="{name}"><p>kept part</p></div>{long}</article>', fitted)
+    for name in ("cookie-notice", "newsletter-signup", "ad", "comments", "related-posts"):
+        assert "gone" not in html_extract.content(f'<article>{long}<div class="{name}"><p>gone</p></div>{long}</article>', fitted)
+    assert html_extract.content("<p>x " * 200_000, fitted).count("x") == 200_000
+
+
 # 9 Token counts ---------------------------------------------------------------------------------
 
 
