@@ -142,10 +142,13 @@ def fit(
     label_col: str = "quality",
     bits: int = 20,
     most_labelled: int = 6000,
+    most_chars: int = 40_000_000,
 ) -> Model:
-    """Learns from at most `most_labelled` labelled rows (a documented bound: those with the least
-    MD5 of their id), none of them held out. Null labels and ids are left aside; a document with
-    several labels counts once for each distinct one. Without any labels every score is 0.5."""
+    """Learns from at most `most_labelled` labelled texts of `most_chars` characters together (two
+    documented bounds: those with the least MD5 of their id come first, a text that would go beyond
+    the second is left out), none of them held out. Null labels and ids are left aside; a document
+    with several labels counts once for each distinct one, as do several texts under one id; repeated
+    rows count once. Without any labels every score is 0.5."""
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
         .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
@@ -153,9 +156,20 @@ def fit(
         .orderBy(F.md5(F.col("id").cast("string")), "id", "label")
         .limit(most_labelled)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     # At most `most_labelled` rows of two numbers.
-    chosen = texts.join(F.broadcast(known), "id")
+    labelled = texts.join(F.broadcast(known), "id").withColumn("key", F.md5("text"))
+    order = F.md5(F.col("id").cast("string"))
+    sizes = labelled.select("id", "label", "key", F.length("text").alias("size")).distinct().orderBy(order, "id", "label", "key").limit(most_labelled).toPandas()
+    taken, room = [], most_chars
+    for k, size in enumerate(sizes["size"]):
+        if size <= room:
+            taken.append(k)
+            room -= size
+    if not taken:
+        return train([], bits)
+    chosen = docs.sparkSession.createDataFrame(sizes.iloc[taken][["id", "label", "key"]].values.tolist(), labelled.select("id", "label", "key").schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -165,10 +179,12 @@ def fit(
                 places, counts = features(some["text"].tolist(), bits, hasher)
                 ends = np.cumsum(counts)
                 packed = [places[a:b].astype(np.int32).tobytes() for a, b in zip(ends - counts, ends)]
-                yield pd.DataFrame({"id": some["id"], "label": some["label"], "places": packed})
+                yield pd.DataFrame({"id": some["id"], "label": some["label"], "key": some["key"], "places": packed})
 
-    rows = chosen.mapInPandas(run, "id long, label int, places binary").toPandas()
-    rows = rows.sort_values(["id", "label", "places"], ignore_index=True)
+    own = labelled.join(F.broadcast(chosen), ["id", "label", "key"])  # bounded by most_labelled
+    kinds = f"id {own.schema['id'].dataType.simpleString()}, label int, key string, places binary"
+    rows = own.mapInPandas(run, kinds).groupBy("id", "label", "key").agg(F.first("places").alias("places")).toPandas()
+    rows = rows.sort_values(["id", "label", "key"], ignore_index=True)
     return train([(np.frombuffer(p, np.int32), int(y)) for p, y in zip(rows["places"], rows["label"])], bits)
 
 

@@ -34,6 +34,23 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that stand for many are numbered in parts of so many.
+PART = 1000
+
+
+def numbered(counted: DataFrame, key: str, n: str = "n", part: int = PART) -> DataFrame:
+    """One row for each of the `n` rows that a row of `counted` stands for, with its `number` from 0.
+    Rows that stand for more than a part are dealt out part by part, by `key`, before they are
+    multiplied, so that no task makes them all."""
+    zero = F.lit(0).cast("long")
+    few = counted.filter(F.col(n) <= part).withColumn("number", F.explode(F.sequence(zero, F.col(n) - 1)))
+    parts = F.explode(F.sequence(zero, F.floor((F.col(n) - 1) / part))).alias("__part")
+    many = counted.filter(F.col(n) > part).select("*", parts).repartition(key, "__part")
+    last = F.least(F.col(n), (F.col("__part") + 1) * part) - 1
+    many = many.withColumn("number", F.explode(F.sequence(F.col("__part") * part, last))).drop("__part")
+    return few.unionByName(many)
+
+
 #: Edges up to this number (32 MB) are joined up inside one task.
 IN_ONE_TASK = 2_000_000
 

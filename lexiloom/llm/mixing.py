@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import written
+from .graph import numbered, written
 
 #: White space of the word definition, and the weights that sources take in turn.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,21 +72,6 @@ def _order(number: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("-")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-#: Identical rows are numbered in parts of so many.
-PART = 1000
-
-
-def _numbered(counted: DataFrame) -> DataFrame:
-    """One row for each of the `n` identical rows that a row stands for, with its `number`. Rows that
-    stand for more than a part are dealt out part by part first."""
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))).alias("__part")
-    last = F.least(F.col("n"), (F.col("__part") + 1) * PART) - 1
-    number = F.explode(F.sequence(F.col("__part") * PART, last)).alias("number")
-    few = counted.filter(F.col("n") <= PART).withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    many = counted.filter(F.col("n") > PART).select("*", part).repartition("h", "__part").select(*counted.columns, "__part", number).drop("__part")
-    return few.unionByName(many)
-
-
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -150,7 +135,7 @@ def mix(
     first = F.col("start") + F.coalesce(F.sum(width).over(within), F.lit(0))
     counted = placed.join(starts, ["rank", "block"]).withColumn("first", first)
     taken = (
-        _numbered(counted)
+        numbered(counted, "h")
         .withColumn("before", F.col("first") + F.col("number") * F.col("size"))
         .withColumn("more", (F.col("before") + F.col("size") / 2 < F.col("extra")).cast("int"))
         .withColumn("copies", F.col("whole") + F.col("more"))

@@ -16,14 +16,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import written
+from .graph import numbered, written
 
 BITS = 128
 
 
+def _hash(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """128 bits, 64 of the id and 64 of the content, as text of 0 and 1."""
+    return F.concat(_bits(F.xxhash64(F.lit(11), F.col(id_col))), _bits(F.xxhash64(F.lit(12), F.col(id_col), F.col(text_col))))
+
+
 def shards(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -39,10 +44,41 @@ def shards(
     A null text has no bytes; a null id is hashed like any other value; identical rows are dealt to
     pages by number; an empty table gives no rows. Other columns are ignored. The same rows get the
     same shards in every run."""
+    found = _leaves(df, id_col, text_col, limit, step)
+    rows = numbered(found, "bits", "rows")
+    page = F.when(_over(limit), F.floor(F.col("number") / _room(limit))).otherwise(0).cast("long")
+    on_page = F.least(_room(limit), F.col("rows") - page * _room(limit)) * F.col("n_bytes")
+    return rows.select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        "depth",
+        "prefix",
+        page.alias("page"),
+        _name(limit, page).alias("shard"),
+        F.when(_over(limit), on_page).otherwise(F.col("shard_bytes")).alias("shard_bytes"),
+    )
+
+
+def _over(limit: int) -> Column:
+    return F.col("shard_bytes") > limit
+
+
+def _room(limit: int) -> Column:
+    """Rows to a page of a bucket of identical rows beyond the limit: as many as fit, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
+
+
+def _name(limit: int, page: Column) -> Column:
+    return F.when(_over(limit), F.concat_ws("-", "prefix", page.cast("string"))).otherwise(F.col("prefix"))
+
+
+def _leaves(df: DataFrame, id_col: str, text_col: str, limit: int, step: int) -> DataFrame:
+    """Rows of the same id and text as one, with the leaf they fall in: id, n_bytes, bits, rows,
+    depth, prefix, shard_bytes."""
     hashed = df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-        F.concat(_bits(F.xxhash64(F.lit(11), F.col(id_col))), _bits(F.xxhash64(F.lit(12), F.col(id_col), F.col(text_col)))).alias("bits"),
+        _hash(df, id_col, text_col).alias("bits"),
     )
     # Identical rows as one with their number.
     rows = written(hashed.groupBy("id", "n_bytes", "bits").agg(F.count("*").alias("rows")), "shard-rows")
@@ -83,21 +119,20 @@ def shards(
     found = leaves[0]
     for more in leaves[1:]:
         found = found.unionByName(more)
-    # A bucket of identical rows beyond the limit: as many to a page as fit, one at least.
-    overflow = F.col("shard_bytes") > limit
-    room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
-    numbered = found.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
-    page = F.when(overflow, F.floor(F.col("number") / room)).otherwise(0).cast("long")
-    on_page = F.least(room, F.col("rows") - page * room) * F.col("n_bytes")
-    return numbered.select(
-        F.col("id").alias(id_col),
-        "n_bytes",
-        "depth",
-        "prefix",
-        page.alias("page"),
-        F.when(overflow, F.concat_ws("-", "prefix", page.cast("string"))).otherwise(F.col("prefix")).alias("shard"),
-        F.when(overflow, on_page).otherwise(F.col("shard_bytes")).alias("shard_bytes"),
-    )
+    return found
+
+
+def directory(assigned: DataFrame, most_bits: int = 16) -> DataFrame:
+    """The directory of the shards of shards(): entry (a number of so many bits as the deepest shard
+    has, `most_bits` at most, as text), shard, depth. A shard of less depth has several entries; of
+    shards deeper than the directory each has the entry of its leading bits."""
+    leaves = assigned.select("shard", "depth", "prefix").distinct()
+    depth = leaves.agg(F.least(F.max("depth"), F.lit(most_bits)).alias("bits"))
+    free = F.col("bits") - F.least("depth", "bits")
+    tail = F.expr("explode(sequence(0L, shiftleft(1L, cast(free as int)) - 1))")
+    spread = leaves.join(F.broadcast(depth)).withColumn("free", free).withColumn("tail", tail)  # one row
+    entry = F.when(F.col("free") > 0, F.concat("prefix", F.expr("lpad(bin(tail), cast(free as int), '0')"))).otherwise(F.expr("substring(prefix, 1, cast(bits as int))"))
+    return spread.select(entry.alias("entry"), "shard", "depth")
 
 
 def _bits(number: Column) -> Column:
@@ -105,7 +140,25 @@ def _bits(number: Column) -> Column:
     return F.lpad(F.bin(number), 64, "0")
 
 
-def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes `df` under one folder for each shard of `assigned`."""
-    placed = df.join(assigned.select(id_col, "shard").dropDuplicates([id_col]), id_col)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 8 << 20, step: int = 8) -> None:
+    """Writes the rows of `df`, all columns, under one folder shard=<name> for each of its shards.
+
+    Rows are placed by id and content as shards() does it, so that rows with a null id, a null text
+    or a shared id are written, each where it belongs; rows that repeat id and text fill the pages of
+    their bucket in turn. A column named shard comes along as it is in the rows' `row` column; an
+    empty table writes no folder. Rows are written as they are, whole."""
+    leaves = written(_leaves(df, id_col, text_col, limit, step), "shard-of")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(_hash(df, id_col, text_col).alias("bits"), whole)
+    placed = rows.join(leaves.drop("id"), "bits")
+    plain = placed.filter(~_over(limit)).select(F.col("prefix").alias("shard"), "row")
+    # Rows of overflowing buckets are numbered task by task, from where the tasks before end.
+    over = written(placed.filter(_over(limit)).withColumn("task", F.spark_partition_id()), "shard-over")
+    counts = over.groupBy("bits", "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bits").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("bits", "task", before.alias("start"))
+    within = F.row_number().over(Window.partitionBy("bits", "task").orderBy(F.lit(0))) - 1
+    numbers = over.withColumn("within", within).join(starts, ["bits", "task"])
+    paged = numbers.select(_name(limit, F.floor((F.col("start") + F.col("within")) / _room(limit)).cast("long")).alias("shard"), "row")
+    named = plain.unionByName(paged).withColumn("shard", F.when(F.col("shard") == "", "all").otherwise(F.col("shard")))
+    named.select("shard", *([F.col("row")] if "shard" in df.columns else [F.col("row.*")])).repartition("shard").write.partitionBy("shard").parquet(path)

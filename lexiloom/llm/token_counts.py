@@ -50,7 +50,7 @@ def lengths(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame
     return df.select(F.col(text_col).alias("text")).mapInPandas(run, "n_tokens long, n_docs long")
 
 
-def histogram(df: DataFrame, vocabulary: str, text_col: str = "text", block: int = 1024) -> DataFrame:
+def histogram(df: DataFrame, vocabulary: str, text_col: str = "text", block: int = 128) -> DataFrame:
     """One row per distinct encoded length: n_tokens, n_docs, docs_at_least and tokens_at_least (of
     documents of that length or more), docs_shorter and tokens_shorter, tokens_within (what is left
     of all documents if each is cut at n_tokens) and share_within (of documents up to that length).
@@ -95,7 +95,7 @@ def histogram(df: DataFrame, vocabulary: str, text_col: str = "text", block: int
 
 def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: docs_over, docs_total, tokens_total and tokens_within (tokens left if
-    documents are cut at the limit), from a table made by histogram()."""
+    documents are cut at the limit), from a table made by histogram(); none from an empty one."""
     spark = table.sparkSession
     want = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
     over = F.col("n_tokens") > F.col("context_limit")
@@ -113,5 +113,6 @@ def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantile(table: DataFrame, share: float) -> DataFrame:
-    """The smallest length that at least `share` of the documents stay within: one row, n_tokens."""
+    """The smallest length that at least `share` of the documents stay within: one row, n_tokens,
+    null for an empty table."""
     return table.filter(F.col("share_within") >= share).agg(F.min("n_tokens").alias("n_tokens"))

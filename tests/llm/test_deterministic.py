@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,62 @@ def test_classifier_tells_kinds_apart(spark):
     assert (out.sort_values("doc_id")["score"].to_numpy() == again.sort_values("doc_id")["score"].to_numpy()).all()
 
 
+def test_ftrl_against_a_plain_version():
+    """The same features and updates, one number at a time."""
+    bits, rng = 12, random.Random(5)
+    texts = [prose(rng, rng.randint(1, 30)) for _ in range(40)] + ["", "A a!! 7b", "One"]
+    labels = [i % 2 for i in range(len(texts))]
+    mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def places(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text)
+        word = [zlib.crc32(t.lower().encode()) for t in tokens]
+        kind = [zlib.crc32(classifier.shape(t).encode()) for t in tokens]
+        raw = [w * mix for w in word] + [k * mix + 1 for k in kind]
+        if len(tokens) > 1:
+            raw += [((a * mix & mask) ^ b) * mix + 2 for a, b in zip(word, word[1:])] + [((a * mix & mask) ^ b) * mix + 3 for a, b in zip(kind, kind[1:])]
+            raw += [(4 if a == b else 5) * mix for a, b in zip(word, word[1:])]
+        return [(x & mask) >> (64 - bits) for x in raw]
+
+    found, counts = classifier.features(texts, bits, classifier.Hasher())
+    ends = np.cumsum(counts)
+    own = [found[a:b].tolist() for a, b in zip(ends - counts, ends)]
+    assert own == [places(t) for t in texts]
+    model = classifier.train([(np.array(p, np.int32), y) for p, y in zip(own, labels)], bits)
+    z, n = Counter(), Counter()
+    alpha, beta, l1, l2 = 2.0, 1.0, 1e-4, 1e-3
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    def sample(p):
+        return {**{k: c / max(1, len(p)) for k, c in Counter(p).items()}, "bias": 1.0}
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(own)):
+            x = sample(own[k])
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - labels[k]
+            for i, v in x.items():
+                sigma = (math.sqrt(n[i] + (g * v) ** 2) - math.sqrt(n[i])) / alpha
+                z[i] += g * v - sigma * w[i]
+                n[i] += (g * v) ** 2
+    want = [1 / (1 + math.exp(-sum(weight(i) * v for i, v in sample(p).items()))) for p in own]
+    assert model.scores(texts, classifier.Hasher()) == pytest.approx(want, abs=1e-6)
+
+
+def test_classifier_bounds(spark):
+    """Texts beyond the bounds are left out, repeated rows count once, and ids may be texts."""
+    docs = spark.createDataFrame([(f"d{i % 60}", prose(random.Random(i % 60), 30)) for i in range(120)] + [("long", "x " * 5000)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)] + [("long", 1)], "doc_id string, quality int")
+    one = classifier.fit(docs, labels, bits=12, most_chars=8000)
+    two = classifier.fit(docs.dropDuplicates().filter("doc_id <> 'long'"), labels, bits=12, most_chars=8000)
+    assert np.array_equal(one.weights, two.weights) and np.abs(one.weights).sum() > 0
+    none = classifier.fit(docs, labels, bits=12, most_chars=10)
+    assert not none.weights.any()
+
+
 def test_classifier_edges(spark, docs, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = classifier.fit(docs, labels, bits=12)
@@ -248,6 +305,24 @@ def test_sharding(spark, docs, nothing, limit):
         if prefix:  # the bucket one bit above was over the limit
             assert out[out["prefix"].str.startswith(prefix[:-1])]["n_bytes"].sum() > limit
     assert sharding.shards(nothing).count() == 0
+    if limit == 3_000:
+        depth = min(16, out["depth"].max())
+        entries = {r["entry"]: r["shard"] for r in sharding.directory(sharding.shards(df, limit=limit)).collect()}
+        assert {len(e) for e in entries} <= {depth} and len(entries) == 2**depth
+        assert set(entries.values()) <= set(out["shard"])
+
+
+def test_write_shards(spark, nothing, tmp_path):
+    rng = random.Random(2)
+    rows = [(i % 20, prose(rng, 20)) for i in range(200)] + [(None, "no id"), (None, None), (3, None), (4, "")] + [(7, "same text")] * 500
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(4)
+    sharding.write_shards(df, str(tmp_path / "s"), limit=1000)
+    back = spark.read.option("inferSchema", "false").parquet(str(tmp_path / "s")).toPandas()
+    assert sorted(back["k"]) == list(range(len(rows)))
+    size = back.assign(n=back["text"].map(lambda x: len((x or "").encode()))).groupby("shard")["n"].agg(["sum", "size"])
+    assert ((size["sum"] <= 1000) | (size["size"] == 1)).all()
+    sharding.write_shards(nothing, str(tmp_path / "none"))
+    assert not [x for x in (tmp_path / "none").iterdir() if x.name.startswith("shard=")]
 
 
 # 5 Secret scans ---------------------------------------------------------------------------------
@@ -522,7 +597,8 @@ def test_token_counts(spark, docs, nothing, texts):
     for r in token_counts.at_limits(table, [0, 7, 100, 10**6]).collect():
         assert r["tokens_within"] == sum(min(x, r["context_limit"]) for x in n) and r["tokens_total"] == sum(n)
     assert token_counts.quantile(table, 0.5).first()["n_tokens"] == n[math.ceil(len(n) / 2) - 1]
-    assert token_counts.histogram(nothing, path).count() == 0
+    empty = graph.written(token_counts.histogram(nothing, path), "t")
+    assert empty.count() == 0 and token_counts.at_limits(empty, [5]).count() == 0 and token_counts.quantile(empty, 0.5).first()["n_tokens"] is None
 
 
 # 10 Quality rules -------------------------------------------------------------------------------
