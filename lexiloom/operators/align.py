@@ -31,10 +31,11 @@ def title_scores(a: DataFrame, b: DataFrame, key: str = "pair_id") -> DataFrame:
     return easy.unionByName(hard).select(key, "i", "j", "score")
 
 
-def assign_greedy(scores: DataFrame, key: str, least: float) -> DataFrame:
-    """For i in order the best unused j of at least `least`, the smaller j of equal ones: key, i, j,
-    score. A fold over the group's scores, with the used j carried along."""
-    ranked = scores.filter(F.col("score") >= least).groupBy(key, "i").agg(
+def assign_greedy(scores: DataFrame, key: str, least: float, strict: bool = False) -> DataFrame:
+    """For i in order the best unused j of at least `least` (above it if strict), the smaller j of equal
+    ones: key, i, j, score. A fold over the group's scores, with the used j carried along."""
+    enough = F.col("score") > least if strict else F.col("score") >= least
+    ranked = scores.filter(enough).groupBy(key, "i").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("j").cast("bigint").alias("j")))).alias("best")
     )
     rows = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "best"))).alias("rows"))
@@ -105,23 +106,39 @@ def align(scores: DataFrame, key: str, gap: float = -0.15, match: float = 0.92,
     return _typed(rows, match, partial)
 
 
-def align_texts(pairs: DataFrame, key: str, a: str, b: str, gap: float = -0.15, match: float = 0.92, partial: float = 0.75) -> DataFrame:
-    """Global alignment of the chunks (arrays of strings a and b) of each row by their text
-    score (six tenths word overlap, four tenths indel ratio): the same columns as align(). A pair's
-    matrix never leaves its task, so nothing is shuffled."""
-
-    def scores(x: list[str], y: list[str]) -> np.ndarray:
-        known: dict[tuple[str, str], float] = {}
-        for s in set(x):
-            for t in set(y):
-                known[s, t] = kernels.text_score(s, t)
-        return np.array([[known[s, t] for t in y] for s in x], np.float64).reshape(len(x), len(y))
+def align_texts(
+    pairs: DataFrame,
+    key: str,
+    a: str,
+    b: str,
+    gap: float = -0.15,
+    match: float = 0.92,
+    partial: float = 0.75,
+    vectors: tuple[str, str] | None = None,
+    string_weight: float = 0.3,
+    vector_weight: float = 0.7,
+) -> DataFrame:
+    """Global alignment of the chunks (arrays of strings a and b) of each row by their score: the same
+    columns as align(). The score of two chunks is that of their texts (six tenths word overlap, four
+    tenths indel ratio); where `vectors` names arrays of vectors, one a chunk, it is string_weight of
+    that and vector_weight of the vectors' cosine. A side without chunks gives deletions or insertions
+    only. A pair's matrix never leaves its task, so nothing is shuffled."""
+
+    def scores(row) -> np.ndarray:
+        text_score = kernels.text_scores(list(row.a), list(row.b))
+        if vectors is None:
+            return text_score
+        x, y = (np.stack(v).astype(np.float64) for v in (row.va, row.vb))
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None] for v in (x, y))
+        return string_weight * text_score + vector_weight * (x @ y.T)
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                score = scores(list(row.a), list(row.b))
-                _, steps = kernels.global_alignment(score, gap)
+                x, y = row.a, row.b
+                n, m = 0 if x is None else len(x), 0 if y is None else len(y)
+                score = scores(row) if n and m else np.zeros((n, m))
+                steps = kernels.global_alignment(score, gap)[1] if n and m else [(i, -1) for i in range(n)] + [(-1, j) for j in range(m)]
                 yield pd.DataFrame(
                     {
                         "key": row.key,
@@ -133,7 +150,8 @@ def align_texts(pairs: DataFrame, key: str, a: str, b: str, gap: float = -0.15,
                 )
 
     kind = pairs.schema[key].dataType.simpleString()
-    given = pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
+    more = [] if vectors is None else [F.col(vectors[0]).alias("va"), F.col(vectors[1]).alias("vb")]
+    given = pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"), *more)
     rows = given.mapInPandas(run, f"key {kind}, ord long, i long, j long, align_score double")
     return _typed(rows.withColumnRenamed("key", key), match, partial)
 
@@ -144,6 +162,21 @@ def _typed(rows: DataFrame, match: float, partial: float) -> DataFrame:
     return rows.withColumn("alignment_type", F.when(F.col("j").isNull(), "delete").when(F.col("i").isNull(), "insert").otherwise(paired))
 
 
+def mapped(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` with the mapping of equal `columns`; nulls are equal to nulls. Rows without one stay."""
+    m = mapping.withColumnsRenamed({c: f"_m_{c}" for c in columns})
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    return rows.join(m, on, "left").drop(*[f"_m_{c}" for c in columns])
+
+
+def ranked(matches: DataFrame, key: str) -> DataFrame:
+    """Mappings of each pair by falling score, as they stood among equal ones: adds place."""
+    order = Window.partitionBy(key).orderBy(F.desc("score"), F.col("i").asc_nulls_last(), "j")
+    return matches.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def leftovers(chunks: DataFrame, mapped: DataFrame, key: list[str], kind: str) -> DataFrame:
     """Chunks without a mapped section, as `kind` (delete or insert), in order."""
     alone = chunks.join(mapped, key, "left_anti")

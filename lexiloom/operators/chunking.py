@@ -59,21 +59,35 @@ def pack_paragraphs(paragraphs: Column, limit: int, overlap: int = 0, joiner: st
     return pack(paragraphs, limit, 0, joiner, lambda x: pack_sentences(sentences_terminal(x), limit, overlap))
 
 
-def distinct_chunks(chunks: DataFrame, by: list[str]) -> DataFrame:
-    """The first of equal chunks, by place, in each group of `by`."""
-    keep = chunks.groupBy(*by, "content_hash").agg(F.min("chunk_index").alias("chunk_index"))
-    return chunks.join(keep, [*by, "content_hash", "chunk_index"], "left_semi")
+def distinct_chunks(chunks: DataFrame, by: list[str], place: list[str] | None = None) -> DataFrame:
+    """The first of equal chunks, by place (the columns `place`, chunk_index alone unless given), in
+    each group of `by`."""
+    place = place or ["chunk_index"]
+    keep = chunks.groupBy(*by, "content_hash").agg(F.min(F.struct(*place)).alias("_first")).select(*by, "content_hash", "_first.*")
+    return chunks.join(keep, list(dict.fromkeys([*by, "content_hash", *place])), "left_semi")
 
 
 def similar_chunk_pairs(chunks: DataFrame, by: list[str], above: float = 0.9) -> DataFrame:
-    """Pairs (i < j) of chunks of a group whose word sets overlap by more than `above` of the smaller,
-    found by joining on words, never each with each: pairs without a common word can't qualify."""
-    sets = chunks.select(*by, "chunk_index", word_set(F.col("text")).alias("w"))
-    words = sets.select(*by, "chunk_index", F.explode("w").alias("word"), F.size("w").alias("n"))
-    left = words.select(*by, "word", F.col("chunk_index").alias("i"), F.col("n").alias("n_i"))
-    right = words.select(*by, "word", F.col("chunk_index").alias("j"), F.col("n").alias("n_j"))
-    shared = left.join(right, [*by, "word"]).filter("i < j").groupBy(*by, "i", "j", "n_i", "n_j").agg(F.count("*").alias("shared"))
-    return shared.filter(F.col("shared") / F.least("n_i", "n_j") > above).select(*by, "i", "j")
+    """Pairs (i < j) of chunks of a group whose word sets overlap by more than `above` of the smaller.
+
+    With words in one order, the group's rare ones first, the smaller set has a word in common with
+    the other among all but `above` of its own; so each set is joined by these first words with all
+    words of the others, which common words seldom are, and only pairs that meet are compared."""
+    sets = chunks.select(*by, "chunk_index", word_set(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    words = sets.select(*by, "chunk_index", "n", F.explode("w").alias("word"))
+    common = words.groupBy(*by, "word").agg(F.count("*").alias("of")).filter("of > 1")
+    shared = words.join(common, [*by, "word"])
+    ranked = shared.groupBy(*by, "chunk_index", "n").agg(F.sort_array(F.collect_list(F.struct("of", "word"))).alias("s"))
+    # Words of one chunk alone come before all and need not be listed.
+    first = F.col("n") - F.floor(F.col("n") * above) - (F.col("n") - F.size("s"))
+    prefix = F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    few = ranked.select(*by, F.col("chunk_index").alias("x"), F.col("n").alias("n_x"), F.explode(F.transform(prefix, lambda v: v["word"])).alias("word"))
+    other = shared.select(*by, "word", F.col("chunk_index").alias("y"), F.col("n").alias("n_y"))
+    met = few.join(other, [*by, "word"]).filter((F.col("x") != F.col("y")) & (F.col("n_x") <= F.col("n_y")))
+    pairs = met.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
+    side = lambda k: sets.select(*by, F.col("chunk_index").alias(k), F.col("w").alias(f"w_{k}"))
+    both = pairs.join(side("i"), [*by, "i"]).join(side("j"), [*by, "j"])
+    return both.filter(overlap_coefficient(F.col("w_i"), F.col("w_j")) > above).select(*by, "i", "j")
 
 
 def near_dedup(chunks: DataFrame, by: list[str], above: float = 0.9) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import features16
@@ -29,3 +30,47 @@ def embed(df: DataFrame, text_col: str = "text", make_model: Callable | None = N
     distinct = keyed.filter("content_hash is not null").groupBy("content_hash").agg(F.first(text_col).alias("text"))
     vectors = distinct.select("content_hash", "text").mapInPandas(run, "content_hash string, vector array<float>")
     return keyed.join(vectors, "content_hash", "left").drop("content_hash")
+
+
+def search(queries: DataFrame, rows: DataFrame, most: int | None = None, digits: int | None = None, block: int = 2000) -> DataFrame:
+    """Cosines of the vectors of `queries` with those of all `rows` of another id, both (id, vector):
+    a_id, b_id, score; 0 if either vector is zero. With `most` only that many of the greatest of each
+    query, the smaller id first of equal ones (after rounding to `digits`).
+
+    Either side is dealt into blocks of about `block` and ten times as many vectors, and a task takes
+    one block of each, as a product of two matrices; of its scores only the best leave it."""
+    parts = lambda df, size: max(1, -(-df.count() // size))
+    n_a, n_b = parts(queries, block), parts(rows, 10 * block)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.select("id", "vector", place(n_a).alias("p")).withColumn("q", all_of(n_b))
+    b = rows.select(F.col("id").alias("other"), F.col("vector").alias("w"), place(n_b).alias("v")).withColumn("u", all_of(n_a))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"a_id": np.zeros(0, np.int64), "b_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if left.empty or right.empty:
+            return empty
+        right = right.sort_values("other", ignore_index=True)
+        score = unit(left["vector"]) @ unit(right["w"]).T
+        a_id, b_id = left["id"].to_numpy(), right["other"].to_numpy()
+        if digits is not None:
+            score = np.round(score, digits)
+        if most is None:
+            i, j = np.nonzero(a_id[:, None] != b_id[None, :])
+        else:
+            order = np.argsort(-score, axis=1, kind="stable")[:, : most + 1]
+            i, j = np.repeat(np.arange(len(left)), order.shape[1]), order.ravel()
+            other = a_id[i] != b_id[j]
+            i, j = i[other], j[other]
+        return pd.DataFrame({"a_id": a_id[i], "b_id": b_id[j], "score": score[i, j]})
+
+    found = a.groupBy("p", "q").cogroup(b.groupBy("u", "v")).applyInPandas(run, "a_id long, b_id long, score double")
+    if most is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")

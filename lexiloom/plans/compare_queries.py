@@ -71,7 +71,7 @@ def text_similarity(spark, sf_dir):
 # Assignment: two sides of the vectors of a label, by parity ------------------------------------
 
 VEC_SCORES = """SELECT a.label AS label, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score
- FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 1"""
+ FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1"""
 
 
 def vector_sides(spark, sf_dir):
@@ -108,7 +108,7 @@ D_BEST = f"(SELECT * FROM ({VEC_SCORES}) QUALIFY row_number() OVER (PARTITION BY
 
 
 @query(
-    f"""WITH a AS (SELECT DISTINCT label, vec_id AS i FROM embeddings WHERE vec_id % 10 = 0), b AS (SELECT DISTINCT label, vec_id AS j FROM embeddings WHERE vec_id % 10 = 1), m AS {D_BEST}
+    f"""WITH a AS (SELECT DISTINCT label, vec_id AS i FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT DISTINCT label, vec_id AS j FROM embeddings WHERE vec_id % 2 = 1), m AS {D_BEST}
     SELECT coalesce(a.label, x.label) AS label, a.i, x.j, coalesce(x.score, 0.0) AS score, CASE WHEN x.j IS NULL THEN 'deleted' WHEN a.i IS NULL THEN 'added'
       WHEN score >= 0.4 THEN 'exact' WHEN score >= 0.2 THEN 'partial' ELSE 'poor' END AS match_type
     FROM a FULL OUTER JOIN (SELECT b.label, b.j, m.i, m.score FROM b LEFT JOIN m ON m.label = b.label AND m.j = b.j) x ON a.label = x.label AND a.i = x.i"""
@@ -128,15 +128,6 @@ def section_full_map(spark, sf_dir):
 # Alignment of chunks ---------------------------------------------------------------------------
 
 
-def chunk_scores(spark, sf_dir):
-    """Word overlap of the sentences of the documents of each pair, within the pair."""
-    p = pairs(spark, sf_dir).filter("length(a_text) < 4000").withColumn("pair_id", pair_key(F.col("a_id"), F.col("b_id")))
-    cut = lambda c: F.filter(F.split(c, r"\. "), lambda x: x != "")
-    a = p.select("pair_id", F.posexplode(cut(F.col("a_text"))).alias("i", "x")).select("pair_id", F.col("i").cast("long").alias("i"), T.word_set(F.col("x")).alias("x"))
-    b = p.select("pair_id", F.posexplode(cut(F.col("b_text"))).alias("j", "y")).select("pair_id", F.col("j").cast("long").alias("j"), T.word_set(F.col("y")).alias("y"))
-    return a.join(b, "pair_id").select("pair_id", "i", "j", T.jaccard(F.col("x"), F.col("y")).alias("score"))
-
-
 def aligned(spark, sf_dir):
     """The sentences of each document pair aligned with one another."""
     cut = lambda c: F.filter(F.split(c, r"\. "), lambda x: x != "")
@@ -261,20 +252,20 @@ def chunk_table(spark, sf_dir):
     """Lines as chunks of their document's language."""
     d = read(spark, sf_dir, "documents")
     c = d.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).filter("length(text) >= 100")
-    return c.select("lang", "doc_id", (F.col("doc_id") * 10000 + F.col("k")).alias("chunk_index"), "text").withColumn("content_hash", F.md5("text"))
+    return c.select("lang", "doc_id", F.col("k").cast("long").alias("chunk_index"), "text").withColumn("content_hash", F.md5("text"))
 
 
-D_CHUNKS = "(SELECT *, md5(text) AS content_hash FROM (SELECT lang, doc_id, doc_id * 10000 + generate_subscripts(l, 1) - 1 AS chunk_index, unnest(l) AS text FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(text) >= 100)"
+D_CHUNKS = "(SELECT *, md5(text) AS content_hash FROM (SELECT lang, doc_id, generate_subscripts(l, 1) - 1 AS chunk_index, unnest(l) AS text FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(text) >= 100)"
 
 
-@query(rf"SELECT chunk_index, content_hash, len(list_filter(string_split_regex(text, '{D_SP}+'), lambda x: x <> '')) AS word_count FROM {D_CHUNKS}")
+@query(rf"SELECT doc_id, chunk_index, content_hash, len(list_filter(string_split_regex(text, '{D_SP}+'), lambda x: x <> '')) AS word_count FROM {D_CHUNKS}")
 def chunk_table_hashes(spark, sf_dir):
-    return chunk_table(spark, sf_dir).select("chunk_index", "content_hash", F.size(T.words(F.col("text"))).cast("long").alias("word_count"))
+    return chunk_table(spark, sf_dir).select("doc_id", "chunk_index", "content_hash", F.size(T.words(F.col("text"))).cast("long").alias("word_count"))
 
 
-@query(f"SELECT lang, content_hash, min(chunk_index) AS chunk_index FROM {D_CHUNKS} GROUP BY lang, content_hash")
+@query(f"SELECT lang, content_hash, arg_min(doc_id, (doc_id, chunk_index)) AS doc_id, arg_min(chunk_index, (doc_id, chunk_index)) AS chunk_index FROM {D_CHUNKS} GROUP BY lang, content_hash")
 def chunk_exact_dedup(spark, sf_dir):
-    return chunking.distinct_chunks(chunk_table(spark, sf_dir), ["lang"]).select("lang", "content_hash", "chunk_index")
+    return chunking.distinct_chunks(chunk_table(spark, sf_dir), ["lang"], ["doc_id", "chunk_index"]).select("lang", "content_hash", "doc_id", "chunk_index")
 
 
 @query(

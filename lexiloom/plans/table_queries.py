@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dashboard, scoring
+from ..operators.embedding import search
 from .registry import query, read, sql
 
 SALES = """SELECT CAST(o.o_orderdate AS DATE) AS day, c.c_mktsegment AS segment, r.r_name AS region, l.l_quantity AS units, l.l_extendedprice / l.l_quantity AS unit_price,
@@ -57,28 +58,23 @@ sql("dash_range", "SELECT CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(
 
 @query(
     """SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0"""
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0"""
 )
 def cosine_pairs(spark, sf_dir):
     """The stated set of vectors (ids divisible by 20) with all others."""
-    e = read(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"))
-    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("y"))
-    # Every pair is wanted, so there is no key: a task takes a block of either side.
-    return a.crossJoin(b).filter("a_id <> b_id").select("a_id", "b_id", F.round(T.cosine(F.col("x"), F.col("y")), 5).alias("score"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search(e.filter("id % 20 = 0"), e).select("a_id", "b_id", F.round("score", 5).alias("score"))
 
 
 @query(
     """SELECT a_id, b_id, score FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rn FROM (
     SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rn <= 5"""
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rn <= 5"""
 )
 def cosine_topk(spark, sf_dir):
     """The five nearest of all others for a stated set of vectors."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
-    return cosine_pairs(spark, sf_dir).withColumn("rn", rank).filter("rn <= 5").drop("rn")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search(e.filter("id % 20 = 0"), e, most=5, digits=5)
 
 
 sql(
@@ -111,23 +107,27 @@ def score_grade(spark, sf_dir):
 ALIGN_FROM = """SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.n, b.n) AS ord, coalesce(a.n, b.n) % 4 AS section, coalesce(a.len, 0) AS len_a, coalesce(b.len, 0) AS len_b,
  CASE WHEN b.n IS NULL THEN 'delete' WHEN a.n IS NULL THEN 'insert' WHEN a.len = b.len THEN 'match' WHEN 4 * abs(a.len - b.len) <= a.len THEN 'partial' ELSE 'replace' END AS alignment_type,
  CASE WHEN coalesce(a.n, b.n) % 5 = 0 THEN NULL WHEN a.len IS NULL OR b.len IS NULL THEN 0 ELSE least(a.len, b.len) / greatest(a.len, b.len) END AS score
- FROM (SELECT p.a_id * 100000 + p.b_id AS pair_id, s.n, s.len FROM {P} p JOIN {S} s ON p.a_id = s.doc_id) a
- FULL OUTER JOIN (SELECT p.a_id * 100000 + p.b_id AS pair_id, s.n, s.len FROM {P} p JOIN {S} s ON p.b_id = s.doc_id) b ON a.pair_id = b.pair_id AND a.n = b.n"""
-_D_PAIRS = "(SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM documents a JOIN documents b ON a.lang = b.lang AND abs(length(a.text) - length(b.text)) * 20 <= length(a.text) WHERE a.doc_id < b.doc_id AND a.doc_id % 25 = 0)"
+ FROM (SELECT concat(p.a_id, '-', p.b_id) AS pair_id, s.n, s.len FROM {P} p JOIN {S} s ON p.a_id = s.doc_id) a
+ FULL OUTER JOIN (SELECT concat(p.a_id, '-', p.b_id) AS pair_id, s.n, s.len FROM {P} p JOIN {S} s ON p.b_id = s.doc_id) b ON a.pair_id = b.pair_id AND a.n = b.n"""
+_D_PAIRS = "(SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM documents a JOIN documents b ON a.lang = b.lang AND abs(length(a.text) - length(b.text)) * 20 <= length(a.text) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id)"
 _D_S = "(SELECT doc_id, unnest(range(len(l)))::BIGINT AS n, unnest(list_transform(l, lambda x: length(x)))::DOUBLE AS len FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents))"
 D_ALIGN = "(" + ALIGN_FROM.replace("{P}", _D_PAIRS).replace("{S}", _D_S) + ")"
 
 
 def alignments(spark, sf_dir):
+    """The lengths of two documents' sentences side by side: computed once a document, joined once a
+    pair, and only then one row a sentence."""
     from .text_queries import pair_key, pair_values
 
-    d = read(spark, sf_dir, "documents")
-    s = d.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("n", "x")).select(
-        "doc_id", F.col("n").cast("long").alias("n"), F.length("x").cast("double").alias("len")
-    )
-    p = pair_values(spark, sf_dir, F.length).select("a_id", "b_id", pair_key(F.col("a_id"), F.col("b_id")).alias("pair_id"))
-    keyed = ALIGN_FROM.replace("p.a_id * 100000 + p.b_id AS pair_id", "p.pair_id")
-    return spark.sql(keyed.replace("{P}", "{p}").replace("{S}", "{s}"), p=p, s=s)
+    lengths = lambda c: F.transform(F.split(c, r"\. "), lambda x: F.length(x).cast("double"))
+    p = pair_values(spark, sf_dir, lengths).select(pair_key(F.col("a_id"), F.col("b_id")).alias("pair_id"), F.posexplode(F.arrays_zip("x", "y")).alias("ord", "s"))
+    a, b, ord_ = F.col("s.x"), F.col("s.y"), F.col("ord").cast("long")
+    kind = F.when(b.isNull(), "delete").when(a.isNull(), "insert").when(a == b, "match").when(4 * F.abs(a - b) <= a, "partial").otherwise("replace")
+    score = F.when(ord_ % 5 == 0, F.lit(None)).when(a.isNull() | b.isNull(), 0.0).otherwise(F.least(a, b) / F.greatest(a, b))
+    return p.select(
+        "pair_id", ord_.alias("ord"), (ord_ % 4).alias("section"), F.coalesce(a, F.lit(0.0)).alias("len_a"), F.coalesce(b, F.lit(0.0)).alias("len_b"),
+        kind.alias("alignment_type"), score.alias("score"),
+    )
 
 
 D_SCORE = "(CASE alignment_type WHEN 'match' THEN 1.0 WHEN 'partial' THEN coalesce(score, 0.7) WHEN 'replace' THEN coalesce(score, 0.3) ELSE 0.0 END)::DOUBLE"

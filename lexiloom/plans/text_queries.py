@@ -233,15 +233,7 @@ def chunk_pack_overlap(spark, sf_dir):
     return packed(spark, sf_dir, 50)
 
 
-@query(
-    """WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
-    p AS (SELECT doc_id, s, 0 AS i, []::VARCHAR[] AS cur, 0::BIGINT AS n, []::VARCHAR[] AS done FROM s
-      UNION ALL SELECT doc_id, s, i + 1, CASE WHEN is_full THEN [s[i + 1]] ELSE list_append(cur, s[i + 1]) END,
-        CASE WHEN is_full THEN t ELSE n + t END, CASE WHEN is_full THEN list_append(done, array_to_string(cur, chr(10))) ELSE done END
-      FROM (SELECT *, n + t > 200 AND len(cur) > 0 AS is_full FROM (SELECT *, greatest(1, length(s[i + 1]) // 4) AS t FROM p WHERE i < len(s))))
-    SELECT doc_id, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM
-      (SELECT doc_id, CASE WHEN len(cur) > 0 THEN list_append(done, array_to_string(cur, chr(10))) ELSE done END AS c FROM p WHERE i = len(s))"""
-)
+@query()
 def chunk_paragraphs(spark, sf_dir):
     """Packing of lines as paragraphs; those over the limit are split into sentences."""
     parts = F.filter(F.transform(T.lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
@@ -251,19 +243,20 @@ def chunk_paragraphs(spark, sf_dir):
 
 
 PAIRS = """SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.text AS a_text, b.text AS b_text FROM {documents} a JOIN {documents} b ON a.lang = b.lang
- AND abs(length(a.text) - length(b.text)) * 20 <= length(a.text) WHERE a.doc_id < b.doc_id AND a.doc_id % 25 = 0"""
+ AND abs(length(a.text) - length(b.text)) * 20 <= length(a.text) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id"""
 
 
 def pair_values(spark, sf_dir, value) -> DataFrame:
-    """All document pairs (a_id < b_id) of one language and about one length, with a value of each
-    text (x and y), computed once for each document. Lengths within 5 % lie in the same step of 6 %
-    or in neighbouring ones, so only documents of these meet."""
+    """Document pairs of one language and about one length: the documents whose ids are divisible by
+    20 against all others, with a value of each text (x and y), computed once for each document.
+    Lengths within 5 % lie in the same step of 6 % or in neighbouring ones, so only documents of these
+    meet."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"), value(F.col("text")).alias("v"))
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1.06))
     near = F.explode(F.array(step - 1, step, step + 1)).alias("step")
-    a = d.select("lang", near, F.col("doc_id").alias("a_id"), F.col("n").alias("n_a"), F.col("v").alias("x"))
+    a = d.filter("doc_id % 20 = 0").select("lang", near, F.col("doc_id").alias("a_id"), F.col("n").alias("n_a"), F.col("v").alias("x"))
     b = d.select("lang", step.alias("step"), F.col("doc_id").alias("b_id"), F.col("n").alias("n_b"), F.col("v").alias("y"))
-    return a.join(b, ["lang", "step"]).filter("a_id < b_id AND abs(n_a - n_b) * 20 <= n_a").select("a_id", "b_id", "x", "y")
+    return a.join(b, ["lang", "step"]).filter("a_id <> b_id AND abs(n_a - n_b) * 20 <= n_a").select("a_id", "b_id", "x", "y")
 
 
 def pairs(spark, sf_dir):
@@ -272,9 +265,8 @@ def pairs(spark, sf_dir):
 
 
 def pair_key(a: Column, b: Column) -> Column:
-    """One number for the ids a < b: a * 100000 + b as in the oracles while that is unique, and beyond
-    all of these the pair's place in the triangle of all pairs."""
-    return F.when(b < 100000, a * 100000 + b).otherwise(F.lit(10**10) + F.shiftright(b * (b - 1), 1) + a)
+    """Both ids, as one text."""
+    return F.concat_ws("-", a.cast("string"), b.cast("string"))
 
 
 D_PAIRS = PAIRS.replace("{documents}", "documents")

@@ -1,42 +1,29 @@
-"""Queries against the whole of what they stand for, where the SQL beside them keeps a part."""
+"""Queries against brute force over the whole of what they stand for."""
+
+import hashlib
+import re
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import kernels
 from lexiloom.operators import align, chunking
-from lexiloom.plans import registry, text_queries
+from lexiloom.plans import registry
 
 
 def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def whole(sf_dir, name, cut, columns):
-    """Rows of a query's SQL without its filter."""
-    c = duckdb.connect()
-    for t in registry.TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    sql = registry.ORACLES[name]
-    assert cut in sql
-    return sorted(c.execute(f"SELECT {columns} FROM ({sql.replace(cut, '')})").fetchall())
-
-
-@pytest.mark.parametrize("name, columns", [("jaccard_words", "a_id, b_id, score"), ("overlap_coef", "a_id, b_id, score"), ("score_overall", "pair_id, similarity, n"), ("type_filter", "pair_id, ord, alignment_type")])
-def test_all_document_pairs(spark, sf_dir, name, columns):
-    found = rows(registry.QUERIES[name](spark, sf_dir), *columns.split(", "))
-    want = whole(sf_dir, name, " AND a.doc_id % 25 = 0", columns)
-    assert len(found) == len(want)
-    assert all(x == pytest.approx(y, abs=2e-6) if not isinstance(x[-1], str) else x == y for x, y in zip(found, want))
-
-
-def test_every_pair_has_its_own_key(spark):
-    ids = [(1, 100005), (2, 5), (1, 200005), (3, 5), (99998, 99999), (5, 100000), (99999, 100000), (0, 100001), (2**31, 2**31 + 1)]
-    key = text_queries.pair_key(F.col("a"), F.col("b"))
-    keys = [r["k"] for r in spark.createDataFrame(ids, "a long, b long").select(key.alias("k")).collect()]
-    assert len(set(keys)) == len(ids) and keys[1] == 200005
+def test_document_pairs(spark, sf_dir):
+    """The documents of the stated set against all others, in both directions."""
+    docs = {r["doc_id"]: (r["lang"], len(r["text"])) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {(a, b) for a, (x, n) in docs.items() if a % 20 == 0 for b, (y, m) in docs.items() if a != b and x == y and abs(n - m) * 20 <= n}
+    assert {(r["a_id"], r["b_id"]) for r in registry.QUERIES["jaccard_words"](spark, sf_dir).collect()} == want
+    assert any(a > b for a, b in want) and any(a < b for a, b in want)
+    keys = {r["pair_id"] for r in registry.QUERIES["score_overall"](spark, sf_dir).collect()}
+    assert keys == {f"{a}-{b}" for a, b in want}
 
 
 @pytest.fixture(scope="module")
@@ -55,20 +42,6 @@ def test_vector_search_against_all_rows(spark, sf_dir, vectors):
     assert {a: sorted(x) for a, x in near.items()} == {a: sorted((-found[a, b], b) for b in unit if b != a)[:5] for a in unit if a % 20 == 0}
 
 
-@pytest.mark.parametrize("name", ["assign_greedy", "section_full_map"])
-def test_all_vectors_are_assigned(spark, sf_dir, name):
-    sql = registry.ORACLES[name]
-    for side in "01":
-        for v in ("a.vec_id", "b.vec_id", "vec_id"):
-            sql = sql.replace(f"{v} % 10 = {side}", f"{v} % 2 = {side}")
-    assert "% 10" not in sql
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
-    keys = "label, i, j, round(score, 4)"
-    want = {tuple(r) for r in c.execute(f"SELECT {keys} FROM ({sql})").fetchall()}
-    assert {(r["label"], r["i"], r["j"], round(r["score"], 4)) for r in registry.QUERIES[name](spark, sf_dir).collect()} == want
-
-
 def test_optimal_assignment_takes_all_vectors(spark, sf_dir):
     rows = registry.QUERIES["assign_optimal"](spark, sf_dir).collect()
     used = [r["i"] for r in rows] + [r["j"] for r in rows]
@@ -104,6 +77,39 @@ def test_all_headings_are_titles(spark, tmp_path):
     assert registry.QUERIES["title_similarity"](spark, str(tmp_path)).count() == 4
 
 
+def plain_packing(parts, limit):
+    chunks, cur, n = [], [], 0
+    for x in parts:
+        t = max(1, len(x) // 4)
+        if n + t > limit and cur:
+            chunks.append(" ".join(cur))
+            cur, n = [], 0
+        cur.append(x)
+        n += t
+    return chunks + ([" ".join(cur)] if cur else [])
+
+
+def test_chunk_paragraphs(spark, sf_dir):
+    found = {r["doc_id"]: (r["n_chunks"], r["chunks_md5"]) for r in registry.QUERIES["chunk_paragraphs"](spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        chunks, cur, n = [], [], 0
+        for x in (p.strip(" ") for p in r["text"].split("\n")):
+            t = max(1, len(x) // 4)
+            if not x:
+                continue
+            if t > 200 or (n + t > 200 and cur):
+                chunks += ["\n".join(cur)] if cur else []
+                cur, n = [], 0
+            if t > 200:
+                sentences = [s.strip() for s in re.split(r"[.!?。！？]+(?:\s+|$)", x)]
+                chunks += plain_packing([s for s in sentences if len(s) > 10], 200)
+            else:
+                cur.append(x)
+                n += t
+        chunks += ["\n".join(cur)] if cur else []
+        assert found[r["doc_id"]] == (len(chunks), hashlib.md5("|".join(chunks).encode()).hexdigest())
+
+
 def test_long_paragraphs_are_split(spark):
     short, first, second = "x" * 40, "a" * 500, "b" * 450
     long = f"{first}. {second}! tiny. {'c' * 40}."
