@@ -138,6 +138,13 @@ class Codes:
                 shared = shared + np.float32(1 << p) * np.bitwise_count(self.signs[i, 0, w] & self.planes[j, p, w])
         return self.step[j] * (2 * shared - self.level[j]) + self.low[j] * (2 * self.ones[i] - np.float32(self.dim))
 
+    def apart(self, i, j) -> np.ndarray:
+        """Number of signs of the first turn in which rows i and j differ."""
+        differ = np.bitwise_count(self.signs[i, 0, 0] ^ self.signs[j, 0, 0])
+        for w in range(1, self.signs.shape[2]):
+            differ = differ.astype(np.uint16) + np.bitwise_count(self.signs[i, 0, w] ^ self.signs[j, 0, w])
+        return differ
+
     def near(self, i, j, threshold: float, eps: float) -> np.ndarray:
         """Whether the estimate of rows i with j comes within its bound of the threshold."""
         f, dim = self.factor[i], self.dim
@@ -148,19 +155,26 @@ class Codes:
 
 def candidates(codes: Codes, keys: np.ndarray, band: int, left: np.ndarray | None, threshold: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j whose bounds don't rule them out and whose first common key is that of `band`.
-    left: if given, only pairs of a row with left and one without."""
+    left: if given, only pairs of a row with left and one without.
+
+    The share of signs that differ estimates the angle; it is looked at first, with a bound of its own,
+    and rules out most pairs with one count of bits."""
     n = len(keys)
+    share = math.acos(threshold) / math.pi
+    most = math.floor(codes.dim * share + eps * math.sqrt(codes.dim * share * (1 - share)))
     found_i, found_j = [], []
     step = max(1, 2_000_000 // n)
     for start in range(0, n, step):
         rows, others = np.arange(start, min(n, start + step)), np.arange(start + 1, n)
-        good = codes.near(rows[:, None], others[None, :], threshold, eps) & (others[None, :] > rows[:, None])
+        good = (codes.apart(rows[:, None], others[None, :]) <= most) & (others[None, :] > rows[:, None])
         if left is not None:
             good &= left[rows][:, None] != left[others][None, :]
         i, j = np.nonzero(good)
         i, j = rows[i], others[j]
-        back = codes.near(j, i, threshold, eps)
-        i, j = i[back], j[back]
+        near = codes.near(i, j, threshold, eps)
+        i, j = i[near], j[near]
+        near = codes.near(j, i, threshold, eps)
+        i, j = i[near], j[near]
         first = ~(keys[i, :band] == keys[j, :band]).any(1)
         found_i.append(i[first])
         found_j.append(j[first])
