@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-).split()
+    "region",
+    "nation",
+    "customer",
+    "supplier",
+    "part",
+    "orders",
+    "lineitem",
+    "events",
+    "documents",
+    "embeddings",
+    "pages",
+    "benchmark",
+    "labels",
+    "conversations",
+)
 
 
 def query(oracle: str | None = None):
@@ -43,7 +55,3 @@ def sql(name: str, spark_sql: str, oracle: str | None = None, *tables: str) -> N
     for t in TABLES:
         plain = plain.replace("{" + t + "}", t)
     ORACLES[name] = plain
-
-
-for _module in ("text_queries", "table_queries", "structure_queries", "compare_queries", "source_queries"):
-    importlib.import_module(f"lexiloom.plans.{_module}")

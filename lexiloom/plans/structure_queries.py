@@ -1,7 +1,9 @@
 """Queries of headings, chapters, tables of contents, sections, outlines and bookmarks.
 
-The test documents hold no numbered headings, so most of these read small tables of literal rows,
-the same in the query and in its oracle."""
+The test documents hold no numbered headings, so books are made of them: their lines as pages of
+eight, some of them with a number in front, every fifth document with a list of contents. The SQL
+makes the same books and answers from them in its own way. Patterns in other scripts read small
+tables of literal rows."""
 
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import structure as S
-from .registry import ORACLES, QUERIES, query, read
+from .registry import query, read
 from .text_queries import d_char_set
 
 LINES = """VALUES (1,1,1,'Contents'),(1,1,2,'1. Scope ... 3'),(1,1,3,'2. Methods ... 5'),(1,2,1,'Overview of this text'),(1,2,2,'This sentence is quite a bit longer than fifty characters, it is.'),
@@ -26,22 +28,6 @@ def rows(spark, text: str):
     return spark.sql(f"SELECT * FROM {text}")
 
 
-def both(name: str, text: str, *tables: str) -> None:
-    """A query in SQL that both engines read: raw strings as r'...', Spark's names of functions."""
-
-    def run(spark, sf_dir):
-        return spark.sql(text, **{t: read(spark, sf_dir, t) for t in tables})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    plain = re.sub(r"(?<!\w)r'", "'", text)
-    for ours, theirs in (("regexp_like(", "regexp_matches("), ("collect_list(", "list("), ("sort_array(", "list_sort("), ("array_join(", "array_to_string("), ("size(", "len(")):
-        plain = plain.replace(ours, theirs)
-    for t in tables:
-        plain = plain.replace("{" + t + "}", t)
-    ORACLES[name] = plain
-
-
 def cascade(value) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN {value(n, c)}" for p, n, c in S.HEADINGS) + f" WHEN regexp_matches(lower(line), '{'|'.join(S.KEYWORDS)}') THEN {value(2, 0.7)} END"
 
@@ -69,26 +55,6 @@ SPANS = """VALUES (1,1,10.2,'1. BIG TITLE',20.0,true),(1,1,30.0,'1. body of text
 (1,2,10.0,'2. SECOND',18.0,false),(1,2,10.4,'part two',18.0,true),(1,2,40.0,'1.1 body',10.0,false),(1,2,55.0,'fine print.',8.0,false),(1,2,70.0,'body again',10.0,false)"""
 SP = f"(SELECT * FROM ({SPANS}) v(doc, page, y, text, size, bold))"
 
-both(
-    "headings_font",
-    f"""SELECT page, text, CAST(size AS DOUBLE) AS size, bold FROM (SELECT *, avg(size) OVER (PARTITION BY doc, page) AS m, stddev_pop(size) OVER (PARTITION BY doc, page) AS s FROM
-    (SELECT doc, page, y, text, CAST(size AS DOUBLE) AS size, bold FROM {SP})) WHERE (size >= m + 0.5 * s OR bold) AND length(text) > 3 AND length(text) < 150 AND NOT regexp_like(text, r'[.]$')
-    AND regexp_like(text, r'^(\\d+[.\\s]|[A-Z][A-Z\\s]+$|\\d+[.]\\d+|[IVXLCDM]+[.]|[A-Z][.])')""".replace("\\\\", "\\"),
-)
-both(
-    "headings_font_document",
-    f"""SELECT page, CAST(floor(y) AS INT) AS row_y, max(size) AS size, max(CASE WHEN bold THEN 1 ELSE 0 END) AS bold, array_join(sort_array(collect_list(text)), ' ') AS text FROM
-    (SELECT *, avg(size) OVER (PARTITION BY doc) AS m, stddev_pop(size) OVER (PARTITION BY doc) AS s, percentile_cont(0.75) WITHIN GROUP (ORDER BY size) OVER (PARTITION BY doc) AS p FROM
-    (SELECT doc, page, CAST(y AS DOUBLE) AS y, text, CAST(size AS DOUBLE) AS size, bold FROM {SP})) WHERE size >= greatest(m + s, p) OR bold GROUP BY page, CAST(floor(y) AS INT)""",
-)
-ORACLES["headings_font_document"] = (
-    ORACLES["headings_font_document"]
-    .replace("percentile_cont(0.75) WITHIN GROUP (ORDER BY size) OVER (PARTITION BY doc)", "quantile_cont(size, 0.75) OVER (PARTITION BY doc)")
-)
-both(
-    "heading_levels",
-    f"SELECT page, text, CAST(least(greatest(dense_rank() OVER (PARTITION BY doc ORDER BY size DESC) - CASE WHEN bold THEN 1 ELSE 0 END, 1), 6) AS BIGINT) AS level FROM {SP}",
-)
 
 
 @query(f"SELECT page, text, round(least(1.0, 0.5 + CASE WHEN size > 14 THEN 0.2 ELSE 0 END + CASE WHEN bold THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, '^\\d') THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS confidence FROM {SP}")
@@ -154,59 +120,6 @@ def sections_by_chapter(spark, sf_dir):
     return s.groupBy("doc", "chapter").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 3).alias("n_sub"), F.sort_array(F.collect_list("numbering")).alias("numberings"))
 
 
-@query(f"SELECT doc, page, line_no, array_to_string(list_transform(regexp_extract_all(numbering, '\\d+'), lambda x: lpad(x, 4, '0')), '.') AS sort_key FROM {D_NUM}")
-def numbering_sort_key(spark, sf_dir):
-    """Numeric order of hierarchical numbers as a text key."""
-    parts = F.regexp_extract_all("numbering", F.lit(r"(\d+)"), 1)
-    key = F.array_join(F.transform(parts, lambda x: F.lpad(x, 4, "0")), ".")
-    return S.numbered(rows(spark, L)).select("doc", "page", "line_no", key.alias("sort_key"))
-
-
-both(
-    "toc_pages",
-    f"""SELECT doc, page FROM {L} WHERE page <= 10 GROUP BY doc, page HAVING max(CASE WHEN regexp_like(lower(line), '目次|contents|table of contents|索引|index') THEN 1 ELSE 0 END) = 1
-    OR sum(CASE WHEN regexp_like(line, r'[.][.][.]\\s*\\d+') THEN 1 ELSE 0 END) > 5""".replace("\\\\", "\\"),
-)
-TOC = """VALUES (1,'1. Scope of work ...... 3'),(2,'2. Methods 5'),(3,'1.1 Aims 4'),(4,'Appendix....12'),(5,'no page here'),(6,'2.1.3 Deep entry 7'),(7,'ab 1')"""
-both(
-    "toc_lines",
-    f"""SELECT ord, CAST(level AS BIGINT) AS level, title, page FROM (SELECT ord, CASE WHEN regexp_like(line, r'^\\d+(?:[.]\\d+)*[.]?\\s+.+?\\s+\\d+$') THEN length(regexp_extract(line, r'^(\\d+(?:[.]\\d+)*)', 1)) -
-      length(replace(regexp_extract(line, r'^(\\d+(?:[.]\\d+)*)', 1), '.', '')) + 1 ELSE 1 END AS level,
-      trim(regexp_extract(line, r'^(.+?)[.\\s]*\\s*(\\d+)$', 1)) AS title, CAST(nullif(regexp_extract(line, r'(?:[.]{{3,}}\\s*|\\s)(\\d+)$', 1), '') AS INT) AS page
-      FROM (SELECT * FROM ({TOC}) v(ord, line)) WHERE length(line) >= 5) WHERE page IS NOT NULL""".replace("\\\\", "\\").replace("{{", "{").replace("}}", "}"),
-)
-ENTRIES = "VALUES (1,'第1章 Scope',3),(2,'2. Methods',5),(3,'Chapter 3 Results',7),(4,'Afterword',9)"
-D_CHAPTER = "CAST(coalesce(nullif(regexp_extract(title, r'^第?(\\d+)章', 1), ''), nullif(regexp_extract(title, r'^(\\d+)[.\\s]', 1), ''), nullif(regexp_extract(title, r'^Chapter\\s*(\\d+)', 1), '')) AS INT)"
-both("toc_chapter_number", f"SELECT ord, {D_CHAPTER} AS chapter FROM (SELECT * FROM ({ENTRIES}) v(ord, title, page))")
-SECTIONS = "VALUES (1,1,NULL,'Aims',3),(1,2,NULL,'Terms',4),(2,1,NULL,'Sampling',5),(2,1,1,'Random',5),(8,1,NULL,'Lost',6)"
-both(
-    "toc_integrated",
-    f"""WITH t AS (SELECT *, {D_CHAPTER} AS chapter FROM (SELECT * FROM ({ENTRIES}) v(ord, title, page))), s AS (SELECT * FROM ({SECTIONS}) v(chapter, section, subsection, title, page))
-    SELECT ord, 0 AS section, 0 AS subsection, 1 AS level, title, page FROM t UNION ALL
-    SELECT t.ord, s.section, coalesce(s.subsection, 0), CASE WHEN s.subsection IS NULL THEN 2 ELSE 3 END, concat(CAST(s.chapter AS STRING), '-', CAST(s.section AS STRING),
-      CASE WHEN s.subsection IS NULL THEN '' ELSE concat('-', CAST(s.subsection AS STRING)) END, '. ', s.title), s.page FROM t JOIN s ON t.chapter = s.chapter""",
-)
-both(
-    "toc_fallback",
-    """SELECT doc, source, title FROM (SELECT *, min(rank) OVER (PARTITION BY doc) AS best FROM (SELECT doc, source, title, CASE source WHEN 'bookmark' THEN 1 WHEN 'toc_text' THEN 2 ELSE 3 END AS rank FROM
-    (VALUES (1,'bookmark','a'),(1,'toc_text','b'),(2,'toc_text','c'),(2,'toc_text','d'),(2,'text_header','e'),(3,'text_header','f')) v(doc, source, title))) WHERE rank = best""",
-)
-_TOCW, _STARTS = "|".join(S.TOC_WORDS), "|".join(S.STARTS)
-both(
-    "content_start",
-    f"""WITH p AS (SELECT doc, page, max(CASE WHEN regexp_like(lower(line), r'{_TOCW}') THEN 1 ELSE 0 END) AS toc, sum(CASE WHEN length(line) > 10 THEN 1 ELSE 0 END) AS long_lines,
-      max(CASE WHEN k <= 5 AND length(line) > 10 AND regexp_like(line, r'{_STARTS}') THEN 1 ELSE 0 END) AS starts FROM
-      (SELECT *, sum(CASE WHEN length(line) > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY line_no) AS k FROM {L}) GROUP BY doc, page),
-    q AS (SELECT *, max(CASE WHEN toc = 1 THEN page ELSE 1 END) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS toc_end, max(page) OVER (PARTITION BY doc) AS n_pages FROM p)
-    SELECT doc, coalesce(min(CASE WHEN toc = 0 AND long_lines >= 3 AND starts = 1 THEN greatest(toc_end + 1, page) END),
-      CASE WHEN max(n_pages) < 5 THEN 1 ELSE greatest(5, CAST(floor(max(n_pages) / 10) AS INT)) END) AS start_page FROM q GROUP BY doc""",
-)
-both(
-    "structure_choice",
-    """SELECT doc, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY CASE kind WHEN 'numbered' THEN 1 WHEN 'toc' THEN 2 ELSE 3 END) AS rn FROM
-    (VALUES (1,'numbered',4),(1,'toc',2),(1,'detected',9),(2,'numbered',0),(2,'toc',3),(2,'detected',5),(3,'numbered',0),(3,'toc',0),(3,'detected',2)) v(doc, kind, n) WHERE n > 0) WHERE rn = 1""",
-)
-
 HEADINGS = "VALUES (1,1,1,1,'One',12),(1,2,2,2,'One A',12),(1,3,2,3,'One B',12),(1,4,3,3,'Deep',12),(1,5,1,6,'Two',12),(1,6,3,6,'Two deep',12),(1,7,2,9,'Two A',12),(2,1,1,2,'Only',4)"
 HS = f"(SELECT * FROM ({HEADINGS}) v(doc, ord, level, page, title, last_page))"
 
@@ -218,16 +131,6 @@ def section_intervals(spark, sf_dir):
     return S.intervals(rows(spark, HS))
 
 
-both(
-    "section_text",
-    f"""SELECT doc, page, line_no, line FROM (SELECT *, max(CASE WHEN line LIKE '%Aims and limits%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after
-    FROM {L} WHERE doc = 1 AND page BETWEEN 3 AND 4) WHERE after = 1""",
-)
-both(
-    "chapter_ranges",
-    """SELECT numbering, title, page_start, page_end, page_end - page_start + 1 AS n_pages, CAST(sum(page_end - page_start + 1) OVER (ORDER BY page_start) AS BIGINT) AS pages_so_far FROM
-    (VALUES ('1','Scope',1,4),('2','Methods',5,9),('3','Results',10,10)) v(numbering, title, page_start, page_end)""",
-)
 
 
 @query("SELECT key AS numbering, (j->>'title') AS title, (j->>'page_start')::BIGINT AS page_start, (j->>'page_end')::BIGINT AS page_end FROM (SELECT unnest(['1', '2']) AS key, unnest(['{\"title\":\"Scope\",\"page_start\":1,\"page_end\":4}'::JSON, '{\"title\":\"Methods\",\"page_start\":5,\"page_end\":9}'::JSON]) AS j)")
@@ -241,12 +144,6 @@ def chapter_json_scan(spark, sf_dir):
 
 NUMBERS = "VALUES ('1.2','x'),('1-3','y'),('1.2.3','Summary of it'),('4','Four'),('2-1','Results so far'),('25','late')"
 NB = f"(SELECT * FROM ({NUMBERS}) v(numbering, title))"
-both(
-    "chapter_hierarchy",
-    f"""SELECT chapter, count(*) AS n, max(CASE WHEN level = 1 THEN title END) AS explicit_title, coalesce(max(CASE WHEN level = 1 THEN title END), concat('Chapter ', CAST(chapter AS STRING))) AS title,
-    max(CASE WHEN level = 1 THEN 0 ELSE 1 END) AS has_sections FROM (SELECT CAST(regexp_extract(numbering, r'^(\\d+)', 1) AS INT) AS chapter, title,
-      length(numbering) - length(replace(replace(numbering, '.', ''), '-', '')) + 1 AS level FROM {NB}) GROUP BY chapter""".replace("\\\\", "\\"),
-)
 
 
 @query(rf"SELECT numbering, regexp_replace(numbering, '\.', '-', 'g') AS shown FROM {NB}")
@@ -254,29 +151,6 @@ def display_numbers(spark, sf_dir):
     return rows(spark, NB).select("numbering", F.regexp_replace("numbering", r"\.", "-").alias("shown"))
 
 
-both("level_summary", f"SELECT CAST(level AS BIGINT) AS level, count(*) AS n, sort_array(collect_list(numbering)) AS numberings FROM (SELECT numbering, length(numbering) - length(replace(replace(numbering, '.', ''), '-', '')) + 1 AS level FROM {NB}) GROUP BY level")
-both("toc_counts", "SELECT source, level, count(*) AS n FROM (VALUES ('bookmark',1),('bookmark',2),('toc_text',1),('bookmark',1)) v(source, level) GROUP BY source, level")
-both(
-    "sections_of_chapter",
-    f"""SELECT a.numbering AS parent, b.numbering AS child FROM {NB} a JOIN {NB} b ON regexp_extract(a.numbering, r'^(\\d+)', 1) = regexp_extract(b.numbering, r'^(\\d+)', 1)
-    WHERE a.numbering <> b.numbering AND (b.numbering LIKE concat(a.numbering, '.%') OR b.numbering LIKE concat(a.numbering, '-%'))""".replace("\\\\", "\\"),
-)
-both(
-    "missed_sections",
-    f"SELECT c.chapter, n.numbering FROM (VALUES (1),(2),(4)) c(chapter) JOIN {NB} n ON n.numbering LIKE concat(CAST(c.chapter AS STRING), '.%') OR n.numbering LIKE concat(CAST(c.chapter AS STRING), '-%')",
-)
-both(
-    "supplementary_headings",
-    """SELECT h.page, h.title, h.confidence * 0.8D AS confidence FROM (VALUES (1,'intro text',0.9D),(3,'old words here',0.8D),(5,'new matter',0.7D),(9,'tail end',0.6D)) h(page, title, confidence)
-    WHERE NOT EXISTS (SELECT 1 FROM (VALUES (1,'intro'),(4,'old words here')) t(page, title) WHERE t.page = h.page)
-    AND NOT EXISTS (SELECT 1 FROM (VALUES (1,'intro'),(4,'old words here')) t(page, title) WHERE abs(t.page - h.page) <= 1 AND t.title = h.title)""",
-)
-ORACLES["supplementary_headings"] = ORACLES["supplementary_headings"].replace("0.8D", "0.8::DOUBLE").replace("0.9D", "0.9::DOUBLE").replace("0.7D", "0.7::DOUBLE").replace("0.6D", "0.6::DOUBLE")
-both(
-    "bookmark_lines",
-    f"""SELECT b.title, min_by(l.line_no, l.line_no) AS line_no FROM (VALUES (3,'Scope of the work'),(5,'Methods in use'),(7,'Nothing')) b(page, title) JOIN {L} l ON l.page = b.page AND l.doc = 1
-    WHERE contains(l.line, b.title) GROUP BY b.title""",
-)
 
 # Outlines and bookmarks ------------------------------------------------------------------------
 
@@ -288,7 +162,6 @@ def outline_tree(spark, sf_dir):
     return S.parents(rows(spark, OUT), ["doc"])
 
 
-both("outline_flatten", f"SELECT doc, ord, concat(repeat('  ', level - 1), CAST(ord AS STRING)) AS label FROM {OUT}")
 
 
 def d_clamp(jump: int) -> str:
@@ -299,46 +172,3 @@ def d_clamp(jump: int) -> str:
 @query(d_clamp(2))
 def level_clamp(spark, sf_dir):
     return S.clamp_levels(rows(spark, OUT), ["doc"], 2)
-
-
-@query(d_clamp(1))
-def bookmarks_optimize(spark, sf_dir):
-    return S.clamp_levels(rows(spark, OUT), ["doc"], 1)
-
-
-MARKS = "(SELECT * FROM (VALUES (1,'One',1,1),(2,'',1,2),(3,'Two',9,3),(4,'Three',0,0),(5,'Four',2,40),(6,'  Five ',3,5)) v(ord, title, level, page))"
-both("bookmarks_build", f"SELECT ord, trim(title) AS title, least(greatest(level, 1), 6) AS level, page FROM {MARKS} WHERE trim(title) <> '' AND page BETWEEN 1 AND 30")
-both("outline_scan", f"SELECT ord, trim(title) AS title, greatest(level, 1) AS level, greatest(page, 1) AS page FROM {MARKS} WHERE length(trim(title)) BETWEEN 1 AND 200")
-both(
-    "bookmarks_validate",
-    f"""SELECT ord, issue FROM (SELECT ord, CASE WHEN level - lag(level) OVER (ORDER BY ord) > 1 THEN 'level jump' END AS issue FROM {MARKS} UNION ALL
-    SELECT ord, CASE WHEN page < 1 THEN 'page below one' END FROM {MARKS} UNION ALL SELECT ord, CASE WHEN trim(title) = '' THEN 'empty title' END FROM {MARKS}) WHERE issue IS NOT NULL""",
-)
-both("bookmarks_nav", f"SELECT page, count(*) AS n, sort_array(collect_list(title)) AS titles FROM {MARKS} GROUP BY page")
-both(
-    "bookmarks_merge",
-    f"""WITH old AS (SELECT * FROM {MARKS} WHERE ord <= 3), new AS (SELECT * FROM {MARKS} WHERE ord > 2)
-    SELECT 'old' AS origin, ord, title FROM old WHERE (SELECT count(*) FROM old) > 0.7 * (SELECT count(*) FROM new)
-    UNION ALL SELECT 'new', ord, title FROM new WHERE NOT (SELECT count(*) FROM old) > 0.7 * (SELECT count(*) FROM new)""",
-)
-both(
-    "bookmarks_diff",
-    f"""SELECT 1 AS part, ord, title FROM {MARKS} WHERE title <> '' UNION ALL SELECT 2, 0, 'Differences' UNION ALL
-    SELECT 3, ord, concat(title, ' (', CAST(CAST(score * 100 AS INT) AS STRING), ' %)') FROM (VALUES (1,'a',0.5D),(2,'b',0.9D),(3,'c',0.25D)) d(ord, title, score) WHERE score * 100 < 70""",
-)
-ORACLES["bookmarks_diff"] = ORACLES["bookmarks_diff"].replace("0.5D", "0.5::DOUBLE").replace("0.9D", "0.9::DOUBLE").replace("0.25D", "0.25::DOUBLE")
-__all__ = ["T"]
-
-both(
-    "bookmarks_from_sections",
-    f"SELECT doc, ord, concat(CAST(level AS STRING), '. ', title) AS title, level, page FROM {HS} WHERE trim(title) <> '' AND page >= 1",
-)
-both(
-    "section_carry",
-    f"""SELECT doc, page, line_no, max(chapter_at) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM
-    (SELECT *, CASE WHEN regexp_like(line, r'^\\d+[.]\\s') THEN page * 100 + line_no END AS chapter_at FROM {L})""".replace("\\\\", "\\"),
-)
-both(
-    "toc_from_sections",
-    f"""SELECT chapter, min(page) AS page, count(*) AS n FROM (SELECT CAST(regexp_extract(line, r'^(\\d+)', 1) AS INT) AS chapter, page FROM {L} WHERE regexp_like(line, r'^\\d+[-.]\\d+')) GROUP BY chapter""".replace("\\\\", "\\"),
-)
