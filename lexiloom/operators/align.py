@@ -182,8 +182,3 @@ def leftovers(chunks: DataFrame, mapped: DataFrame, key: list[str], kind: str) -
     alone = chunks.join(mapped, key, "left_anti")
     order = Window.partitionBy(*key[:1]).orderBy(*key[1:], "chunk_index")
     return alone.select(*key, "chunk_index", F.lit(kind).alias("alignment_type"), F.row_number().over(order).cast("long").alias("ord"))
-
-
-def carry(value: Column, by: list[str], order: list[str]) -> Column:
-    """Last value that isn't null, in order."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -10,12 +10,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import features16
+from ..sources.cache import through
 
 
-def embed(df: DataFrame, text_col: str = "text", make_model: Callable | None = None, batch: int = 32) -> DataFrame:
+VECTORS = "content_hash string, vector array<float>"
+
+
+def provider(*makers: Callable | None) -> Callable | None:
+    """The first of some model makers that works here: tried once each on the driver, in order (a remote
+    service, a local model, ...); None if none does, which means plain features."""
+    for make in makers:
+        if make is None:
+            continue
+        try:
+            make()(["probe"])
+        except Exception:  # noqa: BLE001  the next one has its turn
+            continue
+        return make
+    return None
+
+
+def embed(df: DataFrame, text_col: str = "text", make_model: Callable | None = None, batch: int = 32, cache: str | None = None) -> DataFrame:
     """Adds `vector` (array of float). `make_model()` is called once in each task and returns a
     function from a list of texts to a list of vectors; every distinct text is encoded once, by MD5
-    of its content, in batches of `batch`. Without a model the sixteen plain features are taken."""
+    of its content, in batches of `batch`, and with `cache`, a path, kept there for later runs. A null
+    text has no vector. Without a model the sixteen plain features are taken."""
     if make_model is None:
         return df.withColumn("vector", features16(F.col(text_col)).cast("array<float>"))
 
@@ -26,10 +45,12 @@ def embed(df: DataFrame, text_col: str = "text", make_model: Callable | None = N
             vectors = [v for at in range(0, len(texts), batch) for v in model(texts[at : at + batch])]
             yield pd.DataFrame({"content_hash": pdf["content_hash"], "vector": [list(map(float, v)) for v in vectors]})
 
+    make = lambda rows: rows.select("content_hash", F.col(text_col).alias("text")).filter("text is not null").mapInPandas(run, VECTORS)
+    if cache is not None:
+        return through(df, [text_col], cache, make, VECTORS)
     keyed = df.withColumn("content_hash", F.md5(F.col(text_col)))
-    distinct = keyed.filter("content_hash is not null").groupBy("content_hash").agg(F.first(text_col).alias("text"))
-    vectors = distinct.select("content_hash", "text").mapInPandas(run, "content_hash string, vector array<float>")
-    return keyed.join(vectors, "content_hash", "left").drop("content_hash")
+    distinct = keyed.filter("content_hash is not null").groupBy("content_hash").agg(F.first(text_col).alias(text_col))
+    return keyed.join(make(distinct), "content_hash", "left").drop("content_hash")
 
 
 def search(queries: DataFrame, rows: DataFrame, most: int | None = None, digits: int | None = None, block: int = 2000) -> DataFrame:

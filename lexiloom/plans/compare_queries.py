@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import text as T
 from ..operators import align, chunking
+from ..sources import readers
 from .registry import query, read
 from .text_queries import D_SP, d_word_set, pair_key, pair_values, pairs
 
@@ -50,8 +52,8 @@ def partial_ratio(spark, sf_dir):
 
 def heading_sides(spark, sf_dir):
     """All headings of pages of two hosts' halves as the sections of document pairs: pair by page_id / 2."""
-    h = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>([^<]*)"), 1).alias("t"))
-    s = h.select("page_id", F.posexplode("t").alias("ord", "title")).withColumn("pair_id", (F.col("page_id") / 2).cast("long"))
+    h = readers.headings_from_html(read(spark, sf_dir, "pages"), "page_id").withColumn("ord", F.col("ord").cast("int"))
+    s = h.withColumn("pair_id", (F.col("page_id") / 2).cast("long"))
     a, b = s.filter("page_id % 2 = 0"), s.filter("page_id % 2 = 1")
     return a.select("pair_id", "ord", "title"), b.select("pair_id", "ord", "title")
 
@@ -104,6 +106,14 @@ def assign_optimal(spark, sf_dir):
     return align.assign_optimal(vector_scores(spark, sf_dir), "label", 0.1)
 
 
+def best_pairs(spark, sf_dir):
+    """Pairs that are each other's best."""
+    s = vector_scores(spark, sf_dir)
+    one = F.row_number().over(Window.partitionBy("label", "i").orderBy(F.desc("score"), "j"))
+    two = F.row_number().over(Window.partitionBy("label", "j").orderBy(F.desc("score"), "i"))
+    return s.withColumns({"one": one, "two": two}).filter("one = 1 AND two = 1").drop("one", "two")
+
+
 D_BEST = f"(SELECT * FROM ({VEC_SCORES}) QUALIFY row_number() OVER (PARTITION BY label, i ORDER BY score DESC, j) = 1 AND row_number() OVER (PARTITION BY label, j ORDER BY score DESC, i) = 1)"
 
 
@@ -115,12 +125,7 @@ D_BEST = f"(SELECT * FROM ({VEC_SCORES}) QUALIFY row_number() OVER (PARTITION BY
 )
 def section_full_map(spark, sf_dir):
     """Mutually best pairs, and what is left on either side."""
-    from pyspark.sql import Window
-
-    s = vector_scores(spark, sf_dir)
-    one = F.row_number().over(Window.partitionBy("label", "i").orderBy(F.desc("score"), "j"))
-    two = F.row_number().over(Window.partitionBy("label", "j").orderBy(F.desc("score"), "i"))
-    best = s.withColumns({"one": one, "two": two}).filter("one = 1 AND two = 1").drop("one", "two")
+    best = best_pairs(spark, sf_dir)
     a, b = (side.select("label", F.col("vec_id").alias("ord")) for side in vector_sides(spark, sf_dir))
     return align.full_map(a, b, best, "label", 0.4, 0.2)
 
@@ -234,17 +239,6 @@ def opcode_counters(spark, sf_dir):
     return v.groupBy("pair_id").agg(*[F.sum(F.when(F.col("tag") == t, most).otherwise(0)).alias(f"n_{t}") for t in ("equal", "delete", "insert", "replace")], F.sum(most).alias("total"))
 
 
-@query(
-    """SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: '-' || x), chr(10)) || chr(10) ||
-    array_to_string(list_transform(string_split(replace(text, 'e', 'E'), chr(10)), lambda x: '+' || x), chr(10))) AS unified_md5 FROM documents"""
-)
-def diff_unified(spark, sf_dir):
-    """Unified text of a full replacement: old lines, then new ones."""
-    mark = lambda c, sign: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit(sign), x)), "\n")
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(F.concat(mark(F.col("text"), "-"), F.lit("\n"), mark(F.replace("text", F.lit("e"), F.lit("E")), "+"))).alias("unified_md5"))
-
-
 # Chunk tables ----------------------------------------------------------------------------------
 
 

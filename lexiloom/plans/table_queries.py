@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dashboard, scoring
+from ..operators.blocks import title as block_title
 from ..operators.embedding import search
 from .registry import query, read, sql
+from .text_queries import pair_key, pair_values
 
 SALES = """SELECT CAST(o.o_orderdate AS DATE) AS day, c.c_mktsegment AS segment, r.r_name AS region, l.l_quantity AS units, l.l_extendedprice / l.l_quantity AS unit_price,
  l.l_extendedprice AS revenue, o.o_orderpriority AS priority FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
@@ -77,16 +79,6 @@ def cosine_topk(spark, sf_dir):
     return search(e.filter("id % 20 = 0"), e, most=5, digits=5)
 
 
-sql(
-    "blended_similarity",
-    """SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN s ELSE 0.4 * s + 0.6 * v END, 6) AS blended FROM
-    (SELECT p_partkey, p_size / 50.0D AS s, p_retailprice / 2200.0D AS v FROM {part})""",
-    """SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN s ELSE 0.4 * s + 0.6 * v END::DOUBLE, 6) AS blended FROM
-    (SELECT p_partkey, p_size / 50.0::DOUBLE AS s, p_retailprice / 2200.0::DOUBLE AS v FROM part)""",
-    "part",
-)
-
-
 @query(
     "SELECT i, CASE WHEN s >= 0.92 THEN 'exact' WHEN s >= 0.75 THEN 'partial' ELSE 'poor' END AS match_type, CASE WHEN s * 100 >= 90 THEN 'A' WHEN s * 100 >= 80 THEN 'B' WHEN s * 100 >= 70 THEN 'C' WHEN s * 100 >= 60 THEN 'D' ELSE 'F' END AS grade FROM (SELECT p_partkey AS i, (p_partkey % 10000) / 10000.0::DOUBLE AS s FROM part)"
 )
@@ -117,8 +109,6 @@ D_ALIGN = "(" + ALIGN_FROM.replace("{P}", _D_PAIRS).replace("{S}", _D_S) + ")"
 def alignments(spark, sf_dir):
     """The lengths of two documents' sentences side by side: computed once a document, joined once a
     pair, and only then one row a sentence."""
-    from .text_queries import pair_key, pair_values
-
     lengths = lambda c: F.transform(F.split(c, r"\. "), lambda x: F.length(x).cast("double"))
     p = pair_values(spark, sf_dir, lengths).select(pair_key(F.col("a_id"), F.col("b_id")).alias("pair_id"), F.posexplode(F.arrays_zip("x", "y")).alias("ord", "s"))
     a, b, ord_ = F.col("s.x"), F.col("s.y"), F.col("ord").cast("long")
@@ -205,52 +195,13 @@ def score_summary(spark, sf_dir):
 
 # Diff blocks and reports -----------------------------------------------------------------------
 
-TITLE = "CASE WHEN alignment_type = 'delete' THEN concat('Section ', CAST(section AS STRING), ' (deleted)') WHEN alignment_type = 'insert' THEN concat('Section ', CAST(section AS STRING), ' (added)') ELSE concat('Section ', CAST(section AS STRING), ' ↔ Section ', CAST(section AS STRING)) END"
-D_BLOCKS = f"(SELECT *, {D_SCORE} AS similarity, {TITLE.replace('STRING', 'VARCHAR')} AS title FROM {D_ALIGN})"
+D_TITLE = "CASE WHEN alignment_type = 'delete' THEN concat('Section ', section, ' (deleted)') WHEN alignment_type = 'insert' THEN concat('Section ', section, ' (added)') ELSE concat('Section ', section, ' ↔ Section ', section) END"
+D_BLOCKS = f"(SELECT *, {D_SCORE} AS similarity, {D_TITLE} AS title FROM {D_ALIGN})"
 
 
 def blocks(spark, sf_dir):
-    return alignments(spark, sf_dir).withColumn("similarity", scoring.alignment_score()).withColumn("title", F.expr(TITLE))
-
-
-@query(
-    f"""SELECT pair_id, ord, title, similarity FROM {D_BLOCKS} WHERE section IN (0, 2) AND alignment_type IN ('match', 'partial', 'replace') AND similarity >= 0.2
-    AND contains(lower(title), 'section 2') ORDER BY similarity DESC, pair_id, ord LIMIT 200"""
-)
-def block_filter_sort_limit(spark, sf_dir):
-    """A page of the viewer: filters, a search word, order and limit (top 200 is the feature)."""
-    b = blocks(spark, sf_dir).filter(F.col("section").isin(0, 2) & F.col("alignment_type").isin("match", "partial", "replace"))
-    b = b.filter((F.col("similarity") >= 0.2) & F.contains(F.lower("title"), F.lit("section 2")))
-    return b.select("pair_id", "ord", "title", "similarity").orderBy(F.desc("similarity"), "pair_id", "ord").limit(200)
-
-
-@query(
-    f"""SELECT pair_id, round(avg(similarity), 6) AS mean, count(*) FILTER (WHERE similarity >= 0.8) AS n_high, (SELECT min(k) FROM (SELECT 1 AS k)) AS one,
-    arg_min(alignment_type, (-n_type, alignment_type)) AS mode_type FROM (SELECT *, count(*) OVER (PARTITION BY pair_id, alignment_type) AS n_type FROM {D_BLOCKS}) GROUP BY pair_id"""
-)
-def block_stats(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("pair_id", "alignment_type"))
-    return blocks(spark, sf_dir).withColumn("n_type", n).groupBy("pair_id").agg(
-        F.round(F.avg("similarity"), 6).alias("mean"),
-        F.count_if(F.col("similarity") >= 0.8).alias("n_high"),
-        F.lit(1).alias("one"),
-        F.min_by("alignment_type", F.struct(-F.col("n_type"), "alignment_type")).alias("mode_type"),
-    )
-
-
-@query(
-    f"""SELECT pair_id, ord FROM (SELECT *, max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id) AS n_hits FROM (SELECT *, contains(title, 'Section 1') OR title = 'Section 9 ↔ Section 9' AS hit FROM {D_BLOCKS}))
-    WHERE hit OR n_hits = 0"""
-)
-def pair_filter(spark, sf_dir):
-    """Blocks of a chapter pair; all of them where none belongs to it."""
-    from pyspark.sql import Window
-
-    hit = F.contains("title", F.lit("Section 1")) | (F.col("title") == "Section 9 ↔ Section 9")
-    some = F.max(F.col("hit").cast("int")).over(Window.partitionBy("pair_id"))
-    return blocks(spark, sf_dir).withColumn("hit", hit).withColumn("n_hits", some).filter("hit OR n_hits = 0").select("pair_id", "ord")
+    name = F.concat(F.lit("Section "), F.col("section").cast("string"))
+    return alignments(spark, sf_dir).withColumn("similarity", scoring.alignment_score()).withColumn("title", block_title(F.col("alignment_type"), name, name))
 
 
 @query(f"SELECT pair_id, ord, alignment_type FROM {D_BLOCKS} WHERE alignment_type IN ('insert', 'delete')")

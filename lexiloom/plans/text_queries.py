@@ -310,6 +310,8 @@ _D_F = (
     + [f"{_d_count('text', ' ')} / greatest(length(text), 1)"]
     + [rf"length(regexp_replace(text, '{k}', '', 'g')) / greatest(length(text), 1)" for k in ("[^぀-ゟ]", "[^゠-ヿ]", "[^一-龯]", r"\P{Nd}", r"\P{Lu}", r"\P{Ll}")]
 )
+#: The features of a document as a list.
+D_FEATURES = "SELECT doc_id, [" + ", ".join(f"({x})::DOUBLE" for x in _D_F) + "] AS x FROM documents"
 _F_NAMES = "f_len f_words f_a f_e f_i f_o f_u f_dot f_comma f_space f_hira f_kata f_kanji f_digit f_upper f_lower".split()
 
 

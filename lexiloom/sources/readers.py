@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 SALES_SCHEMA = "date DATE, category STRING, units INT, unit_price INT, region STRING, sales_channel STRING, customer_segment STRING, revenue INT"
 
 
@@ -54,29 +58,82 @@ def flatten_spans(df: DataFrame, blocks_col: str = "blocks") -> DataFrame:
     return li.select("page", "block", "line", F.posexplode("l.spans").alias("span", "s")).select("page", "block", "line", "span", "s.*")
 
 
-def read_documents(spark: SparkSession, path: str, extract=None, most_pages: int | None = None) -> DataFrame:
-    """Files of documents as pages (path, page, text, extraction_method). `extract` turns the bytes of
-    a file into a list of page texts; without it files are read as UTF-8 text with form feeds. A file
-    that can't be read gives one empty page marked failed."""
+SPAN = "struct<text:string,x0:double,y0:double,x1:double,y1:double,font:string,size:double,bold:boolean>"
+PAGES = f"path string, page int, text string, spans array<{SPAN}>, char_count int, extraction_method string"
+
+
+def _as_text(content: bytes) -> list[dict]:
+    """The engine that is always there: UTF-8 with form feeds between pages."""
+    return [{"text": t} for t in content.decode("utf-8").split("\f")]
+
+
+def read_documents(
+    spark: SparkSession,
+    path: str,
+    engines: dict[str, Callable[[bytes], list[dict]]] | None = None,
+    ocr: Callable[[bytes, int], str] | None = None,
+    least: int = 50,
+    most_pages: int | None = None,
+) -> DataFrame:
+    """Files of documents as pages: path, page, text, spans, char_count, extraction_method.
+
+    `engines` names functions from a file's bytes to its pages (dicts with text, and spans if the
+    engine knows them), tried in order; the first that raises nothing is taken, and its name is the
+    method. Without engines files are read as UTF-8 text with form feeds. `ocr`, from bytes and page
+    number to text, is asked for pages with less than `least` characters and taken where it gives
+    more (method ocr), and for whole files that no engine reads, page 1 on, until it raises
+    IndexError. A page that it fails on is an empty one marked ocr_failed; a file that nothing reads
+    is one empty page marked failed."""
     import pandas as pd
 
+    tried = engines or {"text": _as_text}
+
+    def recognised(content: bytes, page: int) -> tuple[str, str] | None:
+        try:
+            return ocr(content, page), "ocr"
+        except IndexError:
+            return None
+        except Exception:  # noqa: BLE001  a page that can't be read is a row of the result
+            return "", "ocr_failed"
+
+    def of_file(content: bytes) -> list[tuple[str, list | None, str]]:
+        for name, engine in tried.items():
+            try:
+                pages = engine(content)
+            except Exception:  # noqa: BLE001  the next engine has its turn
+                continue
+            out = []
+            for k, p in enumerate(pages):
+                text, method = p.get("text") or "", name
+                if ocr is not None and len(text.strip()) < least:
+                    other = recognised(content, k + 1)
+                    if other is not None and len(other[0].strip()) > len(text.strip()):
+                        text, method = other
+                out.append((text, p.get("spans"), method))
+            return out
+        out = []
+        while ocr is not None and (most_pages is None or len(out) < most_pages):
+            page = recognised(content, len(out) + 1)
+            if page is None:
+                break
+            out.append((page[0], None, page[1]))
+        return out or [("", None, "failed")]
+
     def pages(batches):
         for pdf in batches:
             out = []
             for name, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    texts, method = (extract(content), "engine") if extract else (content.decode("utf-8").split("\f"), "text")
-                except Exception:  # noqa: BLE001  a broken file is a row of the result
-                    texts, method = [""], "failed"
-                texts = texts[:most_pages] if most_pages else texts
-                out += [(name, i + 1, t, method) for i, t in enumerate(texts)]
-            yield pd.DataFrame(out, columns=["path", "page", "text", "extraction_method"])
+                out += [(name, k + 1, t, s, len(t), m) for k, (t, s, m) in enumerate(of_file(content)[:most_pages])]
+            yield pd.DataFrame(out, columns=["path", "page", "text", "spans", "char_count", "extraction_method"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(pages, "path string, page int, text string, extraction_method string")
+    return files.mapInPandas(pages, PAGES)
 
 
-def latest(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The newest row of each key, as a cache keyed by content would give it."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+def headings_from_html(df: DataFrame, key: str, html_col: str = "html") -> DataFrame:
+    """Headings of level 1 to 6 in order: key, ord, level, title, markup inside of them dropped and white
+    space collapsed; empty ones are none."""
+    whole = F.regexp_extract_all(html_col, F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>)"), 1)
+    h = df.select(key, F.posexplode(whole).alias("ord", "h"))
+    title = T.strip(T.collapse(F.regexp_replace("h", r"<[^>]*>", "")))
+    return h.select(key, F.col("ord").cast("long").alias("ord"), F.substring("h", 3, 1).cast("int").alias("level"), title.alias("title")).filter("title <> ''")
