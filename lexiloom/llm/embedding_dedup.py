@@ -218,6 +218,16 @@ def _bucket(dim: int, bands: int, keys: np.ndarray) -> np.ndarray:
     return (np.int64(dim) << np.int64(46)) + (np.arange(bands, dtype=np.int64) << np.int64(32))[None, :] + keys
 
 
+def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Rows of buckets of more than `block` (sizes: bucket, n) dealt to every pair (p, q) of blocks that
+    holds their own block; of such a pair a row is on the left side if its own block is p."""
+    parts = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
+    own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
+    dealt = rows.join(sizes, "bucket", "left").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    sides = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left")]
+    return dealt.select("bucket", *sides, *[c for c in rows.columns if c != "bucket"])
+
+
 def near_copies(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -227,6 +237,7 @@ def near_copies(
     eps: float = 5.0,
     bucket: int = 3200,
     block: int = 4096,
+    fetch: int = 512,
     seed: int = 20240601,
 ) -> DataFrame:
     """One row per row of `df`: id, n_links (other rows at cosine >= threshold), component_id
@@ -278,19 +289,7 @@ def near_copies(
     counts = coded.mapInPandas(lambda it: dealt(it, False), "bucket long, n long")
     large = written(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > block), "emb-large")
     deal = coded.mapInPandas(lambda it: dealt(it, True), "bucket long, node long, code binary")
-    blocks = "cast(ceil(n / {b}) as int)".format(b=block)
-    if large.limit(1).count():
-        # A row of a large bucket goes to every pair of blocks that holds its own block; of the pair
-        # (p, q) it is on the left side if its own block is p.
-        parts = F.coalesce(F.expr(blocks), F.lit(1))
-        own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
-        deal = (
-            deal.join(large, "bucket", "left")
-            .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
-            .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), "node", "code")
-        )
-    else:
-        deal = deal.select("bucket", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("left"), "node", "code")
+    deal = _in_blocks(deal, large, block) if large.limit(1).count() else deal.select("bucket", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("left"), "node", "code")
     by = ["bucket", "p", "q"]
 
     def sides(group: pd.DataFrame) -> tuple[int, int, np.ndarray | None]:
@@ -306,7 +305,7 @@ def near_copies(
             codes = Codes.read(group["code"].to_list(), dim)
             i, j = candidates(codes, codes.keys(width, bands), band, left, threshold, eps)
             if len(i):
-                yield group.iloc[np.unique(np.concatenate([i, j]))][[*by, "left", "node"]]
+                yield group.iloc[np.unique(np.concatenate([i, j]))][["bucket", "node"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, by):
@@ -327,10 +326,13 @@ def near_copies(
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slots = max(parts, n * bands // 200_000)
-    wanted = deal.repartition(slots, *by).sortWithinPartitions(*by).mapInPandas(needed, "bucket long, p int, q int, left boolean, node long")
-    wanted = written(wanted, "emb-wanted")
+    wanted = deal.repartition(slots, *by).sortWithinPartitions(*by).mapInPandas(needed, "bucket long, node long")
+    wanted = written(wanted.distinct(), "emb-wanted")
+    # The vectors of a bucket that are wanted, in blocks again, smaller ones: they are larger than codes.
+    counts = wanted.groupBy("bucket").agg(F.count("*").alias("n"))
     found = written(
-        wanted.join(nodes.select("node", "copies", "vec"), "node")
+        _in_blocks(wanted, counts, fetch)
+        .join(nodes.select("node", "copies", "vec"), "node")
         .repartition(slots, *by)
         .sortWithinPartitions(*by)
         .mapInPandas(compare, "node long, links long, root long")

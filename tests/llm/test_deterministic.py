@@ -155,15 +155,15 @@ def brute_links(ids, vectors):
     return links, root
 
 
-@pytest.mark.parametrize("bucket, block", [(3200, 4096), (10, 8)])
-def test_embedding_dedup(spark, bucket, block):
+@pytest.mark.parametrize("bucket, block, fetch", [(3200, 4096, 512), (10, 8, 4)])
+def test_embedding_dedup(spark, bucket, block, fetch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((12, 16))
     vectors = [list(map(float, base[k % 12] + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.5]))) for k in range(150)]
     vectors += [[1e200 * v for v in vectors[3]], [1e-200 * v for v in vectors[4]], vectors[0], vectors[0], [0.0] * 16, None, [math.nan] * 16, [1.0, None] + [0.0] * 14, [], [1.0, 0.0], [2.0, 0.1], [math.inf] + [0.0] * 15]
     ids = list(range(len(vectors)))
     df = spark.createDataFrame(list(zip(ids, vectors, ["x"] * len(ids))), "vec_id long, embedding array<double>, node string")
-    out = {r["vec_id"]: r for r in embedding_dedup.near_copies(df, bucket=bucket, block=block, miss=1e-9).collect()}
+    out = {r["vec_id"]: r for r in embedding_dedup.near_copies(df, bucket=bucket, block=block, fetch=fetch, miss=1e-9).collect()}
     links, root = brute_links(ids, vectors)
     assert {i: r["n_links"] for i, r in out.items()} == {i: len(x) for i, x in links.items()}
     assert {i: r["component_id"] for i, r in out.items()} == root
