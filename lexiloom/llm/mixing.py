@@ -103,7 +103,7 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
         _order(F.col(id_col), F.col(text_col)).alias("h"),
-        (F.lit(None).cast("string") if key is None else key).alias("key"),
+        (F.lit(None).cast("binary") if key is None else key).alias("key"),
     )
     # Identical rows as one with their number.
     rows = written(own.groupBy("id", "source", "size", "h", "key").agg(F.count("*").alias("n")), "mix-rows")
@@ -186,7 +186,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows that the mix doesn't take are absent; a null or empty text counts no words and comes as often
     as its source is gone through as a whole; an empty table gives no rows."""
     spark = df.sparkSession
-    every = F.concat(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.lit("-"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    rest = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), 16, "0")
+    every = F.unhex(F.concat(F.md5(F.coalesce(F.col(text_col), F.lit(""))), rest))
     plan = mix(df, id_col, text_col, source_col, **options, key=every)
     plan = written(plan.select(F.col("key").alias("__key"), F.explode("positions").alias("__position")), "mix-plan")
     # The row as one column, so that its own columns may have any name.
