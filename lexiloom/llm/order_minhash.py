@@ -198,7 +198,7 @@ def near_copies(
     count: int = 32,
     take: int = 3,
     small: int = 8,
-    block: int = 2048,
+    block: int = 512,
 ) -> DataFrame:
     """One row per row of `df`: id, n_copies (rows with the same text), class_id (smallest id of the
     texts linked to it, over any number of links) and kept (whether it stands for its class).
@@ -244,7 +244,7 @@ def classes(
     count: int = 32,
     take: int = 3,
     small: int = 8,
-    block: int = 2048,
+    block: int = 512,
 ) -> DataFrame:
     """Rows id, key (of the text), n_copies, class_id (least id of the class) and kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
