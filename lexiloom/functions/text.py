@@ -65,22 +65,21 @@ def clean_text(c: Column, remove: tuple[str, ...] = ()) -> Column:
     return F.array_join(clean_lines(c, remove), "\n")
 
 
-def is_header_footer(c: Column) -> Column:
-    """Whether a line looks like a running header or footer."""
-    low = strip(F.lower(c))
-    bare = strip(c)
+def is_header_footer(c: Column, stripped: bool = False) -> Column:
+    """Whether a line looks like a running header or footer; stripped: it has no space around it."""
+    low, bare = (F.lower(c), c) if stripped else (strip(F.lower(c)), strip(c))
     capitals = (F.length(c) < 20) & (F.upper(c) == c) & (F.lower(c) != c) & ~c.rlike(r"\d")
     return low.rlike("|".join(f"(?:{p})" for p in HEADER_FOOTER)) | (F.length(bare) < 3) | capitals
 
 
-def is_important_short(c: Column) -> Column:
-    return strip(c).rlike("|".join(f"(?:{p})" for p in IMPORTANT))
+def is_important_short(c: Column, stripped: bool = False) -> Column:
+    return (c if stripped else strip(c)).rlike("|".join(f"(?:{p})" for p in IMPORTANT))
 
 
 def body_lines(c: Column) -> Column:
     """Lines of running text: not blank, no header or footer, ten characters or important."""
     found = F.transform(lines(c), strip)
-    return F.filter(found, lambda x: (x != "") & ~is_header_footer(x) & ((F.length(x) >= 10) | is_important_short(x)))
+    return F.filter(found, lambda x: (x != "") & ~is_header_footer(x, True) & ((F.length(x) >= 10) | is_important_short(x, True)))
 
 
 def clean_chunk(c: Column) -> Column:
@@ -153,9 +152,10 @@ def features16(c: Column) -> Column:
     """Sixteen plain features: length, words, shares of vowels, of signs and of kinds of letters."""
     low, n = F.lower(c), F.greatest(F.length(c), F.lit(1))
     shares = [count_of(low, x) for x in "aeiou"] + [count_of(c, x) for x in ".,"] + [count_of(c, " ")]
-    kinds = [r"[^぀-ゟ]", r"[^゠-ヿ]", r"[^一-龯]", r"\P{Nd}", r"\P{Lu}", r"\P{Ll}"]
+    kinds = [r"[^぀-ゟ]+", r"[^゠-ヿ]+", r"[^一-龯]+", r"\P{Nd}+", r"\P{Lu}+", r"\P{Ll}+"]
     shares += [count_class(c, k) for k in kinds]
-    return F.array(F.length(c).cast("double"), F.size(words(c)).cast("double"), *[s / n for s in shares])
+    n_words = F.regexp_count(c, F.lit(f"[^{SPACES[1:]}+"))
+    return F.array(F.length(c).cast("double"), n_words.cast("double"), *[s / n for s in shares])
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -440,3 +440,16 @@ def bookmarks_diff(spark, sf_dir):
 @query(f"SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, ord) AS ord, title, level, page, 'detected_section' AS source FROM {D_SECTIONS}")
 def bookmarks_from_sections(spark, sf_dir):
     return B.from_sections(sections(spark, sf_dir))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT doc, numbering, chapter FROM {D_TREE}) SELECT a.doc, a.numbering AS parent, b.numbering AS child, b.numbering = '' OR a.numbering = ''
+      OR (contains(a.numbering, '-') AND contains(b.numbering, '-') AND len(string_split(b.numbering, '-')) >= 3 AND string_split(a.numbering, '-')[1:2] = string_split(b.numbering, '-')[1:2])
+      OR (NOT (contains(a.numbering, '-') AND contains(b.numbering, '-')) AND contains(a.numbering, '.') AND contains(b.numbering, '.') AND len(string_split(b.numbering, '.')) >= 3 AND string_split(a.numbering, '.')[1:2] = string_split(b.numbering, '.')[1:2]) AS inside
+    FROM t a JOIN t b ON a.doc = b.doc AND a.chapter = b.chapter AND a.numbering <> b.numbering"""
+)
+def section_membership(spark, sf_dir):
+    """Whether one number of a chapter lies under another."""
+    t = outline(spark, sf_dir).select("doc", "numbering", C.chapter_number(F.col("numbering")).alias("chapter")).distinct()
+    both = t.withColumnRenamed("numbering", "parent").join(t.withColumnRenamed("numbering", "child"), ["doc", "chapter"]).filter("parent <> child")
+    return both.select("doc", "parent", "child", C.belongs(F.col("child"), F.col("parent"), empty=True).alias("inside"))

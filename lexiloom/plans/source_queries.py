@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import report, scoring
+from ..operators import bookmarks, embedding, report, scoring
 from ..session import shared_folder
 from ..sources import readers
+from .book_queries import D_SECTIONS, sections
 from .registry import query, read, sql
+from .table_queries import D_ALIGN, D_SIM, alignments
 
 
 def place(spark, name: str) -> str:
@@ -35,7 +37,7 @@ def json_chunks_scan(spark, sf_dir):
     """Chunks to JSON and back."""
     path = place(spark, "chunks")
     report.write_json(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    back = spark.read.schema("doc_id BIGINT, text STRING").json(path)
+    back = readers.read_chunks(spark, path, "doc_id BIGINT, text STRING")
     return back.select("doc_id", F.md5("text").alias("content_hash"), F.length("text").cast("long").alias("char_count"))
 
 
@@ -93,33 +95,119 @@ def document_files(spark, sf_dir):
     return lines.select(parts[0].cast("long").alias("p_partkey"), parts[1].alias("p_name"))
 
 
+def _layout(content: bytes) -> list[dict]:
+    """A stand-in for a layout engine: pages part at form feeds, a line is a span; files of scans fail."""
+    text = content.decode("utf-8")
+    if text.startswith("scan"):
+        raise ValueError("no text layer")
+    return [
+        {"text": p, "spans": [{"text": t, "x0": 0.0, "y0": 12.0 * k, "x1": 5.0 * len(t), "y1": 12.0 * k + 10, "font": "plain", "size": 10.0, "bold": False} for k, t in enumerate(p.split("\n"))]}
+        for p in text.split("\f")
+    ]
+
+
+def _seen(content: bytes, page: int) -> str:
+    """A stand-in for character recognition: pages of scans in capitals; the second of each fails."""
+    text = content.decode("utf-8").split("\f")[page - 1]
+    if page == 2:
+        raise ValueError("blurred")
+    return text.upper() + " (read from the picture of the page, at twice its size)"
+
+
+@query(
+    """SELECT s_suppkey, page, CASE WHEN s_suppkey % 2 = 0 AND page = 2 THEN '' WHEN s_suppkey % 2 = 0 OR page = 1 THEN concat(upper(t), ' (read from the picture of the page, at twice its size)') ELSE t END AS text,
+    CASE WHEN s_suppkey % 2 = 0 AND page = 2 THEN 'ocr_failed' WHEN s_suppkey % 2 = 0 OR page = 1 THEN 'ocr' ELSE 'layout' END AS extraction_method, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END AS n_spans FROM
+    (SELECT s_suppkey, unnest([1, 2]) AS page, unnest([concat(CASE WHEN s_suppkey % 2 = 0 THEN 'scan ' ELSE 'file ' END, s_suppkey), concat(s_name, ' is the name of a supplier, on a page with enough text')]) AS t FROM supplier)"""
+)
+def document_engines(spark, sf_dir):
+    """Files that a layout engine reads, or fails on, with recognition of sparse pages and of scans."""
+    path = place(spark, "engines")
+    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat(CASE WHEN s_suppkey % 2 = 0 THEN 'scan ' ELSE 'file ' END, s_suppkey, '\f', s_name, ' is the name of a supplier, on a page with enough text') AS value")
+    s.write.partitionBy("s_suppkey").text(path)
+    pages = readers.read_documents(spark, path + "/*/part-*", {"broken": lambda content: 1 / 0, "layout": _layout}, _seen)
+    lines = lambda c: F.rtrim(F.regexp_replace(c, r"\n", ""))
+    key = F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long")
+    n = F.size(F.filter(F.coalesce("spans", F.array().cast(f"array<{readers.SPAN}>")), lambda x: x["text"] != ""))
+    spans = F.when(F.col("spans").isNull(), 0).otherwise(n)
+    return pages.select(key.alias("s_suppkey"), "page", lines("text").alias("text"), "extraction_method", spans.alias("n_spans"))
+
+
 @query("SELECT s_suppkey, s_name FROM supplier")
 def report_json_roundtrip(spark, sf_dir):
-    """Rows in a JSON envelope, written and read back."""
+    """One report of all rows in a JSON envelope, written and read back."""
     path = place(spark, "report")
     report.envelope(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "lexiloom", "1").write.text(path)
-    kind = "metadata struct<generator: string, version: string>, data struct<s_suppkey: bigint, s_name: string>"
-    return spark.read.schema(kind).json(path).select("data.*")
+    kind = "metadata struct<generator: string, version: string>, data array<struct<s_suppkey: bigint, s_name: string>>"
+    return spark.read.schema(kind).json(path).select(F.explode("data").alias("d")).select("d.*")
 
 
-@query()
-def html_report(spark, sf_dir):
-    """The report page of one document pair as one row."""
-    from .table_queries import alignments
+@query("SELECT n_regionkey::VARCHAR AS report, n_nationkey, n_name FROM nation")
+def report_json_by_key(spark, sf_dir):
+    """A report for each region."""
+    path = place(spark, "reports")
+    report.envelope(read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name"), "lexiloom", "1", "n_regionkey").write.text(path)
+    kind = "metadata struct<generator: string, version: string, report: string>, data array<struct<n_nationkey: int, n_name: string>>"
+    return spark.read.schema(kind).json(path).select("metadata.report", F.explode("data").alias("d")).select("report", "d.*")
+
 
+_CELL = "concat('<tr><td>Section ', section, '</td><td>', printf('%.2f', round(similarity, 2)), '</td></tr>')"
+_HEAD, _REST = report.PAGE.replace("{title}", "Comparison").split("{overall}")
+_MID, _TAIL = _REST.split("{grade}")
+_AFTER, _FOOT = _TAIL.split("{rows}")
+
+
+@query(
+    f"""SELECT t.pair_id, md5(concat('{_HEAD}', printf('%.2f', round(t.similarity, 2)), '{_MID}', CASE WHEN t.similarity >= 90 THEN 'A' WHEN t.similarity >= 80 THEN 'B' WHEN t.similarity >= 70 THEN 'C' WHEN t.similarity >= 60 THEN 'D' ELSE 'F' END,
+    '{_AFTER}', string_agg({_CELL.replace('similarity', 's.similarity').replace('section,', 's.section,')}, '' ORDER BY s.similarity DESC, s.section), '{_FOOT}')) AS html_md5
+    FROM (SELECT pair_id, round({D_SIM}, 6) AS similarity FROM {D_ALIGN} GROUP BY pair_id) t JOIN (SELECT pair_id, section, round({D_SIM}, 6) AS similarity FROM {D_ALIGN} GROUP BY pair_id, section) s ON s.pair_id = t.pair_id GROUP BY t.pair_id, t.similarity"""
+)
+def html_report(spark, sf_dir):
+    """The report pages of all document pairs."""
     rows = alignments(spark, sf_dir)
-    one = rows.agg(F.min("pair_id").alias("pair_id"))
-    own = rows.join(F.broadcast(one), "pair_id")  # one row
-    total = scoring.overall(own, "pair_id").withColumn("grade", scoring.grade(F.col("similarity"))).first()
-    sections = scoring.overall(own, "pair_id", "section").withColumn("label", F.concat(F.lit("Section "), F.col("section").cast("string")))
-    page = report.html_page("Comparison", total["similarity"], total["grade"], sections)
-    return spark.createDataFrame([(total["pair_id"], page)], "pair_id long, html string")
+    totals = scoring.overall(rows, "pair_id").withColumn("grade", scoring.grade(F.col("similarity")))
+    sections = scoring.overall(rows, "pair_id", "section").withColumn("label", F.concat(F.lit("Section "), F.col("section").cast("string")))
+    return report.html_pages(totals, sections).select("pair_id", F.md5("html").alias("html_md5"))
 
 
-sql("events_by_type", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY event_type", None, "events")
-sql(
-    "cache_latest",
-    "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1",
-    None,
-    "events",
+@query("SELECT s_suppkey, s_name, 'Lieferant ü' AS note, true AS marked FROM supplier")
+def sheet_csv(spark, sf_dir):
+    """CSV with a byte order mark, read back."""
+    path = place(spark, "sheet")
+    report.write_csv_for_sheets(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit("Lieferant ü").alias("note")), path)
+    # Spark's readers of text drop the mark, so it is looked for in the bytes.
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    marked = files.agg(F.every(F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("marked"))
+    back = spark.read.csv(path, schema="s_suppkey BIGINT, s_name STRING, note STRING", header=True, enforceSchema=True)
+    return back.join(F.broadcast(marked))  # one row
+
+
+@query(f"SELECT doc, generate_subscripts(l, 1) AS ord, unnest(l) AS title FROM (SELECT doc, list(title ORDER BY ord) AS l FROM {D_SECTIONS} GROUP BY doc)")
+def bookmarks_written(spark, sf_dir):
+    """Outlines as JSON files, one document a row, read back."""
+    path = place(spark, "outlines")
+    bookmarks.write(sections(spark, sf_dir), path)
+    back = spark.read.schema("doc BIGINT, entries ARRAY<STRUCT<level: INT, title: STRING, page: INT>>").json(path)
+    return back.select("doc", F.posexplode("entries").alias("k", "e")).select("doc", (F.col("k") + 1).cast("long").alias("ord"), "e.title")
+
+
+@query(
+    """SELECT kind, doc_id, n FROM (SELECT 'new' AS kind, doc_id, length(text) AS n FROM documents UNION ALL SELECT 'kept', doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN length(text) ELSE -length(text) END FROM documents)"""
 )
+def cache_by_content(spark, sf_dir):
+    """Vectors kept by content: made for every second document first, then for what is lacking."""
+    path, d = place(spark, "cache"), read(spark, sf_dir, "documents").select("doc_id", "text")
+    length = lambda sign: lambda: lambda texts: [[sign * len(t)] for t in texts]
+    embedding.embed(d.filter("doc_id % 2 = 0"), make_model=length(1), cache=path).count()
+    both = embedding.embed(d, make_model=length(-1), cache=path).select(F.lit("kept").alias("kind"), "doc_id", F.col("vector")[0].cast("long").alias("n"))
+    alone = embedding.embed(d, make_model=length(1), cache=place(spark, "cache")).select(F.lit("new").alias("kind"), "doc_id", F.col("vector")[0].cast("long").alias("n"))
+    return alone.unionByName(both)
+
+
+@query(r"""SELECT page_id, generate_subscripts(h, 1) - 1 AS ord, substr(unnest(h), 3, 1)::INTEGER AS level, trim(regexp_replace(regexp_replace(unnest(h), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title
+    FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h FROM pages)""")
+def headings_html(spark, sf_dir):
+    """Headings of pages, with the text of markup inside of them."""
+    return readers.headings_from_html(read(spark, sf_dir, "pages"), "page_id")
+
+
+sql("events_by_type", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY event_type", None, "events")

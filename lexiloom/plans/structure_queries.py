@@ -45,12 +45,6 @@ def headings_position(spark, sf_dir):
     return S.position_headings(rows(spark, L), ["doc", "page"])
 
 
-@query("SELECT page_id, generate_subscripts(h, 1) - 1 AS ord, unnest(h) AS title FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)', 1) AS h FROM pages)")
-def headings_html(spark, sf_dir):
-    h = F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>([^<]*)"), 1)
-    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(h).alias("ord", "title")).withColumn("ord", F.col("ord").cast("long"))
-
-
 SPANS = """VALUES (1,1,10.2,'1. BIG TITLE',20.0,true),(1,1,30.0,'1. body of text here',10.0,false),(1,1,45.0,'2. bold words',10.0,true),(1,1,60.0,'more body text',10.0,false),(1,1,75.0,'IV. Roman',14.5,false),
 (1,2,10.0,'2. SECOND',18.0,false),(1,2,10.4,'part two',18.0,true),(1,2,40.0,'1.1 body',10.0,false),(1,2,55.0,'fine print.',8.0,false),(1,2,70.0,'body again',10.0,false)"""
 SP = f"(SELECT * FROM ({SPANS}) v(doc, page, y, text, size, bold))"
@@ -172,3 +166,11 @@ def d_clamp(jump: int) -> str:
 @query(d_clamp(2))
 def level_clamp(spark, sf_dir):
     return S.clamp_levels(rows(spark, OUT), ["doc"], 2)
+
+
+@query()
+def headings_combined(spark, sf_dir):
+    """Headings of two detectors in one, repeated ones once."""
+    lines = rows(spark, L)
+    shape = lambda df: df.select(F.concat_ws("-", "doc", "page").alias("page"), F.col("line_no").cast("int").alias("ord"), F.col("line").alias("text"), F.col("confidence").cast("double").alias("confidence"), "level")
+    return S.combined_headings(shape(S.pattern_headings(lines)), shape(S.position_headings(lines, ["doc", "page"])))

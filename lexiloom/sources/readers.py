@@ -17,10 +17,10 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=SALES_SCHEMA, header=True, dateFormat="yyyy-MM-dd")
 
 
-def read_chunks(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Chunks as JSON: one array of objects in a file, or one object a line."""
+def read_chunks(spark: SparkSession, path: str, schema: str | None = None, array: bool = False) -> DataFrame:
+    """Chunks as JSON: one object a line, or, with `array`, one array of objects in a file."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True)
+    return reader.json(path, multiLine=array)
 
 
 def chapters_from_json(df: DataFrame, column: str) -> DataFrame:

@@ -72,9 +72,10 @@ def test_greedy_and_optimal(spark):  # X7: both keep scores at the threshold
 
 
 def test_alignment_is_monotone(spark, sf_dir):
-    from lexiloom.plans.compare_queries import chunk_scores
+    from lexiloom.plans import registry
 
-    rows = align.align(chunk_scores(spark, sf_dir), "pair_id").orderBy("pair_id", "ord").collect()
+    rows = registry.QUERIES["align_nw"](spark, sf_dir).orderBy("pair_id", "ord").collect()
+    assert rows
     for side in "ij":
         seen = {}
         for r in rows:
@@ -111,3 +112,60 @@ def test_both_ways_to_align_agree(spark):
     one = align.align(scores, "pair_id").orderBy("pair_id", "ord").collect()
     two = align.align_texts(pairs, "pair_id", "x", "y").orderBy("pair_id", "ord").collect()
     assert [(r["i"], r["j"], r["alignment_type"]) for r in one] == [(r["i"], r["j"], r["alignment_type"]) for r in two]
+
+
+def test_chapters_of_the_fixture(spark):
+    """Sections by chapter, longest patterns first; chapters that only their sections tell of."""
+    from lexiloom.operators import contents
+
+    lines = ["1-1. Aims", "1-2. Scope", "2-1. Way", "2-2. Means", "2-3. Ends", "2-4. Rest", "3-1. Items", "3-2. More", "3-2-1. First", "3-2-2. Second", "4-1. Last", "4-2. Very last", "4-3. End of it"]
+    df = spark.createDataFrame([(1, 1 + k // 4, k % 4 + 1, x) for k, x in enumerate(lines)], "doc long, page int, line_no int, line string")
+    n = structure.valid_sequence(structure.numbered(df), ["doc"])
+    counts = {r["chapter"]: r["n"] for r in n.groupBy("chapter").agg(F.count("*").alias("n")).collect()}
+    assert counts == {1: 2, 2: 4, 3: 4, 4: 3}
+    h = n.select("doc", (F.col("page") * 8 + F.col("line_no")).alias("ord"), "numbering", "title", "page")
+    tree = {r["chapter"]: r for r in contents.hierarchy(h).collect()}
+    assert {k: (r["n_sections"], r["n_subsections"], r["is_virtual"]) for k, r in tree.items()} == {"1": (2, 0, True), "2": (4, 0, True), "3": (2, 2, True), "4": (3, 0, True)}
+    assert tree["1"]["title"] == "第1章 Aims..."
+    pairs = {(r["parent"], r["child"]) for r in contents.children(h).collect()}
+    assert pairs == {("3-2", "3-2-1"), ("3-2", "3-2-2")}
+
+
+def test_pattern_cascade(spark):
+    df = spark.createDataFrame([(1, 1, k, x) for k, x in enumerate(["1-1. Aims", "2-1. Way", "3-2-1. First", "3-2-2. Second", "4.2. Dots"])], "doc long, page int, line_no int, line string")
+    found = [tuple(x for x in (r["chapter"], r["section"], r["subsection"]) if x is not None) for r in structure.numbered(df).orderBy("line_no").collect()]
+    assert found == [(1, 1), (2, 1), (3, 2, 1), (3, 2, 2), (4, 2)]
+
+
+def test_trees_of_any_depth(spark):
+    levels = [1, 3, 9, 12, 9, 2, 7, 1, 8, 8]
+    df = spark.createDataFrame([(1, k, v, k // 2 + 1, 6) for k, v in enumerate(levels)], "doc int, ord int, level int, page int, last_page int")
+    parent = {r["ord"]: r["parent"] for r in structure.parents(df, ["doc"]).collect()}
+    end = {r["ord"]: r["page_end"] for r in structure.intervals(df).collect()}
+    for k, v in enumerate(levels):
+        assert parent[k] == max((i for i in range(k) if levels[i] < v), default=None)
+        following = next((i for i in range(k + 1, len(levels)) if levels[i] <= v), None)
+        assert end[k] == max(k // 2 + 1, following // 2 if following is not None else 6)
+
+
+def test_levels_and_membership(spark):
+    from lexiloom.operators import contents
+
+    want = {"": 1, "1": 1, "20": 1, "21": 2, "1-1": 2, "1.1": 2, "1.1.": 2, "1-1-1": 3, "1.2.3": 3, "1-2.3": 2, "A": 1}
+    rows = spark.createDataFrame([(x,) for x in want], "n string").select("n", contents.level_of(F.col("n")).alias("level")).collect()
+    assert {r["n"]: r["level"] for r in rows} == want
+    cases = {("1-1-1", "1-1"): True, ("1-2-1", "1-1"): False, ("1.1.1", "1.1"): True, ("1.1.1", "1-1"): False, ("1-1", "1-1"): False, ("", "1"): False}
+    out = spark.createDataFrame(list(cases), "c string, p string").select("c", "p", contents.belongs(F.col("c"), F.col("p")).alias("x"), contents.belongs(F.col("c"), F.col("p"), empty=True).alias("y")).collect()
+    assert {(r["c"], r["p"]): r["x"] for r in out} == cases and all(r["y"] for r in out if not r["c"])
+
+
+def test_fuzzy_lines(spark):
+    from lexiloom.operators import contents
+
+    lines = spark.createDataFrame([(1, 3, 1, "Other words"), (1, 3, 2, "The SCOPE of: the work!"), (1, 3, 3, "scope of the work again"), (1, 4, 1, "one two three four five six seven eight")], "doc long, page int, line_no int, line string")
+    marks = spark.createDataFrame([(1, 1, "scope of the work", 3), (1, 2, "two three four five six seven eight nine", 4), (1, 3, "nothing", 3)], "doc long, ord int, title string, page int")
+    out = {r["ord"]: (r["line_no"], r["text_match"]) for r in contents.with_heading_text(marks, lines).collect()}
+    assert out == {1: (2, 0.9), 2: (1, 0.9), 3: (None, None)}
+    heads = spark.createDataFrame([(1, 2, "scope of work here", 0.5), (1, 3, "scope", 0.9), (1, 5, "scope of the work", 1.0)], "doc long, page int, text string, confidence double")
+    kept = contents.supplementary(heads, marks.filter("ord = 1")).collect()
+    assert [(r["page"], r["confidence"]) for r in kept] == [(2, 0.4), (5, 0.8)] or [(r["page"], r["confidence"]) for r in kept] == [(5, 0.8), (2, 0.4)]

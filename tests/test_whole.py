@@ -72,7 +72,7 @@ def test_all_headings_are_titles(spark, tmp_path):
     html = f'<h1>ab</h1><p>no heading at all</p><h2 class="x">{long}</h2><h3>third level</h3><h6>x</h6>'
     spark.createDataFrame([(2, "u", html), (3, "v", "<h4>other side</h4>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     a, b = heading_sides(spark, str(tmp_path))
-    assert rows(a, "pair_id", "ord", "title") == [(1, 0, "ab"), (1, 1, long), (1, 2, "third level"), (1, 3, "x")]
+    assert rows(a, "pair_id", "ord", "title") == [(1, 0, "ab"), (1, 1, long.strip()), (1, 2, "third level"), (1, 3, "x")]
     assert rows(b, "pair_id", "ord", "title") == [(1, 0, "other side")]
     assert registry.QUERIES["title_similarity"](spark, str(tmp_path)).count() == 4
 
