@@ -177,6 +177,16 @@ def ranked(matches: DataFrame, key: str) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+def projected(rows: DataFrame) -> DataFrame:
+    """Alignment rows as reports show them: of each chunk the body text where there is one, else the
+    whole text, and score 0 for deletions and insertions. rows: alignment_type, score, and of either
+    side (a, b) body_ and text_ columns."""
+    shown = lambda k: F.coalesce(F.nullif(F.col(f"body_{k}"), F.lit("")), F.col(f"text_{k}"), F.lit(""))
+    alone = F.col("alignment_type").isin("insert", "delete")
+    score = F.when(alone, 0.0).otherwise(F.col("score"))
+    return rows.withColumns({"shown_a": shown("a"), "shown_b": shown("b"), "score": score}).drop("body_a", "text_a", "body_b", "text_b")
+
+
 def leftovers(chunks: DataFrame, mapped: DataFrame, key: list[str], kind: str) -> DataFrame:
     """Chunks without a mapped section, as `kind` (delete or insert), in order."""
     alone = chunks.join(mapped, key, "left_anti")

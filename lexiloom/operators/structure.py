@@ -213,6 +213,13 @@ def numbered(lines: DataFrame) -> DataFrame:
     return out.withColumns({"level": level, "numbering": label}).filter("chapter is not null")
 
 
+def placed(headings: DataFrame, *order: str, by: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Adds place: the number of each heading in its document in the order of columns; a minus in front
+    means falling."""
+    keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    return headings.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("long"))
+
+
 def sort_key(numbering: Column, digits: int = 10) -> Column:
     """Numeric order of hierarchical numbers as text: each number with zeros in front, or as it is if it
     is longer than `digits`."""

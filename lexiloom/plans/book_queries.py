@@ -453,3 +453,13 @@ def section_membership(spark, sf_dir):
     t = outline(spark, sf_dir).select("doc", "numbering", C.chapter_number(F.col("numbering")).alias("chapter")).distinct()
     both = t.withColumnRenamed("numbering", "parent").join(t.withColumnRenamed("numbering", "child"), ["doc", "chapter"]).filter("parent <> child")
     return both.select("doc", "parent", "child", C.belongs(F.col("child"), F.col("parent"), empty=True).alias("inside"))
+
+
+@query(
+    f"""SELECT doc, page, line_no, row_number() OVER (PARTITION BY doc ORDER BY page, line_no) AS by_line, row_number() OVER (PARTITION BY doc ORDER BY page, level DESC, line_no) AS by_confidence FROM {D_NUMBERED}"""
+)
+def headings_ordered(spark, sf_dir):
+    """Headings in order of page and line, and of page and falling confidence."""
+    n = numbered(spark, sf_dir).withColumn("confidence", F.col("level") / 4)
+    one = S.placed(n, "page", "line_no").withColumnRenamed("place", "by_line")
+    return S.placed(one, "page", "-confidence", "line_no").select("doc", "page", "line_no", "by_line", F.col("place").alias("by_confidence"))

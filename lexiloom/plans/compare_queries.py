@@ -50,6 +50,11 @@ def partial_ratio(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("a", "b", F.round(kernels.best_part_ratio(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+@query(f"SELECT a, b, levenshtein(a, b) AS distance FROM ({D_SORTED})")
+def edit_distance(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
+
+
 def heading_sides(spark, sf_dir):
     """All headings of pages of two hosts' halves as the sections of document pairs: pair by page_id / 2."""
     h = readers.headings_from_html(read(spark, sf_dir, "pages"), "page_id").withColumn("ord", F.col("ord").cast("int"))

@@ -169,6 +169,14 @@ def html_report(spark, sf_dir):
     return report.html_pages(totals, sections).select("pair_id", F.md5("html").alias("html_md5"))
 
 
+@query(f"SELECT pair_id, section, round({D_SIM}, 6) AS similarity, count(*) AS n FROM {D_ALIGN} GROUP BY pair_id, section")
+def scores_json(spark, sf_dir):
+    """Section scores as JSON files, read back."""
+    path = place(spark, "scores")
+    report.export(scoring.overall(alignments(spark, sf_dir), "pair_id", "section"), path, ["json"])
+    return spark.read.schema("pair_id STRING, section BIGINT, similarity DOUBLE, n BIGINT").json(path + ".json")
+
+
 @query("SELECT s_suppkey, s_name, 'Lieferant ü' AS note, true AS marked FROM supplier")
 def sheet_csv(spark, sf_dir):
     """CSV with a byte order mark, read back."""
