@@ -125,7 +125,8 @@ def _leaves(df: DataFrame, id_col: str, text_col: str, limit: int, step: int) ->
 def directory(assigned: DataFrame, most_bits: int = 16) -> DataFrame:
     """The directory of the shards of shards(): entry (a number of so many bits as the deepest shard
     has, `most_bits` at most, as text), shard, depth. A shard of less depth has several entries; of
-    shards deeper than the directory each has the entry of its leading bits."""
+    shards deeper than the directory each has the entry of its leading bits. Entries under which no row
+    lies are left out."""
     leaves = assigned.select("shard", "depth", "prefix").distinct()
     depth = leaves.agg(F.least(F.max("depth"), F.lit(most_bits)).alias("bits"))
     free = F.col("bits") - F.least("depth", "bits")

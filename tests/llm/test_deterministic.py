@@ -308,8 +308,10 @@ def test_sharding(spark, docs, nothing, limit):
     if limit == 3_000:
         depth = min(16, out["depth"].max())
         entries = {r["entry"]: r["shard"] for r in sharding.directory(sharding.shards(df, limit=limit)).collect()}
-        assert {len(e) for e in entries} <= {depth} and len(entries) == 2**depth
-        assert set(entries.values()) <= set(out["shard"])
+        assert {len(e) for e in entries} == {depth} and set(entries.values()) <= set(out["shard"])
+        for shard, r in out.drop_duplicates("shard").set_index("shard").iterrows():
+            if r["page"] == 0 and r["shard_bytes"] and r["depth"] <= depth:
+                assert sum(v == shard for e, v in entries.items() if e.startswith(r["prefix"])) == 2 ** (depth - r["depth"])
 
 
 def test_write_shards(spark, nothing, tmp_path):
