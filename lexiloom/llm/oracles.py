@@ -66,3 +66,9 @@ WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(q, 9) AS p_good, NOT base_failed AND q >= 0.5 AS kept FROM
   (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, good / (good + bad) AS q FROM (SELECT v.*, {_POST[0]} AS good, {_POST[1]} AS bad FROM v, e WHERE e.k = 40))
 """
+
+EXACT_DEDUP = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+  g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, order_minhash
+from . import exact_dedup, oracles, order_minhash
 from .classifier import classify, fit
 from .embedding_dedup import near_copies
 from .html_extract import extract
@@ -91,7 +91,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 9))
 
 
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(read(spark, sf_dir, "documents"), digest=True)
+
+
 ORACLES |= {
+    "op13_exact_dedup": oracles.EXACT_DEDUP,
     "op2_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op3_mixing": oracles.MIXING,
     "op10_quality_rules": oracles.QUALITY_RULES,
