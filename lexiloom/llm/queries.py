@@ -16,6 +16,7 @@ from .pieces import encode
 from .quality_rules import judged
 from .secrets import scan
 from .sharding import shards
+from .spelling import variants
 from .token_counts import histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 9))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read(spark, sf_dir, "documents"), damage=97)
+
+
 @query
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(read(spark, sf_dir, "documents"), digest=True)
