@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup, oracles, order_minhash
 from .classifier import classify, fit
 from .embedding_dedup import near_copies
+from .hard_negatives import mine
 from .html_extract import extract
 from .mixing import mix
 from .pieces import encode
@@ -97,12 +98,22 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read(spark, sf_dir, "documents"), damage=97)
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label moved on by one, components in whole 256ths."""
+    table = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < float("inf"), F.floor(256 * x).cast("double")))
+    return mine(table.withColumns({"label": moved, "embedding": whole}), anchor=F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(read(spark, sf_dir, "documents"), digest=True)
 
 
 ORACLES |= {
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
     "op13_exact_dedup": oracles.EXACT_DEDUP,
     "op2_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op3_mixing": oracles.MIXING,
