@@ -1,14 +1,14 @@
 """Grouping of spelling variants with letter-parity bitmask bands.
 
 A word's mask has a bit for each letter, set if the letter occurs an odd number of times. One inserted
-or deleted letter flips one bit, a replaced one at most two. The bits are split into three bands, so
-two words that are one edit apart agree on a band at least: they meet under (band, its bits, length),
-where a word is dealt under its own length and, as the shorter of two, under the next one. There,
-pairs whose whole masks differ in more than two bits are ruled out by counting bits, the others are
-verified letter by letter, all pairs of a block at once. A pair counts in the first band on which it
-agrees, so it counts once, and what leaves a task is one row per word: how many near words it has
-there, and the best of them. Groups of many words are split into blocks, and every pair of blocks is
-a task of its own.
+or deleted letter flips one bit, a replaced one at most two. The bits are split into three bands. Two
+words of one length that are one edit apart agree on a band at least and meet under (band, its bits,
+length); two words of lengths m and m - 1 agree on exactly two of the bands and meet under (these two
+bands, their bits, m). There, pairs whose whole masks differ in more than two bits are ruled out by
+counting bits, the others are verified letter by letter, many pairs at a time. A pair of one length
+counts in the first band on which it agrees, so every pair counts once, and what leaves a task is one
+row per word: how many near words it has there, and the best of them. Groups of many words are split
+into blocks, and every pair of blocks is dealt out on its own.
 
 A form occurs at least twice as often as its word, so chains of forms are short (at most the binary
 logarithm of the largest number of occurrences) and are followed by doubling steps.
@@ -27,12 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .embedding_dedup import grouped
 from .graph import dropped, written
 from .pieces import portions
 
 #: The letters of a run, and those that become small.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LETTERS = "[A-Za-zÀ-ÿ]"
 SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 #: Bit of each letter by its code point: a to z have their own, the others share 38. Bands take every third.
@@ -40,45 +39,61 @@ BIT = np.zeros(256, np.uint64)
 BIT[ord("a") : ord("z") + 1] = np.uint64(1) << np.arange(26, dtype=np.uint64)
 BIT[0xC0:] = np.uint64(1) << (np.arange(64, dtype=np.uint64) % np.uint64(38) + np.uint64(26))
 BANDS = 3
-BAND = [sum(1 << b for b in range(k, 64, BANDS)) for k in range(BANDS)]
+BAND = np.array([sum(1 << b for b in range(k, 64, BANDS)) for k in range(BANDS)], np.uint64)
+#: Kinds of meetings: of words of one length on a band, then of neighbouring lengths on all but a band.
+KINDS = [*BAND, *~BAND]
 
 
-def runs(number: str, text: str, damage: int | None) -> Counter:
-    """Words of a text with their occurrences: maximal runs of letters, A-Z in lower case. With `damage`,
-    a run whose h = crc32 of `<number>:<run>` it divides loses its letter h % length."""
-    out: Counter = Counter()
-    start = zlib.crc32(f"{number}:".encode())
-    for run, n in Counter(RUN.findall(text)).items():
+class Small(dict):
+    """Words by run: A-Z in lower case, as text and in UTF-8. Bounded: emptied when it is full."""
+
+    def __missing__(self, run: str) -> tuple[str, bytes]:
+        if len(self) > 200_000:
+            self.clear()
         word = run.translate(SMALL)
+        self[run] = found = word, word.encode()
+        return found
+
+
+def add_runs(table: dict[str, int], number: str, text: str, pattern: re.Pattern, damage: int | None, small: Small) -> None:
+    """Adds the runs of a text to word counts. With `damage`, a run whose h = crc32 of `<number>:<run>` it
+    divides loses its letter h % length."""
+    start = zlib.crc32(f"{number}:".encode())
+    for run, n in Counter(pattern.findall(text)).items():
+        word, raw = small[run]
         if damage:
-            h = zlib.crc32(word.encode(), start)
+            h = zlib.crc32(raw, start)
             if h % damage == 0:
                 at = h % len(word)
                 word = word[:at] + word[at + 1 :]
-        out[word] += n
-    return out
+        table[word] = table.get(word, 0) + n
 
 
 def vocabulary(df: DataFrame, id_col: str, text_col: str, damage: int | None, least_length: int, least_n: int) -> DataFrame:
     """Rows (word, n). Each task adds up its own texts before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: Counter = Counter()
+        # Shorter runs make no words: runs lose letters, they never gain any.
+        pattern, small = re.compile(f"{LETTERS}{{{least_length},}}"), Small()
+        table: dict[str, int] = {}
         chars = 0
+
+        def told() -> Iterator[pd.DataFrame]:
+            some = {w: n for w, n in table.items() if len(w) >= least_length}
+            table.clear()
+            if some:
+                yield pd.DataFrame({"word": list(some), "n": list(some.values())})
+
         for pdf in batches:
             numbers, texts = pdf["id"].tolist(), pdf["text"].tolist()
             for part in portions(texts):
                 for number, text in zip(numbers[part], texts[part]):
-                    for word, n in runs(number, text, damage).items():
-                        if len(word) >= least_length:
-                            table[word] += n
+                    add_runs(table, number, text, pattern, damage, small)
                     chars += len(text)
                 if len(table) > 300_000 or chars > 100_000_000:
-                    yield pd.DataFrame({"word": list(table), "n": list(table.values())})
-                    table.clear()
+                    yield from told()
                     chars = 0
-        if table:
-            yield pd.DataFrame({"word": list(table), "n": list(table.values())})
+        yield from told()
 
     rows = df.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_n)
@@ -101,31 +116,64 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return before + after >= b.shape[1]
 
 
-def near_pairs(words: list[str], mask: np.ndarray, band: int, m: int, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of words of length m, or of one of m and one of m - 1, that are one edit apart and
-    whose first common band is `band`. left: if given, only pairs of a word with left and one without."""
-    n = len(words)
-    letters = np.frombuffer("".join(w.ljust(m, "\0") for w in words).encode("latin-1"), np.uint8).reshape(n, m)
-    short = np.array([len(w) < m for w in words])
-    long = np.flatnonzero(~short)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at in range(0, len(long), max(1, 2_000_000 // n)):
-        rows = long[at : at + max(1, 2_000_000 // n)]
-        flips = mask[rows][:, None] ^ mask[None, :]
-        good = (np.bitwise_count(flips) <= 2) & (short[None, :] | (np.arange(n)[None, :] > rows[:, None]))
-        for k in range(band):
-            good &= flips & np.uint64(BAND[k]) != 0
-        if left is not None:
-            good &= left[rows][:, None] != left[None, :]
-        i, j = np.nonzero(good)
-        i = rows[i]
-        for some, width in ((~short[j], m), (short[j], m - 1)):
-            a, b = i[some], j[some]
-            for x in range(0, len(a), max(1, 4_000_000 // m)):
-                y = slice(x, x + max(1, 4_000_000 // m))
-                near = one_edit(letters[a[y]], letters[b[y], :width])
-                found.append((a[y][near], b[y][near]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+#: Groups up to this size are compared with one another's, row by row at a distance; larger ones as matrices.
+SHIFTS = 128
+
+
+def candidates(group: np.ndarray, mask: np.ndarray, kind: np.ndarray, short: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows (sorted by `group`, a number) of one group whose masks differ in two bits at
+    most, each in the first kind of its own that brings the two together; of a pair of different lengths
+    the longer word comes first. side: 0 in whole groups; else pairs are of sides 1 and 2 only."""
+    n = len(group)
+    sizes = np.bincount(group)
+    found_i, found_j = [], []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        flips = mask[i] ^ mask[j]
+        good = (np.bitwise_count(flips) <= 2) & ((short[i] != short[j]) == (kind[i] >= BANDS)) & ((side[i] == 0) | (side[i] != side[j]))
+        for k in range(BANDS - 1):
+            good &= (kind[i] <= k) | (kind[i] >= BANDS) | (flips & BAND[k] != 0)
+        i, j = i[good], j[good]
+        found_i.append(np.where(short[i], j, i))
+        found_j.append(np.where(short[i], i, j))
+
+    some = np.flatnonzero((sizes > 1) & (sizes <= SHIFTS))
+    rows = np.flatnonzero(np.isin(group, some))
+    for d in range(1, SHIFTS):
+        i = rows[rows < n - d]
+        rows = i[group[i] == group[i + d]]
+        if not len(rows):
+            break
+        keep(rows, rows + d)
+    starts = np.cumsum(sizes) - sizes
+    for g in np.flatnonzero(sizes > SHIFTS):
+        start, size = int(starts[g]), int(sizes[g])
+        step = max(1, 1_000_000 // size)
+        for at in range(0, size, step):
+            block = np.arange(start + at, start + min(size, at + step))
+            # Counted on 64-bit words first, so that few pairs are spelled out.
+            i, j = np.nonzero(np.bitwise_count(mask[block][:, None] ^ mask[None, start : start + size]) <= 2)
+            i, j = block[i], start + j
+            later = j > i
+            keep(i[later], j[later])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j])
+
+
+def verified(words: list[str], m: np.ndarray, short: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are exactly one edit apart. m: length under which a row was dealt."""
+    order = np.argsort(m[i], kind="stable")
+    i, j = i[order], j[order]
+    cuts = np.flatnonzero(np.diff(m[i], prepend=-1)).tolist()
+    near = np.zeros(len(i), bool)
+    for start, end in zip(cuts, [*cuts[1:], len(i)]):
+        width = int(m[i[start]])
+        for at in range(start, end, max(1, 4_000_000 // width)):
+            x = slice(at, min(end, at + max(1, 4_000_000 // width)))
+            a, b = (np.frombuffer("".join([words[r].ljust(width, "\0") for r in rows.tolist()]).encode("latin-1"), np.uint8).reshape(-1, width) for rows in (i[x], j[x]))
+            less = short[j[x]]
+            near[x] = np.where(less, one_edit(a, b[:, :-1]), one_edit(a, b))
+    return i[near], j[near]
 
 
 def nearest(words: list[str], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -151,7 +199,7 @@ def variants(
     least_length: int = 5,
     least_n: int = 3,
     ratio: int = 2,
-    block: int = 4096,
+    block: int = 8192,
 ) -> DataFrame:
     """One row per word of the texts that has `least_length` letters and `least_n` occurrences or more:
     word, n (occurrences), n_near (words one inserted, deleted or replaced letter away), form (of
@@ -183,40 +231,62 @@ def variants(
     return chosen.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
+def whole(batches: Iterator[pd.DataFrame], by: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames of some `rows` rows of sorted batches, of whole groups."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        held.append(pdf)
+        if sum(map(len, held)) < rows:
+            continue
+        some = pd.concat(held, ignore_index=True)
+        last = (some[by] == some[by].iloc[-1]).all(axis=1).to_numpy()
+        at = int(last.argmax())
+        if at:
+            yield some.iloc[:at]
+        held = [some.iloc[at:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _near(words: DataFrame, block: int) -> DataFrame:
     """Rows (word, n_near, best, best_n) of words that have near ones."""
-    by = ["band", "bits", "m"]
+    by = ["kind", "bits", "m"]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
-            mask, length = masks(pdf["word"].tolist()), pdf["word"].map(len).to_numpy()
-            for k in range(BANDS):
-                for longer in (0, 1):
-                    bits = (mask & np.uint64(BAND[k])).view(np.int64)
-                    yield pd.DataFrame({"band": np.int32(k), "bits": bits, "m": (length + longer).astype(np.int32), "word": pdf["word"].array, "n": pdf["n"].array, "mask": mask.view(np.int64)})
-
-    dealt = words.mapInPandas(deal, "band int, bits long, m int, word string, n long, mask long")
+            mask, length = masks(pdf["word"].tolist()), pdf["word"].map(len).to_numpy(np.int32)
+            for k, bits in enumerate(KINDS):
+                for longer in (0, 1) if k >= BANDS else (0,):
+                    yield pd.DataFrame(
+                        {"kind": np.int32(k), "bits": (mask & bits).view(np.int64), "m": length + np.int32(longer), "word": pdf["word"].array, "n": pdf["n"].array, "mask": mask.view(np.int64)}
+                    )
+
+    dealt = words.mapInPandas(deal, "kind int, bits long, m int, word string, n long, mask long")
     # Blocks of so many words, or of 4 million letters.
     parts = F.ceil(F.greatest(F.col("size") / block, F.col("size") * F.col("m") / (1 << 22))).cast("int")
     large = written(dealt.groupBy(*by).agg(F.count("*").alias("size")).withColumn("parts", parts).filter("parts > 1").drop("size"), "spell-large")
     dealt = dealt.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("word"), F.col("parts").cast("long")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(*by, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), "word", "n", "mask")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(*by, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "word", "n", "mask")
     by = [*by, "p", "q"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, by):
-            if len(group) < 2:
-                continue
-            head = group.iloc[0]
-            left = group["left"].to_numpy() if head["p"] != head["q"] else None
-            spelled = group["word"].tolist()
-            i, j = near_pairs(spelled, group["mask"].to_numpy(np.int64).view(np.uint64), int(head["band"]), int(head["m"]), left)
+        for some in whole(batches, by, 50_000):
+            spelled = some["word"].tolist()
+            key = some[by].to_numpy(np.int64)
+            group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]).any(1)]))
+            kind, m = key[:, 0], key[:, 2]
+            short = some["word"].map(len).to_numpy() < m
+            mask = some["mask"].to_numpy(np.int64).view(np.uint64)
+            i, j = verified(spelled, m, short, *candidates(group, mask, kind, short, some["side"].to_numpy()))
             if len(i):
-                yield nearest(spelled, group["n"].to_numpy(np.int64), i, j)
+                yield nearest(spelled, some["n"].to_numpy(np.int64), i, j)
 
     slots = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = dealt.repartition(slots, *by).sortWithinPartitions(*by).mapInPandas(compare, "word string, n_near long, best_n long, best string")
