@@ -37,8 +37,6 @@ from pyspark.sql import types as T
 from .graph import components, written
 
 _ROTATIONS: dict[tuple[int, int, int], np.ndarray] = {}
-#: Nodes for vectors without any id lie above all ids.
-NO_ID = 1 << 62
 
 
 def rotation(dim: int, index: int, seed: int) -> np.ndarray:
@@ -245,9 +243,10 @@ def near_copies(
 
     Rows whose vector is null, empty, zero, or holds a null or non-finite component link with
     nothing: n_links 0, component_id their own id. Vectors of different lengths don't link. Rows
-    that repeat a vector exactly link with one another at cosine 1 and are compared as one. A null
-    id is an id like any other that is smaller than none: such rows get component_id null and kept
-    false unless they link to rows with ids. An empty table gives no rows. Other columns of `df` are
+    that repeat a vector exactly link with one another at cosine 1 and are compared as one. Vectors are
+    told apart by content (a 96-bit hash of it), never by id, so rows that share an id may lie in several
+    components. A null id is smaller than none: such rows get component_id null and kept false unless
+    they link to rows with ids. An empty table gives no rows. Other columns of `df` are
     ignored."""
     spark = df.sparkSession
     kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
@@ -256,11 +255,11 @@ def near_copies(
     good = F.coalesce(F.size("vec") > 0, F.lit(False)) & finite & F.coalesce(F.exists("vec", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("good", good)
     keyed = rows.filter("good").select("id", "vec", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
-    # One node for each distinct vector: its smallest id, or, without one, a number above all ids.
+    # One node for each distinct vector, numbered by its content.
     nodes = written(
         keyed.groupBy("k1", "k2")
         .agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-        .withColumn("node", F.coalesce("least", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("k1", "k2"), 2))),
+        .withColumn("node", F.xxhash64("k1", "k2")),
         "emb-nodes",
     )
     n = nodes.count()
@@ -341,25 +340,22 @@ def near_copies(
         "emb-links",
     )
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "emb-cc")
-    classes = written(
-        nodes.select("k1", "k2", "node", "copies")
+    members = written(
+        nodes.select("k1", "k2", "node", "least", "copies")
         .join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .join(roots, "node", "left")
-        .select(
-            "k1",
-            "k2",
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "node").alias("component_id"),
-        ),
-        "emb-classes",
+        .select("k1", "k2", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")),
+        "emb-members",
     )
+    # The smallest id of a component is taken at the end: ids number no nodes.
+    smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(members.join(smallest, "root").select("k1", "k2", "n_links", "component_id"), "emb-classes")
     linked = keyed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "n_links", "component_id")
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    component = F.when(F.col("component_id") < NO_ID, F.col("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col),
         "n_links",
-        component.alias("component_id"),
+        "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
