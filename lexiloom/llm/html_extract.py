@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 from .pieces import portions
 
 #: Comments, whole elements whose content is no markup, declarations, tags, and text between them.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|(<?[^<]+|<)",
-    re.S | re.I,
-)
+#: Elements whose content is no markup: everything up to their end tag.
+RAW = frozenset("script style noscript template textarea svg iframe select".split())
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+QUOTED = re.compile("[\"'>]")
 #: Elements that are no block of their own: text runs on through them.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
@@ -70,6 +71,100 @@ FOREIGN = -2.0
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+class Ends:
+    """Where the tags of a page end: at the first '>' outside of quotes or, if there is none, at the
+    first '>'. Signs are looked at one by one only up to `walk` for a tag; for those that take more, one
+    pass over the page's signs from its end says it for all."""
+
+    def __init__(self, page: str, walk: int = 64) -> None:
+        self.page, self.walk = page, walk
+        self.signs: list[int] | None = None
+        self.ends: list[int] = []
+
+    def of(self, at: int) -> int:
+        """Place of the '>' that ends the tag whose attributes begin at `at`; -1 without any."""
+        page = self.page
+        first = page.find(">", at)
+        if first < 0:
+            return -1
+        here = at
+        for _ in range(self.walk):
+            m = QUOTED.search(page, here)
+            if m is None:
+                return first
+            if m.group() == ">":
+                return m.start()
+            here = page.find(m.group(), m.end()) + 1
+            if not here:
+                return first
+        if self.signs is None:
+            self._index()
+        k = bisect_left(self.signs, here)
+        found = self.ends[k] if k < len(self.signs) else -1
+        return found if found >= 0 else first
+
+    def _index(self) -> None:
+        """For each quote and '>' the end of a tag that reaches it outside of quotes."""
+        self.signs = [m.start() for m in QUOTED.finditer(self.page)]
+        self.ends = [-1] * len(self.signs)
+        following: dict[str, int] = {}  # the next sign of each kind
+        for k in range(len(self.signs) - 1, -1, -1):
+            sign = self.page[self.signs[k]]
+            if sign == ">":
+                self.ends[k] = self.signs[k]
+            else:
+                after = following.get(sign, len(self.signs)) + 1
+                self.ends[k] = self.ends[after] if after < len(self.signs) else -1
+            following[sign] = k
+
+
+class Piece(NamedTuple):
+    """A stretch of text (name empty), or a tag with its attributes."""
+
+    at: int
+    text: str
+    name: str
+    closing: bool
+    attributes: str
+
+
+def pieces_of(page: str) -> Iterator[Piece]:
+    """The tags and the text between them, in one pass, without comments, declarations and elements
+    whose content is no markup. What looks like a tag but has no end is text."""
+    at, n, last = 0, len(page), page.rfind(">")
+    ends = Ends(page)
+    while at < n:
+        start = page.find("<", at)
+        start = n if start < 0 else start
+        if start > at:
+            yield Piece(at, page[at:start], "", False, "")
+        at = start
+        if at == n:
+            return
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = n if close < 0 else close + 3
+            continue
+        m = TAG.match(page, at)
+        if at < last and m is None and page[at + 1 : at + 2] in ("!", "?"):
+            at = page.find(">", at) + 1
+            continue
+        if m is None or m.end() > last:
+            after = page.find("<", at + 1)
+            after = n if after < 0 else after
+            yield Piece(at, page[at:after], "", False, "")
+            at = after
+            continue
+        name, closing = m.group(2).lower(), bool(m.group(1))
+        if name in RAW and not closing:
+            end = RAW_END[name].search(page, page.find(">", m.end()) + 1)
+            at = n if end is None else end.end()
+            continue
+        end = ends.of(m.end())
+        yield Piece(at, "", name, closing, page[m.end() : end])
+        at = end + 1
+
+
 def names(attributes: str) -> list[str]:
     """Names in class, id and role: '.x' for the former two, '=x' for a role."""
     if not attributes or "=" not in attributes:
@@ -113,6 +208,7 @@ def tokens(page: str, scores: dict[str, float]) -> list[Token]:
     """All tokens of a page, what stands in elements set apart marked."""
     out: list[list] = []
     stack: list[tuple[str, int]] = []  # open elements: name, number if it is one set apart, else -1
+    open_now: Counter = Counter()  # by name
     outer = [-1]  # elements set apart around the place
     never: list[bool] = []  # by number of an element set apart: whether it never holds an article
     parent: list[int] = []
@@ -129,6 +225,7 @@ def tokens(page: str, scores: dict[str, float]) -> list[Token]:
     def leave() -> str:
         nonlocal links, article, running
         name, number = stack.pop()
+        open_now[name] -= 1
         if number >= 0:
             outer.pop()
         links -= name == "a"
@@ -136,9 +233,10 @@ def tokens(page: str, scores: dict[str, float]) -> list[Token]:
         running -= name in RUNNING
         return name
 
-    for m in TOKEN.finditer(page):
-        text = m.group(8)
-        if text is not None:
+    for piece in pieces_of(page):
+        name = piece.name
+        if not name:
+            text = piece.text
             n = len(text.split())
             where = "l" if links else "w" if running else "d"
             out.append([where if n else " ", text, outer[-1], 0.0, n, where])
@@ -149,20 +247,16 @@ def tokens(page: str, scores: dict[str, float]) -> list[Token]:
                     if outer[-1] >= 0:
                         own[outer[-1]] += n
             continue
-        name = m.group(3) or m.group(6)
-        if name is None:  # a comment, a declaration, or an element without markup inside
-            continue
-        name = name.lower()
         if name not in INLINE:
             close_block()
-        if m.group(2) or m.group(5):
+        if piece.closing:
             inside = outer[-1]
-            if name not in VOID and any(x == name for x, _ in stack):
+            if name not in VOID and open_now[name]:
                 while leave() != name:
                     pass
             out.append(["-" + name, "", inside, 0.0, 0, ""])
             continue
-        attributes = m.group(4) or m.group(7) or ""
+        attributes = piece.attributes
         closed = CLOSES.get(name)
         while closed and stack and stack[-1][0] in closed:
             leave()
@@ -177,6 +271,7 @@ def tokens(page: str, scores: dict[str, float]) -> list[Token]:
                 parent.append(outer[-1])
                 outer.append(number)
             stack.append((name, number))
+            open_now[name] += 1
             links += name == "a"
             article += name in ("article", "main")
             running += name in RUNNING
@@ -190,12 +285,9 @@ def tokens(page: str, scores: dict[str, float]) -> list[Token]:
     shown = total - sum(own[k] for k in range(len(own)) if never[k])
     frame = [not never[k] and 2 * held[k] >= shown for k in range(len(own))]
 
-    def inner(k: int) -> int:
-        while k >= 0 and frame[k]:
-            k = parent[k]
-        return k
-
-    place = {k: inner(k) for k in range(-1, len(own))}
+    place = {-1: -1}  # the innermost that is no frame; outer ones come first
+    for k in range(len(own)):
+        place[k] = place[parent[k]] if frame[k] else k
     return [Token(kind, text, place[element], 0.0 if element >= 0 and frame[element] else extra) for kind, text, element, extra, _, _ in out]
 
 
@@ -228,10 +320,10 @@ def fit(pages: list[str]) -> dict[str, float]:
             elif t.kind != " ":
                 side[t.kind] += 1
         region = [m.start() for m in re.finditer(f"<{mark}[\\s>]", page, re.I)][:1] + [page.lower().rfind(f"</{mark}")]
-        for m in TOKEN.finditer(page):
-            if m.group(3) or m.group(6):
-                within = region[0] < m.start() < (region[1] if region[1] >= 0 else len(page))
-                for x in set(names(m.group(4) or m.group(7) or "")):
+        for tag in pieces_of(page):
+            if tag.name:
+                within = region[0] < tag.at < (region[1] if region[1] >= 0 else len(page))
+                for x in set(names(tag.attributes)):
                     (inside if within else outside)[x] += 1
     if not any(k[0] == "w" for k in inside):
         return first
@@ -292,18 +384,25 @@ def extract(
     keep: tuple[str, ...] = ("page_id", "url"),
     scores: dict[str, float] | None = None,
     most_labelled: int = 300,
+    most_chars: int = 20_000_000,
 ) -> DataFrame:
     """One row per row of `df`: the columns of `keep`, text (the main text, empty if there is none)
     and n_chars (its code points).
 
-    Without `scores` they are fitted on at most `most_labelled` pages, those with the least MD5 of
-    their html among pages that mark their article. A null page counts as empty; broken and cut-off
+    Without `scores` they are fitted on at most `most_labelled` pages, of at most `most_chars` code points
+    together, those with the least MD5 of their html among pages that mark their article. A null page counts as empty; broken and cut-off
     markup is read as far as it goes; repeated rows give repeated rows; an empty table gives no rows;
     other columns are ignored. Pages are read whole."""
     if scores is None:
         marked = df.filter(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html_col).alias("html"))
-        sample = marked.orderBy(F.md5("html"), "html").limit(most_labelled)
-        scores = fit([r["html"] for r in sample.toLocalIterator()])
+        sample = marked.filter(F.length("html") <= most_chars).orderBy(F.md5("html"), "html").limit(most_labelled)
+        some, held = [], 0
+        for r in sample.toLocalIterator():
+            held += len(r["html"])
+            if held > most_chars:
+                break
+            some.append(r["html"])
+        scores = fit(some)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
