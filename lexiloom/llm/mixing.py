@@ -208,11 +208,18 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def training_order(df: DataFrame, name: str) -> DataFrame:
     """Adds the place in training order of the rows of files written from mixed(): the number of the
-    part file, then the number of the row in it, in one long that is unique and ascends with the
-    position. A frame that isn't read straight from files has its rows' order as Spark numbers them."""
+    part file, the number of the file within the part (a task may write several), then the number of
+    the row in it, in one long that is unique and ascends with the position. The longs are as wide as
+    the largest of these numbers, which the files' footers tell, ask for; files in which they don't fit
+    raise. A frame that isn't read straight from files has its rows' order as Spark numbers them."""
     try:
         df.select("_metadata.row_index")
     except AnalysisException:
         return df.withColumn(name, F.monotonically_increasing_id())
-    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long")
-    return df.withColumn(name, F.shiftleft(F.coalesce(file, F.lit(0)), 36) + F.col("_metadata.row_index"))
+    part, file = (F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), x, 1).try_cast("long"), F.lit(0)) for x in (r"part-(\d+)", r"-c(\d+)"))
+    row = F.col("_metadata.row_index")
+    most = df.select(part.alias("part"), file.alias("file"), row.alias("row")).agg(F.max("part"), F.max("file"), F.max("row")).first()
+    bits = [int(x or 0).bit_length() for x in most]
+    if sum(bits) > 63:
+        raise ValueError(f"{name} takes {sum(bits)} bits: write fewer or smaller files")
+    return df.withColumn(name, F.shiftleft(part, bits[1] + bits[2]) + F.shiftleft(file, bits[2]) + row)
