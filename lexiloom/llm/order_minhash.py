@@ -6,9 +6,10 @@ shingles that a random order puts first and keeps them in the order in which the
 text; two texts agree on a sketch only if they share these shingles in the same order, so agreement
 follows edit similarity, not only overlap. Texts that agree on a sketch are candidates, and
 candidates are verified: the edit distance of the two texts as sequences of words, computed in a
-band just wide enough for the threshold, over the longer length. Similarity is one minus that. Short
-texts, in which one changed word takes a large part of the shingles along, get further sketches of
-fewer shingles.
+band just wide enough for the threshold, over the longer length. Similarity is one minus that. One
+changed word takes five shingles along, so that of two texts at 0.8 whose changes are spread over single
+words a third of the shingles are left; two shingles a sketch and 96 sketches find nine in ten of these,
+and more of all others.
 
 Equal texts are put together first and compared once, under a 64-bit hash of their content. Within
 the texts that agree on a sketch, each is aligned with one of them; texts in small groups are all
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .embedding_dedup import grouped
+from .exact_dedup import bit_map, marked
 from .graph import components, dropped, written
 from .pieces import portions
 
@@ -77,23 +79,11 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return mixed(h + occurrence * A)
 
 
-#: Texts up to so many shingles get half as many sketches again, of one shingle less. Two similar
-#: texts of which the longer is that short both have them.
-SHORT = 64
-
-
 def sketches(h: np.ndarray, count: int, take: int) -> np.ndarray:
     """`count` numbers: each of the `take` labelled shingles that come first in one random order, in
-    text order; for a short text further ones of take - 1. A text with fewer shingles takes what it has."""
+    text order. A text with fewer shingles takes what it has."""
     lab = labelled(h)
-    out = _sketches(h, lab, 0, count, take)
-    if len(h) <= SHORT and take > 1:
-        out = np.concatenate([out, _sketches(h, lab, count, count // 2, take - 1)])
-    return out
-
-
-def _sketches(h: np.ndarray, lab: np.ndarray, start: int, count: int, take: int) -> np.ndarray:
-    seeds = mixed(np.arange(start + 1, start + count + 1, dtype=np.uint64) * A)
+    seeds = mixed(np.arange(1, count + 1, dtype=np.uint64) * A)
     m = min(take, len(h))
     out = np.full(count, A, np.uint64)
     step = max(1, 200_000 // len(h))
@@ -195,8 +185,8 @@ def near_copies(
     text_col: str = "text",
     k: int = 5,
     threshold: float = 0.8,
-    count: int = 32,
-    take: int = 3,
+    count: int = 96,
+    take: int = 2,
     small: int = 8,
     block: int = 512,
 ) -> DataFrame:
@@ -241,8 +231,8 @@ def classes(
     text_col: str,
     k: int = 5,
     threshold: float = 0.8,
-    count: int = 32,
-    take: int = 3,
+    count: int = 96,
+    take: int = 2,
     small: int = 8,
     block: int = 512,
 ) -> DataFrame:
@@ -366,10 +356,12 @@ def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _grouped(every: DataFrame) -> DataFrame:
-    """Rows of groups of two or more, with the size and the first text of each."""
+    """Rows of groups of two or more, with the size and the first text of each. A bit map over these
+    groups keeps most rows of groups of one from being shuffled a second time."""
     first = F.min(F.struct("node", "len")).alias("first")
     sizes = written(every.groupBy("group").agg(F.count("*").alias("n"), first).filter("n > 1"), "omh-sizes")
-    groups = written(every.join(sizes, "group"), "omh-groups")
+    some = marked(every, F.col("group"), bit_map(sizes, "group")).filter("maybe").drop("maybe")
+    groups = written(some.join(sizes, "group"), "omh-groups")
     dropped(every)
     dropped(sizes)
     return groups
