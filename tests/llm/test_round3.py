@@ -297,3 +297,98 @@ def test_bit_map_forgets_nothing(spark):
 def test_native_plan_has_no_python(spark, sf_dir):
     plan = QUERIES["op13_exact_dedup"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+# 8 HTML extraction: hostile and broken pages ----------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<script ", "<script>", "<a ", '<a "', "<a b='", '<a b="x>', "<!--", "<!", "<style><", "</", "<", "<div>", "</div>", "<div></span>", '<p class="', "<b \"'>", "a<b", "<svg><p>x", '<i "a" \'b\' ', "<div class=nav>x"],
+)
+def test_a_megabyte_of_one_piece_is_read_in_one_pass(piece):
+    import time
+
+    from lexiloom.llm import html_extract
+
+    for page in (piece * (1_000_000 // len(piece)), "<p>words before it all here</p>" + piece * (1_000_000 // len(piece)) + "<p>and some after it</p>"):
+        began = time.perf_counter()
+        html_extract.content(page, html_extract.default_scores())
+        assert time.perf_counter() - began < 8
+
+
+def test_where_tags_end():
+    """The table over all signs says what looking at them one by one does."""
+    from lexiloom.llm.html_extract import Ends
+
+    rng = random.Random(8)
+    for _ in range(300):
+        page = "".join(rng.choice(["'", '"', ">", "x", " ", "<a "]) for _ in range(40)) + rng.choice(["", ">"])
+        for at in range(0, len(page), 5):
+            m = re.compile("((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>").match(page, at)
+            want = m.end() - 1 if m else page.find(">", at)
+            assert Ends(page).of(at) == Ends(page, walk=1).of(at) == want
+
+
+def test_pieces_of_a_page():
+    from lexiloom.llm.html_extract import pieces_of
+
+    page = "a<!-- <p> --><P Class='x>y'>b < c</p><script src=\">\">1<p>2</SCRIPT ><!doctype html><br/>d<scripts>e</scripts><textarea>f"
+    assert [(x.text or ("/" if x.closing else "") + x.name + x.attributes) for x in pieces_of(page)] == ["a", "p Class='x>y'", "b ", "< c", "/p", '">1', "p", "2"][:5] + ["br/", "d", "scripts", "e", "/scripts"]
+
+
+# 2 Embedding near-dedup: ids that clash ---------------------------------------------------------
+
+
+def test_vectors_under_one_id_are_told_apart(spark):
+    from lexiloom.llm import embedding_dedup
+
+    x, y, z = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near_x = [1.0, 0.1, 0.0, 0.0]
+    rows = [(5, x), (5, y), (8, near_x), (9, z), (None, z), (3, [0.0, 0.0, 1.0, 0.1]), (5, y)]
+    out = embedding_dedup.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = Counter(tuple(r) for r in out)
+    assert got == Counter([(5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (8, 1, 5, False), (9, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True)])
+
+
+# 3 Mixing: places of files ----------------------------------------------------------------------
+
+
+def test_training_order_over_several_files_a_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexiloom.llm import mixing
+
+    rows = [(i, " ".join(["w"] * (i % 9 + 1)), f"s{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = f"file://{tmp_path}/mixed"
+    mixing.mixed(df, position_col="at").write.option("maxRecordsPerFile", 20).parquet(path)
+    out = mixing.training_order(spark.read.parquet(path), "order").select("order", "at").collect()
+    assert len({r["order"] for r in out}) == len(out) > 400
+    places = [r["at"] for r in sorted(out, key=lambda r: r["order"])]
+    assert places == sorted(places)
+    big = spark.read.parquet(path).select(F.lit(1))
+    assert mixing.training_order(big, "order").select("order").distinct().count() == len(out)
+
+
+# 6 Order MinHash: recall ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("words", [40, 80, 300, 1000])
+def test_near_copies_with_changes_all_over(spark, words):
+    """End to end: of pairs whose changed words are spread at random, nine in ten are found at 0.8 and up."""
+    from lexiloom.llm import order_minhash
+
+    rng = random.Random(words)
+    for share, least in ((0.81, 0.85 if words < 80 else 0.88), (0.85, 0.9), (0.9, 0.97)):
+        rows, pairs = [], 100
+        for p in range(pairs):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+            b = list(a)
+            for at in rng.sample(range(words), int((1 - share) * words + 1e-9)):
+                b[at] = f"w{rng.randrange(10**6)}"
+            rows += [(2 * p, " ".join(a)), (2 * p + 1, " ".join(b))]
+        out = order_minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        found = sum(r["class_id"] == r["doc_id"] - 1 for r in out if r["doc_id"] % 2)
+        assert not any(r["class_id"] != r["doc_id"] - r["doc_id"] % 2 and r["class_id"] != r["doc_id"] for r in out)
+        assert found >= least * pairs
