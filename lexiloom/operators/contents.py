@@ -18,7 +18,9 @@ from .structure import STARTS, TOC_WORDS
 TOC_PAGE_WORDS = ("目次", "contents", "table of contents", "索引", "index")
 TOC_DOTS = r"[^\n]\.\.\.\s*\d+"
 TOC_NUMBER = r"[^\n]\s+\d+$"
-TOC_LINES = ((r"^(.+?)\.{3,}\s*(\d+)$", 1), (r"^(.+?)\s+(\d+)$", 1))
+TOC_LINES = (r"^(.+?)\.{3,}\s*(\d+)$", r"^(.+?)\s+(\d+)$")
+#: A line of contents that begins with a number of one part or more.
+TOC_NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+.+?(?:\.{3,}\s*|\s)\d+$"
 CHAPTER_IN_TITLE = (r"^第?(\d+)章", r"^(\d+)[.\s]", r"^Chapter\s*(\d+)")
 #: Words in section titles and the chapter titles that they stand for.
 THEMES = (
@@ -65,17 +67,20 @@ def toc_pages(lines: DataFrame, first: int = 10) -> DataFrame:
 
 
 def toc_lines(lines: DataFrame) -> DataFrame:
-    """Entries that lines of contents hold: doc, ord (place in the document), title, page, level. Lines
-    of fewer than five characters are none."""
+    """Entries that lines of contents hold: doc, ord (place in the document), title, page, level. The
+    level is the number of parts of the number in front (1.2 has two), 1 without a number; the title
+    keeps its number. Lines of fewer than five characters are none."""
     line = T.strip(F.col("line"))
     title, page = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, _ in reversed(TOC_LINES):
+    for pattern in reversed(TOC_LINES):
         fits = line.rlike(pattern)
         title = F.when(fits, T.strip(F.regexp_extract(line, pattern, 1))).otherwise(title)
         page = F.when(fits, F.regexp_extract(line, pattern, 2)).otherwise(page)
     order = Window.partitionBy("doc").orderBy("page", "line_no")
     found = lines.withColumns({"_line": line, "_title": title, "_page": page}).filter((F.length("_line") >= 5) & F.col("_page").isNotNull())
-    return found.select("doc", F.row_number().over(order).cast("long").alias("ord"), F.col("_title").alias("title"), F.expr("try_cast(_page AS INT)").alias("page"), F.lit(1).alias("level"))
+    parts = F.size(F.split(F.regexp_extract("_line", TOC_NUMBERED, 1), r"\."))
+    level = F.when(F.col("_line").rlike(TOC_NUMBERED), parts).otherwise(1)
+    return found.select("doc", F.row_number().over(order).cast("long").alias("ord"), F.col("_title").alias("title"), F.expr("try_cast(_page AS INT)").alias("page"), level.alias("level"))
 
 
 def chapter_of_title(title: Column) -> Column:
@@ -133,7 +138,7 @@ def supplementary(headings: DataFrame, entries: DataFrame, above: float = 0.7, f
 def content_start(lines: DataFrame) -> DataFrame:
     """doc, start_page: the page after the last one with contents, at the first page without that has
     three long lines and among the first five of these one that starts content; else a tenth of the
-    pages, five at least."""
+    pages, five at least, or page 1 of a document that has fewer."""
     order = Window.partitionBy("doc", "page").orderBy("line_no")
     line = T.strip(F.col("line"))
     ranked = lines.withColumn("_long", (F.length(line) > 10).cast("int")).withColumn("_k", F.sum("_long").over(order))
@@ -145,7 +150,8 @@ def content_start(lines: DataFrame) -> DataFrame:
     pages = pages.withColumn("toc_end", F.greatest(F.lit(1), F.max(F.when(F.col("toc"), F.col("page"))).over(so_far)))
     first = F.min(F.when(~F.col("toc") & (F.col("n_long") >= 3) & F.col("starts"), F.struct("page", "toc_end")))
     found = pages.groupBy("doc").agg(first.alias("first"), F.count("*").alias("n"))
-    start = F.when(F.col("first").isNull(), F.greatest(F.lit(5), F.floor(F.col("n") / 10))).otherwise(F.greatest(F.col("first.toc_end") + 1, F.col("first.page")))
+    fallback = F.greatest(F.lit(5), F.floor(F.col("n") / 10))
+    start = F.when(F.col("first").isNull(), F.when(F.col("n") < fallback, 1).otherwise(fallback)).otherwise(F.greatest(F.col("first.toc_end") + 1, F.col("first.page")))
     return found.select("doc", start.cast("int").alias("start_page"))
 
 
@@ -164,26 +170,59 @@ def choose_structure(candidates: DataFrame, order: tuple[str, ...] = ("numbered"
 # Sections and chapters -------------------------------------------------------------------------
 
 
+def heading_places(lines: DataFrame, sections: DataFrame, above: float = 0.8) -> DataFrame:
+    """doc, ord, page, at: the first line of a section's first page that holds its title or has nearly
+    its words. Lines and titles are bared and cut into words before they meet, once each."""
+    words = lambda c: F.array_distinct(T.words(F.col(c)))
+    l = lines.select("doc", "page", "line_no", bare(F.col("line")).alias("_line")).withColumn("_in_line", words("_line"))
+    s = sections.select("doc", "ord", "page", bare(F.col("title")).alias("_title")).withColumn("_in_title", words("_title"))
+    shared = F.size(F.array_intersect("_in_line", "_in_title"))
+    same = (F.col("_line") != "") & (F.col("_title") != "") & (shared / (F.size("_in_line") + F.size("_in_title") - shared) > above)
+    hits = s.join(l, ["doc", "page"]).filter(F.contains("_line", "_title") | same)
+    return hits.groupBy("doc", "ord", "page").agg(F.min("line_no").alias("at"))
+
+
 def section_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
     """Lines of each section (doc, ord, title, page, page_end): on its first page those after the line
     that holds its title or has its words, on the pages after all: doc, ord, page, line_no, line."""
-    s = sections.select("doc", "ord", "title", F.col("page").alias("page_start"), F.explode(F.sequence("page", "page_end")).alias("page"))
-    own = lines.join(s, ["doc", "page"])
-    head = (F.col("page") == F.col("page_start")) & is_heading_line(F.col("line"), F.col("title"))
-    before = Window.partitionBy("doc", "ord", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    after = F.coalesce(F.max(head).over(before), F.lit(False))
-    kept = own.withColumn("_after", after).filter((F.col("page") > F.col("page_start")) | F.col("_after"))
-    return kept.select("doc", "ord", "page", "line_no", "line")
+    first = lines.join(heading_places(lines, sections), ["doc", "page"]).filter(F.col("line_no") > F.col("at"))
+    later = sections.filter("page_end > page").select("doc", "ord", F.explode(F.sequence(F.col("page") + 1, F.col("page_end"))).alias("page"))
+    out = ["doc", "ord", "page", "line_no", "line"]
+    return first.select(*out).unionByName(lines.join(later, ["doc", "page"]).select(*out))
+
+
+def _joined(lines: DataFrame, *by: str) -> DataFrame:
+    """The lines of each group as one text t, in order."""
+    pages = lines.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return pages.select(*by, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("t"))
 
 
 def section_text(lines: DataFrame, sections: DataFrame) -> DataFrame:
-    """doc, ord, full_text: a section's lines, pages parted by an empty line."""
-    pages = section_lines(lines, sections).groupBy("doc", "ord", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    pages = pages.withColumn("t", F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    whole = pages.groupBy("doc", "ord").agg(F.sort_array(F.collect_list(F.struct("page", "t"))).alias("p"))
+    """doc, ord, full_text: a section's lines (see section_lines()), pages parted by an empty line. Pages
+    are put together once each, not once for every section that they lie in."""
+    first = lines.join(heading_places(lines, sections), ["doc", "page"]).filter(F.col("line_no") > F.col("at"))
+    later = sections.filter("page_end > page").select("doc", "ord", F.explode(F.sequence(F.col("page") + 1, F.col("page_end"))).alias("page"))
+    parts = _joined(first, "doc", "ord", "page").unionByName(_joined(lines, "doc", "page").join(later, ["doc", "page"]).select("doc", "ord", "page", "t"))
+    whole = parts.groupBy("doc", "ord").agg(F.sort_array(F.collect_list(F.struct("page", "t"))).alias("p"))
     return whole.select("doc", "ord", T.strip(F.array_join(F.transform("p", lambda x: x["t"]), "\n\n")).alias("full_text"))
 
 
+def innermost(lines: DataFrame, sections: DataFrame, width: int = 32) -> DataFrame:
+    """Lines with `section`: the ord of the innermost section around them, the one of those that cover
+    their page (doc, ord, page, page_end, line_no) that starts last, at or before the line; null outside
+    of all.
+
+    An interval join in bins of `width` pages: a line has one bin, a section as many as it reaches into,
+    so a long section costs a row for each bin and multiplies no line but by sections around it."""
+    bins = F.explode(F.sequence(F.floor(F.col("page") / width), F.floor(F.col("page_end") / width))).alias("bin")
+    s = sections.select("doc", "ord", F.col("page").alias("_from"), F.col("line_no").alias("_line"), F.col("page_end").alias("_to"), bins)
+    l = lines.withColumn("bin", F.floor(F.col("page") / width))
+    started = (F.col("_from") < F.col("page")) | ((F.col("_from") == F.col("page")) & (F.col("_line") <= F.col("line_no")))
+    near = l.select("doc", "bin", "page", "line_no").join(s, ["doc", "bin"]).filter(started & (F.col("page") <= F.col("_to")))
+    best = near.groupBy("doc", "page", "line_no").agg(F.max(F.struct("_from", "_line", "ord"))["ord"].alias("section"))
+    return lines.join(best, ["doc", "page", "line_no"], "left")
+
+
 def chapter_ranges(chapters: DataFrame, lines: DataFrame) -> DataFrame:
     """Numbered chapters (doc, page, line_no, level, numbering, title) with page_end: the page before the
     next one of the same or a higher level that starts on a later page, else the last page."""

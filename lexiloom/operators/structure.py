@@ -195,22 +195,34 @@ def valid_headings(headings: DataFrame) -> DataFrame:
     return headings.withColumn("text", T.strip(F.col("text"))).filter(n.between(2, 200) & ~sentence & (F.col("confidence") >= 0.4)).withColumn("text", T.collapse(F.col("text")))
 
 
+#: What any of these begins with: most lines are ruled out by it alone.
+NUMBER_FIRST = r"^\d+[-.\s]"
+
+
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines of 5 to 150 characters with a number: chapter, section, subsection, title, level, numbering."""
-    line = F.col("line")
-    out = lines.filter(F.length("line").between(5, 150))
-    parts = F.lit(None).cast("array<string>")
-    for pattern in reversed(NUMBERED):
-        n = pattern.count("(") - 1
-        groups = [F.regexp_extract(line, pattern, k) for k in range(1, n + 1)]
-        none = [F.lit(None).cast("string")] * (3 - n)
-        parts = F.when(line.rlike(pattern), F.array(*groups, *none, F.trim(F.regexp_extract(line, pattern, n + 1)))).otherwise(parts)
-    out = out.withColumn("parts", parts).filter("parts is not null")
-    number = lambda k: F.expr(f"try_cast(parts[{k}] AS INT)")
-    out = out.withColumns({"chapter": number(0), "section": number(1), "subsection": number(2), "title": F.col("parts")[3]}).drop("parts")
+    """Lines of 5 to 150 characters with a number: chapter, section, subsection, title, level, numbering.
+    The first of the patterns that fits is looked for once a line, and its groups are read off it."""
+
+    def found(line: Column) -> Column:
+        parts = F.lit(None).cast("array<string>")
+        for pattern in reversed(NUMBERED):
+            n = pattern.count("(") - 1
+            groups = [F.regexp_extract(line, pattern, k) for k in range(1, n + 1)]
+            none = [F.lit(None).cast("string")] * (3 - n)
+            parts = F.when(line.rlike(pattern), F.array(*groups, *none, F.trim(F.regexp_extract(line, pattern, n + 1)))).otherwise(parts)
+        return parts
+
+    def told(x: Column) -> Column:
+        numbers = [x[k].try_cast("int").alias(name) for k, name in enumerate(("chapter", "section", "subsection"))]
+        return F.struct(*numbers, x[3].alias("title"))
+
+    some = lines.filter(F.length("line").between(5, 150) & F.col("line").rlike(NUMBER_FIRST))
+    # Exploded, so that no later filter or column works the match out again.
+    matched = F.explode(F.transform(F.filter(F.transform(F.array("line"), found), lambda x: x.isNotNull()), told))
+    out = some.withColumn("_n", matched).filter("_n.chapter IS NOT NULL").select(*lines.columns, "_n.*")
     level = F.when(F.col("subsection").isNotNull(), 3).when(F.col("section").isNotNull(), 2).otherwise(1)
     label = F.concat_ws("-", F.col("chapter").cast("string"), F.col("section").cast("string"), F.col("subsection").cast("string"))
-    return out.withColumns({"level": level, "numbering": label}).filter("chapter is not null")
+    return out.withColumns({"level": level, "numbering": label})
 
 
 def placed(headings: DataFrame, *order: str, by: tuple[str, ...] = ("doc",)) -> DataFrame:

@@ -1,46 +1,18 @@
-"""Queries over books made of the documents: contents, fonts, chapters, section texts, bookmarks.
-
-A book is a document's lines as pages of eight. Every sixth line is cut to its first 40 characters and
-gets a number in front (a chapter's every 24 lines, else a section's), every twelfth of the others a
-subsection's; every fifth document starts with a list of contents."""
+"""Queries over books made of the documents (see books): contents, fonts, chapters, section texts, bookmarks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bookmarks as B
 from ..operators import contents as C
 from ..operators import structure as S
-from .registry import query, read
-from .structure_queries import d_numbered
+from .books import D_BOOK, D_SPANS, book, d_numbered, spans
+from .registry import query
 from .text_queries import D_SP, d_strip
 
 
-def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("k", "x"))
-    k, head = F.col("k"), F.trim(F.left(F.col("x"), F.lit(40)))
-    chapter, section = F.floor(k / 24) + 1, F.floor(k / 6) % 4
-    numbers = lambda *n: F.concat_ws("-", *[c.cast("string") for c in n])
-    listed = (F.col("doc") % 5 == 0) & (k <= 6)
-    line = (
-        F.when(listed & (k == 0), "Contents")
-        .when(listed, F.concat(k.cast("string"), F.lit(". "), head, F.lit(" ..... "), (k * 3).cast("string")))
-        .when(k % 24 == 0, F.concat(numbers(chapter), F.lit(". "), head))
-        .when(k % 6 == 0, F.concat(numbers(chapter, section), F.lit(". "), head))
-        .when(k % 12 == 9, F.concat(numbers(chapter, section, F.lit(1)), F.lit(". "), head))
-        .otherwise(F.col("x"))
-    )
-    return d.select("doc", (F.floor(k / 8) + 1).cast("int").alias("page"), (k % 8 + 1).alias("line_no"), line.alias("line"))
-
-
-D_BOOK = """(SELECT doc, k // 8 + 1 AS page, k % 8 + 1 AS line_no, CASE WHEN doc % 5 = 0 AND k = 0 THEN 'Contents'
-  WHEN doc % 5 = 0 AND k <= 6 THEN concat(k, '. ', trim(left(x, 40)), ' ..... ', k * 3)
-  WHEN k % 24 = 0 THEN concat(k // 24 + 1, '. ', trim(left(x, 40))) WHEN k % 6 = 0 THEN concat(k // 24 + 1, '-', k // 6 % 4, '. ', trim(left(x, 40)))
-  WHEN k % 12 = 9 THEN concat(k // 24 + 1, '-', k // 6 % 4, '-1. ', trim(left(x, 40))) ELSE x END AS line
-  FROM (SELECT doc_id AS doc, unnest(range(len(l)))::INTEGER AS k, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
-
-
 def d_bare(x: str) -> str:
     return rf"regexp_replace({d_strip(f'lower({x})')}, '[^\p{{L}}\p{{N}}_\s]', '', 'g')"
 
@@ -54,22 +26,6 @@ def d_alike(a: str, b: str) -> str:
 # Fonts -----------------------------------------------------------------------------------------
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the books as spans, long ones as two at about one height."""
-    b = book(spark, sf_dir)
-    size = F.when(F.col("line").rlike(r"^\d+\. "), 20.0).when(F.col("line").rlike(r"^\d+-\d+"), 16.5).when(F.col("line_no") == 5, 10.5).otherwise(10.0)
-    both = F.array(F.struct(F.lit(0).alias("n"), F.left("line", F.lit(20)).alias("text")), F.struct(F.lit(1).alias("n"), F.substr("line", F.lit(21)).alias("text")))
-    s = b.select("doc", "page", "line_no", size.alias("size"), (F.col("line_no") == 3).alias("bold"), F.explode(F.filter(both, lambda x: x["text"] != "")).alias("s"))
-    y = F.col("line_no") * 12.0 + F.col("s.n") * 0.25
-    x = F.col("s.n") * 100.0
-    return s.select("doc", "page", x.alias("x"), y.alias("y"), (x + F.length("s.text") * 5.0).alias("x1"), (y + F.col("size")).alias("y1"), F.col("s.text").alias("text"), "size", "bold")
-
-
-D_SPANS = rf"""(SELECT doc, page, n * 100.0::DOUBLE AS x, (line_no * 12.0 + n * 0.25)::DOUBLE AS y, n * 100.0::DOUBLE + length(text) * 5.0::DOUBLE AS x1, (line_no * 12.0 + n * 0.25)::DOUBLE + size AS y1, text, size, bold FROM
-  (SELECT doc, page, line_no, line_no = 3 AS bold, n, CASE n WHEN 0 THEN left(line, 20) ELSE substr(line, 21) END AS text,
-    (CASE WHEN regexp_matches(line, '^\d+\. ') THEN 20.0 WHEN regexp_matches(line, '^\d+-\d+') THEN 16.5 WHEN line_no = 5 THEN 10.5 ELSE 10.0 END)::DOUBLE AS size FROM {D_BOOK}, range(2) r(n)) WHERE text <> '')"""
-
-
 @query(
     rf"""SELECT doc, page, y, text, size, bold FROM (SELECT s.*, m.m, m.s FROM {D_SPANS} s JOIN (SELECT doc, page, avg(size) AS m, stddev_pop(size) AS s FROM {D_SPANS} GROUP BY doc, page) m USING (doc, page))
     WHERE (bold OR size >= m + s / 2) AND length(text) BETWEEN 4 AND 149 AND right(text, 1) <> '.' AND regexp_matches(text, '{S.FONT_HEADING}')"""
@@ -119,7 +75,7 @@ def toc_pages(spark, sf_dir):
 
 _ENTRY = r"CASE WHEN dots THEN regexp_extract(line, '^(.+?)[.][.][.]+\s*(\d+)$', 1) ELSE regexp_extract(line, '^(.+?)\s+(\d+)$', 1) END"
 D_TOC = rf"""(SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, line_no) AS ord, {d_strip(_ENTRY)} AS title,
-  try_cast(regexp_extract(line, '(\d+)$', 1) AS INTEGER) AS page, 1 AS level FROM (SELECT doc, page, line_no, line, regexp_matches(line, '^.+?[.][.][.]+\s*\d+$') AS dots FROM (SELECT doc, page, line_no, {d_strip('line')} AS line FROM {D_BOOK}))
+  try_cast(regexp_extract(line, '(\d+)$', 1) AS INTEGER) AS page, CASE WHEN number <> '' THEN len(string_split(number, '.')) ELSE 1 END::INTEGER AS level FROM (SELECT doc, page, line_no, line, regexp_extract(line, '^(\d+(?:[.]\d+)*)[.]?\s+.+?(?:[.][.][.]+\s*|\s)\d+$', 1) AS number, regexp_matches(line, '^.+?[.][.][.]+\s*\d+$') AS dots FROM (SELECT doc, page, line_no, {d_strip('line')} AS line FROM {D_BOOK}))
   WHERE length(line) >= 5 AND (dots OR regexp_matches(line, '^.+\s+\d+$')))"""
 
 
@@ -180,7 +136,7 @@ def toc_counts(spark, sf_dir):
 
 
 _TOCW, _STARTS = "|".join(S.TOC_WORDS), "|".join(S.STARTS)
-D_START = rf"""(SELECT doc, coalesce(arg_min(greatest(toc_end + 1, page), page) FILTER (WHERE NOT toc AND len(long) >= 3 AND len(list_filter(long[1:5], lambda x: regexp_matches(x, '{_STARTS}'))) > 0), greatest(5, count(*) // 10))::INTEGER AS start_page FROM
+D_START = rf"""(SELECT doc, coalesce(arg_min(greatest(toc_end + 1, page), page) FILTER (WHERE NOT toc AND len(long) >= 3 AND len(list_filter(long[1:5], lambda x: regexp_matches(x, '{_STARTS}'))) > 0), CASE WHEN count(*) < greatest(5, count(*) // 10) THEN 1 ELSE greatest(5, count(*) // 10) END)::INTEGER AS start_page FROM
   (SELECT *, (SELECT coalesce(max(q.page), 1) FROM (SELECT doc, page FROM {D_BOOK} WHERE regexp_matches(lower(line), '{_TOCW}')) q WHERE q.doc = p.doc AND q.page <= p.page) AS toc_end FROM
     (SELECT doc, page, bool_or(regexp_matches(lower(line), '{_TOCW}')) AS toc, list(line ORDER BY line_no) FILTER (WHERE length(line) > 10) AS long FROM (SELECT doc, page, line_no, {d_strip('line')} AS line FROM {D_BOOK}) GROUP BY doc, page) p) GROUP BY doc)"""
 
@@ -199,12 +155,12 @@ def content_pages(spark, sf_dir):
 @query(
     f"""SELECT doc, CASE WHEN numbered > 0 THEN 'numbered' WHEN toc > 0 THEN 'toc' ELSE 'detected' END AS kind, CASE WHEN numbered > 0 THEN numbered WHEN toc > 0 THEN toc ELSE detected END AS n FROM
     (SELECT doc, (SELECT count(*) FROM {D_NUMBERED} x WHERE x.doc = d.doc AND x.level > 1) AS numbered, (SELECT count(*) FROM {D_TOC} x WHERE x.doc = d.doc) AS toc,
-      (SELECT count(*) FROM {D_BOOK} x WHERE x.doc = d.doc AND x.line_no = 1) AS detected FROM (SELECT doc_id AS doc FROM documents) d) WHERE numbered + toc + detected > 0"""
+      (SELECT count(*) FROM {D_BOOK} x WHERE x.doc = d.doc AND x.line_no = 2) AS detected FROM (SELECT doc_id AS doc FROM documents) d) WHERE numbered + toc + detected > 0"""
 )
 def structure_choice(spark, sf_dir):
     b = book(spark, sf_dir)
     count = lambda df, kind: df.groupBy("doc").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
-    found = count(numbered(spark, sf_dir).filter("level > 1"), "numbered").unionByName(count(C.toc_lines(b), "toc")).unionByName(count(b.filter("line_no = 1"), "detected"))
+    found = count(numbered(spark, sf_dir).filter("level > 1"), "numbered").unionByName(count(C.toc_lines(b), "toc")).unionByName(count(b.filter("line_no = 2"), "detected"))
     return C.choose_structure(found).select("doc", "kind", "n")
 
 
@@ -244,13 +200,13 @@ def sections(spark, sf_dir) -> DataFrame:
     """Numbered lines as sections with the pages they cover."""
     b = book(spark, sf_dir)
     last = b.groupBy("doc").agg(F.max("page").alias("last_page"))
-    n = S.numbered(b).join(last, "doc").withColumn("ord", F.col("page") * 8 + F.col("line_no"))
+    n = S.numbered(b).join(last, "doc").withColumn("ord", F.col("page") * 16 + F.col("line_no"))
     return S.intervals(n.select("doc", "ord", "level", "title", "page", "last_page"))
 
 
 D_SECTIONS = f"""(SELECT a.doc, a.ord, a.level, a.title, a.page, a.last_page, greatest(a.page, coalesce(min_by(b.page, b.ord) - 1, a.last_page)) AS page_end FROM
-  (SELECT n.*, n.page * 8 + n.line_no AS ord, m.last_page FROM {D_NUMBERED} n JOIN (SELECT doc, max(page) AS last_page FROM {D_BOOK} GROUP BY doc) m ON m.doc = n.doc) a
-  LEFT JOIN (SELECT doc, level, page, page * 8 + line_no AS ord FROM {D_NUMBERED}) b ON b.doc = a.doc AND b.ord > a.ord AND b.level <= a.level GROUP BY a.doc, a.ord, a.level, a.title, a.page, a.last_page)"""
+  (SELECT n.*, n.page * 16 + n.line_no AS ord, m.last_page FROM {D_NUMBERED} n JOIN (SELECT doc, max(page) AS last_page FROM {D_BOOK} GROUP BY doc) m ON m.doc = n.doc) a
+  LEFT JOIN (SELECT doc, level, page, page * 16 + line_no AS ord FROM {D_NUMBERED}) b ON b.doc = a.doc AND b.ord > a.ord AND b.level <= a.level GROUP BY a.doc, a.ord, a.level, a.title, a.page, a.last_page)"""
 
 
 @query(f"SELECT * FROM {D_SECTIONS}")
@@ -292,12 +248,12 @@ NB = f"(SELECT * FROM ({NUMBERS}) v(doc, ord, numbering, title, page))"
 def outline(spark, sf_dir) -> DataFrame:
     """The numbers of the books' sections, chapters left out of every second, and odd ones by hand."""
     n = numbered(spark, sf_dir).filter("doc % 2 = 0 OR level > 1")
-    own = n.select("doc", (F.col("page") * 8 + F.col("line_no")).alias("ord"), "numbering", "title", "page")
+    own = n.select("doc", (F.col("page") * 16 + F.col("line_no")).alias("ord"), "numbering", "title", "page")
     by_hand = spark.sql(f"SELECT -CAST(doc AS BIGINT) AS doc, ord, numbering, title, page FROM {NB}")
     return own.unionByName(by_hand)
 
 
-D_OUTLINE = f"(SELECT doc, page * 8 + line_no AS ord, numbering, title, page FROM {D_NUMBERED} WHERE doc % 2 = 0 OR level > 1 UNION ALL SELECT -doc, ord, numbering, title, page FROM {NB})"
+D_OUTLINE = f"(SELECT doc, page * 16 + line_no AS ord, numbering, title, page FROM {D_NUMBERED} WHERE doc % 2 = 0 OR level > 1 UNION ALL SELECT -doc, ord, numbering, title, page FROM {NB})"
 D_LEVEL = r"""(CASE WHEN numbering = '' THEN 1 WHEN len(string_split(n, '-')) > 2 THEN 3 WHEN len(string_split(n, '-')) = 2 THEN 2 WHEN len(string_split(n, '.')) > 2 THEN 3 WHEN len(string_split(n, '.')) = 2 THEN 2
  WHEN regexp_full_match(n, '\d+') AND n::BIGINT > 20 THEN 2 ELSE 1 END)"""
 D_TREE = f"(SELECT *, {D_LEVEL} AS level, CASE WHEN contains(numbering, '-') THEN split_part(numbering, '-', 1) ELSE split_part(numbering, '.', 1) END AS chapter FROM (SELECT *, rtrim(trim(numbering), '.') AS n FROM {D_OUTLINE}))"
@@ -347,7 +303,7 @@ def numbering_sort_key(spark, sf_dir):
 
 
 @query(
-    f"SELECT b.doc, b.page, b.line_no, max(n.chapter) AS chapter FROM (SELECT doc, page, line_no, page * 8 + line_no AS at FROM {D_BOOK}) b ASOF LEFT JOIN (SELECT doc, page * 8 + line_no AS at, chapter FROM {D_NUMBERED} WHERE level = 1) n ON n.doc = b.doc AND b.at >= n.at GROUP BY ALL"
+    f"SELECT b.doc, b.page, b.line_no, max(n.chapter) AS chapter FROM (SELECT doc, page, line_no, page * 16 + line_no AS at FROM {D_BOOK}) b ASOF LEFT JOIN (SELECT doc, page * 16 + line_no AS at, chapter FROM {D_NUMBERED} WHERE level = 1) n ON n.doc = b.doc AND b.at >= n.at GROUP BY ALL"
 )
 def section_carry(spark, sf_dir):
     """The chapter that each line stands in."""
@@ -361,13 +317,25 @@ def toc_from_sections(spark, sf_dir):
     return C.contents_of_sections(numbered(spark, sf_dir))
 
 
+@query(
+    f"""SELECT b.doc, s.ord AS section, count(*) AS n_lines, min(b.page * 16 + b.line_no) AS first_line, max(b.page * 16 + b.line_no) AS last_line FROM
+    (SELECT doc, page, line_no, page * 16 + line_no AS at FROM {D_BOOK}) b LEFT JOIN (SELECT b.doc, b.page, b.line_no, max(s.ord) AS ord FROM {D_BOOK} b JOIN {D_SECTIONS} s
+      ON s.doc = b.doc AND s.page <= b.page AND b.page <= s.page_end AND s.ord <= b.page * 16 + b.line_no GROUP BY b.doc, b.page, b.line_no) s ON s.doc = b.doc AND s.page = b.page AND s.line_no = b.line_no GROUP BY b.doc, s.ord"""
+)
+def section_of_lines(spark, sf_dir):
+    """Lines by the innermost section that they stand in."""
+    s = sections(spark, sf_dir).withColumn("line_no", F.col("ord") - F.col("page") * 16)
+    at = F.col("page") * 16 + F.col("line_no")
+    return C.innermost(book(spark, sf_dir), s).groupBy("doc", "section").agg(F.count("*").alias("n_lines"), F.min(at).alias("first_line"), F.max(at).alias("last_line"))
+
+
 # Outlines and bookmarks ------------------------------------------------------------------------
 
 
 def marks(spark, sf_dir) -> DataFrame:
     """Bookmarks with faults: empty titles, pages and levels out of bounds."""
     n = numbered(spark, sf_dir)
-    ord_ = F.col("page") * 8 + F.col("line_no")
+    ord_ = F.col("page") * 16 + F.col("line_no")
     title = F.when(ord_ % 5 == 0, " ").otherwise(F.concat(F.lit("  "), F.col("title")))
     level = F.when(ord_ % 3 == 0, F.col("level") + 4).when(ord_ % 7 == 0, 0).otherwise(F.col("level"))
     page = F.when(ord_ % 11 == 0, 0).otherwise(F.col("page"))
@@ -376,7 +344,7 @@ def marks(spark, sf_dir) -> DataFrame:
 
 
 D_MARKS = f"""(SELECT n.doc, o AS ord, CASE WHEN o % 5 = 0 THEN ' ' ELSE concat('  ', title) END AS title, (CASE WHEN o % 3 = 0 THEN level + 4 WHEN o % 7 = 0 THEN 0 ELSE level END)::INTEGER AS level, (CASE WHEN o % 11 = 0 THEN 0 ELSE page END)::INTEGER AS page, last_page FROM
-  (SELECT *, (page * 8 + line_no)::BIGINT AS o FROM {D_NUMBERED}) n JOIN (SELECT doc, max(page) - 1 AS last_page FROM {D_BOOK} GROUP BY doc) m ON m.doc = n.doc)"""
+  (SELECT *, (page * 16 + line_no)::BIGINT AS o FROM {D_NUMBERED}) n JOIN (SELECT doc, max(page) - 1 AS last_page FROM {D_BOOK} GROUP BY doc) m ON m.doc = n.doc)"""
 _BT = d_strip("title")
 
 

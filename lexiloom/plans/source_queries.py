@@ -74,14 +74,16 @@ def engine_fallback(spark, sf_dir):
     return readers.first_engine(d, "one", "two", "three").select("doc_id", F.col("text").alias("text_len"), "extraction_method")
 
 
-@query("SELECT * FROM (VALUES (1,0,0,0,'Title',16.0::DOUBLE),(1,0,0,1,' bold',16.0),(1,0,1,0,'line two',10.0),(1,1,0,0,'next block',9.5),(2,0,0,0,'page two',10.0)) v(page, block, line, span, text, size)")
+@query(
+    """SELECT page, block, line, span, text, size FROM (SELECT doc_id AS page, b AS block, l AS line, generate_subscripts(w, 1) - 1 AS span, unnest(w) AS text, (8 + b % 4)::DOUBLE AS size FROM
+      (SELECT doc_id, generate_subscripts(lines, 1) - 1 AS b, 0 AS l, string_split(unnest(lines), ', ') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))"""
+)
 def span_flatten(spark, sf_dir):
-    blocks = [
-        (1, [{"lines": [{"spans": [("Title", 16.0), (" bold", 16.0)]}, {"spans": [("line two", 10.0)]}]}, {"lines": [{"spans": [("next block", 9.5)]}]}]),
-        (2, [{"lines": [{"spans": [("page two", 10.0)]}]}]),
-    ]
-    kind = "page int, blocks array<struct<lines: array<struct<spans: array<struct<text: string, size: double>>>>>>"
-    return readers.flatten_spans(spark.createDataFrame(blocks, kind))
+    """Documents as layouts: each line a block of one line, cut into spans at commas."""
+    size = lambda k: (8 + k % 4).cast("double").alias("size")
+    line = lambda x, k: F.struct(F.transform(F.split(x, ", "), lambda t: F.struct(t.alias("text"), size(k))).alias("spans"))
+    blocks = F.transform(F.split("text", "\n"), lambda x, k: F.struct(F.array(line(x, k)).alias("lines")))
+    return readers.flatten_spans(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), blocks.alias("blocks")))
 
 
 @query("SELECT p_partkey, p_name FROM part")

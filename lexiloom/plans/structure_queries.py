@@ -1,176 +1,143 @@
-"""Queries of headings, chapters, tables of contents, sections, outlines and bookmarks.
-
-The test documents hold no numbered headings, so books are made of them: their lines as pages of
-eight, some of them with a number in front, every fifth document with a list of contents. The SQL
-makes the same books and answers from them in its own way. Patterns in other scripts read small
-tables of literal rows."""
+"""Queries of headings, numbered chapters, sections and outlines, over books made of the documents (see
+books); patterns in other scripts read the books' headings in many styles."""
 
 from __future__ import annotations
 
-import re
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import structure as S
-from .registry import query, read
+from ..sources.readers import chapters_from_json
+from .book_queries import D_MARKS, D_OUTLINE, marks, outline
+from .books import D_BOOK, D_SPANS, D_STYLED, book, d_numbered, spans, styled
+from .registry import query
 from .text_queries import d_char_set
 
-LINES = """VALUES (1,1,1,'Contents'),(1,1,2,'1. Scope ... 3'),(1,1,3,'2. Methods ... 5'),(1,2,1,'Overview of this text'),(1,2,2,'This sentence is quite a bit longer than fifty characters, it is.'),
-(1,3,1,'1. Scope of the work'),(1,3,2,'1-1. Aims and limits'),(1,3,3,'The work covers documents and their parts in several languages.'),(1,3,4,'Another long line of plain running text'),(1,3,5,'A further long line of plain running text'),
-(1,4,1,'1-1-1. Fine print here'),(1,4,2,'1.2. Terms and words'),(1,5,1,'2. Methods in use'),(1,5,2,'2.1 Sampling of pages'),(1,5,3,'2.1.1 Random samples'),(1,5,4,'2-1. Sampling again'),(1,6,1,'99. Out of bounds'),
-(1,6,2,'3-25. Too many sections'),(1,7,1,'Conclusion'),(1,7,2,'In the end all of the parts come together as one whole document.'),(2,1,1,'第1章 はじめに'),(2,1,2,'第2節 方法'),(2,1,3,'一. 目的'),(2,1,4,'A. First part'),(2,1,5,'Chapter 4 Results'),(2,1,6,'plain words only'),
-(2,2,1,'70. First row is exempt'),(2,2,2,'3. Third chapter')"""
-L = f"(SELECT * FROM ({LINES}) v(doc, page, line_no, line))"
-
-
-def rows(spark, text: str):
-    return spark.sql(f"SELECT * FROM {text}")
-
 
 def cascade(value) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN {value(n, c)}" for p, n, c in S.HEADINGS) + f" WHEN regexp_matches(lower(line), '{'|'.join(S.KEYWORDS)}') THEN {value(2, 0.7)} END"
 
 
-@query(f"SELECT * FROM (SELECT *, CAST({cascade(lambda n, c: n)} AS INTEGER) AS level, CAST({cascade(lambda n, c: c)} AS DOUBLE) AS confidence FROM {L}) WHERE level IS NOT NULL")
+D_PATTERN = f"(SELECT * FROM (SELECT *, CAST({cascade(lambda n, c: n)} AS INTEGER) AS level, CAST({cascade(lambda n, c: c)} AS DOUBLE) AS confidence FROM {D_STYLED}) WHERE level IS NOT NULL)"
+D_POSITION = f"""(SELECT doc, page, line_no, line, 2 AS level, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT *, lead(length(line)) OVER (PARTITION BY doc, page ORDER BY line_no) AS following FROM {D_STYLED})
+    WHERE regexp_matches(lower(line), '{'|'.join(S.KEYWORDS)}') AND length(line) >= 3 AND length(line) < 80 AND following > 50)"""
+
+
+@query(f"SELECT doc, page, line_no, md5(line) AS line_md5, level, confidence FROM {D_PATTERN}")
 def headings_pattern(spark, sf_dir):
-    return S.pattern_headings(rows(spark, L))
+    return S.pattern_headings(styled(spark, sf_dir)).select("doc", "page", "line_no", F.md5("line").alias("line_md5"), "level", "confidence")
 
 
-@query(
-    f"""SELECT doc, page, line_no, line, 2 AS level, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT *, lead(length(line)) OVER (PARTITION BY doc, page ORDER BY line_no) AS following FROM {L})
-    WHERE regexp_matches(lower(line), '{'|'.join(S.KEYWORDS)}') AND length(line) >= 3 AND length(line) < 80 AND following > 50"""
-)
+@query(f"SELECT * FROM {D_POSITION}")
 def headings_position(spark, sf_dir):
-    return S.position_headings(rows(spark, L), ["doc", "page"])
+    return S.position_headings(styled(spark, sf_dir), ["doc", "page"])
 
 
-SPANS = """VALUES (1,1,10.2,'1. BIG TITLE',20.0,true),(1,1,30.0,'1. body of text here',10.0,false),(1,1,45.0,'2. bold words',10.0,true),(1,1,60.0,'more body text',10.0,false),(1,1,75.0,'IV. Roman',14.5,false),
-(1,2,10.0,'2. SECOND',18.0,false),(1,2,10.4,'part two',18.0,true),(1,2,40.0,'1.1 body',10.0,false),(1,2,55.0,'fine print.',8.0,false),(1,2,70.0,'body again',10.0,false)"""
-SP = f"(SELECT * FROM ({SPANS}) v(doc, page, y, text, size, bold))"
-
+@query(
+    f"""SELECT doc, page, y, text, round(least(1.0, 0.5 + CASE WHEN size > 14 THEN 0.2 ELSE 0 END + CASE WHEN bold THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, '{S.FONT_HEADING}') THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS confidence FROM {D_SPANS}"""
+)
+def heading_confidence(spark, sf_dir):
+    c = S.font_confidence(F.col("size"), F.col("bold"), F.col("text").rlike(S.FONT_HEADING))
+    return spans(spark, sf_dir).select("doc", "page", "y", "text", F.round(c, 6).alias("confidence"))
 
 
-@query(f"SELECT page, text, round(least(1.0, 0.5 + CASE WHEN size > 14 THEN 0.2 ELSE 0 END + CASE WHEN bold THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, '^\\d') THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS confidence FROM {SP}")
-def heading_confidence(spark, sf_dir):
-    c = S.font_confidence(F.col("size"), F.col("bold"), F.col("text").rlike(r"^\d"))
-    return rows(spark, SP).select("page", "text", F.round(c, 6).alias("confidence"))
+def twins(spark, sf_dir) -> DataFrame:
+    """Headings that patterns find among the books' own, each with one of nearly the same letters beside it."""
+    h = S.pattern_headings(styled(spark, sf_dir)).filter("line_no % 2 = 1")
+    other = h.select("doc", "page", (F.col("line_no") * 2 + 1).alias("ord"), F.concat(F.lower("line"), F.lit(".")).alias("text"), F.when(F.col("doc") % 2 == 0, 0.95).otherwise(0.35).alias("confidence"))
+    return h.select("doc", "page", (F.col("line_no") * 2).alias("ord"), F.col("line").alias("text"), "confidence").unionByName(other)
 
 
-HEADS = """VALUES (1,1,'Introduction',0.7),(1,2,'introduction.',0.9),(1,3,'Methods',0.8),(1,4,'Method s',0.6),(2,5,'Introduction',0.5),(2,6,'abc abc',0.9),(2,7,'cab',0.3),(2,8,'A sentence that is long enough to be no heading at all.',0.9),(2,9,'x',0.9)"""
-HD = f"(SELECT * FROM ({HEADS}) v(page, ord, text, confidence))"
+D_TWINS = f"""(WITH h AS (SELECT * FROM {D_PATTERN} WHERE line_no % 2 = 1) SELECT doc, page, line_no * 2 AS ord, line AS text, confidence FROM h
+    UNION ALL SELECT doc, page, line_no * 2 + 1, concat(lower(line), '.'), (CASE WHEN doc % 2 = 0 THEN 0.95 ELSE 0.35 END)::DOUBLE FROM h)"""
 
 
 @query(
-    f"""WITH RECURSIVE h AS (SELECT page, ord, text, confidence::DOUBLE AS confidence, {d_char_set('text')} AS c, row_number() OVER (PARTITION BY page ORDER BY ord) AS k FROM {HD}),
-    r AS (SELECT page, 0::BIGINT AS k, []::STRUCT(ord INTEGER, text VARCHAR, confidence DOUBLE, c VARCHAR[])[] AS kept FROM (SELECT DISTINCT page FROM h)
-      UNION ALL SELECT page, k, CASE WHEN twin IS NULL THEN list_append(kept, x) WHEN x.confidence > twin.confidence THEN list_append(list_filter(kept, lambda y: y.ord <> twin.ord), x) ELSE kept END FROM
+    f"""WITH RECURSIVE h AS (SELECT doc, page, ord, text, confidence, {d_char_set('text')} AS c, row_number() OVER (PARTITION BY doc, page ORDER BY ord) AS k FROM {D_TWINS}),
+    r AS (SELECT doc, page, 0::BIGINT AS k, []::STRUCT(ord BIGINT, text VARCHAR, confidence DOUBLE, c VARCHAR[])[] AS kept FROM (SELECT DISTINCT doc, page FROM h)
+      UNION ALL SELECT doc, page, k, CASE WHEN twin IS NULL THEN list_append(kept, x) WHEN x.confidence > twin.confidence THEN list_append(list_filter(kept, lambda y: y.ord <> twin.ord), x) ELSE kept END FROM
       (SELECT *, list_filter(kept, lambda y: len(list_intersect(y.c, x.c))::DOUBLE / len(list_distinct(list_concat(y.c, x.c))) > 0.8)[1] AS twin FROM
-        (SELECT r.page, h.k, r.kept, {{'ord': h.ord, 'text': h.text, 'confidence': h.confidence, 'c': h.c}} AS x FROM r JOIN h ON h.page = r.page AND h.k = r.k + 1)))
-    SELECT page, x.ord::BIGINT AS ord, x.text AS text, x.confidence AS confidence FROM (SELECT page, unnest(kept) AS x FROM (SELECT *, max(k) OVER (PARTITION BY page) AS last FROM r) WHERE k = last)"""
+        (SELECT r.doc, r.page, h.k, r.kept, {{'ord': h.ord::BIGINT, 'text': h.text, 'confidence': h.confidence, 'c': h.c}} AS x FROM r JOIN h ON h.doc = r.doc AND h.page = r.page AND h.k = r.k + 1)))
+    SELECT doc, page, x.ord AS ord, x.text AS text, x.confidence AS confidence FROM (SELECT doc, page, unnest(kept) AS x FROM (SELECT *, max(k) OVER (PARTITION BY doc, page) AS last FROM r) WHERE k = last)"""
 )
 def headings_dedup(spark, sf_dir):
-    return S.dedup_headings(rows(spark, HD), ["page"])
+    return S.dedup_headings(twins(spark, sf_dir), ["doc", "page"])
 
 
-@query(rf"SELECT page, ord, regexp_replace(text, '\s+', ' ', 'g') AS text, confidence::DOUBLE AS confidence FROM {HD} WHERE length(text) BETWEEN 2 AND 200 AND NOT (length(text) > 50 AND regexp_matches(text, '[.。]$')) AND confidence >= 0.4")
+@query(rf"SELECT doc, page, ord, regexp_replace(trim(text), '\s+', ' ', 'g') AS text, confidence FROM {D_TWINS} WHERE length(trim(text)) BETWEEN 2 AND 200 AND NOT (length(text) > 50 AND regexp_matches(text, '[.。]$')) AND confidence >= 0.4")
 def headings_valid(spark, sf_dir):
-    return S.valid_headings(rows(spark, HD)).withColumn("confidence", F.col("confidence").cast("double"))
-
-
-def d_numbered(table: str) -> str:
-    def pick(k: int) -> str:
-        out = "CASE"
-        for p in S.NUMBERED:
-            n = p.count("(") - 1
-            value = f"trim(regexp_extract(line, '{p}', {n + 1}))" if k == 4 else f"try_cast(regexp_extract(line, '{p}', {k}) AS INTEGER)" if k <= n else "NULL"
-            out += f" WHEN regexp_matches(line, '{p}') THEN {value}"
-        return out + " END"
-
-    return f"""(SELECT *, CASE WHEN subsection IS NOT NULL THEN 3 WHEN section IS NOT NULL THEN 2 ELSE 1 END AS level, concat_ws('-', chapter::VARCHAR, section::VARCHAR, subsection::VARCHAR) AS numbering
-      FROM (SELECT *, {pick(1)} AS chapter, {pick(2)} AS section, {pick(3)} AS subsection, {pick(4)} AS title FROM {table} WHERE length(line) BETWEEN 5 AND 150) WHERE chapter IS NOT NULL)"""
+    return S.valid_headings(twins(spark, sf_dir))
 
 
-D_NUM = d_numbered(L)
+D_NUM = d_numbered(D_BOOK)
 
 
 @query(f"SELECT * FROM {D_NUM}")
 def chapters_numbered(spark, sf_dir):
-    return S.numbered(rows(spark, L))
+    return S.numbered(book(spark, sf_dir))
 
 
 D_SEQ = f"""(SELECT * EXCLUDE (first) FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, line_no) AS first FROM {D_NUM})
  WHERE (chapter <= 50 AND coalesce(section, 0) <= 20 AND coalesce(subsection, 0) <= 20) OR first = 1 QUALIFY row_number() OVER (PARTITION BY doc, numbering ORDER BY page, line_no) = 1)"""
 
 
+def sequence(spark, sf_dir) -> DataFrame:
+    return S.valid_sequence(S.numbered(book(spark, sf_dir)), ["doc"])
+
+
 @query(f"SELECT * FROM {D_SEQ}")
 def chapters_sequence(spark, sf_dir):
-    return S.valid_sequence(S.numbered(rows(spark, L)), ["doc"])
+    return sequence(spark, sf_dir)
 
 
-@query(f"SELECT doc, chapter, count(*) AS n, count(*) FILTER (WHERE level = 3) AS n_sub, list_sort(list(numbering)) AS numberings FROM {D_SEQ} WHERE level > 1 GROUP BY doc, chapter")
+@query(f"SELECT doc, chapter, count(*) AS n, count(*) FILTER (WHERE level = 3) AS n_sub, array_to_string(list_sort(list(numbering)), ' ') AS numberings FROM {D_SEQ} WHERE level > 1 GROUP BY doc, chapter")
 def sections_by_chapter(spark, sf_dir):
-    s = S.valid_sequence(S.numbered(rows(spark, L)), ["doc"]).filter("level > 1")
-    return s.groupBy("doc", "chapter").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 3).alias("n_sub"), F.sort_array(F.collect_list("numbering")).alias("numberings"))
-
-
-HEADINGS = "VALUES (1,1,1,1,'One',12),(1,2,2,2,'One A',12),(1,3,2,3,'One B',12),(1,4,3,3,'Deep',12),(1,5,1,6,'Two',12),(1,6,3,6,'Two deep',12),(1,7,2,9,'Two A',12),(2,1,1,2,'Only',4)"
-HS = f"(SELECT * FROM ({HEADINGS}) v(doc, ord, level, page, title, last_page))"
+    s = sequence(spark, sf_dir).filter("level > 1")
+    return s.groupBy("doc", "chapter").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 3).alias("n_sub"), F.array_join(F.sort_array(F.collect_list("numbering")), " ").alias("numberings"))
 
 
 @query(
-    f"""SELECT a.*, greatest(a.page, coalesce((SELECT min_by(b.page, b.ord) FROM {HS} b WHERE b.doc = a.doc AND b.ord > a.ord AND b.level <= a.level) - 1, a.last_page)) AS page_end FROM {HS} a"""
+    f"""WITH h AS (SELECT doc, ord, greatest(1, level) AS level, page, last_page FROM {D_MARKS})
+    SELECT a.*, greatest(a.page, coalesce((SELECT min_by(b.page, b.ord) FROM h b WHERE b.doc = a.doc AND b.ord > a.ord AND b.level <= a.level) - 1, a.last_page)) AS page_end FROM h a"""
 )
 def section_intervals(spark, sf_dir):
-    return S.intervals(rows(spark, HS))
-
+    """Pages of headings whose levels jump and whose pages fall back."""
+    return S.intervals(marks(spark, sf_dir).select("doc", "ord", F.greatest(F.lit(1), F.col("level")).alias("level"), "page", "last_page"))
 
 
-
-@query("SELECT key AS numbering, (j->>'title') AS title, (j->>'page_start')::BIGINT AS page_start, (j->>'page_end')::BIGINT AS page_end FROM (SELECT unnest(['1', '2']) AS key, unnest(['{\"title\":\"Scope\",\"page_start\":1,\"page_end\":4}'::JSON, '{\"title\":\"Methods\",\"page_start\":5,\"page_end\":9}'::JSON]) AS j)")
+@query(f"SELECT doc, numbering, title, page::BIGINT AS page_start, (page + 1)::BIGINT AS page_end FROM {D_SEQ} WHERE level = 1")
 def chapter_json_scan(spark, sf_dir):
-    """A map of chapters as one JSON object."""
-    from ..sources.readers import chapters_from_json
-
-    text = '{"1":{"title":"Scope","page_start":1,"page_end":4},"2":{"title":"Methods","page_start":5,"page_end":9}}'
-    return chapters_from_json(spark.createDataFrame([(text,)], "json string"), "json")
-
-
-NUMBERS = "VALUES ('1.2','x'),('1-3','y'),('1.2.3','Summary of it'),('4','Four'),('2-1','Results so far'),('25','late')"
-NB = f"(SELECT * FROM ({NUMBERS}) v(numbering, title))"
+    """Each book's chapters as one JSON object, read back."""
+    one = F.struct("title", F.col("page").alias("page_start"), (F.col("page") + 1).alias("page_end"))
+    whole = F.to_json(F.map_from_entries(F.collect_list(F.struct("numbering", one))))
+    chapters = sequence(spark, sf_dir).filter("level = 1").groupBy("doc").agg(whole.alias("json"))
+    return chapters_from_json(chapters, "json", "doc")
 
 
-@query(rf"SELECT numbering, regexp_replace(numbering, '\.', '-', 'g') AS shown FROM {NB}")
+@query(rf"SELECT doc, ord, numbering, regexp_replace(numbering, '\.', '-', 'g') AS shown FROM {D_OUTLINE}")
 def display_numbers(spark, sf_dir):
-    return rows(spark, NB).select("numbering", F.regexp_replace("numbering", r"\.", "-").alias("shown"))
-
+    return outline(spark, sf_dir).select("doc", "ord", "numbering", F.regexp_replace("numbering", r"\.", "-").alias("shown"))
 
 
 # Outlines and bookmarks ------------------------------------------------------------------------
 
-OUT = "(SELECT * FROM (VALUES (1,1,1),(1,2,4),(1,3,2),(1,4,3),(1,5,3),(1,6,1),(1,7,2),(1,8,5),(2,1,2),(2,2,3)) v(doc, ord, level))"
-
 
-@query(f"SELECT a.*, (SELECT max(b.ord) FROM {OUT} b WHERE b.doc = a.doc AND b.ord < a.ord AND b.level < a.level) AS parent FROM {OUT} a")
+@query(f"SELECT a.doc, a.ord, a.level, (SELECT max(b.ord) FROM {D_MARKS} b WHERE b.doc = a.doc AND b.ord < a.ord AND b.level < a.level) AS parent FROM {D_MARKS} a")
 def outline_tree(spark, sf_dir):
-    return S.parents(rows(spark, OUT), ["doc"])
-
-
+    return S.parents(marks(spark, sf_dir).select("doc", "ord", "level"), ["doc"])
 
 
-def d_clamp(jump: int) -> str:
-    return f"""WITH RECURSIVE r AS (SELECT doc, ord, level AS raw, level FROM {OUT} WHERE ord = 1
-    UNION ALL SELECT o.doc, o.ord, o.level, least(o.level, r.level + {jump}) FROM r JOIN {OUT} o ON o.doc = r.doc AND o.ord = r.ord + 1) SELECT doc, ord, level FROM r"""
-
-
-@query(d_clamp(2))
+@query(
+    f"""WITH RECURSIVE m AS (SELECT doc, ord, level, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k FROM {D_MARKS}), r AS (SELECT doc, ord, k, level FROM m WHERE k = 1
+    UNION ALL SELECT o.doc, o.ord, o.k, least(o.level, r.level + 2) FROM r JOIN m o ON o.doc = r.doc AND o.k = r.k + 1) SELECT doc, ord::INTEGER AS ord, level FROM r"""
+)
 def level_clamp(spark, sf_dir):
-    return S.clamp_levels(rows(spark, OUT), ["doc"], 2)
+    return S.clamp_levels(marks(spark, sf_dir).select("doc", F.col("ord").cast("int").alias("ord"), "level"), ["doc"], 2)
 
 
 @query()
 def headings_combined(spark, sf_dir):
     """Headings of two detectors in one, repeated ones once."""
-    lines = rows(spark, L)
+    lines = styled(spark, sf_dir)
     shape = lambda df: df.select(F.concat_ws("-", "doc", "page").alias("page"), F.col("line_no").cast("int").alias("ord"), F.col("line").alias("text"), F.col("confidence").cast("double").alias("confidence"), "level")
     return S.combined_headings(shape(S.pattern_headings(lines)), shape(S.position_headings(lines, ["doc", "page"])))

@@ -87,10 +87,12 @@ def match_type(spark, sf_dir):
     return s.select("i", T.match_type(F.col("s")).alias("match_type"), scoring.grade(F.col("s") * 100).alias("grade"))
 
 
-@query("SELECT s, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM (VALUES (90.0::DOUBLE), (89.99), (80.0), (70.0), (60.0), (59.99)) v(s)")
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 7 + l_suppkey) % 10001 / 100.0::DOUBLE AS s FROM lineitem)"
+)
 def score_grade(spark, sf_dir):
-    v = spark.sql("SELECT CAST(s AS DOUBLE) AS s FROM VALUES (90.0), (89.99), (80.0), (70.0), (60.0), (59.99) v(s)")
-    return v.select("s", scoring.grade(F.col("s")).alias("grade"))
+    v = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 10001 / 100.0).alias("s"))
+    return v.select("l_orderkey", "l_linenumber", scoring.grade(F.col("s")).alias("grade"))
 
 
 # Alignment tables ------------------------------------------------------------------------------

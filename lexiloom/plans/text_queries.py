@@ -93,13 +93,22 @@ def strip_headers_footers(spark, sf_dir):
     )
 
 
-SHORT = "VALUES (1,'第3章 概要'),(2,'2) item'),(3,'A. first'),(4,'(b) second'),(5,'● point'),(6,'注意: x'),(7,'重要：y'),(8,'警告: z'),(9,'※ note'),(10,'plain'),(11,'Page 12'),(12,'- 4 -'),(13,'3/10'),(14,'DRAFT'),(15,'2024-01-05 minutes'),(16,'機密 memo'),(17,'© owner'),(18,'ANNUAL REPORT'),(19,'ok'),(20,'a copyright line')"
+#: Beginnings and ends of short lines that are important, or part of a page's frame.
+EDGES = ("第3章 ", "2) ", "A. ", "(b) ", "● ", "注意: ", "重要：", "警告: ", "※ ", "Page ", "- ", "DRAFT ", "2024-01-05 ", "機密 ", "© ", "ANNUAL ", "a copyright ", "")
 
 
-@query(f"SELECT id, {d_header('line')} AS header, {d_important('line')} AS important FROM ({SHORT}) v(id, line)")
+@query(
+    rf"""SELECT doc_id, k, {d_header('line')} AS header, {d_important('line')} AS important FROM
+    (SELECT doc_id, k, concat([{', '.join(f"'{x}'" for x in EDGES)}][(doc_id + k) % {len(EDGES)} + 1], CASE WHEN (doc_id + k) % {len(EDGES)} IN (9, 10) THEN (k % 40)::VARCHAR ELSE left(x, 12) END, CASE WHEN (doc_id + k) % {len(EDGES)} = 10 THEN ' -' ELSE '' END) AS line
+      FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+)
 def important_short(spark, sf_dir):
-    v = spark.sql(f"SELECT * FROM ({SHORT}) v(id, line)")
-    return v.select("id", T.is_header_footer(F.col("line")).alias("header"), T.is_important_short(F.col("line")).alias("important"))
+    """Beginnings of all lines behind marks that make lines important or part of the frame."""
+    which = (F.col("doc_id") + F.col("k")) % len(EDGES)
+    start = F.get(F.array(*[F.lit(x) for x in EDGES]), which.cast("int"))
+    line = F.concat(start, F.when(which.isin(9, 10), (F.col("k") % 40).cast("string")).otherwise(F.left("x", F.lit(12))), F.when(which == 10, " -").otherwise(""))
+    v = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "x")).select("doc_id", "k", line.alias("line"))
+    return v.select("doc_id", "k", T.is_header_footer(F.col("line")).alias("header"), T.is_important_short(F.col("line")).alias("important"))
 
 
 @query(
@@ -113,23 +122,30 @@ def body_text_plain(spark, sf_dir):
     )
 
 
-BLOCKS = """VALUES (1,100.0,50.0,400.0,70.0,'short head'),(1,100.0,60.0,400.0,75.0,'A long enough title block at the very top of the page, over fifty'),
-(1,100.0,300.0,400.0,340.0,'Main body text of the page'),(1,5.0,320.0,60.0,340.0,'side note'),(1,100.0,760.0,400.0,790.0,'Page 3'),
-(1,300.0,300.0,500.0,340.0,'right column of the body'),(1,100.0,400.0,400.0,420.0,'1. x'),(1,100.0,420.0,400.0,440.0,'tiny'),
-(2,100.0,200.0,400.0,220.0,'copyright notice of the publisher'),(2,100.0,210.0,400.0,240.0,'Second page body')"""
+def blocks(spark, sf_dir):
+    """The lines of the documents as blocks on pages of eight: some at the margins, some beside the text."""
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    row, side = F.col("k") % 8, F.col("k") % 5 == 3
+    y0 = F.when(row == 0, 50.0).when(row == 7, 760.0).otherwise(100.0 + row * 80.0)
+    x0, x1 = F.when(side, 5.0).otherwise(100.0), F.when(side, 60.0).otherwise(400.0)
+    return d.select(F.concat_ws("-", "doc_id", F.floor(F.col("k") / 8)).alias("page"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 20.0).alias("y1"), "t")
+
+
+D_BLOCKS = """(SELECT concat(doc_id, '-', k // 8) AS page, CASE WHEN k % 5 = 3 THEN 5.0 ELSE 100.0 END::DOUBLE AS x0, y0, CASE WHEN k % 5 = 3 THEN 60.0 ELSE 400.0 END::DOUBLE AS x1, y0 + 20 AS y1, t FROM
+    (SELECT *, (CASE k % 8 WHEN 0 THEN 50.0 WHEN 7 THEN 760.0 ELSE 100.0 + k % 8 * 80.0 END)::DOUBLE AS y0 FROM
+      (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))"""
 
 
 @query(
-    f"""WITH b AS (SELECT * FROM ({BLOCKS}) v(page, x0, y0, x1, y1, t)), k AS (SELECT *, {d_header('t')} AS hf FROM b)
-    SELECT page, string_agg(t, chr(10) ORDER BY y0, x0) AS body FROM k WHERE (CASE WHEN y0 < 0.12 * 800 OR y1 > 0.88 * 800 THEN length(t) > 50 AND NOT hf
+    f"""WITH k AS (SELECT *, {d_header('t')} AS hf FROM {D_BLOCKS})
+    SELECT page, md5(string_agg(t, chr(10) ORDER BY y0, x0)) AS body_md5 FROM k WHERE (CASE WHEN y0 < 0.12 * 800 OR y1 > 0.88 * 800 THEN length(t) > 50 AND NOT hf
       WHEN x1 < 0.15 * 600 OR x0 > 0.85 * 600 THEN length(t) > 100 ELSE TRUE END) AND NOT hf AND (length(t) >= 10 OR {d_important('t')}) GROUP BY page"""
 )
 def body_text_positional(spark, sf_dir):
-    blocks = spark.sql(f"SELECT * FROM ({BLOCKS}) v(page, x0, y0, x1, y1, t)")
     from ..operators.layout import body_blocks
 
-    return body_blocks(blocks, 800.0, 600.0).groupBy("page").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "t"))), lambda s: s["t"]), "\n").alias("body")
+    return body_blocks(blocks(spark, sf_dir), 800.0, 600.0).groupBy("page").agg(
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "t"))), lambda s: s["t"]), "\n")).alias("body_md5")
     )
 
 

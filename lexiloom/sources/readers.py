@@ -23,10 +23,10 @@ def read_chunks(spark: SparkSession, path: str, schema: str | None = None, array
     return reader.json(path, multiLine=array)
 
 
-def chapters_from_json(df: DataFrame, column: str) -> DataFrame:
-    """Rows of a JSON object that maps chapter numbers to their title and pages."""
+def chapters_from_json(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """Rows of a JSON object that maps chapter numbers to their title and pages, behind the columns `keys`."""
     kind = "map<string, struct<title: string, page_start: bigint, page_end: bigint>>"
-    return df.select(F.explode(F.from_json(column, kind)).alias("numbering", "c")).select("numbering", "c.title", "c.page_start", "c.page_end")
+    return df.select(*keys, F.explode(F.from_json(column, kind)).alias("numbering", "c")).select(*keys, "numbering", "c.title", "c.page_start", "c.page_end")
 
 
 def pages_from_text(df: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
