@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -116,46 +117,79 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return before + after >= b.shape[1]
 
 
-#: Groups up to this size are compared with one another's, row by row at a distance; larger ones as matrices.
-SHIFTS = 128
+def halves(words: list[str], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, of this process, of the first m // 2 letters of each word and of the last m - m // 2. Of
+    two words one edit apart that are dealt under m, the longer of that length, one half agrees."""
+    first = m // 2
+    front = [hash(w[:k]) for w, k in zip(words, first.tolist())]
+    back = [hash(w[len(w) - k :]) for w, k in zip(words, (m - first).tolist())]
+    return np.array(front, np.int64), np.array(back, np.int64)
 
 
-def candidates(group: np.ndarray, mask: np.ndarray, kind: np.ndarray, short: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows (sorted by `group`, a number) of one group whose masks differ in two bits at
-    most, each in the first kind of its own that brings the two together; of a pair of different lengths
-    the longer word comes first. side: 0 in whole groups; else pairs are of sides 1 and 2 only."""
-    n = len(group)
-    sizes = np.bincount(group)
+#: Groups up to this size are compared with one another's, row by row at a distance; larger ones as matrices.
+SHIFTS = 48
+#: Cells of a matrix that is worked on at once: small enough for a core's own cache.
+CELLS = 100_000
+
+
+class Dealt(NamedTuple):
+    """Rows sorted by `group`, a number: mask, kind, whether a word is the shorter one under its m, its
+    side (0 in whole groups; else pairs are of sides 1 and 2 only) and its halves."""
+
+    group: np.ndarray
+    mask: np.ndarray
+    kind: np.ndarray
+    short: np.ndarray
+    side: np.ndarray
+    front: np.ndarray
+    back: np.ndarray
+
+
+def candidates(x: Dealt) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of one group whose masks differ in two bits at most and that share a half, each
+    in the first kind of its own that brings the two together; of a pair of different lengths the longer
+    word comes first."""
+    n = len(x.group)
+    sizes = np.bincount(x.group)
     found_i, found_j = [], []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        flips = mask[i] ^ mask[j]
-        good = (np.bitwise_count(flips) <= 2) & ((short[i] != short[j]) == (kind[i] >= BANDS)) & ((side[i] == 0) | (side[i] != side[j]))
+        half = (x.front[i] == x.front[j]) | (x.back[i] == x.back[j])
+        i, j = i[half], j[half]
+        flips, kind = x.mask[i] ^ x.mask[j], x.kind[i]
+        good = (np.bitwise_count(flips) <= 2) & ((x.short[i] != x.short[j]) == (kind >= BANDS)) & ((x.side[i] == 0) | (x.side[i] != x.side[j]))
         for k in range(BANDS - 1):
-            good &= (kind[i] <= k) | (kind[i] >= BANDS) | (flips & BAND[k] != 0)
+            good &= (kind <= k) | (kind >= BANDS) | (flips & BAND[k] != 0)
         i, j = i[good], j[good]
-        found_i.append(np.where(short[i], j, i))
-        found_j.append(np.where(short[i], i, j))
+        found_i.append(np.where(x.short[i], j, i))
+        found_j.append(np.where(x.short[i], i, j))
 
-    some = np.flatnonzero((sizes > 1) & (sizes <= SHIFTS))
-    rows = np.flatnonzero(np.isin(group, some))
+    rows = np.flatnonzero((sizes[x.group] > 1) & (sizes[x.group] <= SHIFTS))
     for d in range(1, SHIFTS):
-        i = rows[rows < n - d]
-        rows = i[group[i] == group[i + d]]
+        rows = rows[rows < n - d]
+        rows = rows[x.group[rows] == x.group[rows + d]]
         if not len(rows):
             break
         keep(rows, rows + d)
     starts = np.cumsum(sizes) - sizes
     for g in np.flatnonzero(sizes > SHIFTS):
-        start, size = int(starts[g]), int(sizes[g])
-        step = max(1, 1_000_000 // size)
-        for at in range(0, size, step):
-            block = np.arange(start + at, start + min(size, at + step))
-            # Counted on 64-bit words first, so that few pairs are spelled out.
-            i, j = np.nonzero(np.bitwise_count(mask[block][:, None] ^ mask[None, start : start + size]) <= 2)
-            i, j = block[i], start + j
+        start, end = int(starts[g]), int(starts[g] + sizes[g])
+        own = x.mask[start:end]
+        some_i, some_j, held = [], [], 0
+        step = max(1, CELLS // (end - start))
+        for at in range(0, end - start, step):
+            # Each row with those from its block on; the triangle before the row itself is left out below.
+            near = np.flatnonzero(np.bitwise_count(own[at : at + step, None] ^ own[None, at:]) <= 2)
+            i, j = np.divmod(near, end - start - at)
             later = j > i
-            keep(i[later], j[later])
+            some_i.append(start + at + i[later])
+            some_j.append(start + at + j[later])
+            held += len(near)
+            if held > 1_000_000:
+                keep(np.concatenate(some_i), np.concatenate(some_j))
+                some_i, some_j, held = [], [], 0
+        if some_i:
+            keep(np.concatenate(some_i), np.concatenate(some_j))
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j])
 
@@ -284,7 +318,8 @@ def _near(words: DataFrame, block: int) -> DataFrame:
             kind, m = key[:, 0], key[:, 2]
             short = some["word"].map(len).to_numpy() < m
             mask = some["mask"].to_numpy(np.int64).view(np.uint64)
-            i, j = verified(spelled, m, short, *candidates(group, mask, kind, short, some["side"].to_numpy()))
+            dealt = Dealt(group, mask, kind, short, some["side"].to_numpy(), *halves(spelled, m))
+            i, j = verified(spelled, m, short, *candidates(dealt))
             if len(i):
                 yield nearest(spelled, some["n"].to_numpy(np.int64), i, j)
 
