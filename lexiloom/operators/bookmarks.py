@@ -99,3 +99,54 @@ def write(bookmarks: DataFrame, path: str) -> None:
     entries = F.sort_array(F.collect_list(F.struct("ord", "level", "title", "page")))
     outline = F.transform(entries, lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))
     bookmarks.groupBy("doc").agg(outline.alias("entries")).write.mode("overwrite").json(path)
+
+
+def linked(bookmarks: DataFrame) -> DataFrame:
+    """Bookmarks (doc, ord, title, level, page; ord unique in its document) as the nodes of an outline:
+    adds parent, first, last (its first and last child), prev, next (its neighbours under the same
+    parent), all as ord or null, and count (the nodes below it, of any depth). A level that jumps hangs
+    under the last node of a smaller one."""
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("ord"))
+    total = F.count("*").over(Window.partitionBy("doc"))
+    rows = bookmarks.withColumns({"_k": place, "_n": total})
+    below = structure.following(rows, ["doc"], "_k")
+    count = F.coalesce(F.col("_near"), F.col("_n") + 1) - F.col("_k") - 1
+    nodes = structure.parents(below.withColumn("count", count.cast("long")).drop("_near", "_k", "_n"), ["doc"])
+    order = Window.partitionBy("doc", "parent").orderBy("ord")
+    nodes = nodes.withColumns({"prev": F.lag("ord").over(order), "next": F.lead("ord").over(order)})
+    ends = nodes.filter("parent IS NOT NULL").groupBy("doc", F.col("parent").alias("ord")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    return nodes.join(ends, ["doc", "ord"], "left")
+
+
+def outline_objects(nodes: DataFrame, first_object: int = 1000) -> DataFrame:
+    """Nodes of linked() as the objects of a PDF outline, one text a node: doc, ord, object. Node k of a
+    document (from 1, in order) is object first_object + k; first_object itself is the outline's root,
+    which is the parent of nodes without one. Titles are UTF-16 with a mark, as hexadecimal text, and
+    destinations are pages counted from 0, shown whole."""
+    k = nodes.select("doc", F.col("ord").alias("_ord"), (F.row_number().over(Window.partitionBy("doc").orderBy("ord")) + first_object).alias("_id"))
+    out = nodes
+    for name in ("ord", "parent", "first", "last", "prev", "next"):
+        number = k.select("doc", F.col("_ord").alias(name), F.col("_id").alias(f"_{name}"))
+        out = out.join(number, ["doc", name], "left")
+    link = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" /{key} "), F.col(c).cast("string"), F.lit(" 0 R"))).otherwise("")
+    title = F.concat(F.lit("<FEFF"), F.hex(F.encode("title", "UTF-16BE")), F.lit(">"))
+    parent = F.concat(F.lit(" /Parent "), F.coalesce("_parent", F.lit(first_object)).cast("string"), F.lit(" 0 R"))
+    count = F.when(F.col("count") > 0, F.concat(F.lit(" /Count "), F.col("count").cast("string"))).otherwise("")
+    page = F.concat(F.lit(" /Dest ["), (F.col("page") - 1).cast("string"), F.lit(" /Fit] >>\nendobj"))
+    links = [link("Prev", "_prev"), link("Next", "_next"), link("First", "_first"), link("Last", "_last")]
+    text = F.concat(F.col("_ord").cast("string"), F.lit(" 0 obj\n<< /Title "), title, parent, *links, count, page)
+    return out.select("doc", "ord", text.alias("object"))
+
+
+def write_outlines(nodes: DataFrame, path: str, documents_a_file: int = 64) -> None:
+    """Nodes of linked() as JSON lines, a document a line with its nodes in order, `documents_a_file`
+    documents to a file, through the source document_files: all files or, if a task fails, none."""
+    node = F.struct("ord", "title", "level", "page", "parent", "first", "last", "prev", "next", "count")
+    lines = nodes.groupBy("doc").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    lines = lines.select("doc", F.to_json(F.struct("doc", "nodes")).alias("line"), F.pmod(F.xxhash64("doc"), F.lit(1 << 62)).alias("h"))
+    shares = F.broadcast(lines.agg(F.ceil(F.count("*") / documents_a_file).alias("files")))
+    files = lines.join(shares).groupBy((F.col("h") % F.greatest("files", F.lit(1))).alias("file"))
+    whole = files.agg(F.sort_array(F.collect_list(F.struct("doc", "line"))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    named = whole.select(F.concat(F.lit("outlines-"), F.lpad(F.col("file").cast("string"), 8, "0"), F.lit(".json")).alias("name"), text.alias("content"))
+    named.write.format("document_files").mode("append").save(path)

@@ -176,8 +176,10 @@ def heading_places(lines: DataFrame, sections: DataFrame, above: float = 0.8) ->
     words = lambda c: F.array_distinct(T.words(F.col(c)))
     l = lines.select("doc", "page", "line_no", bare(F.col("line")).alias("_line")).withColumn("_in_line", words("_line"))
     s = sections.select("doc", "ord", "page", bare(F.col("title")).alias("_title")).withColumn("_in_title", words("_title"))
-    shared = F.size(F.array_intersect("_in_line", "_in_title"))
-    same = (F.col("_line") != "") & (F.col("_title") != "") & (shared / (F.size("_in_line") + F.size("_in_title") - shared) > above)
+    shared, n, m = F.size(F.array_intersect("_in_line", "_in_title")), F.size("_in_line"), F.size("_in_title")
+    # Numbers of words too far apart rule most pairs out before their words are looked at.
+    near = (F.col("_line") != "") & (F.col("_title") != "") & (F.least(n, m) / F.greatest(n, m) > above)
+    same = near & (shared / (n + m - shared) > above)
     hits = s.join(l, ["doc", "page"]).filter(F.contains("_line", "_title") | same)
     return hits.groupBy("doc", "ord", "page").agg(F.min("line_no").alias("at"))
 

@@ -277,6 +277,11 @@ def intervals(headings: DataFrame, last_page: str = "last_page") -> DataFrame:
     return found.withColumn("page_end", F.greatest("page", F.coalesce(F.col("_near") - 1, F.col(last_page)))).drop("_near")
 
 
+def following(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds _near: `value` of the next row (in order of ord) of the same or a smaller level."""
+    return _nearest(rows, by, value, backwards=True)
+
+
 def clamp_levels(rows: DataFrame, by: list[str], jump: int, first: int | None = None) -> DataFrame:
     """Levels at most `jump` deeper than the one before, as it came out itself (the first one at most
     `first`): a fold in order."""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bookmarks, embedding, report, scoring
 from ..session import shared_folder
-from ..sources import readers
-from .book_queries import D_SECTIONS, sections
+from ..sources import documents, readers
+from .book_queries import D_MARKS, D_SECTIONS, marks, sections
 from .registry import query, read, sql
 from .table_queries import D_ALIGN, D_SIM, alignments
 
@@ -213,6 +213,62 @@ def cache_by_content(spark, sf_dir):
     return alone.unionByName(both)
 
 
+def volumes(spark, sf_dir) -> str:
+    """Files of up to 64 documents each, in order of doc_id and parted by form feeds, and where they are."""
+    path = place(spark, "volumes")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\f", " ").alias("text"))
+    v = d.groupBy(F.floor(F.col("doc_id") / 64).alias("v")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    documents.register(spark)
+    v.select(F.concat(F.lit("v"), F.col("v").cast("string"), F.lit(".txt")).alias("name"), F.array_join(F.transform("d", lambda x: x["text"]), "\f").alias("content")).write.format("document_files").mode("append").save(path)
+    return path
+
+
+D_VOLUMES = "(SELECT doc_id // 64 AS v, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id)::INTEGER AS page, translate(coalesce(text, ''), chr(12), ' ') AS text FROM documents)"
+
+
+@query(f"SELECT concat('v', v, '.txt') AS name, page, length(text)::INTEGER AS char_count, md5(text) AS text_md5, 'text' AS extraction_method FROM {D_VOLUMES}")
+def paged_files(spark, sf_dir):
+    """Documents written as files of many pages and read back page by page, large files in shares."""
+    path = volumes(spark, sf_dir)
+    pages = spark.read.format("document_pages").option("rangeBytes", 100_000).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return pages.select(name.alias("name"), "page", "char_count", F.md5("text").alias("text_md5"), "extraction_method")
+
+
+@query(f"SELECT concat('v', v, '.txt') AS name, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM {D_VOLUMES} WHERE page <= 5 AND page >= 2 GROUP BY v")
+def paged_files_capped(spark, sf_dir):
+    """Pages 2 to 5 of every file; the bounds reach the read."""
+    pages = spark.read.format("document_pages").option("pageCap", 20).load(volumes(spark, sf_dir)).filter("page <= 5 AND page >= 2")
+    return pages.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.count("*").alias("n_pages"), F.sum("char_count").alias("n_chars"))
+
+
+def outline_nodes(spark, sf_dir):
+    m = marks(spark, sf_dir).select("doc", "ord", "title", F.greatest("level", F.lit(1)).alias("level"), F.greatest("page", F.lit(1)).alias("page"))
+    return bookmarks.linked(m)
+
+
+D_NODES = f"""(WITH m AS (SELECT doc, ord, title, greatest(1, level) AS level, greatest(1, page) AS page FROM {D_MARKS}),
+    p AS (SELECT *, (SELECT max(b.ord) FROM m b WHERE b.doc = a.doc AND b.ord < a.ord AND b.level < a.level) AS parent,
+      (SELECT count(*) FROM m b WHERE b.doc = a.doc AND b.ord > a.ord AND b.ord < coalesce((SELECT min(c.ord) FROM m c WHERE c.doc = a.doc AND c.ord > a.ord AND c.level <= a.level), 1000000000)) AS count FROM m a)
+    SELECT p.*, lag(ord) OVER s AS prev, lead(ord) OVER s AS next, (SELECT min(c.ord) FROM p c WHERE c.doc = p.doc AND c.parent = p.ord) AS first, (SELECT max(c.ord) FROM p c WHERE c.doc = p.doc AND c.parent = p.ord) AS last FROM p WINDOW s AS (PARTITION BY doc, parent ORDER BY ord))"""
+
+
+@query(f"SELECT doc, ord, title, level, page, parent, first, last, prev, next, count FROM {D_NODES}")
+def outline_links(spark, sf_dir):
+    return outline_nodes(spark, sf_dir)
+
+
+@query(f"SELECT doc, ord, title, level, page, parent, first, last, prev, next, count FROM {D_NODES}")
+def outline_files(spark, sf_dir):
+    """Outlines written as files, all or none, and read back."""
+    path = place(spark, "outlines")
+    documents.register(spark)
+    bookmarks.write_outlines(outline_nodes(spark, sf_dir), path)
+    node = "struct<ord: bigint, title: string, level: int, page: int, parent: bigint, first: bigint, last: bigint, prev: bigint, next: bigint, count: bigint>"
+    back = spark.read.schema(f"doc BIGINT, nodes ARRAY<{node}>").option("recursiveFileLookup", "true").json(path)
+    return back.select("doc", F.explode("nodes").alias("n")).select("doc", "n.*")
+
+
 @query(r"""SELECT page_id, generate_subscripts(h, 1) - 1 AS ord, substr(unnest(h), 3, 1)::INTEGER AS level, trim(regexp_replace(regexp_replace(unnest(h), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title
     FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h FROM pages)""")
 def headings_html(spark, sf_dir):
