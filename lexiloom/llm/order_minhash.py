@@ -81,15 +81,21 @@ def labelled(h: np.ndarray) -> np.ndarray:
 
 def sketches(h: np.ndarray, count: int, take: int) -> np.ndarray:
     """`count` numbers: each of the `take` labelled shingles that come first in one random order, in
-    text order. A text with fewer shingles takes what it has."""
+    text order. A text with fewer shingles takes what it has. Labels are well mixed, so that their
+    products with a random odd number are a random order."""
     lab = labelled(h)
-    seeds = mixed(np.arange(1, count + 1, dtype=np.uint64) * A)
+    seeds = mixed(np.arange(1, count + 1, dtype=np.uint64) * A) | np.uint64(1)
     m = min(take, len(h))
     out = np.full(count, A, np.uint64)
-    step = max(1, 200_000 // len(h))
+    last = np.uint64(0xFFFFFFFFFFFFFFFF)
+    step = max(1, 50_000 // len(h))
     for a in range(0, count, step):
-        orders = mixed(lab[None, :] ^ seeds[a : a + step, None])
-        first = np.argpartition(orders, m - 1, axis=1)[:, :m] if m < len(h) else np.tile(np.arange(len(h)), (len(orders), 1))
+        orders = lab[None, :] * seeds[a : a + step, None]
+        rows = np.arange(len(orders))
+        first = np.empty((len(orders), m), np.int64)
+        for k in range(m):
+            first[:, k] = orders.argmin(axis=1)
+            orders[rows, first[:, k]] = last
         first.sort(axis=1)
         for j in range(m):
             out[a : a + step] = mixed(out[a : a + step] * A + h[first[:, j]])
@@ -290,8 +296,7 @@ def classes(
     low_high = own.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     several = written(low_high.filter("low < high").select("group", "size"), "omh-mixed")
     if several.limit(1).count():
-        pairs = _agreeing(own.join(several, "group"), rows, threshold, block)
-        links = links.unionByName(_linked(pairs, rows, threshold))
+        links = links.unionByName(written(_agreeing(own.join(several, "group"), rows, threshold, block), "omh-links"))
         roots = components(links, "omh-cc")
     # What stands for a class: the smallest id, then the least key; texts without ids come last.
     stands = F.struct(F.col("least").isNull().alias("none"), "least", "key").alias("stands")
@@ -306,18 +311,19 @@ def classes(
 
 
 def _agreeing(own: DataFrame, rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs (a, b) of texts of a group, not of one class yet, that share as many labelled words as
-    the threshold takes (an edit distance of d leaves all but d of the longer text's words in
-    common). A group is split into blocks; every pair of blocks is dealt out on its own, and only
-    the pairs found leave the task."""
-    labels = _texts(rows, own.select("node"), lambda w: labelled(w.astype(np.uint64)).astype(np.uint32)).withColumnRenamed("words", "labels")
+    """Links (a, b) of similar texts of a group that are not of one class yet. A group is split into
+    blocks; every pair of blocks is dealt out on its own. Pairs that share as many labelled words as the
+    threshold takes (an edit distance of d leaves all but d of the longer text's words in common) are
+    aligned, those that share most first, unless links of the task already join their classes: what
+    leaves a task is a spanning forest of its classes, not its pairs."""
+    words = _texts(rows, own.select("node"))
     parts = F.ceil(F.col("size") / block).cast("int")
     by = ["group", "p", "q"]
     dealt = (
-        own.join(labels, "node")
+        own.join(words, "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "len", "root", "labels")
+        .select("group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "len", "root", "words")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,28 +331,43 @@ def _agreeing(own: DataFrame, rows: DataFrame, threshold: float, block: int) ->
             if len(group) < 2:
                 continue
             node, length, root, part = (group[c].to_numpy() for c in ("node", "len", "root", "own"))
-            owner = np.repeat(np.arange(len(group)), [len(x) // 4 for x in group["labels"]])
-            _, column, number = np.unique(np.frombuffer(b"".join(group["labels"]), np.uint32), return_inverse=True, return_counts=True)
-            common = number[column] > 1  # labels of one text alone can't be shared
-            names, column = np.unique(column[common], return_inverse=True)
-            shared = np.zeros((len(group), len(group)), np.float32)
-            for at in range(0, len(names), 4096):
-                some = (column >= at) & (column < at + 4096)
-                table = np.zeros((len(group), min(4096, len(names) - at)), np.float32)
-                table[owner[common][some], column[some] - at] = 1
-                shared += table @ table.T
+            texts = [np.frombuffer(x, np.uint32) for x in group["words"]]
+            shared = _shared([labelled(x.astype(np.uint64)).astype(np.uint32) for x in texts])
             good = shared >= threshold * np.maximum(length[:, None], length[None, :]) - 1e-3
-            good &= (root[:, None] != root[None, :]) & (node[:, None] < node[None, :])
+            good &= np.triu(root[:, None] != root[None, :], 1)
             if group["p"].iloc[0] != group["q"].iloc[0]:
                 good &= part[:, None] != part[None, :]
-            a, b = np.nonzero(good)
-            yield pd.DataFrame({"a": node[a], "b": node[b]})
+            i, j = np.nonzero(good)
+            order = np.argsort(-shared[i, j] / np.maximum(length[i], length[j]), kind="stable")
+            _, label = np.unique(root, return_inverse=True)
+            found = []
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if label[x] != label[y] and similar(texts[x], texts[y], threshold):
+                    label[label == label[y]] = label[x]
+                    found.append((node[x], node[y]))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     spark = own.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long")
 
 
+def _shared(labels: list[np.ndarray]) -> np.ndarray:
+    """How many labels each two of some texts share; a text has no label twice."""
+    owner = np.repeat(np.arange(len(labels)), [len(x) for x in labels])
+    _, column, number = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    common = number[column] > 1  # labels of one text alone can't be shared
+    names, column = np.unique(column[common], return_inverse=True)
+    shared = np.zeros((len(labels), len(labels)), np.float32)
+    for at in range(0, len(names), 4096):
+        some = (column >= at) & (column < at + 4096)
+        table = np.zeros((len(labels), min(4096, len(names) - at)), np.float32)
+        table[owner[common][some], column[some] - at] = 1
+        shared += table @ table.T
+    return shared
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough."""
     pairs = written(pairs.distinct(), "omh-pairs")
@@ -371,8 +392,8 @@ def _grouped(every: DataFrame) -> DataFrame:
 MAP_BITS = 24
 
 
-def _texts(rows: DataFrame, nodes: DataFrame, of=lambda words: words) -> DataFrame:
-    """Hashed words (node, words), or what `of` makes of them, of the texts under `nodes`. The table of texts is read once more; a bit
+def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hashed words (node, words) of the texts under `nodes`. The table of texts is read once more; a bit
     map of fixed size over the nodes keeps most others from being sent anywhere."""
     spark = rows.sparkSession
     place = F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS))
@@ -392,7 +413,7 @@ def _texts(rows: DataFrame, nodes: DataFrame, of=lambda words: words) -> DataFra
                 if len(table) > 300_000:
                     table.clear()
                 own = some.iloc[part]
-                yield pd.DataFrame({"node": own["node"], "words": [of(word_hashes(x, table)).tobytes() for x in own["text"]]})
+                yield pd.DataFrame({"node": own["node"], "words": [word_hashes(x, table).tobytes() for x in own["text"]]})
 
     found = rows.select(_node(F.md5("text")).alias("node"), "text").select("node", "text", place.alias("place")).mapInPandas(words, "node long, words binary")
     # Rows that repeat a text give it once.
