@@ -6,12 +6,15 @@ and only one group's matrix is ever held, inside one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
+from ..session import written
 
 
 def blend(string_score: Column, vector_score: Column, string_weight: float = 0.4, vector_weight: float = 0.6) -> Column:
@@ -31,25 +34,52 @@ def title_scores(a: DataFrame, b: DataFrame, key: str = "pair_id") -> DataFrame:
     return easy.unionByName(hard).select(key, "i", "j", "score")
 
 
-def assign_greedy(scores: DataFrame, key: str, least: float, strict: bool = False) -> DataFrame:
+def assign_greedy(scores: DataFrame, key: str, least: float, strict: bool = False, block: int = 1024, most_blocks: int = 64) -> DataFrame:
     """For i in order the best unused j of at least `least` (above it if strict), the smaller j of equal
-    ones: key, i, j, score. A fold over the group's scores, with the used j carried along."""
+    ones: key, i, j, score; (key, i, j) is unique in scores.
+
+    Deferred acceptance: every j ranks all i by their order, so the one stable matching is that of the
+    rule. A key's i are cut into blocks of about `block` in order (`most_blocks` at most); in a round each
+    block takes its i in order, each proposing to the best j that neither an i before it in the block nor,
+    as of the round before, an earlier block holds; a j holds the smallest i that proposes. Blocks are
+    right from the round after all earlier ones are, so there are at most two more rounds than blocks,
+    and far fewer as a rule. A task streams through its blocks' scores and holds the used j of one."""
     enough = F.col("score") > least if strict else F.col("score") >= least
-    ranked = scores.filter(enough).groupBy(key, "i").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("j").cast("bigint").alias("j")))).alias("best")
-    )
-    rows = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "best"))).alias("rows"))
-    state = "struct<used:array<bigint>,out:array<struct<i:bigint,j:bigint,score:double>>>"
-    none = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<i:bigint,j:bigint,score:double>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        free = F.filter(x["best"], lambda y: ~F.array_contains(s["used"], y["j"]))
-        pick = F.get(free, F.lit(0))
-        taken = F.struct(x["i"].alias("i"), pick["j"].alias("j"), (-pick["s"]).alias("score"))
-        more = F.struct(F.array_append(s["used"], pick["j"]).alias("used"), F.array_append(s["out"], taken).alias("out")).cast(state)
-        return F.when(F.size(free) > 0, more).otherwise(s)
-
-    return rows.select(key, F.explode(F.aggregate("rows", none.cast(state), step)["out"]).alias("m")).select(key, "m.*")
+    kind = {c: scores.schema[c].dataType.simpleString() for c in (key, "i", "j")}
+    some = scores.filter(enough).select(F.col(key).alias("key"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("score").cast("double").alias("score"))
+    cuts = [k / most_blocks for k in range(1, most_blocks)]
+    ranges = some.select("key", "i").distinct().groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("i", cuts, 10_000).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c < F.col("i")))
+    blocks = F.least(F.lit(most_blocks), F.ceil(F.col("n") / block))
+    edges = written(some.join(ranges, "key").withColumn("block", F.floor(at * blocks / most_blocks).cast("int")).drop("n", "cuts"), "greedy-edges")
+
+    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used, done = None, set(), None
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            for row, (k, b, i, j) in enumerate(zip(pdf["key"], pdf["block"], pdf["i"], pdf["j"])):
+                if (k, b) != group:
+                    group, used, done = (k, b), set(), None
+                if i != done and j not in used:
+                    keep[row], done = True, i
+                    used.add(j)
+            yield pdf[keep]
+
+    held = None
+    while True:
+        open_now = edges
+        if held is not None:
+            before = held.select("key", "j", F.col("block").alias("_block"))
+            open_now = edges.join(before, ["key", "j"], "left").filter("_block IS NULL OR _block >= block").drop("_block")
+        order = ["key", "block", "i", F.desc("score"), "j"]
+        given = open_now.select("key", "block", "i", "j", "score").repartition("key", "block").sortWithinPartitions(*order)
+        proposed = given.mapInPandas(propose, edges.select("key", "block", "i", "j", "score").schema)
+        first = F.min(F.struct("i", "block", "score")).alias("f")
+        now = written(proposed.groupBy("key", "j").agg(first).select("key", "j", "f.*"), "greedy-held")
+        shown = ["key", "i", "j"]
+        if held is not None and now.count() == held.count() == now.join(held, shown, "left_semi").count():
+            return now.select(F.col("key").cast(kind[key]).alias(key), F.col("i").cast(kind["i"]).alias("i"), F.col("j").cast(kind["j"]).alias("j"), "score")
+        held = now
 
 
 def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,13 +152,15 @@ def align_texts(
     columns as align(). The score of two chunks is that of their texts (six tenths word overlap, four
     tenths indel ratio); where `vectors` names arrays of vectors, one a chunk, it is string_weight of
     that and vector_weight of the vectors' cosine. A side without chunks gives deletions or insertions
-    only. A pair's matrix never leaves its task, so nothing is shuffled."""
+    only. Nothing is shuffled, and a pair's scores are made and used strip by strip: what is held of n
+    by m chunks is two bits a cell."""
 
-    def scores(row) -> np.ndarray:
-        text_score = kernels.text_scores(list(row.a), list(row.b))
+    def scores(row, start: int, end: int) -> np.ndarray:
+        """Scores of the chunks of a from start to end with all of b."""
+        text_score = kernels.text_scores(list(row.a[start:end]), list(row.b))
         if vectors is None:
             return text_score
-        x, y = (np.stack(v).astype(np.float64) for v in (row.va, row.vb))
+        x, y = (np.stack(v).astype(np.float64) for v in (row.va[start:end], row.vb))
         x, y = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None] for v in (x, y))
         return string_weight * text_score + vector_weight * (x @ y.T)
 
@@ -137,15 +169,17 @@ def align_texts(
             for row in pdf.itertuples(index=False):
                 x, y = row.a, row.b
                 n, m = 0 if x is None else len(x), 0 if y is None else len(y)
-                score = scores(row) if n and m else np.zeros((n, m))
-                steps = kernels.global_alignment(score, gap)[1] if n and m else [(i, -1) for i in range(n)] + [(-1, j) for j in range(m)]
+                if n and m:
+                    _, steps, score = kernels.aligned_strips(n, m, lambda start, end, row=row: scores(row, start, end), gap)
+                else:
+                    steps, score = [(i, -1) for i in range(n)] + [(-1, j) for j in range(m)], [0.0] * (n + m)
                 yield pd.DataFrame(
                     {
                         "key": row.key,
                         "ord": range(len(steps)),
                         "i": pd.array([i if i >= 0 else None for i, _ in steps], "Int64"),
                         "j": pd.array([j if j >= 0 else None for _, j in steps], "Int64"),
-                        "align_score": [float(score[i, j]) if i >= 0 and j >= 0 else 0.0 for i, j in steps],
+                        "align_score": score,
                     }
                 )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -70,3 +71,11 @@ def shared_folder(spark: SparkSession) -> str:
     if _LOCAL is None:
         _LOCAL = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
     return _LOCAL
+
+
+def written(df, tag: str):
+    """`df` as a Parquet table in the shared folder: later plans start from its files, so rounds of a loop
+    don't pile up and a lost executor costs no earlier round."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
