@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import overlap as overlap_coefficient
 from ..functions.text import sentences_terminal, token_estimate, word_set
+from ..session import written
 
 
 def pack(parts: Column, limit: int, overlap: int = 0, joiner: str = " ", split: Callable[[Column], Column] | None = None) -> Column:
@@ -67,16 +68,36 @@ def distinct_chunks(chunks: DataFrame, by: list[str], place: list[str] | None =
     return chunks.join(keep, list(dict.fromkeys([*by, "content_hash", *place])), "left_semi")
 
 
-def similar_chunk_pairs(chunks: DataFrame, by: list[str], above: float = 0.9) -> DataFrame:
+def similar_chunk_pairs(chunks: DataFrame, by: list[str], above: float = 0.9, small: int = 64) -> DataFrame:
     """Pairs (i < j) of chunks of a group whose word sets overlap by more than `above` of the smaller.
 
-    With words in one order, the group's rare ones first, the smaller set has a word in common with
-    the other among all but `above` of its own; so each set is joined by these first words with all
-    words of the others, which common words seldom are, and only pairs that meet are compared."""
-    sets = chunks.select(*by, "chunk_index", word_set(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    Sets are made once, of 64-bit hashes of words, and written. In groups of up to `small` chunks each is
+    compared with each. In larger ones, with words in one order, the group's rare ones first, the smaller
+    set has a word in common with the other among all but `above` of its own; so each set is joined by
+    these first words with all words of the others, which common words seldom are, and only pairs that
+    meet are compared."""
+    # Bound by a lambda: as a column, the words would be split anew for each use.
+    hashed = F.transform(F.array(word_set(F.col("text"))), lambda w: F.transform(w, lambda x: F.xxhash64(x)))[0]
+    sets = written(chunks.select(*by, "chunk_index", hashed.alias("w")).withColumn("n", F.size("w")), "chunk-sets")
+    large = sets.groupBy(*by).agg(F.count("*").alias("_size")).filter(F.col("_size") > small).drop("_size")
+    side = lambda k, rows: rows.select(*by, F.col("chunk_index").alias(k), F.col("w").alias(f"w_{k}"))
+    few = sets.join(large, by, "left_anti")
+    both = side("i", few).join(side("j", few), by).filter("i < j")
+    alike = overlap_coefficient(F.col("w_i"), F.col("w_j")) > above
+    found = both.filter(alike).select(*by, "i", "j")
+    large = written(large, "chunk-large")
+    if large.limit(1).count() == 0:
+        return found
+    many = sets.join(large, by, "left_semi")
+    both = _meeting(many, by, above).join(side("i", many), [*by, "i"]).join(side("j", many), [*by, "j"])
+    return found.unionByName(both.filter(alike).select(*by, "i", "j"))
+
+
+def _meeting(sets: DataFrame, by: list[str], above: float) -> DataFrame:
+    """Pairs (i, j) of chunks of a group of which the smaller has one of its first words in the other."""
     words = sets.select(*by, "chunk_index", "n", F.explode("w").alias("word"))
     common = words.groupBy(*by, "word").agg(F.count("*").alias("of")).filter("of > 1")
-    shared = words.join(common, [*by, "word"])
+    shared = written(words.join(common, [*by, "word"]), "chunk-words")
     ranked = shared.groupBy(*by, "chunk_index", "n").agg(F.sort_array(F.collect_list(F.struct("of", "word"))).alias("s"))
     # Words of one chunk alone come before all and need not be listed.
     first = F.col("n") - F.floor(F.col("n") * above) - (F.col("n") - F.size("s"))
@@ -84,10 +105,7 @@ def similar_chunk_pairs(chunks: DataFrame, by: list[str], above: float = 0.9) ->
     few = ranked.select(*by, F.col("chunk_index").alias("x"), F.col("n").alias("n_x"), F.explode(F.transform(prefix, lambda v: v["word"])).alias("word"))
     other = shared.select(*by, "word", F.col("chunk_index").alias("y"), F.col("n").alias("n_y"))
     met = few.join(other, [*by, "word"]).filter((F.col("x") != F.col("y")) & (F.col("n_x") <= F.col("n_y")))
-    pairs = met.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
-    side = lambda k: sets.select(*by, F.col("chunk_index").alias(k), F.col("w").alias(f"w_{k}"))
-    both = pairs.join(side("i"), [*by, "i"]).join(side("j"), [*by, "j"])
-    return both.filter(overlap_coefficient(F.col("w_i"), F.col("w_j")) > above).select(*by, "i", "j")
+    return met.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
 
 
 def near_dedup(chunks: DataFrame, by: list[str], above: float = 0.9) -> DataFrame:

@@ -30,6 +30,75 @@ def provider(*makers: Callable | None) -> Callable | None:
     return None
 
 
+class Retry(Exception):
+    """Raised by a sender for what may work later; `after` seconds, if the other side says so."""
+
+    def __init__(self, message: str, after: float | None = None) -> None:
+        super().__init__(message)
+        self.after = after
+
+
+def http_sender(url: str, model: str, key_variable: str | None = None, timeout: float = 60.0) -> Callable[[list[str]], list[list[float]]]:
+    """Sends texts to a service that takes {"model", "input"} as JSON and answers {"data": [{"index",
+    "embedding"}, ...]}. The key is read on the executor, from the environment variable of that name.
+    Answers 408, 429 and 5xx, and broken connections, may be tried again."""
+    import json
+    import os
+    import urllib.error
+    import urllib.request
+
+    def send(texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"}
+        if key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
+        request = urllib.request.Request(url, json.dumps({"model": model, "input": texts}).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                data = json.load(answer)["data"]
+        except urllib.error.HTTPError as e:
+            if e.code in (408, 429) or e.code >= 500:
+                after = e.headers.get("Retry-After")
+                raise Retry(str(e), float(after) if after and after.isdigit() else None) from e
+            raise
+        except (urllib.error.URLError, ConnectionError, TimeoutError) as e:
+            raise Retry(str(e)) from e
+        return [d["embedding"] for d in sorted(data, key=lambda d: d["index"])]
+
+    return send
+
+
+def remote(make_sender: Callable[[], Callable], tries: int = 6, wait: float = 0.5, longest: float = 30.0) -> Callable[[], Callable]:
+    """A model maker for embed(): sends each batch, and after Retry again, up to `tries` times, waiting
+    twice as long each time (from `wait`, at most `longest` seconds, a random half of it), or as long as
+    the other side says. A batch whose answer has not one vector a text is an error. Waiting happens in
+    the task that has the batch; other tasks go on."""
+
+    def make() -> Callable[[list[str]], list[list[float]]]:
+        import random
+        import time
+
+        send = make_sender()
+
+        def model(texts: list[str]) -> list[list[float]]:
+            for k in range(tries):
+                try:
+                    vectors = send(texts)
+                except Retry as e:
+                    if k + 1 == tries:
+                        raise
+                    pause = min(longest, wait * 2**k)
+                    time.sleep(min(longest, e.after) if e.after is not None else pause * (0.5 + random.random() / 2))
+                    continue
+                if len(vectors) != len(texts):
+                    raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+                return vectors
+            raise AssertionError("unreachable")
+
+        return model
+
+    return make
+
+
 def embed(df: DataFrame, text_col: str = "text", make_model: Callable | None = None, batch: int = 32, cache: str | None = None) -> DataFrame:
     """Adds `vector` (array of float). `make_model()` is called once in each task and returns a
     function from a list of texts to a list of vectors; every distinct text is encoded once, by MD5
@@ -53,15 +122,16 @@ def embed(df: DataFrame, text_col: str = "text", make_model: Callable | None = N
     return keyed.join(make(distinct), "content_hash", "left").drop("content_hash")
 
 
-def search(queries: DataFrame, rows: DataFrame, most: int | None = None, digits: int | None = None, block: int = 2000) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, most: int | None = None, digits: int | None = None, block: int = 512, least: float | None = None) -> DataFrame:
     """Cosines of the vectors of `queries` with those of all `rows` of another id, both (id, vector):
     a_id, b_id, score; 0 if either vector is zero. With `most` only that many of the greatest of each
-    query, the smaller id first of equal ones (after rounding to `digits`).
+    query, the smaller id first of equal ones (after rounding to `digits`); with `least` only scores of
+    at least that.
 
-    Either side is dealt into blocks of about `block` and ten times as many vectors, and a task takes
+    Either side is dealt into blocks of about `block` and eight times as many vectors, and a task takes
     one block of each, as a product of two matrices; of its scores only the best leave it."""
     parts = lambda df, size: max(1, -(-df.count() // size))
-    n_a, n_b = parts(queries, block), parts(rows, 10 * block)
+    n_a, n_b = parts(queries, block), parts(rows, 8 * block)
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = queries.select("id", "vector", place(n_a).alias("p")).withColumn("q", all_of(n_b))
@@ -81,13 +151,14 @@ def search(queries: DataFrame, rows: DataFrame, most: int | None = None, digits:
         a_id, b_id = left["id"].to_numpy(), right["other"].to_numpy()
         if digits is not None:
             score = np.round(score, digits)
-        if most is None:
-            i, j = np.nonzero(a_id[:, None] != b_id[None, :])
-        else:
-            order = np.argsort(-score, axis=1, kind="stable")[:, : most + 1]
-            i, j = np.repeat(np.arange(len(left)), order.shape[1]), order.ravel()
-            other = a_id[i] != b_id[j]
-            i, j = i[other], j[other]
+        good = a_id[:, None] != b_id[None, :]
+        if least is not None:
+            good &= score >= least
+        if most is not None and most < score.shape[1]:
+            # All that are as good as the last of the best: equal ones are told apart by their ids later.
+            ranked = np.where(good, score, -np.inf)
+            good &= ranked >= np.partition(ranked, -most, axis=1)[:, -most, None]
+        i, j = np.nonzero(good)
         return pd.DataFrame({"a_id": a_id[i], "b_id": b_id[j], "score": score[i, j]})
 
     found = a.groupBy("p", "q").cogroup(b.groupBy("u", "v")).applyInPandas(run, "a_id long, b_id long, score double")

@@ -69,6 +69,13 @@ def title_similarity(spark, sf_dir):
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query()
+def titles_assigned(spark, sf_dir):
+    """Titles of two pages assigned greedily, in order, at scores of .6 and more."""
+    scores = align.title_scores(*heading_sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return align.assign_greedy(scores, "pair_id", 0.6)
+
+
 @query()
 def text_similarity(spark, sf_dir):
     p = pairs(spark, sf_dir)
@@ -278,8 +285,7 @@ def chunk_similar_pairs(spark, sf_dir):
     return chunking.similar_chunk_pairs(c, ["doc_id"], 0.4)
 
 
-@query(
-    f"""WITH RECURSIVE c AS (SELECT doc_id, content_hash, min(chunk_index) AS chunk_index, any_value(text) AS text FROM {D_CHUNKS} GROUP BY doc_id, content_hash),
+D_NEAR_DEDUP = f"""WITH RECURSIVE c AS (SELECT doc_id, content_hash, min(chunk_index) AS chunk_index, any_value(text) AS text FROM {D_CHUNKS} GROUP BY doc_id, content_hash),
     w AS (SELECT doc_id, chunk_index, {d_word_set('text')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM c),
     p AS (SELECT a.doc_id, b.chunk_index AS j, list(a.chunk_index) AS alike FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.chunk_index < b.chunk_index
       WHERE len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) > 0.4 GROUP BY a.doc_id, b.chunk_index),
@@ -287,6 +293,14 @@ def chunk_similar_pairs(spark, sf_dir):
       UNION ALL SELECT r.doc_id, w.k, CASE WHEN p.alike IS NOT NULL AND list_has_any(r.kept, p.alike) THEN r.kept ELSE list_append(r.kept, w.chunk_index) END
       FROM r JOIN w ON w.doc_id = r.doc_id AND w.k = r.k + 1 LEFT JOIN p ON p.doc_id = w.doc_id AND p.j = w.chunk_index)
     SELECT doc_id, unnest(kept) AS chunk_index FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM r) WHERE k = last"""
-)
+
+
+@query(D_NEAR_DEDUP)
 def chunk_near_dedup(spark, sf_dir):
     return chunking.near_dedup(chunk_table(spark, sf_dir), ["doc_id"], 0.4).select("doc_id", "chunk_index")
+
+
+@query(D_NEAR_DEDUP.replace("> 0.4", "> 0.9"))
+def chunk_near_dedup_default(spark, sf_dir):
+    """At the default threshold."""
+    return chunking.near_dedup(chunk_table(spark, sf_dir), ["doc_id"]).select("doc_id", "chunk_index")

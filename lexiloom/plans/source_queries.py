@@ -191,6 +191,44 @@ def sheet_csv(spark, sf_dir):
     return back.join(F.broadcast(marked))  # one row
 
 
+@query(f"SELECT pair_id, ord, section, alignment_type, round(coalesce(score, 0), 6) AS score, true AS marked FROM {D_ALIGN} WHERE alignment_type <> 'match'")
+def sheet_differences(spark, sf_dir):
+    """What differs between documents, as CSV with a byte order mark, read back."""
+    path = place(spark, "differences")
+    rows = alignments(spark, sf_dir).filter("alignment_type <> 'match'").select("pair_id", "ord", "section", "alignment_type", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    report.write_csv_for_sheets(rows, path)
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    marked = files.agg(F.every(F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("marked"))
+    back = spark.read.csv(path, schema="pair_id STRING, ord BIGINT, section BIGINT, alignment_type STRING, score DOUBLE", header=True, enforceSchema=True)
+    return back.join(F.broadcast(marked))  # one row
+
+
+@query(f"SELECT format, pair_id, round(similarity, 4) AS similarity FROM (SELECT pair_id, round({D_SIM}, 6) AS similarity FROM {D_ALIGN} GROUP BY pair_id), (VALUES ('csv'), ('json'), ('parquet'), ('sheet.csv')) v(format)")
+def export_formats(spark, sf_dir):
+    """Scores of all pairs written in every format and read back from each."""
+    path = place(spark, "exports")
+    done = report.export(scoring.overall(alignments(spark, sf_dir), "pair_id").select("pair_id", "similarity"), path, [*report.FORMATS, "pdf"])
+    schema, out = "pair_id STRING, similarity DOUBLE", None
+    for name in (k for k, good in done.items() if good):
+        reader = spark.read.schema(schema)
+        back = reader.csv(f"{path}.{name}", header=True, enforceSchema=True) if name.endswith("csv") else reader.format(name).load(f"{path}.{name}")
+        one = back.select(F.lit(name).alias("format"), "pair_id", F.round("similarity", 4).alias("similarity"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 AND o_custkey % 2 = 0 THEN NULL ELSE o_totalprice END AS value, strftime(o_orderdate::DATE, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS inner_value FROM orders")
+def json_safe_rows(spark, sf_dir):
+    """Numbers that are none or infinite and dates, at two depths, as JSON read back."""
+    path = place(spark, "safe")
+    k, total = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    odd = F.when(k % 3 == 0, float("nan")).when((k % 3 == 1) & (F.col("o_custkey") % 2 == 0), float("-inf")).otherwise(total)
+    deep = F.array(F.struct(F.when(k % 3 == 0, float("inf")).otherwise(total).alias("x")))
+    report.write_json(read(spark, sf_dir, "orders").select("o_orderkey", odd.alias("value"), F.col("o_orderdate").cast("date").alias("date"), deep.alias("deep")), path)
+    back = spark.read.schema("o_orderkey BIGINT, value DOUBLE, date STRING, deep ARRAY<STRUCT<x: DOUBLE>>").json(path)
+    return back.select("o_orderkey", "value", "date", F.col("deep")[0]["x"].alias("inner_value"))
+
+
 @query(f"SELECT doc, generate_subscripts(l, 1) AS ord, unnest(l) AS title FROM (SELECT doc, list(title ORDER BY ord) AS l FROM {D_SECTIONS} GROUP BY doc)")
 def bookmarks_written(spark, sf_dir):
     """Outlines as JSON files, one document a row, read back."""

@@ -162,14 +162,7 @@ def score_statistics(spark, sf_dir):
 )
 def score_content(spark, sf_dir):
     """Content by type: rows, characters, mean length, share of all rows."""
-    from pyspark.sql import Window
-
-    length = F.greatest("len_a", "len_b")
-    by = alignments(spark, sf_dir).groupBy("pair_id", "alignment_type").agg(
-        F.count("*").alias("n"), F.sum(length).alias("chars"), F.round(F.avg(length), 6).alias("mean_chars")
-    )
-    share = 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("pair_id"))
-    return by.withColumn("share", F.round(share, 6))
+    return scoring.content(alignments(spark, sf_dir), "pair_id")
 
 
 @query(
@@ -177,12 +170,7 @@ def score_content(spark, sf_dir):
     round(100.0 * {_len('len_a', 'match', 'partial')} / greatest(sum(len_a), sum(len_b), 1), 6) AS completeness FROM {D_ALIGN} GROUP BY pair_id"""
 )
 def score_quality(spark, sf_dir):
-    matched = F.sum(F.when(F.col("alignment_type").isin("match", "partial"), F.col("len_a")).otherwise(0))
-    return alignments(spark, sf_dir).groupBy("pair_id").agg(
-        F.round(F.avg(scoring.alignment_score() * 100), 6).alias("confidence"),
-        F.round(100.0 * F.count_if(F.col("alignment_type") == "match") / F.count("*"), 6).alias("structure"),
-        F.round(100.0 * matched / F.greatest(F.sum("len_a"), F.sum("len_b"), F.lit(1)), 6).alias("completeness"),
-    )
+    return scoring.quality(alignments(spark, sf_dir), "pair_id")
 
 
 @query(
@@ -218,29 +206,14 @@ def type_filter(spark, sf_dir):
     CASE WHEN alignment_type = 'insert' THEN len_b ELSE 0 END AS i, CASE WHEN alignment_type = 'replace' THEN greatest(len_a, len_b) ELSE 0 END AS r FROM {D_ALIGN}) GROUP BY pair_id"""
 )
 def diff_totals(spark, sf_dir):
-    kind = F.col("alignment_type")
-    most = F.greatest("len_a", "len_b")
-    pick = lambda test, value: F.sum(F.when(test, value).otherwise(0))
-    out = alignments(spark, sf_dir).groupBy("pair_id").agg(
-        F.sum(most).alias("total"),
-        pick(kind.isin("match", "partial"), F.least("len_a", "len_b")).alias("n_match"),
-        pick(kind == "delete", F.col("len_a")).alias("n_delete"),
-        pick(kind == "insert", F.col("len_b")).alias("n_insert"),
-        pick(kind == "replace", most).alias("n_replace"),
-    )
-    return out.withColumn("overall", F.round(F.when(F.col("total") == 0, 100.0).otherwise(100.0 * F.col("n_match") / F.col("total")), 6))
+    return scoring.diff_totals(alignments(spark, sf_dir), "pair_id")
 
 
 @query(
     f"""SELECT pair_id, count(*) AS n, count(DISTINCT section) AS n_sections, round(avg(similarity), 6) AS mean, count(*) FILTER (WHERE alignment_type IN ('insert', 'delete', 'replace')) AS n_changed FROM {D_BLOCKS} GROUP BY pair_id"""
 )
 def diff_summary(spark, sf_dir):
-    return blocks(spark, sf_dir).groupBy("pair_id").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("section").alias("n_sections"),
-        F.round(F.avg("similarity"), 6).alias("mean"),
-        F.count_if(F.col("alignment_type").isin("insert", "delete", "replace")).alias("n_changed"),
-    )
+    return scoring.diff_summary(blocks(spark, sf_dir), "pair_id")
 
 
 @query(

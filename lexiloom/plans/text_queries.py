@@ -249,6 +249,20 @@ def chunk_pack_overlap(spark, sf_dir):
     return packed(spark, sf_dir, 50)
 
 
+@query(
+    f"""SELECT doc_id, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM (SELECT doc_id, CASE WHEN len(list_filter(c, lambda x: length(x) >= 300)) > 0 THEN list_filter(c, lambda x: length(x) >= 300) ELSE c END AS c FROM
+    ({d_pack(50).replace("SELECT doc_id, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM", "SELECT doc_id, c FROM")}))"""
+)
+def chunks_by_settings(spark, sf_dir):
+    """Chunks whose limits come from the settings, here from variables of an environment."""
+    from ..config import load
+    from ..operators.configured import chunks
+
+    settings = load((), {"LEXILOOM_MAX_TOKENS": str(LIMIT), "LEXILOOM_OVERLAP": "50", "LEXILOOM_MIN_CHUNK_SIZE": "300"})
+    c = chunks(docs(spark, sf_dir), settings)
+    return c.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.md5(F.array_join("chunks", "|")).alias("chunks_md5"))
+
+
 @query()
 def chunk_paragraphs(spark, sf_dir):
     """Packing of lines as paragraphs; those over the limit are split into sentences."""
