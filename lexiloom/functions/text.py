@@ -52,12 +52,17 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
 
+def without(strings: Column, pattern: str) -> Column:
+    """The strings of an array that don't begin with the pattern."""
+    return F.filter(strings, lambda x: ~x.rlike(f"^(?:{pattern})"))
+
+
 def clean_lines(c: Column, remove: tuple[str, ...] = ()) -> Column:
     """Stripped lines without blank ones, without those that start with a pattern of `remove`, with
     white space collapsed and signs other than plain punctuation deleted."""
     found = F.filter(F.transform(lines(c), strip), lambda x: x != "")
     for pattern in remove:
-        found = F.filter(found, lambda x, p=pattern: ~x.rlike(f"^(?:{p})"))
+        found = without(found, pattern)
     return F.transform(found, lambda x: F.regexp_replace(collapse(x), rf"[^\p{{L}}\p{{N}}_\s{KEPT}]", ""))
 
 

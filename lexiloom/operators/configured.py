@@ -17,7 +17,7 @@ def chunks(df: DataFrame, settings: Settings, text_col: str = "text") -> DataFra
     characters are left out, unless that leaves none."""
     text = F.col(text_col)
     for pattern in settings.remove_patterns:
-        text = F.array_join(F.filter(F.split(text, "\n"), lambda x, p=pattern: ~x.rlike(f"^(?:{p})")), "\n")
+        text = F.array_join(T.without(T.lines(text), pattern), "\n")
     if settings.sentence_split:
         packed = pack_sentences(T.sentences_terminal(text), settings.max_tokens, settings.overlap)
     else:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import text as T
 from ..operators import align, chunking
+from ..session import shared_folder
 from ..sources import readers
+from ..streaming import dedup
 from .registry import query, read
 from .text_queries import D_SP, d_word_set, pair_key, pair_values, pairs
 
@@ -289,10 +293,11 @@ D_NEAR_DEDUP = f"""WITH RECURSIVE c AS (SELECT doc_id, content_hash, min(chunk_i
     w AS (SELECT doc_id, chunk_index, {d_word_set('text')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM c),
     p AS (SELECT a.doc_id, b.chunk_index AS j, list(a.chunk_index) AS alike FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.chunk_index < b.chunk_index
       WHERE len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) > 0.4 GROUP BY a.doc_id, b.chunk_index),
-    r AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT doc_id FROM w)
+    r AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT doc_id FROM p)
       UNION ALL SELECT r.doc_id, w.k, CASE WHEN p.alike IS NOT NULL AND list_has_any(r.kept, p.alike) THEN r.kept ELSE list_append(r.kept, w.chunk_index) END
       FROM r JOIN w ON w.doc_id = r.doc_id AND w.k = r.k + 1 LEFT JOIN p ON p.doc_id = w.doc_id AND p.j = w.chunk_index)
-    SELECT doc_id, unnest(kept) AS chunk_index FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM r) WHERE k = last"""
+    SELECT doc_id, unnest(kept) AS chunk_index FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM r) WHERE k = last
+    UNION ALL SELECT doc_id, chunk_index FROM w WHERE doc_id NOT IN (SELECT doc_id FROM p)"""
 
 
 @query(D_NEAR_DEDUP)
@@ -304,3 +309,36 @@ def chunk_near_dedup(spark, sf_dir):
 def chunk_near_dedup_default(spark, sf_dir):
     """At the default threshold."""
     return chunking.near_dedup(chunk_table(spark, sf_dir), ["doc_id"]).select("doc_id", "chunk_index")
+
+
+def replayed(spark, chunks, tag: str, *steps: str):
+    """Chunks as a stream: those of each condition in turn are a file and a batch."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    for step in steps:
+        chunks.filter(step).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(spark, stream, tag: str):
+    """What a stream gives in the end, by way of files."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+IN_TURN = ("chunk_index < 3", "chunk_index BETWEEN 3 AND 8", "chunk_index > 8")
+
+
+@query(f"SELECT DISTINCT content_hash FROM {D_CHUNKS}")
+def stream_exact_dedup(spark, sf_dir):
+    """Chunks replayed in three batches, the first of each content."""
+    chunks = chunk_table(spark, sf_dir).drop("content_hash").withColumn("ts", F.timestamp_seconds(F.col("chunk_index") + 1_000_000_000))
+    return drained(spark, dedup.first_of_content(replayed(spark, chunks, "stream", *IN_TURN)), "stream-out").select("content_hash")
+
+
+@query(D_NEAR_DEDUP)
+def stream_near_dedup(spark, sf_dir):
+    """Chunks replayed in three batches, near copies within a document left out."""
+    chunks = chunk_table(spark, sf_dir).select("doc_id", "chunk_index", "text", F.timestamp_seconds(F.col("chunk_index") + 1_000_000_000).alias("ts"))
+    return drained(spark, dedup.near_dedup(replayed(spark, chunks, "stream", *IN_TURN), "doc_id", 0.4), "stream-out")

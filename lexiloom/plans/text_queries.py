@@ -73,7 +73,9 @@ def clean_text(spark, sf_dir):
 )
 def clean_remove_patterns(spark, sf_dir):
     """Lines that start with a configured pattern go before cleaning."""
-    kept = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: (x != "") & ~x.rlike("^(?:The|Of)") & ~x.rlike(r"^(?:\d+)"))
+    kept = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: x != "")
+    for pattern in ("The|Of", r"\d+"):
+        kept = T.without(kept, pattern)
     return docs(spark, sf_dir).select("doc_id", kept.alias("l")).select(
         "doc_id", F.md5(F.array_join("l", "\n")).alias("kept_md5"), F.size("l").cast("long").alias("kept_lines")
     )
