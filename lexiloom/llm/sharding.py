@@ -122,18 +122,29 @@ def _leaves(df: DataFrame, id_col: str, text_col: str, limit: int, step: int) ->
     return found
 
 
-def directory(assigned: DataFrame, most_bits: int = 16) -> DataFrame:
-    """The directory of the shards of shards(): entry (a number of so many bits as the deepest shard
-    has, `most_bits` at most, as text), shard, depth. A shard of less depth has several entries; of
-    shards deeper than the directory each has the entry of its leading bits. Entries under which no row
-    lies are left out."""
-    leaves = assigned.select("shard", "depth", "prefix").distinct()
-    depth = leaves.agg(F.least(F.max("depth"), F.lit(most_bits)).alias("bits"))
-    free = F.col("bits") - F.least("depth", "bits")
-    tail = F.expr("explode(sequence(0L, shiftleft(1L, cast(free as int)) - 1))")
-    spread = leaves.join(F.broadcast(depth)).withColumn("free", free).withColumn("tail", tail)  # one row
-    entry = F.when(F.col("free") > 0, F.concat("prefix", F.expr("lpad(bin(tail), cast(free as int), '0')"))).otherwise(F.expr("substring(prefix, 1, cast(bits as int))"))
-    return spread.select(entry.alias("entry"), "shard", "depth")
+def directory(assigned: DataFrame) -> DataFrame:
+    """The directory of the shards of shards(), a row for each bucket: prefix, depth, first and last (the
+    entries, numbers of as many bits as the deepest bucket has, that point to it, as text of 0 and 1),
+    shard (its first page) and pages. Entries that point to one bucket are neighbours, so they are one
+    range, whatever the depth. Entries under which no row lies are in no range; a table without rows has
+    no entries."""
+    buckets = assigned.groupBy("prefix", "depth").agg(F.min_by("shard", "page").alias("shard"), (F.max("page") + 1).alias("pages"))
+    bits = buckets.agg(F.max("depth").alias("bits"))
+    spread = buckets.join(F.broadcast(bits))  # one row
+    ends = [F.rpad("prefix", F.col("bits"), F.lit(x)) for x in "01"]
+    return spread.select("prefix", "depth", ends[0].alias("first"), ends[1].alias("last"), "shard", "pages")
+
+
+def located(df: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `df` with the bucket of a directory() that their hash leads to: prefix, shard and pages, null
+    where no bucket has its entry. Buckets are looked up by each depth that occurs (129 at most), so by
+    equal prefixes."""
+    depths = F.broadcast(entries.select("depth").distinct())
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    bits = df.select(_hash(df, id_col, text_col).alias("__bits"), whole)
+    tried = bits.select("__bits").distinct().join(depths).withColumn("prefix", F.expr("substring(__bits, 1, depth)"))
+    found = tried.join(entries.select("prefix", "depth", "shard", "pages"), ["prefix", "depth"]).select("__bits", "prefix", "shard", "pages")
+    return bits.join(found, "__bits", "left").select("__row.*", "prefix", "shard", "pages")
 
 
 def _bits(number: Column) -> Column:

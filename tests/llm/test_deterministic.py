@@ -306,12 +306,18 @@ def test_sharding(spark, docs, nothing, limit):
             assert out[out["prefix"].str.startswith(prefix[:-1])]["n_bytes"].sum() > limit
     assert sharding.shards(nothing).count() == 0
     if limit == 3_000:
-        depth = min(16, out["depth"].max())
-        entries = {r["entry"]: r["shard"] for r in sharding.directory(sharding.shards(df, limit=limit)).collect()}
-        assert {len(e) for e in entries} == {depth} and set(entries.values()) <= set(out["shard"])
-        for shard, r in out.drop_duplicates("shard").set_index("shard").iterrows():
-            if r["page"] == 0 and r["shard_bytes"] and r["depth"] <= depth:
-                assert sum(v == shard for e, v in entries.items() if e.startswith(r["prefix"])) == 2 ** (depth - r["depth"])
+        depth = int(out["depth"].max())
+        assigned = sharding.shards(df, limit=limit)
+        entries = sorted((r["first"], r["last"], r["prefix"], r["pages"]) for r in sharding.directory(assigned).collect())
+        assert all(len(x) == len(y) == depth for x, y, _, _ in entries)
+        assert all(one[1] < two[0] for one, two in zip(entries, entries[1:]))  # ranges lie apart
+        for _, r in out.drop_duplicates("prefix").iterrows():
+            [(first, last, _, pages)] = [e for e in entries if e[2] == r["prefix"]]
+            assert int(last, 2) - int(first, 2) + 1 == 2 ** (depth - int(r["depth"]))
+            assert pages == out[out["prefix"] == r["prefix"]]["page"].max() + 1
+        at = sharding.located(df, sharding.directory(assigned)).select("doc_id", "prefix").collect()
+        assert Counter((r["doc_id"], r["prefix"]) for r in at) == Counter(zip((None if x != x else int(x) for x in out["doc_id"]), out["prefix"]))
+        assert sharding.directory(sharding.shards(nothing)).count() == 0
 
 
 def test_write_shards(spark, nothing, tmp_path):
