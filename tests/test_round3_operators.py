@@ -283,3 +283,20 @@ def test_lines_that_patterns_remove(spark):
     df = spark.createDataFrame([("Page 1\nwords here\n  DRAFT of it\nPages and more",)], "text string")
     kept = df.select(text.clean_text(F.col("text"), (r"Page \d+", "DRAFT|COPY"))).first()[0]
     assert kept == "words here\nPages and more"
+
+
+def test_opcodes_against_the_plain_matcher():
+    """On random sequences, long ones with popular tokens and ones of few kinds among them; and they turn a into b."""
+    import difflib
+
+    rng = random.Random(1)
+    for t in range(400):
+        n, m, k = rng.choice([0, 1, 5, 60, 250]), rng.choice([0, 1, 5, 60, 250]), rng.choice([2, 5, 30, 300])
+        a = [str(rng.randrange(k)) for _ in range(n)]
+        b = [str(rng.randrange(k)) for _ in range(m)] if t % 3 else [x if rng.random() > 0.1 else f"z{rng.randrange(9)}" for x in a][:m]
+        got = kernels.opcodes(a, b)
+        assert got == difflib.SequenceMatcher(None, a, b).get_opcodes()
+        made = []
+        for tag, i1, i2, j1, j2 in got:
+            made += a[i1:i2] if tag == "equal" else b[j1:j2]
+        assert made == b
