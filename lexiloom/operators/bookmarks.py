@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from . import structure
 
 
@@ -113,7 +114,7 @@ def linked(bookmarks: DataFrame) -> DataFrame:
     count = F.coalesce(F.col("_near"), F.col("_n") + 1) - F.col("_k") - 1
     nodes = structure.parents(below.withColumn("count", count.cast("long")).drop("_near", "_k", "_n"), ["doc"])
     order = Window.partitionBy("doc", "parent").orderBy("ord")
-    nodes = nodes.withColumns({"prev": F.lag("ord").over(order), "next": F.lead("ord").over(order)})
+    nodes = written(nodes.withColumns({"prev": F.lag("ord").over(order), "next": F.lead("ord").over(order)}), "outline-nodes")
     ends = nodes.filter("parent IS NOT NULL").groupBy("doc", F.col("parent").alias("ord")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
     return nodes.join(ends, ["doc", "ord"], "left")
 
@@ -144,6 +145,7 @@ def write_outlines(nodes: DataFrame, path: str, documents_a_file: int = 64) -> N
     node = F.struct("ord", "title", "level", "page", "parent", "first", "last", "prev", "next", "count")
     lines = nodes.groupBy("doc").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
     lines = lines.select("doc", F.to_json(F.struct("doc", "nodes")).alias("line"), F.pmod(F.xxhash64("doc"), F.lit(1 << 62)).alias("h"))
+    lines = written(lines, "outline-lines")
     shares = F.broadcast(lines.agg(F.ceil(F.count("*") / documents_a_file).alias("files")))
     files = lines.join(shares).groupBy((F.col("h") % F.greatest("files", F.lit(1))).alias("file"))
     whole = files.agg(F.sort_array(F.collect_list(F.struct("doc", "line"))).alias("l"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bookmarks, embedding, report, scoring
@@ -307,6 +308,24 @@ def outline_files(spark, sf_dir):
     return back.select("doc", F.explode("nodes").alias("n")).select("doc", "n.*")
 
 
+@query(
+    f"""WITH d AS (SELECT doc, ord, title, (ord % 10) / 10.0::DOUBLE AS score FROM {D_MARKS}), r AS (SELECT doc, 1 AS part, ord, level, title FROM {D_MARKS}
+      UNION ALL SELECT DISTINCT doc, 2, 0, 1, 'Differences' FROM d WHERE score * 100 < 70 UNION ALL SELECT doc, 3, ord, 2, concat(title, ' (', printf('%.1f', score * 100), ' % similar)') FROM d WHERE score * 100 < 70),
+    k AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY part, ord) AS ord, title, greatest(1, level) AS level FROM r)
+    SELECT doc, ord, title, level, (SELECT max(b.ord) FROM k b WHERE b.doc = k.doc AND b.ord < k.ord AND b.level < k.level) AS parent FROM k"""
+)
+def outline_differences_file(spark, sf_dir):
+    """Outlines with a node for each difference, written as files and read back."""
+    m, path = marks(spark, sf_dir), place(spark, "outlines")
+    rows = bookmarks.with_differences(m, m.select("doc", "ord", "title", (F.col("ord") % 10 / 10.0).alias("score")))
+    place_ = F.row_number().over(Window.partitionBy("doc").orderBy("part", "ord"))
+    documents.register(spark)
+    bookmarks.write_outlines(bookmarks.linked(rows.select("doc", place_.cast("long").alias("ord"), "title", F.greatest(F.lit(1), F.col("level")).alias("level"), "page")), path)
+    node = "struct<ord: bigint, title: string, level: int, parent: bigint>"
+    back = spark.read.schema(f"doc BIGINT, nodes ARRAY<{node}>").option("recursiveFileLookup", "true").json(path)
+    return back.select("doc", F.explode("nodes").alias("n")).select("doc", "n.*")
+
+
 @query(r"""SELECT page_id, generate_subscripts(h, 1) - 1 AS ord, substr(unnest(h), 3, 1)::INTEGER AS level, trim(regexp_replace(regexp_replace(unnest(h), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title
     FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h FROM pages)""")
 def headings_html(spark, sf_dir):

@@ -31,10 +31,10 @@ def chapters_from_json(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 def pages_from_text(df: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
     """Pages of a text, parted at form feeds and numbered from 1, before any cleaning; at most `most`
-    of each document."""
+    of each document, behind which the text is not cut up."""
     names = [c for c in df.columns if c != text_col]
-    out = df.select(*names, F.posexplode(F.split(text_col, "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
-    return out.filter(F.col("page") <= most) if most else out
+    pages = F.slice(F.split(text_col, "\f", most + 1), 1, most) if most else F.split(text_col, "\f")
+    return df.select(*names, F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 def first_engine(df: DataFrame, *columns: str) -> DataFrame:
