@@ -171,8 +171,10 @@ def search(index: Index, queries: DataFrame, same: bool, k: int, first: int = 4,
         def plan(batches: Iterator[pd.DataFrame], start: int = start, batch: int = batch) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for dim, part in pdf.groupby("dim"):
-                    for at in range(0, len(part), 64):
-                        some = part.iloc[at : at + 64]
+                    # So many queries at a time that their bounds of all blocks stay small.
+                    step = max(1, min(64, 2_000_000 // len(directory.value.blocks[int(dim)])))
+                    for at in range(0, len(part), step):
+                        some = part.iloc[at : at + step]
                         blocks, low, high = bounds(directory.value, int(dim), matrix(some["vec"]))
                         for x, row in enumerate(some.itertuples()):
                             known = {} if row.full_tops is None else dict(zip(row.full_tops, row.full_least))
