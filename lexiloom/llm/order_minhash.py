@@ -272,12 +272,17 @@ def classes(
         ),
         "omh-nodes",
     )
+    # Sketches are large: once they are dealt out, the tables that hold them go.
+    keys = written(encoded.select("id", "key"), "omh-keys")
     every = written(
         nodes.filter("len > 0").select("node", "len", F.posexplode("sketches").alias("at", "sketch")).select(
             "node", "len", F.xxhash64("at", "sketch").alias("group")
         ),
         "omh-every",
     )
+    sketched, nodes = nodes, written(nodes.drop("sketches"), "omh-nodes")
+    dropped(sketched)
+    dropped(encoded)
     groups = _grouped(every)
     large = groups.filter(F.col("n") > small)
     # Small groups hold at most `small` texts: each with each. Large ones: each with the first.
@@ -293,10 +298,11 @@ def classes(
     # Large groups that still hold texts of several classes: those of different classes are compared.
     own = large.join(roots, "node", "left").select("group", "node", "len", F.coalesce("root", "node").alias("root"))
     own = written(own, "omh-large")
+    dropped(groups)
     low_high = own.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     several = written(low_high.filter("low < high").select("group", "size"), "omh-mixed")
     if several.limit(1).count():
-        links = links.unionByName(written(_agreeing(own.join(several, "group"), rows, threshold, block), "omh-links"))
+        links = links.unionByName(_agreeing(own.join(several, "group"), rows, threshold, block))
         roots = components(links, "omh-cc")
     # What stands for a class: the smallest id, then the least key; texts without ids come last.
     stands = F.struct(F.col("least").isNull().alias("none"), "least", "key").alias("stands")
@@ -304,8 +310,10 @@ def classes(
     joined = written(members.join(nodes.select("node", stands), "node"), "omh-members")
     best = joined.groupBy("root").agg(F.min("stands").alias("best"))
     told = joined.join(best, "root").select("node", "best")
-    found = nodes.join(told, "node", "left").select("key", "n_copies", F.coalesce("best", stands).alias("best"))
-    all_rows = encoded.select("id", "key").join(written(found, "omh-classes"), "key")
+    found = written(nodes.join(told, "node", "left").select("key", "n_copies", F.coalesce("best", stands).alias("best")), "omh-classes")
+    for old in (nodes, own, joined):
+        dropped(old)
+    all_rows = keys.join(found, "key")
     kept = (F.col("key") == F.col("best.key")) & F.col("id").eqNullSafe(F.col("best.least"))
     return all_rows.select("id", "key", "n_copies", F.col("best.least").alias("class_id"), kept.alias("kept"))
 
@@ -350,7 +358,9 @@ def _agreeing(own: DataFrame, rows: DataFrame, threshold: float, block: int) ->
 
     spark = own.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long")
+    found = written(dealt.repartition(n, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long"), "omh-links")
+    dropped(words)
+    return found
 
 
 def _shared(labels: list[np.ndarray]) -> np.ndarray:
@@ -371,8 +381,10 @@ def _shared(labels: list[np.ndarray]) -> np.ndarray:
 def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough."""
     pairs = written(pairs.distinct(), "omh-pairs")
-    found = written(verified(pairs, _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node"))), threshold), "omh-links")
+    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    found = written(verified(pairs, texts, threshold), "omh-links")
     dropped(pairs)
+    dropped(texts)
     return found
 
 
