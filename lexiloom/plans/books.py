@@ -52,7 +52,7 @@ def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("line", F.when(F.col("line_no") % 2 == 1, own).otherwise(F.col("line")))
 
 
-D_STYLED = rf"""(SELECT doc, page, line_no, CASE WHEN line_no % 2 = 1 THEN concat([{', '.join(f"'{x}'" for x in FORMS)}][(doc + page * 5 + line_no * 3) % {len(FORMS)} + 1], regexp_replace(line, '^[\d\-. ]+', '')) ELSE line END AS line FROM {{D_BOOK}})""".replace("{D_BOOK}", D_BOOK)
+D_STYLED = rf"""(SELECT doc, page, line_no, CASE WHEN line_no % 2 = 1 THEN concat([{', '.join(f"'{x}'" for x in FORMS)}][(doc + page * 5 + line_no * 3) % {len(FORMS)} + 1], regexp_replace(line, '^[\d\-. ]+', '')) ELSE line END AS line FROM {D_BOOK})"""
 
 
 def d_numbered(table: str) -> str:

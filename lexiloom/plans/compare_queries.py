@@ -242,17 +242,21 @@ def diff_fine(spark, sf_dir):
     return p.select("a_id", "b_id", F.md5("d.html_a").alias("a_md5"), F.md5("d.html_b").alias("b_md5"))
 
 
-OPS = "VALUES (1,'equal',0,4,0,4),(1,'replace',4,7,4,6),(1,'delete',7,9,6,6),(1,'equal',9,12,6,9),(1,'insert',12,12,9,14),(2,'equal',0,3,0,3),(2,'insert',3,3,3,4)"
+OPS = """SELECT l_orderkey AS pair_id, ['equal', 'delete', 'insert', 'replace'][l_linenumber % 4 + 1] AS tag, 0 AS i1, CASE WHEN l_linenumber % 4 = 2 THEN 0 ELSE l_partkey % 9 + 1 END AS i2,
+  0 AS j1, CASE l_linenumber % 4 WHEN 1 THEN 0 WHEN 0 THEN l_partkey % 9 + 1 ELSE l_suppkey % 7 + 1 END AS j2 FROM lineitem"""
 _COUNTS = ", ".join(
     f"CAST(sum(CASE WHEN tag = '{t}' THEN greatest(i2 - i1, j2 - j1) ELSE 0 END) AS BIGINT) AS n_{t}" for t in ("equal", "delete", "insert", "replace")
 )
 
 
-@query(f"SELECT pair_id, {_COUNTS}, CAST(sum(greatest(i2 - i1, j2 - j1)) AS BIGINT) AS total FROM ({OPS}) v(pair_id, tag, i1, i2, j1, j2) GROUP BY pair_id")
+@query(f"SELECT pair_id, {_COUNTS}, CAST(sum(greatest(i2 - i1, j2 - j1)) AS BIGINT) AS total FROM ({OPS}) GROUP BY pair_id")
 def opcode_counters(spark, sf_dir):
-    v = spark.sql(f"SELECT * FROM ({OPS}) v(pair_id, tag, i1, i2, j1, j2)")
-    most = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
-    return v.groupBy("pair_id").agg(*[F.sum(F.when(F.col("tag") == t, most).otherwise(0)).alias(f"n_{t}") for t in ("equal", "delete", "insert", "replace")], F.sum(most).alias("total"))
+    """Opcodes, here made of order lines, counted by kind."""
+    kind, a, b = F.col("l_linenumber") % 4, F.col("l_partkey") % 9 + 1, F.col("l_suppkey") % 7 + 1
+    tag = F.get(F.array(*[F.lit(t) for t in ("equal", "delete", "insert", "replace")]), kind)
+    i2, j2 = F.when(kind == 2, 0).otherwise(a), F.when(kind == 1, 0).when(kind == 0, a).otherwise(b)
+    v = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), tag.alias("tag"), F.greatest(i2, j2).alias("most"))
+    return v.groupBy("pair_id").agg(*[F.sum(F.when(F.col("tag") == t, F.col("most")).otherwise(0)).alias(f"n_{t}") for t in ("equal", "delete", "insert", "replace")], F.sum("most").alias("total"))
 
 
 # Chunk tables ----------------------------------------------------------------------------------
