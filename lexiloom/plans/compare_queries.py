@@ -75,8 +75,12 @@ def title_similarity(spark, sf_dir):
 
 @query()
 def titles_assigned(spark, sf_dir):
-    """Titles of two pages assigned greedily, in order, at scores of .6 and more."""
-    scores = align.title_scores(*heading_sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    """Titles of all pages assigned, greedily and in order, to the page's own with letters changed and in
+    falling order, at scores of .6 and more."""
+    h = readers.headings_from_html(read(spark, sf_dir, "pages"), "page_id").withColumnRenamed("page_id", "pair_id")
+    changed = F.when(F.col("ord") % 2 == 0, F.regexp_replace("title", "[aeo]", "u")).otherwise(F.concat("title", F.lit(" again")))
+    other = h.select("pair_id", (1_000_000 - F.col("ord")).alias("ord"), changed.alias("title"))
+    scores = align.title_scores(h.select("pair_id", "ord", "title"), other).withColumn("score", F.round("score", 6))
     return align.assign_greedy(scores, "pair_id", 0.6)
 
 

@@ -300,3 +300,24 @@ def test_opcodes_against_the_plain_matcher():
         for tag, i1, i2, j1, j2 in got:
             made += a[i1:i2] if tag == "equal" else b[j1:j2]
         assert made == b
+
+
+def test_titles_are_assigned_in_order(spark, sf_dir):
+    """Against the plain rule, scored title by title."""
+    from lexiloom.plans import registry
+    from lexiloom.plans.compare_queries import read, readers
+
+    got = {}
+    for r in registry.QUERIES["titles_assigned"](spark, sf_dir).collect():
+        got.setdefault(r["pair_id"], {})[r["i"]] = (r["j"], r["score"])
+    titles = {}
+    for r in readers.headings_from_html(read(spark, sf_dir, "pages"), "page_id").collect():
+        titles.setdefault(r["page_id"], {})[r["ord"]] = r["title"]
+    for page, own in titles.items():
+        other = {1_000_000 - k: "".join("u" if c in "aeo" else c for c in t) if k % 2 == 0 else t + " again" for k, t in own.items()}
+        normal = {t: " ".join("".join(c for c in t.lower() if c.isalnum() or c in "_ ").split()) for t in (*own.values(), *other.values())}
+        if any(not x.isascii() for x in normal):
+            continue  # the normal form of other letters is tested elsewhere
+        scores = {(i, j): round(1.0 if normal[a] == normal[b] else kernels.title_score(normal[a], normal[b]), 6) for i, a in own.items() for j, b in other.items() if normal[a] and normal[b]}
+        assert got.get(page, {}) == plain_greedy(scores, 0.6, False)
+    assert got
