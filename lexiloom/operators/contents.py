@@ -84,9 +84,10 @@ def toc_lines(lines: DataFrame) -> DataFrame:
 
 
 def chapter_of_title(title: Column) -> Column:
-    """Number of the chapter that a title names, or null."""
+    """Number of the chapter that a title names, or null; a number too large for one (a telephone's, say)
+    names none."""
     found = [F.nullif(F.regexp_extract(T.strip(title), p, 1), F.lit("")) for p in CHAPTER_IN_TITLE]
-    return F.coalesce(*found).cast("int")
+    return F.coalesce(*found).try_cast("int")
 
 
 def integrate(entries: DataFrame, sections: DataFrame) -> DataFrame:
