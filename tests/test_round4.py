@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import contents
-from lexiloom.plans import compare_queries
+from lexiloom.operators import contents, pairwise, report, scoring
+from lexiloom.plans import compare_queries, registry, table_queries
 
 
 def test_chapter_numbers_beyond_integers(spark):
@@ -26,3 +26,55 @@ def test_names_meet_once(spark, tmp_path):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join") :]
     assert below.count("Aggregate [p_size") == 2
+
+
+def documents(spark, path, copies: int):
+    """Documents of common lengths, every twentieth asked for."""
+    rows = [(20 * c + k, "en", "s", ". ".join("x" * (3 + (k * j + c) % 7) for j in range(10 + k % 3)) + "y" * (60 - k)) for c in range(copies) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["score_overall", "score_statistics", "score_quality", "diff_totals", "diff_summary", "block_stats", "html_report"])
+def test_pairs_are_not_shuffled(spark, tmp_path, name):
+    """A row a pair leaves the task where its documents meet; nothing is shuffled after that."""
+    df = registry.QUERIES[name](spark, documents(spark, tmp_path, 3))
+    assert df.count() == df.select("pair_id").distinct().count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    top = plan[: plan.index("FlatMapCoGroupsInPandas")]
+    assert "Exchange" not in top and "Join" not in top
+
+
+def test_aligned_against_rows(spark, tmp_path):
+    """The matrices against the operators on tables of alignments, in blocks of two and three documents."""
+    path = documents(spark, tmp_path, 2)
+    rows = table_queries.alignments(spark, path)
+    lengths = F.transform(F.split("text", r"\. "), lambda x: F.length(x).cast("double"))
+    d = registry.read(spark, path, "documents").select("doc_id", "lang", F.length("text").alias("n"), lengths.alias("v"), (F.col("doc_id") % 20 == 0).alias("asked"))
+    d = d.withColumn("step", table_queries.length_step(F.col("n")))
+    got = pairwise.compared(d, pairwise.statistics, pairwise.STATISTICS, a_block=2, b_block=3).withColumn("pair_id", table_queries.pair_key(F.col("a_id"), F.col("b_id"))).toPandas()
+    want = scoring.statistics(rows, "pair_id").toPandas()
+    got, want = (x.sort_values("pair_id", ignore_index=True) for x in (got, want))
+    assert len(got) == len(want) > 5
+    for c in want.columns.drop("pair_id"):
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=2e-6)
+
+
+def test_shown_per_cent(spark):
+    """Rounded as numbers: 1.005 * 100 is below the half, 0.125 * 100 is the half."""
+    rows = spark.createDataFrame([(1.005, "1.00"), (0.125, "0.13"), (80.0, "80.00"), (2.675, "2.68")], "x double, want string")
+    assert [r.got for r in rows.select(report.per_cent(F.col("x")).alias("got")).collect()] == ["1.00", "0.13", "80.00", "2.68"]
+
+
+def test_distribution_by_exact_scores(spark, tmp_path, monkeypatch):
+    """What is above a bound by less than its rounding is above it."""
+    some = spark.createDataFrame([("p", 0, 80.0000001, 1), ("p", 1, 80.0, 1), ("p", 2, 40.0000001, 1)], "pair_id string, section long, similarity double, n long")
+    cut = lambda spark, sf, digits=6: some if digits is None else some.withColumn("similarity", F.round("similarity", digits))
+    monkeypatch.setattr(table_queries, "section_scores", cut)
+    assert {r.bucket: r.n for r in registry.QUERIES["report_distribution"](spark, "").collect()} == {"high": 1, "medium": 2}
+
+
+def test_blocks_searched_without_joins(spark, sf_dir):
+    """Blocks and their texts come from one row a pair: documents meet once, and no rows are joined."""
+    plan = registry.QUERIES["block_filter_sort_limit"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
