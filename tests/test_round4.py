@@ -78,3 +78,22 @@ def test_blocks_searched_without_joins(spark, sf_dir):
     """Blocks and their texts come from one row a pair: documents meet once, and no rows are joined."""
     plan = registry.QUERIES["block_filter_sort_limit"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_shared_counts():
+    """Sets in blocks, an empty one and some with elements of one side only, however few at a time."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    sets = [[str(x) for x in rng.choice(40, size=n, replace=False)] for n in (0, 1, 5, 30, 12, 40, 7)]
+    left, right = pd.Series(sets[:4]), pd.Series(sets[4:])
+    want = [[len(set(a) & set(b)) for b in right] for a in left]
+    for most in (1, 7, 8192):
+        assert pairwise.shared_counts(left, right, most).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["jaccard_words", "jaccard_chars", "overlap_coef", "blended_similarity"])
+def test_sets_meet_in_blocks(spark, sf_dir, name):
+    """Pairs are made in blocks by a product of matrices, not by a join that carries both sets."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "FlatMapCoGroupsInPandas" in plan
