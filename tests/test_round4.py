@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import contents, pairwise, report, scoring
+from lexiloom.operators import align, contents, pairwise, report, scoring
 from lexiloom.plans import compare_queries, registry, table_queries
 
 
@@ -97,3 +97,32 @@ def test_sets_meet_in_blocks(spark, sf_dir, name):
     """Pairs are made in blocks by a product of matrices, not by a join that carries both sets."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("most,strict", [(1, False), (2, True), (5, False)])
+def test_greedy_by_cosine_in_rounds(spark, most, strict):
+    """Short lists, so that many i go into later rounds, with ties and equal vectors; against all scores."""
+    rng = np.random.default_rng(most)
+    rows = [("xy"[k % 2], k, [float(v) for v in rng.integers(-1, 3, 3)]) for k in range(80)]
+    df = spark.createDataFrame(rows, "key string, id long, v array<double>")
+    a = df.filter("id % 4 < 2").selectExpr("key", "id AS i", "v AS x")
+    b = df.filter("id % 4 >= 2").selectExpr("key", "id AS j", "v AS y")
+    got = {(r.key, r.i): (r.j, r.score) for r in align.assign_greedy_by_cosine(a, b, "key", 0.2, strict, 2, most).collect()}
+    cos = lambda x, y: 0.0 if not np.any(x) or not np.any(y) else round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 2)
+    want = {}
+    for key in "xy":
+        used = set()
+        for _, i, x in (r for r in rows if r[0] == key and r[1] % 4 < 2):
+            free = [(-cos(x, y), j) for k, j, y in rows if k == key and j % 4 >= 2 and j not in used and (cos(x, y) > 0.2 if strict else cos(x, y) >= 0.2)]
+            if free:
+                s, j = min(free)
+                used.add(j)
+                want[key, i] = (j, -s)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["mappings_ranked", "section_full_map"])
+def test_best_pairs_leave_their_blocks(spark, sf_dir, name):
+    """No row a pair of vectors: only the best of a block reach the window."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
