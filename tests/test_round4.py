@@ -1,11 +1,15 @@
 """Queries whose work must not grow faster than their input, and numbers and ties at their edges."""
 
+import glob
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import align, contents, pairwise, report, scoring
 from lexiloom.plans import compare_queries, registry, table_queries
+from lexiloom.session import shared_folder
 
 
 def test_chapter_numbers_beyond_integers(spark):
@@ -126,3 +130,14 @@ def test_best_pairs_leave_their_blocks(spark, sf_dir, name):
     """No row a pair of vectors: only the best of a block reach the window."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_replay_in_many_files(spark, sf_dir):
+    """No task writes or reads all chunks: a step is several files, a document's part of it one of them."""
+    tag = f"replay-{uuid.uuid4().hex}"
+    chunks = compare_queries.chunk_table(spark, sf_dir)
+    compare_queries.replayed(spark, chunks, tag, *compare_queries.IN_TURN[:1])
+    folder = glob.glob(f"{shared_folder(spark).removeprefix('file://')}/{tag}*")[0]
+    back = spark.read.parquet(folder).select("doc_id", F.input_file_name().alias("file")).distinct()
+    assert back.select("file").distinct().count() > 1
+    assert back.count() == back.select("doc_id").distinct().count()
