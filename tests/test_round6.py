@@ -4,9 +4,10 @@ import uuid
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexiloom.operators import near
-from lexiloom.plans import registry
+from lexiloom.functions import text as T
+from lexiloom.operators import align, near
 
 
 def test_near_copies_meet_in_blocks(spark):
@@ -20,3 +21,18 @@ def test_near_copies_meet_in_blocks(spark):
     assert sorted((r["a_id"], r["b_id"]) for r in found) == [(a, b) for a in alike for b in alike if a < b]
     assert all((r["a"], r["b"]) == (texts[r["a_id"]], texts[r["b_id"]]) for r in found)
     assert len({r["made"] for r in found}) <= 25 < len(found)
+
+
+def test_optimal_assignment_of_vectors(spark):
+    """As that of a table of scores, in total and number; odd vectors find none."""
+    rng = np.random.default_rng(3)
+    sides = [[(label, k, rng.normal(size=4).tolist()) for label in (1, 2) for k in range(100 * label, 100 * label + n)] for n in (9, 14)]
+    a, b = (spark.createDataFrame(s + [(3, 300, x)], f"label long, {k} long, {v} array<double>") for s, k, v, x in zip(sides, "ij", "xy", ([1.0, 0.0, 0.0, 0.0], [float("nan"), 0.0, 0.0, 0.0])))
+    b = b.unionByName(spark.createDataFrame([(1, 199, None)], b.schema))
+    scores = a.join(b, "label").filter("y IS NOT NULL AND label < 3").select("label", "i", "j", F.round(T.cosine(F.col("x"), F.col("y")), 4).alias("score"))
+    given = {(r["label"], r["i"], r["j"]): r["score"] for r in scores.collect()}
+    found = [(r["label"], r["i"], r["j"], r["score"]) for r in align.assign_optimal_by_cosine(a, b, "label", 0.3).collect()]
+    want = align.assign_optimal(scores, "label", 0.3).collect()
+    assert len(found) == len(want) == len({x[:2] for x in found}) == len({(x[0], x[2]) for x in found})
+    assert all(given[x[:3]] == pytest.approx(x[3]) for x in found)
+    assert sum(x[3] for x in found) == pytest.approx(sum(r["score"] for r in want))
