@@ -44,13 +44,16 @@ def bare(c: Column) -> Column:
 
 def alike(a: Column, b: Column) -> Column:
     """Word Jaccard of two bare texts; 0 if either is empty."""
-    return F.when((a == "") | (b == ""), 0.0).otherwise(T.jaccard(F.array_distinct(T.words(a)), F.array_distinct(T.words(b))))
+    # Sets and what they share are bound by lambdas: as columns they would be made anew wherever they are named.
+    sets = F.array(F.struct(F.array_distinct(T.words(a)).alias("a"), F.array_distinct(T.words(b)).alias("b")))
+    shared = lambda w: F.transform(F.array(F.size(F.array_intersect(w["a"], w["b"]))), lambda n: T.jaccard_of(F.size(w["a"]), F.size(w["b"]), n))[0]
+    return F.when((a == "") | (b == ""), 0.0).otherwise(F.transform(sets, shared)[0])
 
 
 def is_heading_line(line: Column, title: Column, above: float = 0.8) -> Column:
-    """Whether the line holds the title or has nearly the same words."""
-    x, y = bare(line), bare(title)
-    return F.contains(x, y) | (alike(x, y) > above)
+    """Whether the line holds the title or has nearly the same words. Either is made bare once."""
+    both = F.array(F.struct(bare(line).alias("x"), bare(title).alias("y")))
+    return F.exists(both, lambda p: F.contains(p["x"], p["y"]) | (alike(p["x"], p["y"]) > above))
 
 
 # Tables of contents ----------------------------------------------------------------------------

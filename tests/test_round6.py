@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators import align, near
+from lexiloom.operators import align, contents, near
 
 
 def test_near_copies_meet_in_blocks(spark):
@@ -36,3 +36,11 @@ def test_optimal_assignment_of_vectors(spark):
     assert len(found) == len(want) == len({x[:2] for x in found}) == len({(x[0], x[2]) for x in found})
     assert all(given[x[:3]] == pytest.approx(x[3]) for x in found)
     assert sum(x[3] for x in found) == pytest.approx(sum(r["score"] for r in want))
+
+
+def test_lines_are_made_bare_once(spark):
+    """A line and a title pass the patterns once, however often the comparison names them."""
+    lines = spark.createDataFrame([(1, "1. The Scope!", "scope"), (2, "a b c d", "D, c b a."), (3, "a b c d", "a b x y"), (4, "!", "?"), (5, None, "x")], "k long, line string, title string")
+    found = lines.filter(contents.is_heading_line(F.col("line"), F.col("title"), 0.7))
+    assert sorted(r["k"] for r in found.collect()) == [1, 2, 4]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
