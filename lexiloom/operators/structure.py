@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 #: Heading patterns in order, with level and confidence.
 HEADINGS = (
@@ -88,21 +89,23 @@ def has_keyword(c: Column, words: tuple[str, ...] = KEYWORDS) -> Column:
 
 def pattern_headings(lines: DataFrame) -> DataFrame:
     """Lines that a pattern or keyword makes headings, with level and confidence of the first that fits."""
-    level, confidence = F.lit(None).cast("int"), F.lit(None).cast("double")
-    word = has_keyword(F.col("line"))
-    level, confidence = F.when(word, F.lit(2)), F.when(word, F.lit(0.7))
+    told = lambda n, c: F.struct(F.lit(n).alias("level"), F.lit(c).alias("confidence"))
+    found = F.when(has_keyword(F.col("line")), told(2, 0.7))
     for pattern, n, c in reversed(HEADINGS):
-        fits = F.col("line").rlike(pattern)
-        level, confidence = F.when(fits, n).otherwise(level), F.when(fits, c).otherwise(confidence)
-    return lines.withColumns({"level": level, "confidence": confidence}).filter("level is not null")
+        found = F.when(F.col("line").rlike(pattern), told(n, c)).otherwise(found)
+    # Exploded, so that a line is matched once for its level, its confidence and whether it has them.
+    matched = F.explode(F.filter(F.array(found), lambda x: x.isNotNull()))
+    return lines.withColumn("_h", matched).select(*lines.columns, "_h.level", "_h.confidence")
 
 
 def position_headings(lines: DataFrame, by: list[str]) -> DataFrame:
     """Short lines with a keyword before a long line: level 2, confidence .6."""
-    following = F.lead(F.length("line")).over(Window.partitionBy(*by).orderBy("line_no"))
     n = F.length("line")
-    test = has_keyword(F.col("line")) & (n >= 3) & (n < 80) & (F.col("following") > 50)
-    return lines.withColumn("following", following).filter(test).drop("following").withColumns({"level": F.lit(2), "confidence": F.lit(0.6)})
+    # Found before the window: of other lines only the length goes there.
+    short = F.when((n >= 3) & (n < 80) & has_keyword(F.col("line")), F.col("line"))
+    following = F.lead("_n").over(Window.partitionBy(*by).orderBy("line_no"))
+    told = lines.withColumn("_n", n).withColumn("line", short).withColumn("_following", following)
+    return told.filter("line IS NOT NULL AND _following > 50").drop("_n", "_following").withColumns({"level": F.lit(2), "confidence": F.lit(0.6)})
 
 
 def plain_headings(lines: DataFrame) -> DataFrame:
@@ -152,6 +155,7 @@ def combined_headings(*found: DataFrame) -> DataFrame:
     together = found[0]
     for more in found[1:]:
         together = together.unionByName(more)
+    together = written(together, "headings")  # detected once
     distinct = dedup_headings(together.select("page", "ord", "text", "confidence"), ["page"])
     levels = together.groupBy("page", "ord").agg(F.first("level").alias("level"))
     kept = valid_headings(distinct.join(levels, ["page", "ord"]))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators import align, contents, near
+from lexiloom.operators import align, contents, near, structure
 
 
 def test_near_copies_meet_in_blocks(spark):
@@ -44,3 +44,14 @@ def test_lines_are_made_bare_once(spark):
     found = lines.filter(contents.is_heading_line(F.col("line"), F.col("title"), 0.7))
     assert sorted(r["k"] for r in found.collect()) == [1, 2, 4]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+
+
+def test_lines_are_matched_once_for_headings(spark):
+    """Level and confidence come of one match, and of lines that can't be headings no text is shuffled."""
+    rows = [(1, k, x) for k, x in enumerate(["1. One", "an overview of it", "w " * 50, "Chapter 3 on", "abstract", "short"], 1)]
+    lines = spark.createDataFrame(rows, "page long, line_no long, line string")
+    found = structure.pattern_headings(lines)
+    assert {r["line_no"]: (r["level"], r["confidence"]) for r in found.collect()} == {1: (2, 0.9), 2: (2, 0.7), 4: (1, 0.8), 5: (2, 0.7)}
+    assert found.columns == ["page", "line_no", "line", "level", "confidence"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [(r["line_no"], r["line"], r["level"], r["confidence"]) for r in structure.position_headings(lines, ["page"]).collect()] == [(2, rows[1][2], 2, 0.6)]
