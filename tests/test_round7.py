@@ -52,7 +52,7 @@ def test_blocks_are_dealt_by_number(spark, folder):
     met = align.align_documents(d, counts=True)
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2
-    many = pairwise.in_blocks(d, lambda a, b: a[["doc_id"]], "doc_id long", a_block=1, b_block=1, most_tasks=64)
+    many = pairwise.in_blocks(d, lambda a, b: a[["doc_id"]], "doc_id long", a_block=1, b_block=1, tasks=64)
     assert many.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
